@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .mixing import OP3_SQL, op3_mix_sources
+from .packing import op10_pack_sequences
 from .simhash import op2_simhash_near_dedup
+from .token_counts import op9_token_counts
 
 
 def queries() -> dict:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_mix_sources": op3_mix_sources,
+        "op9_token_counts": op9_token_counts,
+        "op10_pack_sequences": op10_pack_sequences,
     }
 
 
