@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .mixing import OP3_SQL, op3_mix_sources
 from .packing import op10_pack_sequences
+from .quality import op6_quality_scores
+from .secrets import OP7_SQL, op7_secret_scan
 from .simhash import op2_simhash_near_dedup
 from .token_counts import op9_token_counts
 
@@ -12,6 +14,8 @@ def queries() -> dict:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_mix_sources": op3_mix_sources,
+        "op6_quality_scores": op6_quality_scores,
+        "op7_secret_scan": op7_secret_scan,
         "op9_token_counts": op9_token_counts,
         "op10_pack_sequences": op10_pack_sequences,
     }
@@ -20,4 +24,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mix_sources": OP3_SQL,
+        "op7_secret_scan": OP7_SQL,
     }
