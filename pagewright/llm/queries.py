@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from .chat import OP8_SQL, op8_chat_format
 from .mixing import OP3_SQL, op3_mix_sources
 from .packing import op10_pack_sequences
 from .quality import op6_quality_scores
 from .secrets import OP7_SQL, op7_secret_scan
 from .simhash import op2_simhash_near_dedup
 from .token_counts import op9_token_counts
+from .warc import OP1_SQL, op1_warc_captures
 
 
 def queries() -> dict:
     return {
+        "op1_warc_captures": op1_warc_captures,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_mix_sources": op3_mix_sources,
         "op6_quality_scores": op6_quality_scores,
         "op7_secret_scan": op7_secret_scan,
+        "op8_chat_format": op8_chat_format,
         "op9_token_counts": op9_token_counts,
         "op10_pack_sequences": op10_pack_sequences,
     }
@@ -23,6 +27,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_captures": OP1_SQL,
         "op3_mix_sources": OP3_SQL,
         "op7_secret_scan": OP7_SQL,
+        "op8_chat_format": OP8_SQL,
     }
