@@ -9,6 +9,7 @@ from .quality import op6_quality_scores
 from .secrets import OP7_SQL, op7_secret_scan
 from .simhash import op2_simhash_near_dedup
 from .token_counts import op9_token_counts
+from .vafile import OP4_SQL, op4_exact_top_k
 from .warc import OP1_SQL, op1_warc_captures
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op1_warc_captures": op1_warc_captures,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_mix_sources": op3_mix_sources,
+        "op4_exact_top_k": op4_exact_top_k,
         "op6_quality_scores": op6_quality_scores,
         "op7_secret_scan": op7_secret_scan,
         "op8_chat_format": op8_chat_format,
@@ -29,6 +31,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_captures": OP1_SQL,
         "op3_mix_sources": OP3_SQL,
+        "op4_exact_top_k": OP4_SQL,
         "op7_secret_scan": OP7_SQL,
         "op8_chat_format": OP8_SQL,
     }
