@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_format
+from .digests import op5_document_fingerprints
 from .mixing import OP3_SQL, op3_mix_sources
 from .packing import op10_pack_sequences
 from .quality import op6_quality_scores
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_mix_sources": op3_mix_sources,
         "op4_exact_top_k": op4_exact_top_k,
+        "op5_document_fingerprints": op5_document_fingerprints,
         "op6_quality_scores": op6_quality_scores,
         "op7_secret_scan": op7_secret_scan,
         "op8_chat_format": op8_chat_format,
