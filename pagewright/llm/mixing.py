@@ -82,22 +82,39 @@ def _thresholds(narrow: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "full", F.col("high").alias("edge"), (over < short).alias("at_edge"))
 
 
+def _copies() -> Column:
+    return F.col("full") + ((F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("at_edge"))).cast("long")
+
+
+def _planned(docs: DataFrame, weights: tuple[int, ...], share: float, max_repeat: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, h) per document, and a row per source with its target and threshold."""
+    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), stable_hash(F.col("doc_id")).alias("h"))
+    narrow = materialize(narrow, "mix_sizes")
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = materialize(source_targets(sizes, weights, share, max_repeat), "mix_targets")
+    return narrow, _thresholds(narrow, targets).withColumnRenamed("source", "of")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3) -> DataFrame:
-    """Per document of docs (doc_id, text, source): doc_id, size, source_size, target, taken, copies.
+    """Per document of docs (doc_id, text, source): doc_id, size, source_size, target, taken, copies, source.
 
     A source's rows all get floor(target / source_size) copies; those whose hash is below the source's
     threshold get one more. The document at the threshold gets it too if that leaves the source nearer
     to its target. Rows that repeat a doc_id share its hash and so its decision. A null text has size 0
     and takes 0; null sources are one source, in last place; no rows give no rows.
     """
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), stable_hash(F.col("doc_id")).alias("h"))
-    narrow = materialize(narrow, "mix_sizes")
-    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(sizes, weights, share, max_repeat), "mix_targets")
-    edges = _thresholds(narrow, targets).withColumnRenamed("source", "of")
+    narrow, edges = _planned(docs, weights, share, max_repeat)
     out = narrow.join(edges, F.col("source").eqNullSafe(F.col("of")), "left")
-    copies = F.col("full") + ((F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("at_edge"))).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), F.col("h"), "source")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"), _copies().alias("copies"), "source")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3) -> DataFrame:
+    """docs with each row as often as mix() takes it, its columns as they are. Only thresholds are joined, so no text moves for it."""
+    _, edges = _planned(docs, weights, share, max_repeat)
+    columns = docs.columns
+    edges = edges.select("of", "full", "edge", "at_edge")
+    out = docs.withColumn("h", stable_hash(F.col("doc_id"))).join(edges, F.col("source").eqNullSafe(F.col("of")))
+    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), _copies().cast("int")))).select(*columns)
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -140,11 +140,11 @@ def _grow(a: np.ndarray, b: np.ndarray, of_a: Tree, of_b: Tree, la: int, lb: int
 _PAIRS = 1 << 12  # node pairs opened at once: 256 times as many child pairs
 
 
-def links(own: np.ndarray, guests: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
+def links(own: np.ndarray, guests: np.ndarray | None, most: int, front: np.uint64 = np.uint64(0), near: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links between fingerprints at most bits apart, as a spanning forest: (fp, root fp of its tree).
 
     own against own, or own against guests. Node pairs go down a stack; a pair goes on if its shared bits
-    differ in at most places. Pairs of leaves whose members are all in one tree already are dropped, so a
+    differ in at most `most` places, of which at most `near` are in front (where that isn't zero). Pairs of leaves whose members are all in one tree already are dropped, so a
     large group of close fingerprints costs about its size, not its square.
     """
     ta = Tree(own)
@@ -162,8 +162,11 @@ def links(own: np.ndarray, guests: np.ndarray | None, most: int) -> tuple[np.nda
             stack.append((la, lb, a[_PAIRS:], b[_PAIRS:]))
             a, b = a[:_PAIRS], b[:_PAIRS]
         (ma, pa), (mb, pb) = ta.node(la, a), tb.node(lb, b)
-        near = np.bitwise_count((pa ^ pb) & ma & mb) <= most
-        a, b = a[near], b[near]
+        apart = (pa ^ pb) & ma & mb
+        close = np.bitwise_count(apart) <= most
+        if front:
+            close &= np.bitwise_count(apart & front) <= near
+        a, b = a[close], b[close]
         if not len(a):
             continue
         if la < 0 and lb < 0:
@@ -208,106 +211,143 @@ def links(own: np.ndarray, guests: np.ndarray | None, most: int) -> tuple[np.nda
     return every[moved], every[up[moved]]
 
 
+class Turn:
+    """A fixed rearrangement of the 64 bits that brings some of them to the front; turn 0 leaves them."""
+
+    def __init__(self, number: int):
+        order = np.random.default_rng(number).permutation(64) if number else np.arange(64)
+        self.there, self.back = self._tables(order), self._tables(np.argsort(order))
+
+    @staticmethod
+    def _tables(order: np.ndarray) -> np.ndarray:
+        """tables[k][byte]: where the bits of the kth byte go."""
+        bits = np.left_shift(np.uint64(1), order.astype(np.uint64)).reshape(8, 8)
+        set_ = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint64)
+        return (set_[None] * bits[:, None]).sum(axis=2, dtype=np.uint64)
+
+    @staticmethod
+    def _apply(tables: np.ndarray, fps: np.ndarray) -> np.ndarray:
+        octets = np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, 8)
+        return np.bitwise_or.reduce([tables[k][octets[:, k]] for k in range(8)], axis=0)
+
+    def turned(self, fps: np.ndarray) -> np.ndarray:
+        return self._apply(self.there, fps)
+
+    def restored(self, fps: np.ndarray) -> np.ndarray:
+        return self._apply(self.back, fps)
+
+
 LEAF = 256  # fingerprints in a block that travels to another range
-RANGES = 1024  # ranges of the top level at most; their masks are all that the driver and every task hold
+RANGES = 4096  # ranges of the top level at most; their masks are all that the driver and every task hold
 
 
-def _blocks(distinct: DataFrame, ranges: int) -> DataFrame:
-    """Blocks of LEAF fingerprints in Gray order within each range: (part, fps binary, mask, pattern)."""
+def _blocks(distinct: DataFrame, ranges: int, turns: int) -> DataFrame:
+    """Blocks of up to LEAF fingerprints in Gray order: (turn, part, fps binary, mask, pattern); a part is a range of one turn."""
 
     def ranked(batches):
         import pyarrow as pa
 
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            rank = (gray_rank(fp) ^ np.uint64(1 << 63)).view(np.int64)  # signed order is rank order
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rank)], names=["fp", "rank"])
+            for t in range(turns):
+                moved = Turn(t).turned(fp)
+                rank = (gray_rank(moved) ^ np.uint64(1 << 63)).view(np.int64)  # signed order is rank order
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(moved.view(np.int64)), pa.array(rank)], names=["turn", "fp", "rank"])
 
     def cut(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, rest = TaskContext.get().partitionId(), np.zeros(0, np.uint64)
+        part, at, rest = TaskContext.get().partitionId(), -1, np.zeros(0, np.uint64)
 
         def packed(fps):
             cuts = np.arange(0, len(fps), LEAF)
             ands, ors = np.bitwise_and.reduceat(fps, cuts), np.bitwise_or.reduceat(fps, cuts)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(cuts), pa.int32()), pa.array([fps[i : i + LEAF].tobytes() for i in cuts], pa.binary()), pa.array((~(ands ^ ors)).view(np.int64)), pa.array(ands.view(np.int64))],
-                names=["part", "fps", "mask", "pattern"],
+                [pa.array([at] * len(cuts), pa.int32()), pa.array([at * ranges + part] * len(cuts), pa.int32()), pa.array([fps[i : i + LEAF].tobytes() for i in cuts], pa.binary()), pa.array((~(ands ^ ors)).view(np.int64)), pa.array(ands.view(np.int64))],
+                names=["turn", "part", "fps", "mask", "pattern"],
             )
 
         for b in batches:
-            rest = np.concatenate([rest, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if whole := len(rest) // LEAF * LEAF:
-                yield packed(rest[:whole])
-                rest = rest[whole:]
+            turn, fps = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(turn)) + 1, [len(turn)]))
+            for i, j in zip(edges[:-1], edges[1:]):
+                if i == j:
+                    continue
+                if turn[i] != at:
+                    if len(rest):
+                        yield packed(rest)
+                    at, rest = int(turn[i]), np.zeros(0, np.uint64)
+                rest = np.concatenate([rest, fps[i:j]])
+                if whole := len(rest) // LEAF * LEAF:
+                    yield packed(rest[:whole])
+                    rest = rest[whole:]
         if len(rest):
             yield packed(rest)
 
-    sorted_ = distinct.select("fp").mapInArrow(ranked, "fp long, rank long").repartitionByRange(ranges, "rank").sortWithinPartitions("rank")
-    return sorted_.mapInArrow(cut, "part int, fps binary, mask long, pattern long")
+    sorted_ = distinct.select("fp").mapInArrow(ranked, "turn int, fp long, rank long").repartitionByRange(ranges, "turn", "rank").sortWithinPartitions("turn", "rank")
+    return sorted_.mapInArrow(cut, "turn int, part int, fps binary, mask long, pattern long")
 
 
-def link_forest(distinct: DataFrame, most: int) -> DataFrame:
-    """(a, b): links that join exactly the fingerprints of distinct (fp) that chains of at most `most` bits join.
+def link_forest(distinct: DataFrame, most: int, turns: int = 1, front: int = 0, near: int = 0) -> DataFrame:
+    """(a, b): links that join the fingerprints of distinct (fp) that chains of at most `most` bits join.
 
-    Ranges of the Gray order are the top nodes. A block goes to each later range whose shared bits
-    differ from its own in at most `most` places, and meets there that range's own tree.
+    Ranges of the Gray order are the top nodes. A block goes to each later range whose shared bits differ
+    from its own in at most `most` places, and meets there that range's own tree. With one turn and no
+    front that is every link. A large `most` leaves little to prune; then each of `turns` rearrangements
+    only follows pairs whose `front` leading bits differ in at most `near` places.
     """
     spark = distinct.sparkSession
     ranges = max(1, min(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    blocks = materialize(_blocks(distinct, ranges), "simhash_blocks")
-    tops = blocks.groupBy("part").agg(
+    blocks = materialize(_blocks(distinct, ranges, turns), "simhash_blocks")
+    tops = blocks.groupBy("turn", "part").agg(
         F.expr("bit_and(pattern)").alias("ands"), F.expr("bit_or(~mask | pattern)").alias("ors"),
-    ).collect()  # fmt: skip  # at most RANGES rows
-    part = np.array([r["part"] for r in tops], np.int64)
+    ).collect()  # fmt: skip  # at most RANGES + turns rows
+    turn, part = (np.array([r[k] for r in tops], np.int64) for k in ("turn", "part"))
     ands, ors = (np.array([r[k] for r in tops], np.int64).view(np.uint64) for k in ("ands", "ors"))
     mask = ~(ands ^ ors)
+    lead = np.uint64(((1 << front) - 1) << (64 - front)) if front else np.uint64(0)
 
     def route(batches):
         import pyarrow as pa
 
         for b in batches:
-            home, fps = b.column(0).to_numpy(), b.column(1)
-            m, p = (b.column(k).to_numpy().view(np.uint64) for k in (2, 3))
-            near = np.bitwise_count((p[:, None] ^ ands[None]) & m[:, None] & mask[None]) <= most
-            i, j = np.nonzero(near & (part[None] >= home[:, None]))
-            for at in range(0, len(i), 2048):
-                k = i[at : at + 2048]
-                to = part[j[at : at + 2048]]
-                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(home[k] == to), fps.take(pa.array(k))], names=["to", "own", "fps"])
+            of, home, fps = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            m, p = (b.column(k).to_numpy().view(np.uint64) for k in (3, 4))
+            for at in range(0, len(of), 64):
+                to = slice(at, at + 64)
+                apart = (p[to, None] ^ ands[None]) & m[to, None] & mask[None]
+                close = (np.bitwise_count(apart) <= most) & (turn[None] == of[to, None]) & (part[None] >= home[to, None])
+                if front:
+                    close &= np.bitwise_count(apart & lead) <= near
+                i, j = np.nonzero(close)
+                yield pa.RecordBatch.from_arrays([pa.array(part[j].astype(np.int32)), pa.array(home[to][i] == part[j]), fps.take(pa.array(i + at))], names=["to", "own", "fps"])
 
     def meet(batches):
         """Rows come sorted by range, its own blocks first."""
         import pyarrow as pa
 
-        at, own, guests, held = None, [], [], 0
+        at, own, guests = None, [], []
 
         def out(pairs):
-            a, b = pairs
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            back = Turn(at // ranges).restored
+            return pa.RecordBatch.from_arrays([pa.array(back(x).view(np.int64)) for x in pairs], names=["a", "b"])
 
         def settle(last):
-            nonlocal guests, held
             if guests:
-                yield out(links(np.concatenate(own), np.concatenate(guests), most))
-                guests, held = [], 0
+                yield out(links(np.concatenate(own), np.concatenate(guests), most, lead, near))
+                guests.clear()
             if last and own:
-                yield out(links(np.concatenate(own), None, most))
+                yield out(links(np.concatenate(own), None, most, lead, near))
 
         for b in batches:
             for to, mine, fps in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if to != at:
                     yield from settle(True)
                     at, own = to, []
-                if mine:
-                    own.append(np.frombuffer(fps, np.uint64))
-                else:
-                    guests.append(np.frombuffer(fps, np.uint64))
-                    held += 1
-                    if held >= 4096:  # a million fingerprints
-                        yield from settle(False)
+                (own if mine else guests).append(np.frombuffer(fps, np.uint64))
+                if len(guests) >= 4096:  # a million fingerprints
+                    yield from settle(False)
         yield from settle(True)
 
     routed = blocks.mapInArrow(route, "to int, own boolean, fps binary").repartition(ranges, "to").sortWithinPartitions("to", F.col("own").desc())
@@ -336,16 +376,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, turns: int = 1, front: int = 0, near: int = 0) -> DataFrame:
     """(doc_id, fp, component_id) per row of docs (doc_id, text).
 
     component_id is the smallest doc_id whose fingerprint chains of links reach, the row's own included.
     Rows that repeat a doc_id keep a row each; a null doc_id counts only where a component has no other.
     Null and empty texts have fingerprint zero and link like any other; no rows give no rows.
+    turns, front and near are those of link_forest(); the defaults find every link.
     """
     fps = materialize(fingerprints(docs, width), "simhash_fps")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash_distinct")
-    roots = components(link_forest(distinct, most))
+    roots = components(link_forest(distinct, most, turns, front, near))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "simhash_roots")
     least = named.groupBy(F.col("root").alias("of")).agg(F.min("low").alias("component_id"))
@@ -353,6 +394,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
     return fps.join(named, fps.fp == named.key, "left").select("doc_id", "fp", "component_id")
 
 
+#: For similar texts: a similarity of 0.8 of five-word shingles is an angle of acos(1.6 / 1.8), 10 bits of 64.
+SIMILAR = {"width": 5, "most": 10, "turns": 24, "front": 20, "near": 1}
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without all but the smallest doc_id of each group of similar texts (SIMILAR); of repeated ids one row stays."""
+    found = near_duplicates(docs.select("doc_id", "text"), **SIMILAR)
+    stay = found.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id").alias("stays"))
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    repeats = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+
+
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = near_duplicates(docs)
