@@ -12,15 +12,14 @@ MOST_BYTES = 300 * 1024 * 1024
 def scan_documents(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
     """(path, length, modified, content, error) of files below path; a file in error has no content.
 
-    The length test uses the listing, so that a file that is too large is never read.
+    The length test uses the listing, so that a file that is too large is never read. Spark passes over
+    empty files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    size = files.filter((F.col("length") > 0) & (F.col("length") <= most))
+    size = files.filter(F.col("length") <= most)
     head = size.withColumn("error", F.when(F.substring("content", 1, 4) != F.lit(b"%PDF"), "not a PDF"))
     good = head.select("path", "length", F.col("modificationTime").alias("modified"), F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error")
-    wrong = files.filter((F.col("length") == 0) | (F.col("length") > most)).select(
-        "path", "length", F.col("modificationTime").alias("modified"), F.lit(None).cast("binary").alias("content"), F.when(F.col("length") == 0, "empty").otherwise("too large").alias("error")
-    )
+    wrong = files.filter(F.col("length") > most).select("path", "length", F.col("modificationTime").alias("modified"), F.lit(None).cast("binary").alias("content"), F.lit("too large").alias("error"))
     return good.unionByName(wrong)
 
 
