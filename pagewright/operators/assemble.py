@@ -99,3 +99,21 @@ def compare_totals(pages: DataFrame) -> DataFrame:
         F.count("*").alias("pages"), F.round(F.sum("ocr_ms"), 3).alias("total_ms"), F.round(F.avg("ocr_ms"), 3).alias("mean_ms"),
         F.sum(F.length("text")).cast("long").alias("chars"), F.count("error").alias("errors"),
     )
+
+
+def sanitized(rules: DataFrame) -> DataFrame:
+    """Model rules (doc_id, page, rule_code, ord, name, count, origin_text) made fit.
+
+    Known codes only; names repaired, the first of each identity in a rule kept; snippets cut; a count below
+    one becomes the number of snippets, one at least.
+    """
+    r = known_rules(rules).withColumn("name", repair(F.col("name"))).filter("name != ''")
+    r = r.withColumn("n", F.row_number().over(W.partitionBy("doc_id", "page", "rule_code", identity(F.col("name"))).orderBy("ord"))).filter("n = 1").drop("n")
+    count = F.when(F.col("count") > 0, F.col("count")).otherwise(F.greatest(F.size("origin_text"), F.lit(1))).cast("long")
+    return r.withColumns({"count": count, "origin_text": F.transform("origin_text", lambda s: clipped(s, SNIPPET_MOST))})
+
+
+def attach_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """pages with the rule_list of rules (doc_id, page, ord, rule_list); of several for a page the last."""
+    last = rules.groupBy("doc_id", "page").agg(F.max_by("rule_list", "ord").alias("rule_list"))
+    return pages.join(last, ["doc_id", "page"], "left")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .groups import folded, in_order
+
 MOST_ATTEMPTS = 8
 
 
@@ -162,3 +164,32 @@ def dispatch(nodes: DataFrame, sessions: int = 2) -> DataFrame:
     kind = F.when(F.col("ocr_open"), "ocr").when(F.col("can_ner") & (F.col("ner_pending") > 0), "ner")
     n = nodes.withColumn("offer", kind).filter((F.col("sessions") < sessions) & F.col("offer").isNotNull())
     return n.withColumn("place", F.row_number().over(W.partitionBy("job").orderBy(F.when(F.col("offer") == "ocr", 0).otherwise(1), "in_flight", "node")))
+
+
+def upserted(known: DataFrame, heard: DataFrame) -> DataFrame:
+    """Nodes (node, pages, seen): what was heard of them replaces what was known, and the rest stays."""
+    h = heard.select(F.col("node").alias("n"), F.col("pages").alias("p"), F.col("seen").alias("s"))
+    j = known.join(h, F.col("node") == F.col("n"), "full")
+    return j.select(F.coalesce("node", "n").alias("node"), F.coalesce("p", "pages").alias("pages"), F.greatest("s", "seen").alias("seen"))
+
+
+class _Progress:
+    def __init__(self, job):
+        self.job, self.at, self.done, self.bucket = job, None, 0, 0
+
+    def add(self, row):
+        gap = None if self.at is None else row["ms"] - self.at
+        bucket = row["done"] * 10 // row["total"] if row["total"] else 0
+        new = row["done"] != self.done and row["done"] < row["total"] and (gap is None or gap >= 1000)
+        if new and (gap is None or gap >= 3000 or bucket > max(self.bucket, 0)):
+            self.at, self.done, self.bucket = row["ms"], row["done"], bucket
+            yield {"job": self.job, "ms": row["ms"], "done": row["done"]}
+
+    def end(self):
+        return []
+
+
+def progress_log(counts: DataFrame) -> DataFrame:
+    """Rows of counts (job, ms, done, total) worth a line: changed, unfinished, a second after the last, and three seconds or a new tenth."""
+    c = counts.select("job", F.col("ms").cast("long").alias("ms"), F.col("done").cast("int").alias("done"), F.col("total").cast("int").alias("total"))
+    return folded(in_order(c, "job", "ms", "done"), _Progress, f"job {dict(counts.dtypes)['job']}, ms long, done int")

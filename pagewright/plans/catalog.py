@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
-from ..operators import align, assemble, classify, groups, names, ranges, replies, schedule
+from ..operators import align, assemble, classify, groups, leases, names, ranges, replies, schedule
 from ..sources import files
 from . import corpus as co
 
@@ -441,6 +441,28 @@ def compare_totals(spark, sf_dir):
     return assemble.compare_totals(e)
 
 
+@query(f"""WITH {_HITS}, r AS (SELECT *, CASE WHEN kind = 'person' THEN 'B04' ELSE 'B06' END AS code FROM hi), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, code, name ORDER BY ord) AS n FROM r)
+SELECT doc_id, page, code AS rule_code, name, CASE WHEN count > 0 THEN count ELSE 2 END::BIGINT AS count, repeat('x', 100) || '|y' AS origin_text FROM f WHERE n = 1""")
+def rules_sanitized(spark, sf_dir):
+    said = F.array(F.repeat(F.lit("x"), 120), F.lit("y"))
+    h = _hits(spark, sf_dir).withColumns({"rule_code": F.expr("CASE WHEN kind = 'person' THEN ' b04' ELSE 'B06 ' END"), "origin_text": said})
+    return assemble.sanitized(h).select("doc_id", "page", "rule_code", "name", "count", F.array_join("origin_text", "|").alias("origin_text"))
+
+
+@query(f"""WITH {co.TURN_PAGES}, {_HITS}, l AS (SELECT doc_id, page, max(ord) AS ord FROM hi GROUP BY ALL) SELECT tp.doc_id, tp.page, l.ord AS rule FROM tp LEFT JOIN l ON l.doc_id = tp.doc_id AND l.page = tp.page""")
+def page_rule_join(spark, sf_dir):
+    rules = _hits(spark, sf_dir).select("doc_id", "page", "ord", F.col("ord").alias("rule_list"))
+    return assemble.attach_rules(co.turn_pages(spark, sf_dir), rules).select("doc_id", "page", F.col("rule_list").alias("rule"))
+
+
+@query(f"""WITH {_HITS}, s AS (SELECT doc_id, page, kind, name, min(ord) AS o FROM hi WHERE ord % 3 = 0 GROUP BY ALL)
+SELECT hi.doc_id, hi.page, hi.kind, hi.name, ord, CASE WHEN ord % 2 = 0 THEN 'own' WHEN o IS NOT NULL THEN 'found ' || o ELSE '' END AS origin_text FROM hi LEFT JOIN s USING (doc_id, page, kind, name)""")
+def origin_fill(spark, sf_dir):
+    h = _hits(spark, sf_dir).withColumn("origin_text", F.when(F.col("ord") % 2 == 0, F.array(F.lit("own"))).otherwise(F.array().cast("array<string>")))
+    s = h.filter("ord % 3 = 0").groupBy("doc_id", "page", "kind", "name").agg(F.array(F.concat(F.lit("found "), F.min("ord"))).alias("origin_text"))
+    return assemble.fill_origins(h, s).select("doc_id", "page", "kind", "name", "ord", F.array_join("origin_text", "|").alias("origin_text"))
+
+
 @query("""SELECT o_orderkey, upper(trim(code)) AS rule_code FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ' b04' WHEN 1 THEN 'B06 ' WHEN 2 THEN 'B05' ELSE '' END AS code FROM orders) WHERE upper(trim(code)) IN ('B04', 'B06')""")
 def rule_code_filter(spark, sf_dir):
     o = co.table(spark, sf_dir, "orders").select("o_orderkey", F.expr("CASE o_orderkey % 4 WHEN 0 THEN ' b04' WHEN 1 THEN 'B06 ' WHEN 2 THEN 'B05' ELSE '' END").alias("rule_code"))
@@ -627,6 +649,30 @@ def node_compatibility(spark, sf_dir):
     return co.table(spark, sf_dir, "supplier").select("s_suppkey", differs.alias("differs"))
 
 
+@query()
+def lease_replay(spark, sf_dir):
+    e = co.node_events(spark, sf_dir).withColumns({"capacity": F.lit(3), "total": F.lit(40), "blocker": F.lit(None).cast("int"), "kind": F.expr("CASE kind WHEN 'expire' THEN 'reap' WHEN 'fail' THEN 'drop' ELSE kind END")})
+    return leases.replay(e).withColumn("pages", F.array_join("pages", ","))
+
+
+@query(f"""WITH {co.NODE_EVENTS}, k AS (SELECT node, count(*) AS pages, max(ts) AS seen FROM ne WHERE kind = 'claim' AND node < 9 GROUP BY node), h AS (SELECT node, count(*) AS pages, max(ts) AS seen FROM ne WHERE kind = 'commit' AND node > 4 GROUP BY node)
+SELECT coalesce(k.node, h.node) AS node, coalesce(h.pages, k.pages) AS pages, greatest(h.seen, k.seen) AS seen FROM k FULL JOIN h ON k.node = h.node""")
+def node_upsert(spark, sf_dir):
+    e = co.node_events(spark, sf_dir)
+    per = lambda df: df.groupBy("node").agg(F.count("*").alias("pages"), F.max("ts").alias("seen"))
+    return schedule.upserted(per(e.filter("kind = 'claim' AND node < 9")), per(e.filter("kind = 'commit' AND node > 4")))
+
+
+@query()
+def progress_log(spark, sf_dir):
+    e = co.node_events(spark, sf_dir).filter("kind = 'commit'")
+    from pyspark.sql import Window
+
+    done = F.row_number().over(Window.partitionBy("job").orderBy("ts", "seq"))
+    ms = (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
+    return schedule.progress_log(e.select("job", ms.alias("ms"), done.alias("done"), F.lit(60).alias("total")))
+
+
 # Sources and sinks
 
 _REFS = r"""rf AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN '../etc' WHEN 1 THEN 'a' || p_partkey WHEN 2 THEN 'b' || p_partkey || '.tif' WHEN 3 THEN '' WHEN 4 THEN 'c:d' WHEN 5 THEN ' e' || p_partkey || ' ' WHEN 6 THEN 'f\g' ELSE 'h' || p_partkey END AS file_id,
