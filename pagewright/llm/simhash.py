@@ -330,8 +330,13 @@ def link_forest(distinct: DataFrame, most: int, turns: int = 1, front: int = 0,
         at, own, guests = None, [], []
 
         def out(pairs):
-            back = Turn(at // ranges).restored
-            return pa.RecordBatch.from_arrays([pa.array(back(x).view(np.int64)) for x in pairs], names=["a", "b"])
+            """Each member with the least fingerprint of its tree, whatever the turn: so turns that find the same tree give the same links."""
+            member, tree = (Turn(at // ranges).restored(x).view(np.int64) for x in pairs)
+            trees, of = np.unique(tree, return_inverse=True)
+            least = trees.copy()
+            np.minimum.at(least, of, member)
+            a, b = np.concatenate([member, trees]), np.concatenate([least[of], least])
+            return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
         def settle(last):
             if guests:
