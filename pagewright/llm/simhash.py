@@ -19,43 +19,62 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BLOCK = 1 << 16  # shingles hashed at a time, so that a very long text needs no more memory
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """Unsigned 64-bit SimHash of UTF-8 text: A-Z lowered, words of width as shingles, repeats included.
+def fingerprint(text: bytes, width: int, double: bool = False) -> tuple[int, int]:
+    """Unsigned 64-bit SimHash of UTF-8 text, and with double another 64 bits, from the same hashes mixed anew (else 0).
 
-    Fewer words make one shingle; no words give zero. A bit is set if over half the hashes have it.
+    A-Z are lowered, words of width make a shingle, repeats included. Fewer words make one shingle; no
+    words give zero. A bit is set if over half the hashes have it.
     """
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # of bytes: A-Z only, and exactly \x20 and \x09-\x0D
     if not words:
-        return 0
+        return 0, 0
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(width, len(words))
     starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
-    counts = np.zeros((8, 256), np.int64)
+    counts = np.zeros((2 if double else 1, 8, 256), np.int64)
     for at in range(0, len(starts), _BLOCK):
         cut = [joined[a:b] for a, b in zip(starts[at : at + _BLOCK].tolist(), ends[at : at + _BLOCK].tolist())]
-        hashes = np.fromiter(map(xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(cut)).view(np.uint8).reshape(-1, 8)
-        for k in range(8):
-            counts[k] += np.bincount(hashes[:, k], minlength=256)
-    over = (counts @ _BITS).reshape(64) * 2 > len(starts)
-    return int(np.packbits(over, bitorder="little").view("<u8")[0])
+        hashes = np.fromiter(map(xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(cut))
+        for part in counts:
+            octets = hashes.view(np.uint8).reshape(-1, 8)
+            for k in range(8):
+                part[k] += np.bincount(octets[:, k], minlength=256)
+            hashes = _mixed(hashes)
+    over = (counts @ _BITS).reshape(-1, 64) * 2 > len(starts)
+    found = [int(x) for x in np.packbits(over, axis=1, bitorder="little").view("<u8")[:, 0]]
+    return found[0], found[1] if double else 0
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp long) per row of docs (doc_id, text); a null text is an empty one."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Another well spread value for each of x (multiplications wrap)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def node_of(fps: np.ndarray) -> np.ndarray:
+    """A long for each row (fp, more): fp itself where more is zero."""
+    return (fps[:, 0] ^ np.where(fps[:, 1] == 0, np.uint64(0), _mixed(fps[:, 1]))).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, width: int = 3, double: bool = False) -> DataFrame:
+    """(doc_id, fp, more, node), longs, per row of docs (doc_id, text); a null text is an empty one."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            fps = [fingerprint(t or b"", width) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t or b"", width, double) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, 2)
+            cols = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(node_of(fps))], names=["doc_id", "fp", "more", "node"])
 
     narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return narrow.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long, more long, node long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -72,7 +91,9 @@ class Tree:
     FANOUT = 16
 
     def __init__(self, fps: np.ndarray):
-        self.fps = fps[np.argsort(gray_rank(fps), kind="stable")]
+        """fps: rows (fp, more); the tree is over fp."""
+        fps = fps[np.argsort(gray_rank(fps[:, 0]), kind="stable")]
+        self.fps, self.more = np.ascontiguousarray(fps[:, 0]), np.ascontiguousarray(fps[:, 1])
         ands, ors = self.fps, self.fps
         self.levels = []  # from the leaves up: (mask of shared bits, pattern)
         while True:
@@ -141,7 +162,7 @@ _PAIRS = 1 << 12  # node pairs opened at once: 256 times as many child pairs
 
 
 def links(own: np.ndarray, guests: np.ndarray | None, most: int, front: np.uint64 = np.uint64(0), near: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints at most bits apart, as a spanning forest: (fp, root fp of its tree).
+    """Links between fingerprints (rows of fp and more) at most bits apart, as a spanning forest: rows, and the root rows of their trees.
 
     own against own, or own against guests. Node pairs go down a stack; a pair goes on if its shared bits
     differ in at most `most` places, of which at most `near` are in front (where that isn't zero). Pairs of leaves whose members are all in one tree already are dropped, so a
@@ -150,7 +171,7 @@ def links(own: np.ndarray, guests: np.ndarray | None, most: int, front: np.uint6
     ta = Tree(own)
     tb = ta if guests is None else Tree(guests)
     same = guests is None
-    every = ta.fps if same else np.concatenate([ta.fps, tb.fps])
+    every = np.stack([x if same else np.concatenate([x, y]) for x, y in ((ta.fps, tb.fps), (ta.more, tb.more))], axis=1)
     shift = 0 if same else len(ta.fps)
     forest = Forest(len(every))
     top = max(len(ta.levels), len(tb.levels)) - 1
@@ -170,9 +191,10 @@ def links(own: np.ndarray, guests: np.ndarray | None, most: int, front: np.uint6
         if not len(a):
             continue
         if la < 0 and lb < 0:
+            close = np.bitwise_count(ta.fps[a] ^ tb.fps[b]).astype(int) + np.bitwise_count(ta.more[a] ^ tb.more[b]) <= most
             if same:
-                own_pair = a == b
-                a, b = a[~own_pair], b[~own_pair]
+                close &= a != b
+            a, b = a[close], b[close]
             up = forest.flat()
             new = up[a] != up[b + shift]
             for i, j in zip(a[new].tolist(), (b[new] + shift).tolist()):
@@ -248,28 +270,30 @@ def _blocks(distinct: DataFrame, ranges: int, turns: int) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            halves = [b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(2)]
             for t in range(turns):
-                moved = Turn(t).turned(fp)
+                moved = Turn(t).turned(halves[t % 2])  # odd turns are over the other half
                 rank = (gray_rank(moved) ^ np.uint64(1 << 63)).view(np.int64)  # signed order is rank order
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t, np.int32)), pa.array(moved.view(np.int64)), pa.array(rank)], names=["turn", "fp", "rank"])
+                cols = [pa.array(x.view(np.int64)) for x in (moved, halves[1 - t % 2])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(moved), t, np.int32)), *cols, pa.array(rank)], names=["turn", "fp", "more", "rank"])
 
     def cut(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, at, rest = TaskContext.get().partitionId(), -1, np.zeros(0, np.uint64)
+        part, at, rest = TaskContext.get().partitionId(), -1, np.zeros((0, 2), np.uint64)
 
         def packed(fps):
             cuts = np.arange(0, len(fps), LEAF)
-            ands, ors = np.bitwise_and.reduceat(fps, cuts), np.bitwise_or.reduceat(fps, cuts)
+            ands, ors = np.bitwise_and.reduceat(fps[:, 0], cuts), np.bitwise_or.reduceat(fps[:, 0], cuts)
             return pa.RecordBatch.from_arrays(
                 [pa.array([at] * len(cuts), pa.int32()), pa.array([at * ranges + part] * len(cuts), pa.int32()), pa.array([fps[i : i + LEAF].tobytes() for i in cuts], pa.binary()), pa.array((~(ands ^ ors)).view(np.int64)), pa.array(ands.view(np.int64))],
                 names=["turn", "part", "fps", "mask", "pattern"],
             )
 
         for b in batches:
-            turn, fps = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            turn = b.column(0).to_numpy()
+            fps = np.stack([b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (1, 2)], axis=1)
             edges = np.concatenate(([0], np.flatnonzero(np.diff(turn)) + 1, [len(turn)]))
             for i, j in zip(edges[:-1], edges[1:]):
                 if i == j:
@@ -277,7 +301,7 @@ def _blocks(distinct: DataFrame, ranges: int, turns: int) -> DataFrame:
                 if turn[i] != at:
                     if len(rest):
                         yield packed(rest)
-                    at, rest = int(turn[i]), np.zeros(0, np.uint64)
+                    at, rest = int(turn[i]), np.zeros((0, 2), np.uint64)
                 rest = np.concatenate([rest, fps[i:j]])
                 if whole := len(rest) // LEAF * LEAF:
                     yield packed(rest[:whole])
@@ -285,12 +309,12 @@ def _blocks(distinct: DataFrame, ranges: int, turns: int) -> DataFrame:
         if len(rest):
             yield packed(rest)
 
-    sorted_ = distinct.select("fp").mapInArrow(ranked, "turn int, fp long, rank long").repartitionByRange(ranges, "turn", "rank").sortWithinPartitions("turn", "rank")
+    sorted_ = distinct.select("fp", "more").mapInArrow(ranked, "turn int, fp long, more long, rank long").repartitionByRange(ranges, "turn", "rank").sortWithinPartitions("turn", "rank")
     return sorted_.mapInArrow(cut, "turn int, part int, fps binary, mask long, pattern long")
 
 
 def link_forest(distinct: DataFrame, most: int, turns: int = 1, front: int = 0, near: int = 0) -> DataFrame:
-    """(a, b): links that join the fingerprints of distinct (fp) that chains of at most `most` bits join.
+    """(a, b): links between nodes that join the fingerprints of distinct (fp, more) that chains of at most `most` bits join.
 
     Ranges of the Gray order are the top nodes. A block goes to each later range whose shared bits differ
     from its own in at most `most` places, and meets there that range's own tree. With one turn and no
@@ -330,8 +354,14 @@ def link_forest(distinct: DataFrame, most: int, turns: int = 1, front: int = 0,
         at, own, guests = None, [], []
 
         def out(pairs):
-            """Each member with the least fingerprint of its tree, whatever the turn: so turns that find the same tree give the same links."""
-            member, tree = (Turn(at // ranges).restored(x).view(np.int64) for x in pairs)
+            """Each member with the least node of its tree, whatever the turn: so turns that find the same tree give the same links."""
+            turn = at // ranges
+
+            def named(fps):
+                halves = Turn(turn).restored(fps[:, 0]), fps[:, 1]
+                return node_of(np.stack([halves[turn % 2], halves[1 - turn % 2]], axis=1))
+
+            member, tree = map(named, pairs)
             trees, of = np.unique(tree, return_inverse=True)
             least = trees.copy()
             np.minimum.at(least, of, member)
@@ -350,7 +380,7 @@ def link_forest(distinct: DataFrame, most: int, turns: int = 1, front: int = 0,
                 if to != at:
                     yield from settle(True)
                     at, own = to, []
-                (own if mine else guests).append(np.frombuffer(fps, np.uint64))
+                (own if mine else guests).append(np.frombuffer(fps, np.uint64).reshape(-1, 2))
                 if len(guests) >= 4096:  # a million fingerprints
                     yield from settle(False)
         yield from settle(True)
@@ -381,26 +411,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, turns: int = 1, front: int = 0, near: int = 0) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, double: bool = False, turns: int = 1, front: int = 0, near: int = 0) -> DataFrame:
     """(doc_id, fp, component_id) per row of docs (doc_id, text).
 
     component_id is the smallest doc_id whose fingerprint chains of links reach, the row's own included.
     Rows that repeat a doc_id keep a row each; a null doc_id counts only where a component has no other.
     Null and empty texts have fingerprint zero and link like any other; no rows give no rows.
-    turns, front and near are those of link_forest(); the defaults find every link.
+    double is that of fingerprint(); turns, front and near are those of link_forest(). The defaults find
+    every link.
     """
-    fps = materialize(fingerprints(docs, width), "simhash_fps")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash_distinct")
-    roots = components(link_forest(distinct, most, turns, front, near))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    fps = materialize(fingerprints(docs, width, double), "simhash_fps")
+    distinct = materialize(fps.groupBy("node", "fp", "more").agg(F.min("doc_id").alias("low")), "simhash_distinct")
+    roots = components(link_forest(distinct, most, turns, front, near)).withColumnRenamed("node", "linked")
+    named = distinct.join(roots, F.col("node") == F.col("linked"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "simhash_roots")
     least = named.groupBy(F.col("root").alias("of")).agg(F.min("low").alias("component_id"))
-    named = named.join(least, F.col("root") == F.col("of")).select(F.col("fp").alias("key"), "component_id")
-    return fps.join(named, fps.fp == named.key, "left").select("doc_id", "fp", "component_id")
+    named = named.join(least, F.col("root") == F.col("of")).groupBy(F.col("node").alias("key")).agg(F.min("component_id").alias("component_id"))
+    return fps.join(named, F.col("node") == F.col("key"), "left").select("doc_id", "fp", "component_id")
 
 
-#: For similar texts: a similarity of 0.8 of five-word shingles is an angle of acos(1.6 / 1.8), 10 bits of 64.
-SIMILAR = {"width": 5, "most": 10, "turns": 24, "front": 20, "near": 1}
+#: For similar texts. A similarity of 0.8 of five-word shingles is an angle of acos(1.6 / 1.8), 19.4 bits of 128
+#: with a deviation of 4; one deviation is allowed for. Unrelated texts are 64 bits apart, 7 deviations away.
+SIMILAR = {"width": 5, "double": True, "most": 24, "turns": 24, "front": 18, "near": 1}
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
