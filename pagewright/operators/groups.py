@@ -13,8 +13,9 @@ from ..functions.text import HEAD_CHARS, blank, page_block
 
 def lookahead(pages: DataFrame, chars: int = HEAD_CHARS) -> DataFrame:
     """pages with head: the first characters of the document's next page that isn't blank, null without one."""
-    later = W.partitionBy("doc_id").orderBy("page").rowsBetween(1, W.unboundedFollowing)
-    return pages.withColumn("head", F.first(F.when(~blank(F.col("text")), F.substring("text", 1, chars)), ignorenulls=True).over(later))
+    # backwards, so that the frame only grows and a document costs its length, not its square
+    later = W.partitionBy("doc_id").orderBy(F.desc("page")).rowsBetween(W.unboundedPreceding, -1)
+    return pages.withColumn("head", F.last(F.when(~blank(F.col("text")), F.substring("text", 1, chars)), ignorenulls=True).over(later))
 
 
 def fixed_groups(pages: DataFrame, n: int) -> DataFrame:

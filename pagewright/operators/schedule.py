@@ -102,12 +102,19 @@ def wall_span(intervals: DataFrame, *keys: str) -> DataFrame:
     return intervals.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("stop_ms") - F.col("start_ms")).alias("sum_ms"), (F.max("stop_ms") - F.min("start_ms")).alias("wall_ms"))
 
 
-def peak_concurrency(intervals: DataFrame, *keys: str) -> DataFrame:
-    """(keys, peak): most intervals open at once; one that ends where another begins does not overlap it."""
+def peak_concurrency(intervals: DataFrame, *keys: str, width_ms: int = 3_600_000) -> DataFrame:
+    """(keys, peak): most intervals open at once; one that ends where another begins does not overlap it.
+
+    Changes are summed by moment, then walked within slices of width_ms side by side; each slice starts from
+    the sum of the slices before it.
+    """
     edge = intervals.select(*keys, F.explode(F.array(F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("d")), F.struct(F.col("stop_ms").alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    per = edge.groupBy(*keys, F.col("e.at").alias("at"), F.col("e.d").alias("d")).agg(F.sum("e.d").alias("d_sum"))
-    open_ = F.sum("d_sum").over(W.partitionBy(*keys).orderBy("at", "d"))
-    return per.withColumn("open", open_).groupBy(*keys).agg(F.max("open").alias("peak"))
+    per = edge.groupBy(*keys, F.col("e.at").alias("at"), F.col("e.d").alias("d")).agg(F.sum("e.d").alias("change"))
+    per = per.withColumn("slice", F.floor(F.col("at") / width_ms))
+    inside = F.sum("change").over(W.partitionBy(*keys, "slice").orderBy("at", "d"))
+    tops = per.withColumn("open", inside).groupBy(*keys, "slice").agg(F.max("open").alias("top"), F.sum("change").alias("change"))
+    before = F.coalesce(F.sum("change").over(W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return tops.withColumn("open", F.col("top") + before).groupBy(*keys).agg(F.max("open").alias("peak"))
 
 
 def attempts(events: DataFrame, most: int = MOST_ATTEMPTS) -> DataFrame:

@@ -577,7 +577,7 @@ def wall_span(spark, sf_dir):
 @query(f"""WITH {co.INTERVALS}, e AS (SELECT stage, start_ms AS tm, 1 AS d FROM iv UNION ALL SELECT stage, stop_ms, -1 FROM iv), g AS (SELECT stage, tm, d, sum(d) AS s FROM e GROUP BY ALL),
 o AS (SELECT stage, sum(s) OVER (PARTITION BY stage ORDER BY tm, d) AS n FROM g) SELECT stage, max(n)::BIGINT AS peak FROM o GROUP BY stage""")
 def peak_concurrency(spark, sf_dir):
-    return schedule.peak_concurrency(co.intervals(spark, sf_dir), "stage")
+    return schedule.peak_concurrency(co.intervals(spark, sf_dir), "stage", width_ms=1000)
 
 
 @query(f"""WITH {co.NODE_EVENTS}, f AS (SELECT seq, (sum(CASE WHEN kind IN ('fail', 'expire', 'drop') THEN 1 ELSE 0 END) OVER (PARTITION BY group_id ORDER BY ts, seq))::BIGINT AS failures FROM ne) SELECT *, failures >= 8 AS gave_up FROM f""")
