@@ -37,9 +37,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
         .withColumn("pool", F.floor(F.sum("source_size").over(every) * F.lit(share)).cast("long"))
     )
     by_ratio = W.orderBy((F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before, after = by_ratio.rowsBetween(W.unboundedPreceding, -1), by_ratio.rowsBetween(0, W.unboundedFollowing)
+    before = by_ratio.rowsBetween(W.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     wide = lambda c: c.cast("decimal(19,0)")
-    fits = wide(F.col("cap")) * wide(F.sum("w").over(after)) <= wide(F.col("pool") - F.coalesce(F.sum("cap").over(before), F.lit(0))) * wide(F.col("w"))
+    fits = wide(F.col("cap")) * wide(F.sum("w").over(every) - earlier("w")) <= wide(F.col("pool") - earlier("cap")) * wide(F.col("w"))
     s = s.withColumn("fits", fits).withColumn("capped", F.min("fits").over(by_ratio.rowsBetween(W.unboundedPreceding, 0)))
     s = s.withColumn("rest", F.col("pool") - F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(every))
     s = s.withColumn("rest_w", F.sum(F.when(F.col("capped"), 0).otherwise(F.col("w"))).over(every))
