@@ -112,10 +112,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3) -> DataFrame:
     """docs with each row as often as mix() takes it, its columns as they are. Only thresholds are joined, so no text moves for it."""
     _, edges = _planned(docs, weights, share, max_repeat)
-    columns = docs.columns
-    edges = edges.select("of", "full", "edge", "at_edge")
-    out = docs.withColumn("h", stable_hash(F.col("doc_id"))).join(edges, F.col("source").eqNullSafe(F.col("of")))
-    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), _copies().cast("int")))).select(*columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no column of docs can clash
+    rows = docs.select(whole, stable_hash(F.col("doc_id")).alias("h"))
+    out = rows.join(edges, F.col("row.source").eqNullSafe(F.col("of")))
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), _copies().cast("int")))).select("row.*")
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:

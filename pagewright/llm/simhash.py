@@ -439,7 +439,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but the smallest doc_id of each group of similar texts (SIMILAR); of repeated ids one row stays."""
     found = near_duplicates(docs.select("doc_id", "text"), **SIMILAR)
     stay = found.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id").alias("stays"))
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi")
     repeats = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
     return kept.dropDuplicates(["doc_id"]) if repeats else kept
 

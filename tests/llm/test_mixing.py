@@ -51,3 +51,11 @@ def test_hot_source_and_levels(spark):
 def test_no_rows_and_only_empty_texts(spark):
     assert mixed(spark, []).count() == 0
     assert [r["taken"] for r in mixed(spark, [(1, None, None, None), (2, "", "a", "")]).collect()] == [0, 0]
+
+
+def test_clashing_columns_come_back_as_they_are(spark):
+    names = ["h", "of", "full", "edge", "at_edge", "row", "col", "copies", "size"]
+    rows = [(i, "a b c d", f"s{i % 2}", *[f"{n}{i}" for n in names]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = mixing.mixed_documents(df).collect()
+    assert len(out) == 60 and all(tuple(r) == rows[r["doc_id"]] for r in out)

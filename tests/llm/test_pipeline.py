@@ -41,6 +41,13 @@ def test_near_dedup_of_odd_rows(spark):
     assert cp.near_dedup(spark, frame(spark, rows).limit(0), "").count() == 0
 
 
+def test_clashing_columns(spark):
+    from pagewright.llm.simhash import one_of_each
+
+    df = spark.createDataFrame([(1, "same text", "x"), (2, "same text", "y"), (3, "other words", "z")], "doc_id long, text string, stays string")
+    assert sorted(tuple(r) for r in one_of_each(df).collect()) == [(1, "same text", "x"), (3, "other words", "z")]
+
+
 def test_secrets_are_replaced_and_all_documents_stay(spark):
     rows = [(1, "token=abcdef12 after"), (1, "token=abcdef12 after"), (2, "clean"), (3, None), (None, "x AKIA" + "A" * 20)]
     got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in cp.secrets(spark, frame(spark, rows), "").collect()), key=str)
