@@ -392,22 +392,26 @@ def link_forest(distinct: DataFrame, most: int, turns: int = 1, front: int = 0,
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that chains of edges (a, b) reach, for every node with an edge.
 
-    Alternates large and small stars; each round is written to the shared folder.
+    Alternates large and small stars until every node has one edge, to a node that has none. Each node's
+    least neighbour is written to the shared folder before it is joined, as the edges are after each
+    round: both sides of a join are then plain tables, so Spark can split the rows of a hub.
     """
+
+    def linked(e: DataFrame, name: str) -> DataFrame:
+        low = materialize(e.groupBy("u").agg(F.min("v").alias("m")), name)
+        return e.join(low, "u")
+
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "cc")
-    seen = None
     for k in range(rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e2 = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(e2, f"cc{k}")
-        now = e.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        if now == seen and now["n"] == now["d"]:
+        n = e.agg(F.count("*").alias("n"), F.count_distinct("u").alias("d")).first()
+        if n["n"] == n["d"] and e.join(e.select(F.col("u").alias("again")), F.col("v") == F.col("again"), "left_semi").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = linked(both, f"cc{k}_large").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v")
+        large = materialize(large.distinct(), f"cc{k}_half")
+        small = linked(large, f"cc{k}_small")
+        e = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
+        e = materialize(e, f"cc{k}")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

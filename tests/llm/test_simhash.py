@@ -113,3 +113,22 @@ def test_similar_texts_over_two_halves(spark):
     want |= {1000 + i: 1000 + i for i in range(200)}
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.SIMILAR).collect()}
     assert got == want
+
+
+def test_components_of_random_graphs(spark):
+    rng = np.random.default_rng(9)
+    for n, m in ((50, 30), (200, 180), (60, 400)):
+        edges = [(int(a), int(b)) for a, b in rng.integers(-n, n, (m, 2))]
+        edges += [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 6000 + i) for i in range(100)]
+        up = {x: x for e in edges for x in e}
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+        got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: root(x) for x in up if root(x) != x}
