@@ -429,8 +429,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, double: bool
     roots = components(link_forest(distinct, most, turns, front, near)).withColumnRenamed("node", "linked")
     named = distinct.join(roots, F.col("node") == F.col("linked"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "simhash_roots")
-    least = named.groupBy(F.col("root").alias("of")).agg(F.min("low").alias("component_id"))
+    # written before they are joined, so that Spark can split a large component's nodes and a large group of copies
+    least = materialize(named.groupBy(F.col("root").alias("of")).agg(F.min("low").alias("component_id")), "simhash_least")
     named = named.join(least, F.col("root") == F.col("of")).groupBy(F.col("node").alias("key")).agg(F.min("component_id").alias("component_id"))
+    named = materialize(named, "simhash_components")
     return fps.join(named, F.col("node") == F.col("key"), "left").select("doc_id", "fp", "component_id")
 
 
