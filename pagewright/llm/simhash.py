@@ -442,12 +442,19 @@ SIMILAR = {"width": 5, "double": True, "most": 24, "turns": 24, "front": 18, "ne
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest doc_id of each group of similar texts (SIMILAR); of repeated ids one row stays."""
-    found = near_duplicates(docs.select("doc_id", "text"), **SIMILAR)
-    stay = found.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id").alias("stays"))
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["stays"]), "left_semi")
+    """One row of docs of each group of similar texts (SIMILAR), other rows of the group are left out.
+
+    It is the one with the smallest doc_id, null last, then the least digest of the text, then of the row:
+    so rows that only share their doc_id, or have none, are not taken for copies. Of equal rows one stays.
+    """
+    key = {"none": F.col("doc_id").isNull(), "id": F.col("doc_id"), "digest": F.unhex(F.sha2(F.col("text").cast("binary"), 256)), "whole": F.xxhash64("*")}
+    rows = docs.select(F.struct("*").alias("row"), *[x.alias(k) for k, x in key.items()])
+    found = near_duplicates(rows.select(F.struct(*key).alias("doc_id"), F.col("row.text").alias("text")), **SIMILAR)
+    stay = found.select("component_id.*").distinct().toDF(*[f"stays_{k}" for k in key])
+    same = [F.col(k).eqNullSafe(F.col(f"stays_{k}")) for k in ("id", "digest", "whole")]
+    kept = rows.join(stay, same[0] & same[1] & same[2], "left_semi")
     repeats = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+    return (kept.dropDuplicates(list(key)) if repeats else kept).select("row.*")
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

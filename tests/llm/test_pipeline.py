@@ -41,6 +41,16 @@ def test_near_dedup_of_odd_rows(spark):
     assert cp.near_dedup(spark, frame(spark, rows).limit(0), "").count() == 0
 
 
+def test_near_dedup_drops_only_rows_of_one_group(spark):
+    rng = random.Random(4)
+    x, y, *rest = (prose(rng, 60) for _ in range(22))
+    rows = [(3, x), (7, x), (7, y), *[(None, t) for t in rest], (None, rest[0]), (None, x)]
+    for _ in range(3):
+        rng.shuffle(rows)
+        kept = cp.near_dedup(spark, frame(spark, rows), "").collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(3, x), (7, y), *[(None, t) for t in rest]], key=str)
+
+
 def test_clashing_columns(spark):
     from pagewright.llm.simhash import one_of_each
 
