@@ -1,0 +1,255 @@
+"""Texts with most of their five-word shingles in common: every such pair counts, and no other.
+
+Sets of shingles are ordered from rare to common. Two sets that share 0.8 of all their shingles share one
+among the first fifth of each, so only texts that meet there are compared, shingle by shingle. Each list of
+texts under a shingle is first compared with its smallest one; what that joins isn't compared again.
+"""
+
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
+
+from .scratch import materialize
+from .simhash import SEED, components
+
+WIDTH = 5
+BUCKETS = 1 << 18  # of shingles by hash, to tell common ones; a quarter of them at most reaches the driver
+WANTED = 1 << 20  # classes of nodes, to pass over most sets that no pair needs
+_ROWS = 1 << 16  # postings in memory at a time, beside those of one shingle
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted different XXH64 of the shingles of UTF-8 text; words are those of simhash.fingerprint()."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = memoryview(b" ".join(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    width = min(WIDTH, len(words))
+    starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
+    cut = (joined[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
+    return np.unique(np.fromiter(map(xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(starts)))
+
+
+def similar(n, m, common):
+    """Whether sets of n and m members, common ones included, share 0.8 of all; in whole numbers."""
+    return 9 * common >= 4 * (n + m)
+
+
+def _sets(docs: DataFrame, make, schema: str) -> DataFrame:
+    """make(doc_id, nodes, sets) as a record batch per batch of docs; a node names a set. Sets are made anew for each use, as they need more room than their texts."""
+
+    def run(batches):
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        seen = set()
+        for b in batches:
+            sets = [shingles(t or b"") for t in b.column(1).to_pylist()]
+            nodes = np.fromiter((xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
+            yield make(pa, seen, b.column(0), nodes, sets)
+
+    narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return narrow.mapInArrow(run, schema)
+
+
+def _unseen(seen: set, nodes: np.ndarray, want) -> list[int]:
+    """Places of nodes that a task meets for the first time, of those with want."""
+    found = []
+    for k, (node, w) in enumerate(zip(nodes.tolist(), want)):
+        if w and node not in seen:
+            seen.add(node)
+            found.append(k)
+    return found
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of more than four times the mean number of shingles, and the numbers."""
+
+    def made(pa, seen, ids, nodes, sets):
+        total = np.bincount((np.concatenate(sets) % BUCKETS).astype(np.int64), minlength=BUCKETS) if sets else np.zeros(BUCKETS, np.int64)
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+
+    n = _sets(docs, made, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    n = materialize(n, "overlap_buckets")
+    mean = (n.agg(F.sum("n")).first()[0] or 0) / BUCKETS
+    rows = n.filter(F.col("n") > 4 * mean).sort("bucket").collect()  # at most BUCKETS / 4
+    return np.array([r["bucket"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
+
+
+def _postings(docs: DataFrame) -> DataFrame:
+    """(token, n, at, node): the first shingles of each set, and their places in its order; copies of a set count once in a task."""
+    heavy, often = _common(docs)
+
+    def made(pa, seen, ids, nodes, sets):
+        weight = np.zeros(BUCKETS, np.int64)
+        weight[heavy] = often
+        # sets of under four members have no similar ones but themselves
+        rows = _unseen(seen, nodes, [len(s) >= 4 for s in sets])
+        took = [np.zeros(0, np.uint64)]
+        for s in (sets[k] for k in rows):
+            first = len(s) - (4 * len(s) + 4) // 5 + 1
+            took.append(s[np.lexsort((s, weight[(s % BUCKETS).astype(np.int64)]))[:first]])
+        many = np.array([len(t) for t in took[1:]], np.int64)
+        i = np.repeat(np.array(rows, np.int64), many)
+        at = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+        n = np.array([len(s) for s in sets], np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(took).view(np.int64)), pa.array(n[i]), pa.array(at.astype(np.int32)), pa.array(nodes[i])], names=["token", "n", "at", "node"])
+
+    return _sets(docs, made, "token long, n int, at int, node long")
+
+
+def _can(n, at, m, bt):
+    """Whether sets of n and m members that meet at places at and bt, and not before, can be similar."""
+    return similar(n, m, np.minimum(n - at, m - bt)) & similar(n, m, np.minimum(n, m))
+
+
+def _whole(batches, columns: int):
+    """Columns of rows sorted by the first one, cut where it changes."""
+    held = [[] for _ in range(columns)]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        for h, c in zip(held, b.columns):
+            h.append(c.to_numpy(zero_copy_only=False))
+        if sum(map(len, held[0])) >= _ROWS:
+            cols = [np.concatenate(h) for h in held]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            if cut:
+                yield [c[:cut] for c in cols]
+            held = [[c[cut:]] for c in cols]
+    if held[0]:
+        yield [np.concatenate(h) for h in held]
+
+
+def _met(postings: DataFrame) -> DataFrame:
+    """postings of shingles with several sets, and the smallest set of about its size that each may be similar to (first, or null)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for token, n, at, node in _whole(batches, 4):
+            new = np.concatenate(([True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])))
+            token, n, at, node = token[new], n[new], at[new], node[new]
+            new = np.concatenate(([True], token[1:] != token[:-1]))
+            size = np.diff(np.append(np.flatnonzero(new), len(token)))
+            many = np.repeat(size, size) > 1
+            token, n, at, node = token[many], n[many], at[many], node[many]
+            if not len(token):
+                continue
+            step = (np.log(n) / np.log(1.25)).astype(np.int64)
+            new = np.concatenate(([True], (token[1:] != token[:-1]) | (step[1:] != step[:-1])))
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            pair = _can(n[first].astype(np.int64), at[first], n.astype(np.int64), at) & ~new
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (token, n, at, node)), pa.array(node[first], mask=~pair)], names=["token", "n", "at", "node", "first"])
+
+    return postings.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "token long, n int, at int, node long, first long")
+
+
+def _apart(met: DataFrame) -> DataFrame:
+    """(a, b): pairs of met (token, n, at, node, root) that may be similar and have unlike roots.
+
+    Shingles that both have, but not both among the first ones, are at most all after the first ones of one of the two.
+    """
+
+    def made(cols):
+        import pyarrow as pa
+
+        a, b, n, m, can = (np.concatenate(c) for c in zip(*cols))
+        both, of = np.unique(np.stack([a, b, n, m], axis=1), axis=0, return_inverse=True)
+        of = of.reshape(-1)
+        cols = [*(np.ascontiguousarray(both[:, k]) for k in range(4)), np.bincount(of, minlength=len(both)), np.bincount(of, can, minlength=len(both)) > 0]
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["a", "b", "n", "m", "c", "can"])
+
+    def run(batches):
+        for token, n, at, node, root in _whole(batches, 5):
+            n = n.astype(np.int64)
+            left, held, step, rows = np.arange(len(token) - 1), [], 1, 0
+            while len(left):
+                right = left + step
+                ok = right < len(token)
+                left, right = left[ok], right[ok]
+                ok = (token[left] == token[right]) & similar(n[left], n[right], n[left])  # n ascends
+                left, right = left[ok], right[ok]
+                pair = root[left] != root[right]
+                i, j = left[pair], right[pair]
+                i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+                held.append((node[i], node[j], n[i], n[j], _can(n[i], at[i], n[j], at[j])))
+                rows, step = rows + len(i), step + 1
+                if rows >= 1 << 20:
+                    yield made(held)
+                    held, rows = [], 0
+            if rows:
+                yield made(held)
+
+    mixed = met.groupBy("token").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("token")
+    met = met.join(mixed, "token", "left_semi").select("token", "n", "at", "node", "root")
+    pairs = met.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(run, "a long, b long, n long, m long, c long, can boolean")
+    pairs = pairs.groupBy("a", "b", "n", "m").agg(F.sum("c").alias("c"), F.max("can").alias("can"))
+    most = F.col("c") + F.expr("(4 * greatest(n, m) + 4) div 5 - 1")
+    return pairs.filter(F.col("can") & similar(F.col("n"), F.col("m"), most)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets share 0.8 of all their members."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                good.append(similar(len(x), len(y), int((both[1:] == both[:-1]).sum())))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    pairs = materialize(pairs, f"{name}_pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = np.array([r[0] for r in nodes.select(F.pmod("node", F.lit(WANTED))).distinct().collect()], np.int64)  # at most WANTED
+
+    def made(pa, seen, ids, nodes, sets):
+        wanted = np.zeros(WANTED, bool)
+        wanted[some] = True
+        rows = _unseen(seen, nodes, wanted[nodes % WANTED])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[np.array(rows, np.int64)]), pa.array([sets[k].tobytes() for k in rows], pa.binary())], names=["node", "members"])
+
+    one = materialize(_sets(docs, made, "node long, members binary").dropDuplicates(["node"]), f"{name}_sets")
+    half = pairs.join(one.toDF("b", "of_b"), "b").select("a", "b", "of_b")
+    both = half.join(one.toDF("a", "of_a"), "a").select("a", "b", "of_a", "of_b")
+    return materialize(both.mapInArrow(run, "a long, b long"), f"{name}_edges")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) per row of docs (doc_id, text): the smallest doc_id that chains of similar texts reach.
+
+    Similar are texts with 0.8 or more of all their different five-word shingles in common. A text of fewer
+    words is one shingle; texts without words are all alike. No pair is missed: the only chance is that of
+    equal 64-bit hashes.
+    """
+
+    def made(pa, seen, ids, nodes, sets):
+        return pa.RecordBatch.from_arrays([ids, pa.array(nodes)], names=["doc_id", "node"])
+
+    sets = materialize(_sets(docs, made, f"doc_id {dict(docs.dtypes)['doc_id']}, node long"), "overlap_nodes")
+    met = materialize(_met(_postings(docs)), "overlap_met")
+    # each set with the first one that it meets most often, if often enough; what this leaves is compared afterwards
+    most = met.filter("first IS NOT NULL").groupBy("node", "first", "n").count().filter("9 * count >= n / 2").groupBy("node").agg(F.max(F.struct("count", "first")).alias("m"))
+    near = _verified(most.select(F.least("m.first", "node").alias("a"), F.greatest("m.first", "node").alias("b")).distinct(), docs, "overlap_first")
+    roots = materialize(components(near), "overlap_roots")
+    met = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = _verified(_apart(met), docs, "overlap_rest")
+    roots = components(near.union(rest)).withColumnRenamed("node", "linked")
+    lows = materialize(sets.groupBy("node").agg(F.min("doc_id").alias("low")), "overlap_low")
+    named = materialize(lows.join(roots, F.col("node") == F.col("linked"), "left").select("node", "low", F.coalesce("root", "node").alias("root")), "overlap_named")
+    least = materialize(named.groupBy(F.col("root").alias("of")).agg(F.min("low").alias("component_id")), "overlap_least")
+    ids = materialize(named.join(least, F.col("root") == F.col("of")).select(F.col("node").alias("key"), "component_id"), "overlap_ids")
+    return sets.select("doc_id", "node").join(ids, F.col("node") == F.col("key")).select("doc_id", "component_id")

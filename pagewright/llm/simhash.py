@@ -436,20 +436,22 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, double: bool
     return fps.join(named, F.col("node") == F.col("key"), "left").select("doc_id", "fp", "component_id")
 
 
-#: For similar texts. A similarity of 0.8 of five-word shingles is an angle of acos(1.6 / 1.8), 19.4 bits of 128
+#: For similar texts by estimate (one_of_each() counts instead). A similarity of 0.8 of five-word shingles is an angle of acos(1.6 / 1.8), 19.4 bits of 128
 #: with a deviation of 4; one deviation is allowed for. Unrelated texts are 64 bits apart, 7 deviations away.
 SIMILAR = {"width": 5, "double": True, "most": 24, "turns": 24, "front": 18, "near": 1}
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs of each group of similar texts (SIMILAR), other rows of the group are left out.
+    """One row of docs of each group of similar texts (overlap.similar_groups), other rows of the group are left out.
 
     It is the one with the smallest doc_id, null last, then the least digest of the text, then of the row:
     so rows that only share their doc_id, or have none, are not taken for copies. Of equal rows one stays.
     """
+    from .overlap import similar_groups
+
     key = {"none": F.col("doc_id").isNull(), "id": F.col("doc_id"), "digest": F.unhex(F.sha2(F.col("text").cast("binary"), 256)), "whole": F.xxhash64("*")}
     rows = docs.select(F.struct("*").alias("row"), *[x.alias(k) for k, x in key.items()])
-    found = near_duplicates(rows.select(F.struct(*key).alias("doc_id"), F.col("row.text").alias("text")), **SIMILAR)
+    found = similar_groups(rows.select(F.struct(*key).alias("doc_id"), F.col("row.text").alias("text")))
     stay = found.select("component_id.*").distinct().toDF(*[f"stays_{k}" for k in key])
     same = [F.col(k).eqNullSafe(F.col(f"stays_{k}")) for k in ("id", "digest", "whole")]
     kept = rows.join(stay, same[0] & same[1] & same[2], "left_semi")

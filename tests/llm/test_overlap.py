@@ -1,0 +1,77 @@
+"""Groups of similar texts against brute force over all pairs."""
+
+import random
+
+from pagewright.llm import overlap
+
+
+def slow_set(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    width = min(5, len(words))
+    return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1)) if words else frozenset()
+
+
+def slow_groups(rows):
+    sets, up = [slow_set(t) for _, t in rows], list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+                up[root(i)] = root(j)
+    low = {}
+    for k, (d, _) in enumerate(rows):
+        low[root(k)] = min(d, low.get(root(k), d))
+    return {d: low[root(k)] for k, (d, _) in enumerate(rows)}
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        k = rng.randrange(len(words))
+        words[k : k + 1] = rng.choice([[], [f"e{rng.random()}"], [words[k], "more"]])
+    return words
+
+
+def texts():
+    rng = random.Random(8)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 3000}"
+    common = [f"c{i}" for i in range(30)]
+    made = [None, "", " \t", "a b c", "A b c", "a b c d", "one two three four five six"]
+    for _ in range(60):  # edits around the limit, chains, and a line that many share
+        base = [word() for _ in range(rng.choice([6, 9, 12, 20, 40, 120, 400]))] + (common if rng.random() < 0.5 else [])
+        made.append(" ".join(base))
+        for _ in range(rng.randint(0, 5)):
+            made.append(" ".join(edited(rng, base, rng.randint(0, max(1, len(base) // 25)))))
+            if rng.random() < 0.3:
+                base = made[-1].split()
+    made += [f"{x} {y} {x} {y} {x} {y}" for x in "pqrs" for y in "pqrs"]  # six words, two shingles
+    base = [word() for _ in range(50)]
+    made += [" ".join(edited(rng, base, rng.randint(1, 3))) for _ in range(80)]  # one large group
+    rng.shuffle(made)
+    return list(enumerate(made))
+
+
+def test_groups_match_brute_force(spark):
+    rows = texts()
+    got = {r["doc_id"]: r["component_id"] for r in overlap.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want = slow_groups(rows)
+    assert got == want
+    assert 50 < len(set(want.values())) < len(rows) - 100
+
+
+def test_stage_keeps_one_of_each_group(spark):
+    import corpus_pipeline as cp
+
+    rows = texts()
+    df = spark.createDataFrame([(d, t, "en", "s", None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in cp.near_dedup(spark, df, "").collect()) == sorted(set(slow_groups(rows).values()))
+
+
+def test_no_rows(spark):
+    assert overlap.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
