@@ -39,6 +39,16 @@ def test_heuristics():
     assert rules.company("（星河集团") == "星河集团" and rules.person("经理") is None
 
 
+def test_rare_surnames(spark):
+    singles, compounds = "卫储俞凌褚尤戚柏酆逄蒯佴桓公", ["司空", "端木", "澹台", "即墨", "万俟", "赫连", "南荣"]
+    people = [c + "建明" for c in singles if c != "佴"] + [c + "文" for c in compounds]
+    for form in ("联系人：{} ", "{}先生", "{}\n"):
+        rows = [(k, 1, form.format(n)) for k, n in enumerate([*people, "佴建明", "晴建明"])]  # the last two have no listed surname
+        found = names.heuristic_names(spark.createDataFrame(rows, "doc_id long, page int, text string")).filter("kind = 'person'")
+        assert {(r["doc_id"], r["name"]) for r in found.collect()} == set(enumerate(people))
+    assert len(names.SURNAMES) == 408 and len(names.COMPOUND_SURNAMES) == 69
+
+
 def test_names_merge_and_drop_covered(spark):
     pages = spark.createDataFrame([(1, 1, "甲方：星河技术有 限公同 负责人：李 娜。李娜签字"), (1, 2, "  "), (1, 3, "海光股份有限公司及其海光股份有限公司分公司")], "doc_id long, page int, text string")
     raw = [("company", "星河技术有限公司"), ("company", "海光"), ("company", "海光集团"), ("company", "海光股份有限公司"), ("company", "海光股份有限公司分公司"), ("person", "李 娜"), ("person", "原告"), ("person", "赵六")]
