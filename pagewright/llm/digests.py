@@ -13,10 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .scratch import materialize
+from .sieve import kept
 
 KEY = ["kd", "r1", "r2"]
-FILTER_BITS = 25  # of the filter that spares texts the second move: 4 MB, whatever the number of rows
-_WORD_BITS = 15  # of one of its rows
 Hashes = Callable[[Column], tuple[Column, Column]]
 
 
@@ -78,23 +77,6 @@ def edited(texts: DataFrame, links: DataFrame) -> DataFrame:
     return own.join(given, KEY).select(*KEY, "text", F.concat(F.col("text").substr(F.lit(1), F.col("n").cast("int") - half), F.col("given")).alias("edited"))
 
 
-def _spared(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """texts without most rows whose key isn't in keys; a filter of fixed size, so some others may stay."""
-    at = lambda: F.pmod(F.xxhash64(*KEY), F.lit(1 << FILTER_BITS))
-    bits = keys.select(at().alias("at")).groupBy(F.shiftright("at", _WORD_BITS).alias("word")).agg(
-        F.bitmap_construct_agg(F.col("at") % (1 << _WORD_BITS)).alias("bits")
-    )
-    bits = materialize(bits, "digest_filter")
-    t = texts.withColumn("at", at()).join(F.broadcast(bits), F.shiftright("at", _WORD_BITS) == F.col("word"))
-    place = F.col("at") % (1 << _WORD_BITS)
-    octet = F.conv(F.hex(F.substring(F.col("bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return t.filter(_bit(octet, (place % 8).cast("int"))).drop("at", "word", "bits")
-
-
-def _bit(octet: Column, place: Column) -> Column:
-    return (F.floor(octet / F.pow(F.lit(2.0), place)).cast("int") % 2) == 1
-
-
 def collisions(members: DataFrame) -> DataFrame:
     """(c1, c2) of groups of members (c1, c2, form) whose forms differ in any byte.
 
@@ -127,7 +109,7 @@ def document_digests(docs: DataFrame, hashes: Hashes = wide_hash) -> DataFrame:
     own, other = inside.filter("side = 0").drop("side"), inside.filter("side = 1").drop("side")
     remade = links.join(other.select(*KEY), KEY, "left_semi").select(*KEY, "n", "next")
     wanted = own.select(*KEY).union(remade.select(*KEY)).union(remade.select(*[F.col(f"next.{k}").alias(k) for k in KEY]))
-    some = _spared(body, wanted)
+    some = kept(body, wanted, F.xxhash64(*KEY))
     forms = _hashed(some, "text", ("c1", "c2"), hashes).join(own.select("c1", "c2").distinct(), ["c1", "c2"], "left_semi").select(*KEY, F.lit(0).alias("side"), "c1", "c2", "form")
     forms2 = _hashed(edited(some, remade), "edited", ("c1", "c2"), hashes).select(*KEY, F.lit(1).alias("side"), "c1", "c2", "form")
     members = forms.union(forms2)

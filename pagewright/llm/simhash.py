@@ -2,7 +2,8 @@
 
 Distinct fingerprints are sorted by Gray rank and cut into leaves; a node keeps the bits that all its
 members share (a mask and a pattern). Two nodes whose shared bits differ in more places than allowed
-hold no linked pair, so whole groups of pairs are passed over without reading their members.
+hold no linked pair, so whole groups of pairs are passed over without reading their members. What is close
+by its fingerprint can be checked afterwards, text by text (similar.py).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from itertools import repeat
 
 import numpy as np
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .scratch import materialize
 
@@ -19,62 +20,54 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BLOCK = 1 << 16  # shingles hashed at a time, so that a very long text needs no more memory
 
 
-def fingerprint(text: bytes, width: int, double: bool = False) -> tuple[int, int]:
-    """Unsigned 64-bit SimHash of UTF-8 text, and with double another 64 bits, from the same hashes mixed anew (else 0).
+def shingle_hashes(text: bytes, width: int):
+    """Arrays of XXH64 of the shingles of UTF-8 text, in order, repeats included, _BLOCK at a time.
 
-    A-Z are lowered, words of width make a shingle, repeats included. Fewer words make one shingle; no
-    words give zero. A bit is set if over half the hashes have it.
+    A-Z are lowered, width words make a shingle. Fewer words make one shingle; no words give none.
     """
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # of bytes: A-Z only, and exactly \x20 and \x09-\x0D
     if not words:
-        return 0, 0
+        return
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(width, len(words))
     starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
-    counts = np.zeros((2 if double else 1, 8, 256), np.int64)
     for at in range(0, len(starts), _BLOCK):
         cut = [joined[a:b] for a, b in zip(starts[at : at + _BLOCK].tolist(), ends[at : at + _BLOCK].tolist())]
-        hashes = np.fromiter(map(xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(cut))
-        for part in counts:
-            octets = hashes.view(np.uint8).reshape(-1, 8)
-            for k in range(8):
-                part[k] += np.bincount(octets[:, k], minlength=256)
-            hashes = _mixed(hashes)
-    over = (counts @ _BITS).reshape(-1, 64) * 2 > len(starts)
-    found = [int(x) for x in np.packbits(over, axis=1, bitorder="little").view("<u8")[:, 0]]
-    return found[0], found[1] if double else 0
+        yield np.fromiter(map(xxh64_intdigest, cut, repeat(SEED)), np.uint64, len(cut))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Another well spread value for each of x (multiplications wrap)."""
-    x = x + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def majority(hashes) -> int:
+    """64 bits: those that over half of all hashes have. hashes: arrays, one after the other."""
+    counts, total = np.zeros((8, 256), np.int64), 0
+    for h in hashes:
+        octets, total = h.view(np.uint8).reshape(-1, 8), total + len(h)
+        for k in range(8):
+            counts[k] += np.bincount(octets[:, k], minlength=256)
+    over = (counts @ _BITS).reshape(64) * 2 > total
+    return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
-def node_of(fps: np.ndarray) -> np.ndarray:
-    """A long for each row (fp, more): fp itself where more is zero."""
-    return (fps[:, 0] ^ np.where(fps[:, 1] == 0, np.uint64(0), _mixed(fps[:, 1]))).view(np.int64)
+def fingerprint(text: bytes, width: int) -> int:
+    """Unsigned 64-bit SimHash of UTF-8 text over its shingles, repeats included; zero without words."""
+    return majority(shingle_hashes(text, width))
 
 
-def fingerprints(docs: DataFrame, width: int = 3, double: bool = False) -> DataFrame:
-    """(doc_id, fp, more, node), longs, per row of docs (doc_id, text); a null text is an empty one."""
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, fp long) per row of docs (doc_id, text); a null text is an empty one."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            fps = np.array([fingerprint(t or b"", width, double) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, 2)
-            cols = [pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(node_of(fps))], names=["doc_id", "fp", "more", "node"])
+            fps = np.array([fingerprint(t or b"", width) for t in b.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long, more long, node long")
+    return narrow.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
 def gray_rank(fp: np.ndarray) -> np.ndarray:
@@ -90,10 +83,10 @@ class Tree:
 
     FANOUT = 16
 
-    def __init__(self, fps: np.ndarray):
-        """fps: rows (fp, more); the tree is over fp."""
-        fps = fps[np.argsort(gray_rank(fps[:, 0]), kind="stable")]
-        self.fps, self.more = np.ascontiguousarray(fps[:, 0]), np.ascontiguousarray(fps[:, 1])
+    def __init__(self, rows: np.ndarray):
+        """rows: (fp, more, labels); the tree is over fp."""
+        self.rows = rows[np.argsort(gray_rank(rows[:, 0]), kind="stable")]
+        self.fps, self.more = (np.ascontiguousarray(self.rows[:, k]) for k in range(2))
         ands, ors = self.fps, self.fps
         self.levels = []  # from the leaves up: (mask of shared bits, pattern)
         while True:
@@ -161,20 +154,14 @@ def _grow(a: np.ndarray, b: np.ndarray, of_a: Tree, of_b: Tree, la: int, lb: int
 _PAIRS = 1 << 12  # node pairs opened at once: 256 times as many child pairs
 
 
-def links(own: np.ndarray, guests: np.ndarray | None, most: int, front: np.uint64 = np.uint64(0), near: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints (rows of fp and more) at most bits apart, as a spanning forest: rows, and the root rows of their trees.
+def close_pairs(ta: Tree, tb: Tree, most: int, labels, lead: np.uint64 = np.uint64(0), near: int = 0):
+    """Yields (places in ta, places in tb) of pairs at most bits apart in fp and more together; of one tree each pair once.
 
-    own against own, or own against guests. Node pairs go down a stack; a pair goes on if its shared bits
-    differ in at most `most` places, of which at most `near` are in front (where that isn't zero). Pairs of leaves whose members are all in one tree already are dropped, so a
-    large group of close fingerprints costs about its size, not its square.
+    Node pairs go down a stack; a pair goes on if its shared bits differ in at most `most` places, of which
+    at most `near` are in lead (where that isn't zero). labels() gives both trees' members' labels as they
+    are then: pairs of leaves whose members all have one label are passed over, and so are pairs of one label.
     """
-    ta = Tree(own)
-    tb = ta if guests is None else Tree(guests)
-    same = guests is None
-    every = np.stack([x if same else np.concatenate([x, y]) for x, y in ((ta.fps, tb.fps), (ta.more, tb.more))], axis=1)
-    shift = 0 if same else len(ta.fps)
-    forest = Forest(len(every))
-    top = max(len(ta.levels), len(tb.levels)) - 1
+    same = ta is tb
     la, lb = len(ta.levels) - 1, len(tb.levels) - 1
     stack = [(la, lb, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
@@ -185,8 +172,8 @@ def links(own: np.ndarray, guests: np.ndarray | None, most: int, front: np.uint6
         (ma, pa), (mb, pb) = ta.node(la, a), tb.node(lb, b)
         apart = (pa ^ pb) & ma & mb
         close = np.bitwise_count(apart) <= most
-        if front:
-            close &= np.bitwise_count(apart & front) <= near
+        if lead:
+            close &= np.bitwise_count(apart & lead) <= near
         a, b = a[close], b[close]
         if not len(a):
             continue
@@ -194,27 +181,24 @@ def links(own: np.ndarray, guests: np.ndarray | None, most: int, front: np.uint6
             close = np.bitwise_count(ta.fps[a] ^ tb.fps[b]).astype(int) + np.bitwise_count(ta.more[a] ^ tb.more[b]) <= most
             if same:
                 close &= a != b
-            a, b = a[close], b[close]
-            up = forest.flat()
-            new = up[a] != up[b + shift]
-            for i, j in zip(a[new].tolist(), (b[new] + shift).tolist()):
-                forest.join(i, j)
+            ra, rb = labels()
+            close &= ra[a] != rb[b]
+            if close.any():
+                yield a[close], b[close]
             continue
-        if la <= 0 and lb <= 0 and len(a) > 1:  # leaves: pass over pairs that lie in one tree
-            up = forest.flat()
-            ra, rb = up[: len(ta.fps)], up[shift:]
+        if la == 0 and lb == 0:
+            ra, rb = labels()
             cut_a, cut_b = np.arange(0, len(ra), Tree.FANOUT), np.arange(0, len(rb), Tree.FANOUT)
             one_a = np.minimum.reduceat(ra, cut_a) == np.maximum.reduceat(ra, cut_a)
             one_b = np.minimum.reduceat(rb, cut_b) == np.maximum.reduceat(rb, cut_b)
-            if la == 0 and lb == 0:
-                done = one_a[a] & one_b[b] & (ra[cut_a[a]] == rb[cut_b[b]])
-                a, b = a[~done], b[~done]
-                half = len(a) // 2  # the first half's links may settle the second
-                if half > 64:
-                    stack.append((la, lb, a[half:], b[half:]))
-                    a, b = a[:half], b[:half]
-                if not len(a):
-                    continue
+            done = one_a[a] & one_b[b] & (ra[cut_a[a]] == rb[cut_b[b]])
+            a, b = a[~done], b[~done]
+            half = len(a) // 2  # the first half's links may settle the second
+            if half > 64:
+                stack.append((la, lb, a[half:], b[half:]))
+                a, b = a[:half], b[:half]
+            if not len(a):
+                continue
         if la > lb:
             low = a * Tree.FANOUT
             n = np.minimum(low + Tree.FANOUT, ta.size(la - 1)) - low
@@ -228,6 +212,27 @@ def links(own: np.ndarray, guests: np.ndarray | None, most: int, front: np.uint6
         else:
             x, y = _grow(a, b, ta, tb, la, lb, same)
             stack.append((la - 1, lb - 1, x, y))
+
+
+def links(own: np.ndarray, guests: np.ndarray | None, most: int, lead: np.uint64 = np.uint64(0), near: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links of own (rows of fp, more and labels) among themselves, or with guests, as a spanning forest: rows, and the root rows of their trees.
+
+    What is in one tree already isn't compared, so a large group of close fingerprints costs about its
+    size, not its square.
+    """
+    ta = Tree(own)
+    tb = ta if guests is None else Tree(guests)
+    every = ta.rows if guests is None else np.concatenate([ta.rows, tb.rows])
+    shift = len(every) - len(tb.rows)
+    forest = Forest(len(every))
+
+    def labels():
+        up = forest.flat()
+        return up[: len(ta.rows)], up[shift:]
+
+    for a, b in close_pairs(ta, tb, most, labels, lead, near):
+        for i, j in zip(a.tolist(), (b + shift).tolist()):
+            forest.join(i, j)
     up = forest.flat()
     moved = up != np.arange(len(up))
     return every[moved], every[up[moved]]
@@ -238,33 +243,21 @@ class Turn:
 
     def __init__(self, number: int):
         order = np.random.default_rng(number).permutation(64) if number else np.arange(64)
-        self.there, self.back = self._tables(order), self._tables(np.argsort(order))
-
-    @staticmethod
-    def _tables(order: np.ndarray) -> np.ndarray:
-        """tables[k][byte]: where the bits of the kth byte go."""
         bits = np.left_shift(np.uint64(1), order.astype(np.uint64)).reshape(8, 8)
-        set_ = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint64)
-        return (set_[None] * bits[:, None]).sum(axis=2, dtype=np.uint64)
-
-    @staticmethod
-    def _apply(tables: np.ndarray, fps: np.ndarray) -> np.ndarray:
-        octets = np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, 8)
-        return np.bitwise_or.reduce([tables[k][octets[:, k]] for k in range(8)], axis=0)
+        self.there = (_BITS.astype(np.uint64)[None] * bits[:, None]).sum(axis=2, dtype=np.uint64)  # [k][byte]: where the bits of the kth byte go
 
     def turned(self, fps: np.ndarray) -> np.ndarray:
-        return self._apply(self.there, fps)
-
-    def restored(self, fps: np.ndarray) -> np.ndarray:
-        return self._apply(self.back, fps)
+        octets = np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, 8)
+        return np.bitwise_or.reduce([self.there[k][octets[:, k]] for k in range(8)], axis=0)
 
 
 LEAF = 256  # fingerprints in a block that travels to another range
 RANGES = 4096  # ranges of the top level at most; their masks are all that the driver and every task hold
 
 
-def _blocks(distinct: DataFrame, ranges: int, turns: int) -> DataFrame:
-    """Blocks of up to LEAF fingerprints in Gray order: (turn, part, fps binary, mask, pattern); a part is a range of one turn."""
+def _blocks(distinct: DataFrame, labels: list[str], ranges: int, turns: int) -> DataFrame:
+    """Blocks of up to LEAF rows (fp, more, labels) in Gray order: (turn, part, fps binary, mask, pattern); a part is a range of one turn."""
+    width = 2 + len(labels)
 
     def ranked(batches):
         import pyarrow as pa
@@ -275,13 +268,13 @@ def _blocks(distinct: DataFrame, ranges: int, turns: int) -> DataFrame:
                 moved = Turn(t).turned(halves[t % 2])  # odd turns are over the other half
                 rank = (gray_rank(moved) ^ np.uint64(1 << 63)).view(np.int64)  # signed order is rank order
                 cols = [pa.array(x.view(np.int64)) for x in (moved, halves[1 - t % 2])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(moved), t, np.int32)), *cols, pa.array(rank)], names=["turn", "fp", "more", "rank"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(moved), t, np.int32)), *cols, *b.columns[2:], pa.array(rank)], names=["turn", "fp", "more", *labels, "rank"])
 
     def cut(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, at, rest = TaskContext.get().partitionId(), -1, np.zeros((0, 2), np.uint64)
+        part, at, rest = TaskContext.get().partitionId(), -1, np.zeros((0, width), np.uint64)
 
         def packed(fps):
             cuts = np.arange(0, len(fps), LEAF)
@@ -293,7 +286,7 @@ def _blocks(distinct: DataFrame, ranges: int, turns: int) -> DataFrame:
 
         for b in batches:
             turn = b.column(0).to_numpy()
-            fps = np.stack([b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (1, 2)], axis=1)
+            fps = np.stack([b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(1, 1 + width)], axis=1)
             edges = np.concatenate(([0], np.flatnonzero(np.diff(turn)) + 1, [len(turn)]))
             for i, j in zip(edges[:-1], edges[1:]):
                 if i == j:
@@ -301,7 +294,7 @@ def _blocks(distinct: DataFrame, ranges: int, turns: int) -> DataFrame:
                 if turn[i] != at:
                     if len(rest):
                         yield packed(rest)
-                    at, rest = int(turn[i]), np.zeros((0, 2), np.uint64)
+                    at, rest = int(turn[i]), np.zeros((0, width), np.uint64)
                 rest = np.concatenate([rest, fps[i:j]])
                 if whole := len(rest) // LEAF * LEAF:
                     yield packed(rest[:whole])
@@ -309,12 +302,13 @@ def _blocks(distinct: DataFrame, ranges: int, turns: int) -> DataFrame:
         if len(rest):
             yield packed(rest)
 
-    sorted_ = distinct.select("fp", "more").mapInArrow(ranked, "turn int, fp long, more long, rank long").repartitionByRange(ranges, "turn", "rank").sortWithinPartitions("turn", "rank")
+    schema = ", ".join(["turn int", *(f"{c} long" for c in ("fp", "more", *labels, "rank"))])
+    sorted_ = distinct.select("fp", "more", *labels).mapInArrow(ranked, schema).repartitionByRange(ranges, "turn", "rank").sortWithinPartitions("turn", "rank")
     return sorted_.mapInArrow(cut, "turn int, part int, fps binary, mask long, pattern long")
 
 
-def link_forest(distinct: DataFrame, most: int, turns: int = 1, front: int = 0, near: int = 0) -> DataFrame:
-    """(a, b): links between nodes that join the fingerprints of distinct (fp, more) that chains of at most `most` bits join.
+def search(distinct: DataFrame, labels: list[str], found, most: int, turns: int = 1, front: int = 0, near: int = 0) -> DataFrame:
+    """(a, b) longs, distinct: what found(own, guests or None, lead, near) makes of rows (fp, more, labels) that may be close.
 
     Ranges of the Gray order are the top nodes. A block goes to each later range whose shared bits differ
     from its own in at most `most` places, and meets there that range's own tree. With one turn and no
@@ -323,7 +317,7 @@ def link_forest(distinct: DataFrame, most: int, turns: int = 1, front: int = 0,
     """
     spark = distinct.sparkSession
     ranges = max(1, min(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    blocks = materialize(_blocks(distinct, ranges, turns), "simhash_blocks")
+    blocks = materialize(_blocks(distinct, labels, ranges, turns), "simhash_blocks")
     tops = blocks.groupBy("turn", "part").agg(
         F.expr("bit_and(pattern)").alias("ands"), F.expr("bit_or(~mask | pattern)").alias("ors"),
     ).collect()  # fmt: skip  # at most RANGES + turns rows
@@ -331,6 +325,7 @@ def link_forest(distinct: DataFrame, most: int, turns: int = 1, front: int = 0,
     ands, ors = (np.array([r[k] for r in tops], np.int64).view(np.uint64) for k in ("ands", "ors"))
     mask = ~(ands ^ ors)
     lead = np.uint64(((1 << front) - 1) << (64 - front)) if front else np.uint64(0)
+    width = 2 + len(labels)
 
     def route(batches):
         import pyarrow as pa
@@ -353,34 +348,23 @@ def link_forest(distinct: DataFrame, most: int, turns: int = 1, front: int = 0,
 
         at, own, guests = None, [], []
 
-        def out(pairs):
-            """Each member with the least node of its tree, whatever the turn: so turns that find the same tree give the same links."""
-            turn = at // ranges
-
-            def named(fps):
-                halves = Turn(turn).restored(fps[:, 0]), fps[:, 1]
-                return node_of(np.stack([halves[turn % 2], halves[1 - turn % 2]], axis=1))
-
-            member, tree = map(named, pairs)
-            trees, of = np.unique(tree, return_inverse=True)
-            least = trees.copy()
-            np.minimum.at(least, of, member)
-            a, b = np.concatenate([member, trees]), np.concatenate([least[of], least])
-            return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+        def out(*sides):
+            a, b = found(*sides, lead, near)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         def settle(last):
             if guests:
-                yield out(links(np.concatenate(own), np.concatenate(guests), most, lead, near))
+                yield out(np.concatenate(own), np.concatenate(guests))
                 guests.clear()
             if last and own:
-                yield out(links(np.concatenate(own), None, most, lead, near))
+                yield out(np.concatenate(own), None)
 
         for b in batches:
             for to, mine, fps in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if to != at:
                     yield from settle(True)
                     at, own = to, []
-                (own if mine else guests).append(np.frombuffer(fps, np.uint64).reshape(-1, 2))
+                (own if mine else guests).append(np.frombuffer(fps, np.uint64).reshape(-1, width))
                 if len(guests) >= 4096:  # a million fingerprints
                     yield from settle(False)
         yield from settle(True)
@@ -389,6 +373,21 @@ def link_forest(distinct: DataFrame, most: int, turns: int = 1, front: int = 0,
     return routed.mapInArrow(meet, "a long, b long").distinct()
 
 
+def link_forest(distinct: DataFrame, most: int, turns: int = 1, front: int = 0, near: int = 0) -> DataFrame:
+    """(a, b): links between nodes that join those of distinct (fp, more, node) that chains of at most `most` bits join."""
+
+    def found(own, guests, lead, near):
+        """Each member with the least node of its tree: so turns that find the same tree give the same links."""
+        member, tree = (rows[:, 2].view(np.int64) for rows in links(own, guests, most, lead, near))
+        trees, of = np.unique(tree, return_inverse=True)
+        least = trees.copy()
+        np.minimum.at(least, of, member)
+        a, b = np.concatenate([member, trees]), np.concatenate([least[of], least])
+        return a[a != b], b[a != b]
+
+    return search(distinct, ["node"], found, most, turns, front, near)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that chains of edges (a, b) reach, for every node with an edge.
 
@@ -415,48 +414,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2, double: bool = False, turns: int = 1, front: int = 0, near: int = 0) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) per row of docs (doc_id, text).
 
     component_id is the smallest doc_id whose fingerprint chains of links reach, the row's own included.
     Rows that repeat a doc_id keep a row each; a null doc_id counts only where a component has no other.
-    Null and empty texts have fingerprint zero and link like any other; no rows give no rows.
-    double is that of fingerprint(); turns, front and near are those of link_forest(). The defaults find
-    every link.
+    Null and empty texts have fingerprint zero and link like any other; no rows give no rows. Every link
+    is found.
     """
-    fps = materialize(fingerprints(docs, width, double), "simhash_fps")
-    distinct = materialize(fps.groupBy("node", "fp", "more").agg(F.min("doc_id").alias("low")), "simhash_distinct")
-    roots = components(link_forest(distinct, most, turns, front, near)).withColumnRenamed("node", "linked")
-    named = distinct.join(roots, F.col("node") == F.col("linked"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    fps = materialize(fingerprints(docs, width), "simhash_fps")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash_distinct")
+    roots = components(link_forest(distinct.select("fp", F.lit(0).cast("long").alias("more"), F.col("fp").alias("node")), most))
+    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "simhash_roots")
     # written before they are joined, so that Spark can split a large component's nodes and a large group of copies
     least = materialize(named.groupBy(F.col("root").alias("of")).agg(F.min("low").alias("component_id")), "simhash_least")
-    named = named.join(least, F.col("root") == F.col("of")).groupBy(F.col("node").alias("key")).agg(F.min("component_id").alias("component_id"))
-    named = materialize(named, "simhash_components")
-    return fps.join(named, F.col("node") == F.col("key"), "left").select("doc_id", "fp", "component_id")
-
-
-#: For similar texts by estimate (one_of_each() counts instead). A similarity of 0.8 of five-word shingles is an angle of acos(1.6 / 1.8), 19.4 bits of 128
-#: with a deviation of 4; one deviation is allowed for. Unrelated texts are 64 bits apart, 7 deviations away.
-SIMILAR = {"width": 5, "double": True, "most": 24, "turns": 24, "front": 18, "near": 1}
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of docs of each group of similar texts (overlap.similar_groups), other rows of the group are left out.
-
-    It is the one with the smallest doc_id, null last, then the least digest of the text, then of the row:
-    so rows that only share their doc_id, or have none, are not taken for copies. Of equal rows one stays.
-    """
-    from .overlap import similar_groups
-
-    key = {"none": F.col("doc_id").isNull(), "id": F.col("doc_id"), "digest": F.unhex(F.sha2(F.col("text").cast("binary"), 256)), "whole": F.xxhash64("*")}
-    rows = docs.select(F.struct("*").alias("row"), *[x.alias(k) for k, x in key.items()])
-    found = similar_groups(rows.select(F.struct(*key).alias("doc_id"), F.col("row.text").alias("text")))
-    stay = found.select("component_id.*").distinct().toDF(*[f"stays_{k}" for k in key])
-    same = [F.col(k).eqNullSafe(F.col(f"stays_{k}")) for k in ("id", "digest", "whole")]
-    kept = rows.join(stay, same[0] & same[1] & same[2], "left_semi")
-    repeats = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return (kept.dropDuplicates(list(key)) if repeats else kept).select("row.*")
+    named = materialize(named.join(least, F.col("root") == F.col("of")).select(F.col("fp").alias("key"), "component_id"), "simhash_components")
+    return fps.join(named, F.col("fp") == F.col("key"), "left").select("doc_id", "fp", "component_id")
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def test_near_dedup_drops_only_rows_of_one_group(spark):
 
 
 def test_clashing_columns(spark):
-    from pagewright.llm.simhash import one_of_each
+    from pagewright.llm.similar import one_of_each
 
     df = spark.createDataFrame([(1, "same text", "x"), (2, "same text", "y"), (3, "other words", "z")], "doc_id long, text string, stays string")
     assert sorted(tuple(r) for r in one_of_each(df).collect()) == [(1, "same text", "x"), (3, "other words", "z")]

@@ -40,8 +40,7 @@ def slow_components(rows, most):
 def test_fingerprint_matches_a_plain_one():
     for text in ("", " \t\n", "One", "two words", "A b c D e f g", "Ünï Ñ x\x0by\x0cz " * 50, "same same same same same", "\x1c\x85 a\x1cb c d"):
         for width in (3, 5):
-            assert simhash.fingerprint(text.encode(), width) == (slow_fingerprint(text, width), 0), text
-            assert simhash.fingerprint(text.encode(), width, True)[0] == slow_fingerprint(text, width)
+            assert simhash.fingerprint(text.encode(), width) == slow_fingerprint(text, width), text
 
 
 def test_tree_finds_every_link():
@@ -78,7 +77,7 @@ def test_components_match_brute_force(spark):
 
 def test_chain_over_many_ranges(spark):
     fps = [(1 << i) - 1 for i in range(64)]
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").selectExpr("fp", "0L AS more")
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").selectExpr("fp", "0L AS more", "fp AS node")
     roots = simhash.components(simhash.link_forest(df, 1))
     rows = roots.collect()
     assert len(rows) == 63 and len({r["root"] for r in rows}) == 1
@@ -88,33 +87,14 @@ def test_no_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_turns_are_undone():
+def test_turns_keep_distances():
     x = np.random.default_rng(3).integers(0, 2**64, 500, dtype=np.uint64)
     for k in range(5):
         t = simhash.Turn(k)
-        assert (t.restored(t.turned(x)) == x).all() and (np.bitwise_count(t.turned(x)) == np.bitwise_count(x)).all()
+        assert (np.bitwise_count(t.turned(x) ^ t.turned(x[::-1])) == np.bitwise_count(x ^ x[::-1])).all()
     assert (simhash.Turn(0).turned(x) == x).all()
 
 
-def test_similar_texts_over_two_halves(spark):
-    rng = np.random.default_rng(6)
-    words = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
-    rows, want = [], {}
-    for k in range(30):
-        base = words(300)
-        for j in range(4):
-            copy = list(base)
-            if j:
-                for i in rng.integers(0, 300, 2):
-                    copy[i] = f"new{j}"
-            rows.append((k * 10 + j, " ".join(copy)))
-            want[k * 10 + j] = k * 10
-    rows += [(1000 + i, " ".join(words(200))) for i in range(200)]
-    want |= {1000 + i: 1000 + i for i in range(200)}
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **simhash.SIMILAR).collect()}
-    assert got == want
-
-
 def test_components_of_random_graphs(spark):
     rng = np.random.default_rng(9)
     for n, m in ((50, 30), (200, 180), (60, 400)):
