@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def root(spark: SparkSession) -> str:
     """A new folder's URI below ``spark.checkpoint.dir``.
 
-    Where that is unset, a local session (tests) gets a temporary folder; a cluster gets an error,
-    because executors would not see each other's files.
+    Where that is unset, a local session gets a temporary folder, as there the driver is the only
+    machine; a cluster gets an error, because executors would not see each other's files.
     """
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or getattr(spark, "_pagewright_root", None)
@@ -29,7 +32,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet and reads it back: cuts the lineage, and survives lost executors."""
     path = f"{root(df.sparkSession)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[made] = path
+    return made
+
+
+def _at(spark: SparkSession, path: str):
+    """(Hadoop's file system, its path): what Spark itself reads and writes with."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def drop(*tables: DataFrame | str) -> None:
+    """Removes materialized tables, or folders below root(), once what was made of them has been written."""
+    for t in tables:
+        if path := t if isinstance(t, str) else _places.pop(t, None):
+            spark = SparkSession.getActiveSession() if isinstance(t, str) else t.sparkSession
+            fs, place = _at(spark, path)
+            fs.delete(place, True)
+
+
+def is_table(spark: SparkSession, path: str) -> bool:
+    fs, place = _at(spark, path)
+    return fs.exists(place)
 
 
 def opened(uri: str):

@@ -1,7 +1,8 @@
 import hashlib
 import re
+import time
 
-from pagewright.llm import secrets
+from pagewright.llm import scratch, secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
@@ -46,15 +47,44 @@ def test_only_unseen_blobs_and_versions_are_scanned(spark):
 
 
 def test_redaction(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "path long, text string")
-    found, _ = secrets.scan_versions(df)
-    for r in df.join(found, "path").select("path", secrets.redacted(secrets.F.col("text"), secrets.F.col("spans")).alias("out")).collect():
-        t, out, at = TEXTS[r["path"]], "", 0
+    texts = [*TEXTS, "x" * 1023 + " token=abcdefgh", "é" * 1024 + "AKIA" + "Q" * 20, "token=abcdefgh" * 200, "token=" + "0" * 3000 + "." + "ab" * 700 + " " + "cd" * 12 + " AKIA" + "9" * 20, ("word " * 300 + "ff" * 13 + "\n") * 9]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["clean"] for r in secrets.without_secrets(df).select("row.doc_id", "clean").collect()}
+    for i, t in enumerate(texts):
+        out, at = "", 0
         for a, _, z, kind in slow(t or ""):
             if a >= at:
                 out += t[at:a] + f"[{kind}]"
             at = max(at, z)
-        assert r["out"] == (None if t is None else out + t[at:])
+        assert got[i] == (out + t[at:] if out else None), i
+
+
+def test_many_hits_in_one_text_cost_their_number(spark):
+    """100,000 of them, in a text of 3.3 million characters."""
+    text = "\n".join(hashlib.md5(str(k).encode()).hexdigest() for k in range(100_000))
+    df = spark.createDataFrame([(1, text, "c")], "doc_id long, text string, cuts string")
+    began = time.perf_counter()
+    found, _ = secrets.scan_versions(df, "doc_id")
+    (row,) = found.collect()
+    assert [tuple(s) for s in row["spans"]] == slow(text)
+    (row,) = secrets.without_secrets(df).collect()
+    assert row["clean"] == "\n".join(["[hex]"] * 100_000) and row["row"]["cuts"] == "c"
+    assert time.perf_counter() - began < 60
+
+
+def test_stored_ledger(spark):
+    store = f"{scratch.root(spark)}/ledger"
+    rows = [(1, "token=abcdef"), (2, "token=abcdef"), (3, "plain"), (4, None), (4, None)]
+    df = spark.createDataFrame(rows, "path long, text string")
+    first, _ = secrets.scan_versions(df, store=store)
+    want = sorted(map(str, first.collect()))
+    assert spark.read.parquet(store).count() == 3
+    again, whole = secrets.scan_versions(df, store=store)
+    assert sorted(map(str, again.collect())) == want and whole.count() == 3
+    assert spark.read.parquet(store).count() == 3  # nothing was scanned
+    more, _ = secrets.scan_versions(df.union(spark.createDataFrame([(5, "AKIA" + "A" * 20)], df.schema)), store=store)
+    assert {r["path"]: len(r["spans"]) for r in more.collect()} == {1: 1, 2: 1, 3: 0, 4: 0, 5: 1}
+    assert spark.read.parquet(store).count() == 4
 
 
 def test_no_rows(spark):
