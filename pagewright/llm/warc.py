@@ -66,12 +66,19 @@ def parsed(member: bytes) -> tuple[dict[str, str], bytes]:
     return head, block[block.index(b"\r\n\r\n") + 4 :]
 
 
+def digest_of(head: dict[str, str]) -> str:
+    return head["WARC-Payload-Digest"].removeprefix("sha256:")
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html); returns (surt, page_id, archive, at, size).
 
     Of rows with equal payloads of LEAST bytes or more, those with the smallest page_id are responses and
-    the others revisit it; a null page_id is a response only where its group has no other. A task's files
-    have names of their own, and only those of tasks that ended well are in the returned table.
+    the others revisit it; a null page_id is a response only where its group has no other. Rows that repeat
+    a page_id get a record each: with equal payloads all those of the smallest page_id are responses, with
+    unlike ones each belongs to the group of its own payload. A null url has the key '-', a null html is an
+    empty payload; no rows give no archives. A task's files have names of their own, and only those of tasks
+    that ended well are in the returned table.
     """
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"))
     p = p.withColumn("digest", F.sha2("html", 256))
@@ -228,7 +235,8 @@ def read_captures(wanted: DataFrame, index: Index, archives: str) -> DataFrame:
     """Per capture of the keys in wanted (url, page_id): page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
     Keys are sorted first, so that a task reads neighbouring blocks; repeated keys are looked up once. A
-    revisit is followed through the index to its response, whose payload must have the digest it names.
+    revisit is followed through the index to the response that has the digest it names, also where several
+    captures share that response's url and page_id; without one the job fails. Keys without capture give no row.
     """
 
     def keyed(batches):
@@ -242,12 +250,14 @@ def read_captures(wanted: DataFrame, index: Index, archives: str) -> DataFrame:
 
         reader, before = index.reader(), None
 
-        def response(key):
+        def response(of):
+            """Of the captures under a key, which may repeat with other payloads, the response that has the digest."""
+            *key, digest = of
             for capture in reader.find(*key):
                 head, payload = reader.read(archives, capture)
-                if head["WARC-Type"] == "response":
+                if head["WARC-Type"] == "response" and digest_of(head) == digest:
                     return len(payload), hashlib.sha256(payload).hexdigest()
-            raise LookupError(f"no response for {key}")
+            raise LookupError(f"no response for {of}")
 
         known = _Recent(4096, response)
         for b in batches:
@@ -260,11 +270,11 @@ def read_captures(wanted: DataFrame, index: Index, archives: str) -> DataFrame:
             for capture in sorted(found):
                 head, payload = reader.read(archives, capture)
                 page = head["WARC-Record-ID"][len(ID) + 1 : -1]
-                digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
+                digest = digest_of(head)
                 refers = None
                 if head["WARC-Type"] == "revisit":
                     refers = int(head["WARC-Refers-To"][len(ID) + 1 : -1])
-                    size, real = known.at((surt(head.get("WARC-Refers-To-Target-URI")), refers))
+                    size, real = known.at((surt(head.get("WARC-Refers-To-Target-URI")), refers, digest))
                 else:
                     size, real = len(payload), hashlib.sha256(payload).hexdigest()
                 if real != digest:

@@ -53,3 +53,13 @@ def test_no_rows(spark):
     folder = scratch.root(spark)
     index = warc.write_index(warc.write_archives(df, f"{folder}/a"), f"{folder}/i")
     assert warc.read_captures(df, index, f"{folder}/a").count() == 0
+
+
+def test_one_page_id_and_url_under_several_payloads(spark):
+    a, b, c = ("<p>%s</p>" % x * 30 for x in "abc")
+    rows = [(1, "http://one", a), (1, "http://one", b), (1, "http://one", b), (2, "http://two", a), (3, "http://one", b), (2, "http://two", c), (7, "http://x", c), (1, "http://other", a), (4, None, a), (9, "http://one", "s")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder = scratch.root(spark)
+    index = warc.write_index(warc.write_archives(df, f"{folder}/a"), f"{folder}/i")
+    got = warc.read_captures(df, index, f"{folder}/a").drop("url").collect()
+    assert sorted((tuple(r) for r in got), key=str) == want(rows)
