@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 CHUNK, STEP = 512, 448  # bytes of a chunk, and from one chunk's start to the next's
 CELL = 4  # bytes from one filter position to the next; a filter sees two cells
 WIDTH, FILTERS = 8, 32
 SAMPLE = 2400  # labelled documents that a fit reads at most
-WINDOWS = 8  # chunks of each of them
 AT_ONCE = 256  # chunks in memory as numbers
-EPOCHS = 24
+STEPS = 500  # of a fit, in batches of documents, but EPOCHS (least and most) times each document
+EPOCHS = (8, 24)
 
 
 def chunks(text: bytes) -> np.ndarray:
@@ -38,12 +39,23 @@ class Network:
 
     def responses(self, x: np.ndarray) -> np.ndarray:
         """(chunks, positions, filters) of chunks of bytes."""
-        cells = self.emb[x].reshape(len(x), CHUNK // CELL, CELL * WIDTH)
         half = CELL * WIDTH
-        return (cells @ self.w[:half])[:, :-1] + (cells @ self.w[half:])[:, 1:]
-
-    def pooled(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.maximum(self.responses(x[i : i + AT_ONCE]).max(axis=1) + self.b, 0) for i in range(0, len(x), AT_ONCE)])
+        cells = np.take(self.emb, x.reshape(-1), axis=0).reshape(-1, half)
+        both = (cells @ np.hstack([self.w[:half], self.w[half:]])).reshape(len(x), CHUNK // CELL, 2 * FILTERS)  # one product for both cells of a filter
+        return both[:, :-1, :FILTERS] + both[:, 1:, FILTERS:]
+
+    def pooled(self, x: np.ndarray, places: bool = False):
+        """(chunks, filters): each filter's highest response in a chunk, at least 0; with places also the raw ones and where they are."""
+        raw, where = [], []
+        for at in range(0, len(x), AT_ONCE):
+            r = self.responses(x[at : at + AT_ONCE])
+            if places:
+                where.append(r.argmax(axis=1))
+                raw.append(np.take_along_axis(r, where[-1][:, None], 1)[:, 0] + self.b)
+            else:
+                raw.append(r.max(axis=1) + self.b)
+        raw = np.concatenate(raw)
+        return (np.maximum(raw, 0), raw, np.concatenate(where)) if places else np.maximum(raw, 0)
 
     def probability(self, pooled: np.ndarray, starts: np.ndarray) -> np.ndarray:
         n = np.diff(np.append(starts, len(pooled)))[:, None]
@@ -67,41 +79,47 @@ class Network:
             pooled.append(self.pooled(np.concatenate(waiting)))
         return self.probability(np.concatenate(pooled), np.array(starts)) if texts else np.zeros(0)
 
-    def fit(self, x: np.ndarray, of: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 48, rate: float = 0.01, seed: int = 7) -> None:
-        """x: chunks of bytes; of: each chunk's document, ascending from 0; y: labels of the documents. Adam on the log loss."""
-        rng = np.random.default_rng(seed)
-        params = [self.emb, self.w, self.b, self.v, self.c]
+    def parameters(self) -> list[np.ndarray]:
+        return [self.emb, self.w, self.b, self.v, self.c]
+
+    def gradients(self, xs: list[np.ndarray], y: np.ndarray) -> list[np.ndarray]:
+        """Of the mean log loss over documents, plus 1e-4 of half the square of v, by parameters(). xs: all chunks of each document."""
+        n = np.array([len(x) for x in xs])
+        x, starts, doc = np.concatenate(xs), np.cumsum(n) - n, np.repeat(np.arange(len(xs)), n)
+        p, raw, where = self.pooled(x, places=True)
+        top, low = np.maximum.reduceat(p, starts), np.minimum.reduceat(p, starts)
+        f = np.hstack([top, np.add.reduceat(p, starts) / n[:, None], low])
+        z = np.clip(f @ self.v + self.c, -30, 30)
+        dz = ((1 / (1 + np.exp(-z)) - y) / len(xs)).astype(np.float32)
+        df = dz[:, None] * self.v
+        dp = df[doc, FILTERS : 2 * FILTERS] / n[doc][:, None]
+        for at, best in ((slice(0, FILTERS), top), (slice(2 * FILTERS, None), low)):
+            hit = p == best[doc]
+            dp += df[doc, at] * hit / np.add.reduceat(hit.astype(np.float32), starts)[doc]  # equal ones share it
+        dp = np.where(raw > 0, dp, 0).astype(np.float32)
+        dw, demb = np.zeros_like(self.w), np.zeros_like(self.emb)
+        for at in range(0, len(x), AT_ONCE):
+            part, d = x[at : at + AT_ONCE], dp[at : at + AT_ONCE]
+            seen = part[np.arange(len(part))[:, None, None], where[at : at + AT_ONCE, :, None] * CELL + np.arange(2 * CELL)]  # chunk, filter, byte
+            e = self.emb[seen].reshape(len(part), FILTERS, 2 * CELL * WIDTH)
+            dw += np.einsum("cf,cfk->kf", d, e)
+            de = (d[:, :, None] * self.w.T[None]).reshape(-1, WIDTH)
+            demb += np.stack([np.bincount(seen.reshape(-1), de[:, k], 256) for k in range(WIDTH)], 1).astype(np.float32)
+        return [demb, dw, dp.sum(axis=0), f.T @ dz + 1e-4 * self.v, dz.sum(keepdims=True)]
+
+    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int | None = None, batch: int = 48, rate: float = 0.01, seed: int = 7) -> None:
+        """Adam over batches of whole texts; y: their labels. Only one batch's chunks are in memory."""
+        epochs = epochs or min(max(-(-STEPS // -(-len(y) // batch)), EPOCHS[0]), EPOCHS[1])
+        rng, params = np.random.default_rng(seed), self.parameters()
         m, s, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        first = np.searchsorted(of, np.arange(len(y) + 1))
         steps = epochs * -(-len(y) // batch)
         for _ in range(epochs):
             order = rng.permutation(len(y))
             for at in range(0, len(y), batch):
                 docs = order[at : at + batch]
-                rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
-                n = first[docs + 1] - first[docs]
-                starts = np.cumsum(n) - n
-                xs, doc = x[rows], np.repeat(np.arange(len(docs)), n)
-                r = self.responses(xs)
-                where = r.argmax(axis=1)
-                raw = np.take_along_axis(r, where[:, None], 1)[:, 0] + self.b
-                p = np.maximum(raw, 0)
-                top = np.maximum.reduceat(p, starts)
-                low = np.minimum.reduceat(p, starts)
-                f = np.hstack([top, np.add.reduceat(p, starts) / n[:, None], low])
-                z = np.clip(f @ self.v + self.c, -30, 30)
-                dz = ((1 / (1 + np.exp(-z)) - y[docs]) / len(docs)).astype(np.float32)
-                df = dz[:, None] * self.v
-                dp = df[doc, FILTERS : 2 * FILTERS] / n[doc][:, None] + df[doc, :FILTERS] * (p == top[doc]) + df[doc, 2 * FILTERS :] * (p == low[doc])
-                dp = np.where(raw > 0, dp, 0).astype(np.float32)
-                seen = xs[np.arange(len(xs))[:, None, None], where[:, :, None] * CELL + np.arange(2 * CELL)]  # chunk, filter, byte
-                e = self.emb[seen].reshape(len(xs), FILTERS, 2 * CELL * WIDTH)
-                dw = np.einsum("cf,cfk->kf", dp, e)
-                de = (dp[:, :, None] * self.w.T[None]).reshape(-1, WIDTH)
-                demb = np.stack([np.bincount(seen.reshape(-1), de[:, k], 256) for k in range(WIDTH)], 1)
                 t += 1
                 step = rate * min(1, 2 * (1 - t / (steps + 1)))
-                for i, g in enumerate((demb, dw, dp.sum(axis=0), f.T @ dz + 1e-4 * self.v, dz.sum(keepdims=True))):
+                for i, g in enumerate(self.gradients([chunks(texts[d]) for d in docs], y[docs])):
                     m[i] += 0.1 * (g - m[i])
                     s[i] += 0.01 * (g * g - s[i])
                     params[i] -= step * (m[i] / (1 - 0.9**t)) / (np.sqrt(s[i] / (1 - 0.99**t)) + 1e-7)
@@ -111,62 +129,51 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> Network:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """A network that has learned labels (doc_id, quality) of rows that are not held out.
 
-    It reads at most `sample` labelled documents, taken by a hash of doc_id, and `windows` chunks of
-    each, spread over the whole text: sample * windows * CHUNK bytes on the driver. Rows that repeat a
-    doc_id count as labelled with the larger label; null ids and labels teach nothing. With no label, or
-    one kind only, it answers the share of ones (0.5 with none) for every text.
+    It reads at most `sample` labelled documents, taken by a hash of doc_id, but all of each: the driver
+    holds their texts. A doc_id that labels repeat counts with the larger label, one that docs repeat with
+    its least text, so reruns agree; null ids and labels teach nothing, a null text is an empty one. With
+    no label, or one kind only, it answers the share of ones (0.5 with none) for every text.
     """
     ids = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
-    taught = texts.join(F.broadcast(ids), F.col("id") == F.col("doc_id")).select("id", "y", "text")  # at most `sample` rows
-
-    def windowed(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            out = [], [], []
-            for d, y, t in zip(*(c.to_pylist() for c in b.columns)):
-                x = chunks(t or b"")
-                take = sorted({round(k * (len(x) - 1) / max(1, windows - 1)) for k in range(windows)})
-                for c, v in zip(out, (d, y, x[take].tobytes())):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["id", "y", "x"])
-
-    rows = taught.mapInArrow(windowed, "id long, y int, x binary").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    taught = texts.join(F.broadcast(ids), F.col("id") == F.col("doc_id"))  # at most `sample` rows
+    rows = taught.groupBy("id", "y").agg(F.min("text").cast("binary").alias("text")).collect()
+    rows.sort(key=lambda r: r["id"])
     y = np.array([min(1, max(0, r["y"])) for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return Network(prior=float(y.mean()) if len(y) else 0.5)
-    x = [np.frombuffer(r["x"], np.uint8).reshape(-1, CHUNK) for r in rows]
     net = Network()
-    net.fit(np.concatenate(x), np.repeat(np.arange(len(x)), [len(k) for k in x]), y)
+    net.fit([bytes(r["text"]) for r in rows], y)
     return net
 
 
 def score_quality(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with its columns and a last one, quality_score: 0 to 1 for every whole text, null and empty ones too."""
-    name = "quality_score"
-    keep = [c for c in docs.columns if c != name]
-    with_text = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__whole_text"))
+    """(row struct, score double) per row of docs (text, more columns of any names): 0 to 1 for the whole text, null and empty ones too.
+
+    A null text scores as an empty one. Repeated rows come back each, no rows give none.
+    """
+    at = docs.columns.index("text")
+    flat = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            p = net.scores(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p, pa.float64())], names=[*keep, name])
+            p = net.scores([t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "score"])
 
-    schema = with_text.drop("__whole_text").schema.add(name, "double")
-    return with_text.mapInArrow(run, schema)
+    schema = StructType([*flat.schema.fields, StructField("score", DoubleType())])
+    row = F.struct(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    return flat.mapInArrow(run, schema).select(row.alias("row"), "score")
 
 
 def op6_quality_scores(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     net = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score_quality(docs, net)
-    score = F.col("quality_score")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    scored = score_quality(docs.select("doc_id", "text"), net)
+    doc_id, score = F.col("row.doc_id"), F.col("score")
+    return scored.select(doc_id, held_out(doc_id).alias("held_out"), "score", (score >= 0.5).cast("int").alias("predicted"))
