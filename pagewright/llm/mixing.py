@@ -9,6 +9,7 @@ from .scratch import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS = 60
 LEVEL_BITS = 12
+FILLS = 6  # times that later documents fill up a source whose boundary document is too long
 
 
 def word_count(text: Column) -> Column:
@@ -48,16 +49,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
     return s.select("source", "source_size", target.alias("target"))
 
 
-def _thresholds(narrow: DataFrame, targets: DataFrame) -> DataFrame:
-    """Adds per source: full (copies that all its rows get), edge (hash) and at_edge (whether that hash gets a copy more).
+def _edges(narrow: DataFrame, state: DataFrame, name: str) -> DataFrame:
+    """Adds per source with eligible rows the boundary of its budget: used (words below), edge (hash), words (at it).
 
-    Each level sums words by source and the next LEVEL_BITS of the hash, inside the boundary bucket of
-    the level before; it ends when every boundary bucket holds a single hash.
+    narrow has (source, size, h), state (source, budget, more). Each level sums words by source and the next
+    LEVEL_BITS of the hash, inside the boundary bucket of the level before; it ends when every boundary
+    bucket holds a single hash. Where all words fit, the boundary is the last hash.
     """
-    size = F.col("source_size")
-    full = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long")
-    state = targets.withColumn("full", full).withColumn("budget", F.col("target") - F.col("full") * size)
-    state = state.select("*", F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("prefix"))
+    kept = state.columns
+    state = state.withColumns({"used": F.lit(0).cast("long"), "prefix": F.lit(0).cast("long")})
     for level in range(1, HASH_BITS // LEVEL_BITS + 1):
         shift = HASH_BITS - LEVEL_BITS * level
         inside = narrow
@@ -66,25 +66,61 @@ def _thresholds(narrow: DataFrame, targets: DataFrame) -> DataFrame:
             inside = narrow.join(at, F.col("source").eqNullSafe(F.col("at_source")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("at")), "left_semi")
         bucket = F.shiftright("h", shift)
         hist = inside.groupBy(F.col("source").alias("of"), bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.min("h").alias("low"), F.max("h").alias("high"))
-        known = state.select("source", "source_size", "target", "full", "budget", "used")
-        joined = hist.join(known, F.col("of").eqNullSafe(F.col("source")))
+        joined = hist.join(state.select(*kept, "used"), F.col("of").eqNullSafe(F.col("source")))
         run = W.partitionBy("source").orderBy("bucket")
         joined = joined.withColumn("upto", F.col("used") + F.sum("words").over(run)).withColumn("last", F.lead("bucket").over(run).isNull())
         pick = joined.filter((F.col("upto") > F.col("budget")) | F.col("last"))
         pick = pick.withColumn("n", F.row_number().over(run)).filter("n = 1")
-        state = pick.select(
-            "source", "source_size", "target", "full", "budget",
-            (F.col("upto") - F.col("words")).alias("used"), F.col("bucket").alias("prefix"), "words", "low", "high",
-        )
-        state = materialize(state, f"mix_level{level}")
+        state = pick.select(*kept, (F.col("upto") - F.col("words")).alias("used"), F.col("bucket").alias("prefix"), "words", "low", "high")
+        state = materialize(state, f"{name}_level{level}")
         if state.filter("low < high").isEmpty():
             break
-    over, short = F.col("used") + F.col("words") - F.col("budget"), F.col("budget") - F.col("used")
-    return state.select("source", "source_size", "target", "full", F.col("high").alias("edge"), (over < short).alias("at_edge"))
+    return state.select(*kept, "used", F.col("high").alias("edge"), "words")
 
 
-def _copies() -> Column:
-    return F.col("full") + ((F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("at_edge"))).cast("long")
+def _thresholds(narrow: DataFrame, targets: DataFrame) -> DataFrame:
+    """Adds per source: full (copies that all its rows get), edge (hash), at_edge (whether that hash gets a copy more), fills.
+
+    A long document at the boundary may leave a source short. Then later documents that still fit are taken
+    in the order of their hash, FILLS times at most, each time past the first that doesn't fit; fills has
+    (after, upto, most): hashes above after and up to upto with up to most words get a copy more. The
+    boundary gets one instead if that leaves the source nearer to its target.
+    """
+    size = F.col("source_size")
+    full = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long")
+    state = targets.withColumn("full", full).withColumn("budget", F.col("target") - F.col("full") * size)
+    state = _edges(narrow, state, "mix")
+    fits = F.col("used") + F.col("words") <= F.col("budget")
+    rest = F.col("budget") - F.col("used") - F.when(fits, F.col("words")).otherwise(0)
+    none = F.array().cast("array<struct<after:bigint,upto:bigint,most:bigint>>")
+    state = state.select("source", "source_size", "target", "full", "edge", fits.alias("fits"), (F.col("used") + F.col("words") - F.col("budget")).alias("over"), rest.alias("rest"), none.alias("fills"), F.col("edge").alias("after"))
+    state = materialize(state, "mix_edges")
+    for k in range(FILLS):
+        open_ = state.filter("NOT fits AND rest > target / 1000")
+        at = open_.select(F.col("source").alias("at_source"), "after", F.floor("rest").cast("long").alias("most"))
+        # fills end soon: a hash that didn't fit is passed over, and what fits is smaller each time
+        some = narrow.join(at, F.col("source").eqNullSafe(F.col("at_source")) & (F.col("h") > F.col("after")) & (F.col("size") <= F.col("most")) & (F.col("size") > 0)).select("source", "size", "h")
+        some = materialize(some, f"mix_fill{k}")
+        if some.isEmpty():
+            break
+        found = _edges(some, open_.select("source", F.col("rest").alias("budget")), f"mix_fill{k}")
+        in_ = F.col("used") + F.col("words") <= F.col("budget")
+        found = found.select(F.col("source").alias("of"), F.when(in_, F.col("edge")).otherwise(F.col("edge") - 1).alias("upto"), F.col("edge").alias("to"), (F.col("used") + F.when(in_, F.col("words")).otherwise(0)).alias("got"))
+        joined = state.join(found, F.col("source").eqNullSafe(F.col("of")), "left")
+        more = F.concat("fills", F.array(F.struct("after", "upto", F.floor("rest").cast("long").alias("most"))))
+        state = joined.select(
+            "source", "source_size", "target", "full", "edge", "fits", "over", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("rest"),
+            F.when(F.col("of").isNotNull() | F.col("to").isNotNull(), more).otherwise(F.col("fills")).alias("fills"), F.coalesce("to", "after").alias("after"),
+        )
+        state = materialize(state, f"mix_filled{k}")
+    at_edge = F.col("fits") | (F.col("over") < F.col("rest"))
+    return state.select("source", "source_size", "target", "full", "edge", at_edge.alias("at_edge"), F.when(F.col("fits") | ~at_edge, F.col("fills")).otherwise(none).alias("fills"))
+
+
+def _copies(size: Column) -> Column:
+    h = F.col("h")
+    fill = F.exists("fills", lambda f: (h > f["after"]) & (h <= f["upto"]) & (size <= f["most"]) & (size > 0))
+    return F.col("full") + ((h < F.col("edge")) | ((h == F.col("edge")) & F.col("at_edge")) | fill).cast("long")
 
 
 def _planned(docs: DataFrame, weights: tuple[int, ...], share: float, max_repeat: int) -> tuple[DataFrame, DataFrame]:
@@ -100,22 +136,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.
     """Per document of docs (doc_id, text, source): doc_id, size, source_size, target, taken, copies, source.
 
     A source's rows all get floor(target / source_size) copies; those whose hash is below the source's
-    threshold get one more. The document at the threshold gets it too if that leaves the source nearer
-    to its target. Rows that repeat a doc_id share its hash and so its decision. A null text has size 0
-    and takes 0; null sources are one source, in last place; no rows give no rows.
+    threshold get one more. Where the document at the threshold is too long, later ones fill up what is
+    left, or it gets its copy too if that leaves the source nearer to its target. Rows that repeat a
+    doc_id share its hash and so its decision. A null text has size 0 and takes 0; null sources are one
+    source, in last place; no rows give no rows.
     """
     narrow, edges = _planned(docs, weights, share, max_repeat)
     out = narrow.join(edges, F.col("source").eqNullSafe(F.col("of")), "left")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"), _copies().alias("copies"), "source")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("size"))).alias("taken"), _copies(F.col("size")).alias("copies"), "source")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3) -> DataFrame:
-    """docs with each row as often as mix() takes it, its columns as they are. Only thresholds are joined, so no text moves for it."""
+    """docs with each row as often as mix() takes it, its columns as they are. Only thresholds are joined, so no text moves for it.
+
+    Null ids share one hash, a null text counts no words, null sources are one source; no rows give no rows.
+    """
     _, edges = _planned(docs, weights, share, max_repeat)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no column of docs can clash
     rows = docs.select(whole, stable_hash(F.col("doc_id")).alias("h"))
     out = rows.join(edges, F.col("row.source").eqNullSafe(F.col("of")))
-    return out.select("row", F.explode(F.array_repeat(F.lit(1), _copies().cast("int")))).select("row.*")
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), _copies(word_count(F.col("row.text"))).cast("int")))).select("row.*")
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -123,7 +163,7 @@ def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-OP3_SQL = r"""
+_MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
@@ -146,11 +186,36 @@ t AS (
 b AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 run AS (
-  SELECT d.doc_id, d.size, b.source_size, b.target, b.whole, b.target - b.whole * b.source_size AS budget,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-         sum(d.size) OVER (PARTITION BY d.source, d.h) AS own
-  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN upto <= budget OR (upto - own <= budget AND upto - budget < budget - (upto - own)) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM run
+  SELECT d.doc_id, d.source, d.size, d.h, b.source_size, b.target, b.whole, b.target - b.whole * b.source_size AS budget,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+first AS (
+  SELECT source, target, budget, coalesce(min(h) FILTER (upto > budget), max(h)) AS edge, coalesce(bool_and(upto <= budget), true) AS fits,
+         budget - coalesce(max(upto) FILTER (upto <= budget), 0) AS rest, min(upto) FILTER (upto > budget) - budget AS over
+  FROM run GROUP BY source, target, budget),
+s0 AS (SELECT source, target, edge, fits, over, edge AS after, rest FROM first),
+@FILLS@
+taken AS (SELECT DISTINCT doc_id, source, h, size FROM (@TAKEN@))
+SELECT r.doc_id, r.size, r.source_size, r.target,
+       (r.size * (whole + CASE WHEN r.h < e.edge OR (r.h = e.edge AND (e.fits OR e.over < e.rest)) OR (NOT (NOT e.fits AND e.over < e.rest) AND t.h IS NOT NULL) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM run r JOIN s@LAST@ e ON r.source IS NOT DISTINCT FROM e.source
+LEFT JOIN taken t ON r.source IS NOT DISTINCT FROM t.source AND r.h = t.h AND r.size = t.size AND r.doc_id IS NOT DISTINCT FROM t.doc_id
 """
+
+
+def _filled_sql(sql: str) -> str:
+    one = """
+e{n} AS (
+  SELECT r.doc_id, r.source, r.h, r.size, s.rest, sum(r.size) OVER (PARTITION BY r.source ORDER BY r.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM run r JOIN s{k} s ON r.source IS NOT DISTINCT FROM s.source
+  WHERE NOT s.fits AND s.rest > s.target / 1000 AND r.h > s.after AND r.size <= s.rest AND r.size > 0),
+g{n} AS (SELECT source, coalesce(min(h) FILTER (upto > rest), max(h)) AS after, coalesce(max(upto) FILTER (upto <= rest), 0) AS got FROM e{n} GROUP BY source),
+s{n} AS (
+  SELECT s.source, s.target, s.edge, s.fits, s.over, coalesce(g.after, s.after) AS after, s.rest - coalesce(g.got, 0) AS rest
+  FROM s{k} s LEFT JOIN g{n} g ON s.source IS NOT DISTINCT FROM g.source),"""
+    steps = "".join(one.format(n=k + 1, k=k) for k in range(FILLS))
+    taken = " UNION ALL ".join(f"SELECT doc_id, source, h, size FROM e{k + 1} WHERE upto <= rest" for k in range(FILLS))
+    return sql.replace("@FILLS@", steps).replace("@TAKEN@", taken).replace("@LAST@", str(FILLS))
+
+
+OP3_SQL = _filled_sql(_MIX_SQL)

@@ -1,6 +1,8 @@
+import random
 from collections import defaultdict
 
 import duckdb
+from pyspark.sql import functions as F
 
 from pagewright.llm import mixing
 
@@ -37,6 +39,23 @@ def test_sources_come_near_their_targets(spark):
     assert all(target[s] <= 3 * sizes[s] for s in target)
 
 
+def test_long_documents_at_the_threshold_leave_no_gap(spark, tmp_path):
+    """Sources of small and very long documents come within 2 % where later ones can fill up; SQL takes the same ones."""
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.choice([3, 10, 40, 200, 3000 if i % 3 else 60]), f"s{i % 8}", "en") for i in range(1600)]
+    con, taken, target = duckdb.connect(), defaultdict(int), {}
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    con.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/d/*.parquet'")
+    want = {r[0]: r[4] for r in con.execute(mixing.OP3_SQL).fetchall()}
+    for r in mixed(spark, rows).collect():
+        assert r["taken"] == want[r["doc_id"]]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in target)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    assert mixing.mixed_documents(docs).agg(F.sum(F.floor(F.length("text") / 2))).first()[0] == sum(want.values())
+
+
 def test_hot_source_and_levels(spark):
     rows = [(i, "a b c", "hot" if i % 10 else f"s{i % 7}", "") for i in range(9000)]
     taken = defaultdict(int)
