@@ -17,8 +17,9 @@ from .scratch import materialize, opened, root
 CELLS = 256
 SLAB = 16384  # vectors of one file
 GROUP = 4096  # queries that a task holds
-RUN = 16  # slabs that a task passes its queries over
+UNITS = 1024  # pieces of work (a group of queries over some of the slabs), or one a group if there are more groups
 SCAN = 256  # queries bounded at once
+ENDS = 2.0**63  # of scores
 
 
 def usable(vector: Column) -> Column:
@@ -28,6 +29,7 @@ def usable(vector: Column) -> Column:
 
 
 def whole_numbers(vector: Column) -> Column:
+    """floor(256 * x) of each x, held within a long: Spark's floor() stops at its ends."""
     return F.transform(vector, lambda x: F.floor(x.cast("double") * 256))
 
 
@@ -43,7 +45,8 @@ class Grid:
         self.wide = dims * most * most >= 1 << 62  # then scores are computed with Python's integers
 
     def cells(self, v: np.ndarray) -> np.ndarray:
-        return ((v.astype(np.int64) - self.low) // self.width).astype(np.uint8)
+        up = v.astype(np.int64).view(np.uint64) - np.uint64(self.low % (1 << 64))  # differences wrap to what they are
+        return (up // np.uint64(self.width)).astype(np.uint8)
 
     def middles(self, cells: np.ndarray) -> np.ndarray:
         return cells * float(self.width) + (self.low + self.half)
@@ -55,7 +58,8 @@ class Grid:
 
     def dot(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         if self.wide:
-            return np.array((rows.astype(object) @ q.astype(object)).tolist(), np.int64)  # beyond a long: OverflowError
+            ends = np.iinfo(np.int64)
+            return np.array([min(max(x, ends.min), ends.max) for x in (rows.astype(object) @ q.astype(object)).tolist()], np.int64)
         return rows.astype(np.int64) @ q.astype(np.int64)
 
 
@@ -124,7 +128,8 @@ def search_slab(grid: Grid, q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, c
         else:
             certain = np.full(len(upper), -np.inf)
         known = np.array([b[0][-1] if len(b[0]) == k else -np.inf for b in best[at : at + SCAN]], np.float64)
-        floor = np.maximum(certain, known - np.abs(known) * 2.0**-50)
+        upper = np.where(upper == -np.inf, upper, np.clip(upper, -ENDS, ENDS))  # as scores stop there, too
+        floor = np.maximum(np.clip(certain, None, ENDS), known - np.abs(known) * 2.0**-50)
         opens = (upper >= floor[:, None]) & (upper > -np.inf)
         places = np.flatnonzero(opens.any(axis=0))
         if not len(places):
@@ -155,8 +160,9 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     vectors has vec_id and embedding. Rows whose vector is null or holds a null or non-finite component, or
     whose vec_id is null, take no part. A shorter vector counts as if zeros followed; an empty one scores 0
     everywhere. Equal scores go to smaller ids. Rows that repeat a vec_id are candidates and queries each,
-    and none is a candidate of its own id. Queries go over files in blocks; a task holds GROUP queries and
-    one slab, and the result of each of its blocks is the k best of RUN slabs.
+    and none is a candidate of its own id. Scores beyond a long are its ends. Queries go over files in blocks;
+    a task holds GROUP queries and one slab, and its result is the k best of all slabs of its piece of work.
+    There are UNITS pieces, or as many as groups: so results grow with the queries, not with the pairs.
     """
     spark = vectors.sparkSession
     v = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers(F.col("embedding")).alias("v"))
@@ -166,9 +172,9 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     folder = f"{root(spark)}/va"
     slabs = write_files(v, folder, grid, SLAB)
     groups = write_files(v.filter(asked).repartition(max(1, -(-said["asked"] // GROUP))), folder, grid, GROUP)
-    run = F.floor((F.row_number().over(W.orderBy("name")) - 1) / RUN)  # over files, not vectors
-    runs = slabs.withColumn("run", run).groupBy("run").agg(F.collect_list(F.struct("name", "n")).alias("slabs"))
     names = [(r["name"], r["n"]) for r in groups.collect()]  # one for each GROUP queries
+    run = F.pmod(F.xxhash64("name"), F.lit(-(-UNITS // max(1, len(names)))))
+    runs = slabs.withColumn("run", run).groupBy("run").agg(F.collect_list(F.struct("name", "n")).alias("slabs"))
     units = runs.select("slabs", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("g")) if names else runs.select("slabs", F.lit(0).alias("g")).limit(0)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -21,7 +21,7 @@ def run(spark, rows, **more):
 
 
 def test_matches_brute_force(spark, monkeypatch):
-    for name, n in (("SLAB", 64), ("GROUP", 5), ("RUN", 2), ("SCAN", 3)):
+    for name, n in (("SLAB", 64), ("GROUP", 5), ("UNITS", 9), ("SCAN", 3)):
         monkeypatch.setattr(vafile, name, n)
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(0, 3, 12).astype(np.float32).tolist()) for i in range(700)]
@@ -35,3 +35,19 @@ def test_wide_cells_and_few_rows(spark):
     assert run(spark, rows) == slow(rows)
     assert run(spark, [(0, [1.0, 2.0])]) == [] == run(spark, [])
     assert run(spark, [(0, [1.0]), (1, [0.0])]) == [(0, 1, 1, 0)]
+
+
+def test_values_beyond_a_long(spark):
+    """Components and scores stop at the ends of a long; ties there go to smaller ids."""
+    low, high = -(2**63), 2**63 - 1
+    held = lambda x: min(max(x, low), high)
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(0, 1, 3) * 10.0 ** int(rng.integers(-2, 20))).astype(np.float32).tolist()) for i in range(120)]
+    rows += [(200, [1e30, 1.0, 0.0]), (201, [-1e30, 1.0, 0.0]), (250, [1e30, -1e30, 0.5]), (251, [3e38, 3e38, 3e38])]
+    whole = [(i, [held(math.floor(256 * float(x))) for x in v]) for i, v in rows]
+    want = []
+    for q, a in whole:
+        if q % 50 == 0:
+            scored = sorted((-held(sum(x * y for x, y in zip(a, b))), c) for c, b in whole if c != q)[:5]
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored)]
+    assert run(spark, rows) == sorted(want)
