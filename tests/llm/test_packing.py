@@ -48,7 +48,7 @@ def test_plans_are_whole_and_gapless():
 def test_few_sequences():
     rng = np.random.default_rng(8)
     used, least = check_plan((np.minimum(2047, rng.lognormal(6, 0.9, 20000)).astype(int) + 1).tolist(), 2048)
-    assert used <= 1.01 * least
+    assert used <= 1.002 * least
 
 
 TEXTS = ["", None, "one two", "one two", "<|endoftext|> inside <|endoftext|>", "naïve Straße 中文 😀 ½", "word " * 9000, "A" * 7000, " \n\n  x", "it's WE'LL 're\x1c\x85\xa0z"]
