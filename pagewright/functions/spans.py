@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from typing import NamedTuple
 
 from .text import ABBREVIATIONS, LOOKALIKES
@@ -15,7 +16,9 @@ SNIPPET_LEAST, SNIPPET_MOST = 10, 100
 _SPACES = frozenset(" \t\n\r\f\x0b")
 _EDGES = frozenset(" ，,。.；;：:、\"'“”‘’《》<>【】[]")
 _BRACKETS = frozenset("()[]【】「」·")
-_ALIKE = frozenset(p for a, b in LOOKALIKES for p in ((a, b), (b, a)))
+_ALIKE: dict[str, str] = {}  # each character's lookalikes
+for _a, _b in LOOKALIKES:
+    _ALIKE[_a], _ALIKE[_b] = _ALIKE.get(_a, "") + _b, _ALIKE.get(_b, "") + _a
 _SHORT = re.compile(rf"(?:^|[ ,.])(?:{'|'.join(ABBREVIATIONS)})\Z", re.I)
 
 
@@ -84,12 +87,16 @@ def identity(text: str | None) -> str:
     return s[:-1] if len(s) > 2 and s.endswith(".") and _SHORT.search(s[:-1]) else s
 
 
+@lru_cache(4096)
+def one_off(name: str) -> re.Pattern | None:
+    """What reads like name but for one lookalike; null for fewer than six characters, or where none has a lookalike."""
+    ways = [re.escape(name[:k]) + f"[{_ALIKE[c]}]" + re.escape(name[k + 1 :]) for k, c in enumerate(name) if c in _ALIKE]
+    return re.compile("|".join(ways)) if ways and len(name) >= 6 else None
+
+
 def alike(a: str, b: str) -> bool:
     """Equal but for one lookalike, in six characters or more."""
-    if len(a) != len(b) or len(a) < 6:
-        return False
-    apart = [p for p in zip(a, b) if p[0] != p[1]]
-    return len(apart) == 1 and apart[0] in _ALIKE
+    return len(a) == len(b) and (ways := one_off(b)) is not None and ways.fullmatch(a) is not None
 
 
 class Page:
@@ -118,17 +125,10 @@ class Page:
 
     def find_alike(self, name: str | None) -> list[Hit]:
         """Exact matches; without one, stretches that differ by one lookalike."""
-        exact, name = self.find(name), repair(name)
-        if exact or len(name) < 6:
+        exact, ways = self.find(name), one_off(repair(name))
+        if exact or ways is None:
             return exact
-        hits, at = [], 0
-        while at + len(name) <= len(self.norm):
-            if alike(self.norm[at : at + len(name)], name):
-                hits.append(self._hit(at, name))
-                at += len(name)
-            else:
-                at += 1
-        return [h for h in hits if h]
+        return [h for m in ways.finditer(self.norm) if (h := self._hit(m.start(), m[0]))]
 
     def uncovered(self, name: str, others: list[str], loose: bool) -> list[Hit]:
         """Hits of name that no hit of a longer name in others encloses."""
@@ -167,14 +167,5 @@ def excerpt(source: str, start: int, stop: int) -> str:
 def prefer_corrected(snippet: str, name: str) -> str:
     """snippet with its lookalike stretches of name written as name."""
     name = repair(name)
-    if len(name) < 6 or name in snippet:
-        return snippet
-    out, at = [], 0
-    while at < len(snippet):
-        if alike(snippet[at : at + len(name)], name):
-            out.append(name)
-            at += len(name)
-        else:
-            out.append(snippet[at])
-            at += 1
-    return "".join(out)
+    ways = one_off(name)
+    return snippet if ways is None or name in snippet else ways.sub(lambda _: name, snippet)

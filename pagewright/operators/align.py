@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import spans
 from ..functions.text import LEGAL_FORMS, acceptable_company, acceptable_person, blank, identity, is_branch, joined_space, repair, repair_person
+from .assemble import RULES, page_rules, sanitized
 from .groups import lookahead
 
 HIT = "array<struct<start:int,stop:int,source_start:int,source_stop:int>>"
@@ -39,9 +40,11 @@ def find_positions(pages: DataFrame, names: DataFrame) -> DataFrame:
     p = pages.filter(~blank(F.col("text"))).select("doc_id", "page", joined_space(F.col("text")).alias("norm"))
     n = names.select(F.col("doc_id").alias("of"), repair(F.col("name")).alias("name")).filter("name != ''").distinct()
     hits = p.join(n, (F.col("doc_id") == F.col("of")) & F.col("norm").contains(F.col("name")))
-    pieces = F.split(F.col("norm"), F.concat(F.lit("\\Q"), F.col("name"), F.lit("\\E")), -1)
-    before = F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), lambda i: F.aggregate(F.slice("pieces", 1, i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * F.length("name"))
-    out = hits.withColumn("pieces", pieces).select("doc_id", "page", "name", F.explode(before).alias("start"))
+    lengths = F.transform(F.split(F.col("norm"), F.concat(F.lit("\\Q"), F.col("name"), F.lit("\\E")), -1), F.length)
+    out = hits.select("doc_id", "page", "name", F.posexplode(lengths).alias("nth", "gap"), F.size(lengths).alias("pieces"))
+    # a running sum over a name's hits on a page, so that many hits cost their number
+    before = F.sum("gap").over(W.partitionBy("doc_id", "page", "name").orderBy("nth")) + F.col("nth") * F.length("name")
+    out = out.withColumn("start", before.cast("int")).filter(F.col("nth") < F.col("pieces") - 1).select("doc_id", "page", "name", "start")
     return out.withColumn("stop", F.col("start") + F.length("name"))
 
 
@@ -134,3 +137,27 @@ def merge_entities(pages: DataFrame, raw: DataFrame) -> DataFrame:
     companies = suppress_short(aligned.select("doc_id", "name").distinct()).withColumn("kind", F.lit("company"))
     persons = good.filter("kind = 'person'").select("doc_id", "name", "kind")
     return name_hits(pages, companies.unionByName(persons))
+
+
+def vision_rules(said: DataFrame) -> DataFrame:
+    """sanitized() rules (doc_id, page, rule_code, ord, name, count, origin_text) whose names can be a person's or a company's."""
+    kind = F.when(F.col("rule_code") == RULES["person"], "person").otherwise("company")
+    r = sanitized(said).withColumn("kind", kind)
+    name = F.when(F.col("kind") == "person", repair_person(F.col("name"))).otherwise(F.col("name"))
+    r = r.withColumn("name", name)
+    good = F.when(F.col("kind") == "person", acceptable_person(F.col("name"))).otherwise(acceptable_company(F.col("name")))
+    return r.filter((F.col("name") != "") & good)
+
+
+def refined_rules(said: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page, rule_list): rules of vision_rules() checked against page texts.
+
+    A document with text has its names aligned anew, with counts and snippets of the text; one without keeps
+    what was said of it.
+    """
+    rules = vision_rules(said)
+    has = pages.filter(~blank(F.col("text"))).select("doc_id").distinct()
+    raw = rules.join(has, "doc_id", "left_semi").select("doc_id", "kind", "name", "ord")
+    found = page_rules(merge_entities(pages, raw).select("doc_id", "page", "kind", "name", "count", "origin_text"))
+    kept = page_rules(rules.join(has, "doc_id", "left_anti").select("doc_id", "page", "kind", "name", "count", "origin_text"))
+    return found.unionByName(kept)

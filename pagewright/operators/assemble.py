@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.spans import SNIPPET_MOST
 from ..functions.text import clipped, identity, repair
+from .groups import folded, in_order
 
 RULES = {"person": "B04", "company": "B06"}
 
@@ -77,10 +80,26 @@ def fill_origins(hits: DataFrame, snippets: DataFrame) -> DataFrame:
     return hits.join(s, ["doc_id", "page", "kind", "name"], "left").withColumn("origin_text", F.coalesce(own, "found", F.array().cast("array<string>"))).drop("found")
 
 
+class _Digest:
+    def __init__(self, doc):
+        self.doc, self.sha = doc, hashlib.sha256()
+
+    def add(self, row):
+        self.sha.update(f"{row['page']}\n{row['text']}\n".encode())
+        return ()
+
+    def end(self):
+        yield {"doc_id": self.doc, "sha256": self.sha.hexdigest()}
+
+
 def text_hash(pages: DataFrame) -> DataFrame:
-    """(doc_id, sha256) over 'page, line feed, text, line feed' of all pages in order, blank ones included."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda x: F.concat(x["page"].cast("string"), F.lit("\n"), x["text"], F.lit("\n")))
-    return pages.groupBy("doc_id").agg(F.sha2(F.array_join(parts, "").cast("binary"), 256).alias("sha256"))
+    """(doc_id, sha256) over 'page, line feed, text, line feed' of all pages in order, blank ones included.
+
+    Pages stream through a running digest, so a document may be of any length; pages of one number go by
+    their texts.
+    """
+    p = pages.select("doc_id", F.col("page").cast("long").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    return folded(in_order(p, "doc_id", "page", "text"), _Digest, f"doc_id {dict(pages.dtypes)['doc_id']}, sha256 string")
 
 
 def scores(gold: DataFrame, found: DataFrame, *keys: str) -> DataFrame:

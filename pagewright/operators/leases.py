@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,9 +26,10 @@ class Policy:
     ahead: int = 0  # pages that a full node may hold besides
     nodes: int = 1  # expected nodes, for small batches at the end
     fixed_batch: int = 0
+    deferred: bool = False  # pages queue only once they are admitted
 
 
-@dataclass
+@dataclass(eq=False)
 class Lease:
     batch: int
     node: object
@@ -44,20 +46,54 @@ class Book:
     total: int
     policy: Policy = Policy()
     queue: deque = field(default_factory=deque)
+    queued: set[int] = field(default_factory=set)
     leases: dict[int, Lease] = field(default_factory=dict)
+    by_page: dict[int, list[Lease]] = field(default_factory=dict)  # undone pages' leases, oldest first
+    by_node: dict = field(default_factory=dict)  # node -> {batch: lease}
+    held: dict = field(default_factory=dict)  # node -> undone pages under lease, repeats included
+    ends: list = field(default_factory=list)  # heap of (until, batch)
     done: set[int] = field(default_factory=set)
     pace: dict = field(default_factory=dict)  # node -> [pages, seconds, batch measured last]
     capacity: dict = field(default_factory=dict)
     batches: int = 0
 
     def __post_init__(self):
-        self.queue.extend(range(1, self.total + 1))
+        self.unseen = set(range(1, self.total + 1))  # pages of which it isn't known yet whether they queue
+        if not self.policy.deferred:
+            for p in range(1, self.total + 1):
+                self.admit(p)
+
+    def _idle(self, page: int) -> bool:
+        """A page of the job that is neither done nor queued nor leased."""
+        return 1 <= page <= self.total and page not in self.done and page not in self.queued and not self.by_page.get(page)
+
+    def admit(self, page: int) -> bool:
+        if not self._idle(page):
+            return False
+        self.queue.append(page)
+        self.queued.add(page)
+        self.unseen.discard(page)
+        return True
+
+    def finish(self, page: int) -> bool:
+        """Done without a lease, as for a page whose text layer is used."""
+        if not self._idle(page):
+            return False
+        self.done.add(page)
+        self.unseen.discard(page)
+        return True
+
+    def seal(self) -> list[int]:
+        """Ends the admission; pages still unseen no longer count as work to come."""
+        rest = sorted(self.unseen)
+        self.unseen.clear()
+        return rest
 
     def holders(self, page: int) -> list[Lease]:
-        return [x for x in self.leases.values() if page in x.pages]
+        return self.by_page.get(page, [])
 
     def in_flight(self, node) -> int:
-        return sum(p not in self.done for x in self.leases.values() if x.node == node for p in x.pages)
+        return self.held.get(node, 0)
 
     def page_ms(self, node) -> float:
         pages, seconds, _ = self.pace.get(node, (0, 0, None))
@@ -74,18 +110,27 @@ class Book:
 
     def reap(self, now: int) -> list[int]:
         """Ends leases past their time; their pages that are neither done nor leased elsewhere queue again."""
-        return [p for b in [b for b, x in self.leases.items() if x.until <= now] for p in self.release(b)]
+        over = []
+        while self.ends and self.ends[0][0] <= now:
+            batch = heappop(self.ends)[1]
+            if batch in self.leases:
+                over.append(batch)
+        return [p for b in sorted(over) for p in self.release(b)]
 
     def release(self, batch: int) -> list[int]:
         lease, back = self.leases.pop(batch), []
+        self.by_node[lease.node].pop(batch)
         for p in sorted(lease.pages):
-            if p not in self.done and not self.holders(p) and p not in self.queue:
-                self.queue.append(p)
+            if p in self.done:
+                continue
+            self.by_page[p].remove(lease)
+            self.held[lease.node] -= 1
+            if self.admit(p):
                 back.append(p)
         return back
 
     def drop(self, node) -> list[int]:
-        return [p for b in [b for b, x in self.leases.items() if x.node == node] for p in self.release(b)]
+        return [p for b in list(self.by_node.get(node, ())) for p in self.release(b)]
 
     def takeover(self, node) -> list[int]:
         return [p for b in [b for b, x in self.leases.items() if x.node != node] for p in self.release(b)]
@@ -103,18 +148,28 @@ class Book:
             return "batch", self._lease(node, [blocker], True, now)
         want = min(room, self.batch_size(node, capacity), most or room)
         if self.queue:
-            few = len(self.queue)
+            few = len(self.queue) + len(self.unseen)
             want = 1 if few <= self.policy.nodes else min(want, 2) if few <= 2 * self.policy.nodes else want
-            return "batch", self._lease(node, [self.queue.popleft() for _ in range(min(max(want, 1), few))], False, now)
+            return "batch", self._lease(node, [self._next() for _ in range(min(max(want, 1), len(self.queue)))], False, now)
         tail = self.total - len(self.done) <= self.policy.tail
         copies = self._copies(node, max(want, 1), now, stale_only=not tail) if tail or self.policy.stale_copies else []
         return ("batch", self._lease(node, copies, True, now)) if copies else ("wait", None)
 
+    def _next(self) -> int:
+        page = self.queue.popleft()
+        self.queued.discard(page)
+        return page
+
     def _lease(self, node, pages: list[int], copy: bool, now: int) -> Lease:
         p = self.policy
         self.batches += 1
         lease = Lease(self.batches, node, pages, now, now + min(max(p.floor_ms, len(pages) * p.per_page_ms), p.cap_ms), copy)
         self.leases[lease.batch] = lease
+        self.by_node.setdefault(node, {})[lease.batch] = lease
+        heappush(self.ends, (lease.until, lease.batch))
+        for page in pages:
+            self.by_page.setdefault(page, []).append(lease)
+        self.held[node] = self.in_flight(node) + len(pages)
         return lease
 
     def _blocks(self, node, page: int, now: int) -> bool:
@@ -148,13 +203,17 @@ class Book:
         if lease is None or page in self.done:
             return False
         self.done.add(page)
+        held = self.by_page.pop(page)
+        for x in held:
+            self.held[x.node] -= 1
         pace = self.pace.setdefault(node, [0, 0.0, None])
         pace[0] += 1
         if pace[2] != lease.batch:
             pace[1] += max(0.05, (now - lease.created) / 1000)
             pace[2] = lease.batch
-        for x in [x for x in self.leases.values() if all(p in self.done for p in x.pages)]:
-            del self.leases[x.batch]
+        for x in held:
+            if all(p in self.done for p in x.pages):
+                del self.leases[x.batch], self.by_node[x.node][x.batch]
         return True
 
 
@@ -170,6 +229,11 @@ class _Replay:
         if kind == "claim":
             outcome, lease = book.claim(node, row["capacity"], now, blocker=row["blocker"])
             out |= {"outcome": outcome} | ({"batch": lease.batch, "pages": sorted(lease.pages), "lease_ms": lease.until - lease.created, "copy": lease.copy} if lease else {})
+        elif kind in ("admit", "finish"):
+            good = book.admit(row["page"]) if kind == "admit" else book.finish(row["page"])
+            out |= {"outcome": {"admit": "admitted", "finish": "finished"}[kind] if good else "refused", "pages": [row["page"]]}
+        elif kind == "seal":
+            out |= {"outcome": "sealed", "pages": book.seal()}
         elif kind == "commit":
             book.reap(now)
             out |= {"outcome": "accepted" if book.commit(node, row["page"], now) else "refused", "pages": [row["page"]]}
@@ -185,7 +249,8 @@ class _Replay:
 def replay(events: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """(job, seq, outcome, batch, pages, lease_ms, copy) per event (job, seq, ts, node, kind, page, capacity, total, blocker).
 
-    kind is claim, commit, reap, drop or takeover. A job's events stream through its task in order of ts
+    kind is claim, commit, reap, drop, takeover, admit, finish or seal; the last three are for a policy that
+    is deferred, where pages queue once they are admitted. A job's events stream through its task in order of ts
     and seq; only the job's own pages are held.
     """
     kinds = dict(events.dtypes)

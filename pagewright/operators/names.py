@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.spans import is_cjk
 from ..functions.text import CJK, any_of, blank
 
 # Labels, suffixes in the order in which they are tried, and words that are no names.
@@ -63,6 +62,11 @@ def english_persons(text: Column) -> Column:
     return F.filter(found, lambda n: F.length(n).between(3, 40) & ~n.rlike(rf"(?i){ENGLISH_FORMS}\b|university|company"))
 
 
+def may_name_a_person(text: Column) -> Column:
+    """False only where english_persons() finds none: a cheap test before it."""
+    return text.rlike(r"[A-Z][a-z]+[ \t]+[A-Z][a-z]")
+
+
 def labelled(text: Column, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), spaces)
 
@@ -94,16 +98,26 @@ def label_names(pages: DataFrame) -> DataFrame:
 
 _SPACES = re.compile(r"[ \t　]+")
 _ENGLISH = re.compile(rf"{ENGLISH_FORMS}\b", re.I)
-_NAME = re.compile(rf"[{CJK}A-Za-z0-9·•&\-]")
-_HEADS = re.compile(f"(?:{any_of(CONNECTORS)})")
+_SUFFIX = f"(?:{any_of(SUFFIXES)})"
+_RUN = re.compile(rf"[{CJK}A-Za-z0-9·•&\-]*\Z")
+_HEADS = re.compile(f"^(?:{any_of(CONNECTORS)})*(.)")
+_PERSON = re.compile(f"[{CJK}·]{{2,4}}(?<!{')(?<!'.join(TITLES)})")
+_NOT_IN_PERSON = re.compile(any_of((*NO_PERSON, *SUFFIXES)))
+BACK = 40  # characters before a suffix that may belong to its name
+CLEAR = 12  # characters after a person's name in which no company's suffix begins
 
 
 class Heuristics:
     """Events of names in a text by suffix and surname; a name counts once for each rule and suffix that finds it."""
 
     def __init__(self, surnames=SURNAMES, compounds=COMPOUND_SURNAMES):
-        self.surnames, self.compounds = surnames, compounds
         self.person_rules = [re.compile(PERSON_LABEL), re.compile(PERSON_TITLE)]
+        single, compound = f"[{''.join(sorted(surnames))}]", f"(?:{any_of(tuple(sorted(compounds)))})"
+        self.has_surname = re.compile(f"{compound}(?=.)|{single}", re.S)
+        # where a run of characters begins: each way to read a name there, longest surname and then longest given name first
+        given, ends = f"(?:(?!{_SUFFIX})[{CJK}·•])", f"(?=[^{CJK}·•]|\\Z|{any_of(TITLES)})(?![\\s\\S]{{0,{CLEAR}}}{_SUFFIX})"
+        ways = "".join(f"(?=({surname}{given}{{{n}}}{ends})?)" for surname in (compound, single) for n in (2, 1))
+        self.begins = re.compile(f"(?<![{CJK}])(?=[{CJK}]){ways}")
 
     def company(self, raw: str) -> str | None:
         s = _SPACES.sub(" ", raw.strip()).lstrip(" \t　、，,。;；:：\"'“”（）().").rstrip(" \t　、，,。;；:：\"'“”（）()")
@@ -115,54 +129,26 @@ class Heuristics:
     def by_suffix(self, text: str):
         """A company before each occurrence of each suffix: name characters up to 40 back, without leading connectors."""
         for suffix in SUFFIXES:
-            at = text.find(suffix)
-            while at >= 0:
-                start = at
-                while start > max(0, at - 40) and _NAME.match(text[start - 1]):
-                    start -= 1
-                broken = start > 0 and at - start < 40
-                while not broken and (m := _HEADS.match(text, start, at)) and m.end() < at:
-                    start = m.end()
-                if at + len(suffix) - start >= 4 and (name := self.company(text[start : at + len(suffix)])):
+            for m in re.finditer(suffix, text):
+                before = _RUN.search(text, max(0, m.start() - BACK), m.start())[0]
+                if len(before) == min(BACK, m.start()):  # nothing but the name lies there
+                    before = _HEADS.sub(r"\1", before)
+                name = self.company(before + suffix) if len(before + suffix) >= 4 else None
+                if name:
                     yield name
-                at = text.find(suffix, at + len(suffix))
 
     def person(self, raw: str) -> str | None:
         s = _SPACES.sub(" ", raw.strip()).strip(" \t　、，,。.").replace("•", "·")
-        if not 2 <= len(s) <= 4 or any(w in s for w in (*NO_PERSON, *SUFFIXES)) or not all(is_cjk(c) or c == "·" for c in s):
-            return None
-        surname = (len(s) >= 3 and s[:2] in self.compounds) or s[0] in self.surnames
-        return s if surname and not s.endswith(TITLES) else None
+        fits = _PERSON.fullmatch(s) and not _NOT_IN_PERSON.search(s) and self.has_surname.match(s)
+        return s if fits else None
 
     def by_surname(self, text: str):
-        """Compound then single surnames at the start of a run, with two then one characters more, before its end or a title."""
-        at = 0
-        while at < len(text):
-            took = 1
-            if is_cjk(text[at]) and (at == 0 or not is_cjk(text[at - 1])):
-                for width in (2, 1):
-                    if text[at : at + width] not in (self.compounds if width == 2 else self.surnames):
-                        continue
-                    name = next((n for n in map(lambda given: self._taken(text, at, width, given), (2, 1)) if n), None)
-                    if name:
-                        yield name
-                        took = len(name)
-                        break
-            at += took
-
-    def _taken(self, text: str, at: int, width: int, given: int) -> str | None:
-        stop = at + width + given
-        if stop > len(text):
-            return None
-        for k in range(at + width, stop):
-            if not (is_cjk(text[k]) or text[k] in "·•") or text.startswith(SUFFIXES, k):
-                return None
-        if stop < len(text) and (is_cjk(text[stop]) or text[stop] in "·•") and not text.startswith(TITLES, stop):
-            return None
-        near = text[stop : stop + 20]
-        if any(0 <= near.find(s) <= 12 for s in SUFFIXES):
-            return None
-        return self.person(text[at:stop])
+        """Surnames at the start of a run with two characters more or one, before its end or a title and far from a suffix."""
+        free = 0
+        for m in self.begins.finditer(text):
+            if m.start() >= free and (name := next(filter(None, map(self.person, filter(None, m.groups()))), None)):
+                yield name
+                free = m.start() + len(name)
 
     def events(self, text: str):
         for name in self.by_suffix(text):

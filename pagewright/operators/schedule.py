@@ -14,6 +14,22 @@ def _micros(at: Column) -> Column:
     return F.unix_micros(at.cast("timestamp"))
 
 
+def _sliced(events: DataFrame, width_s: int) -> DataFrame:
+    """events with slice, the number of their stretch of width_s seconds: a key's events are walked a slice at a time, side by side."""
+    return events.withColumn("slice", F.floor(_micros(F.col("ts")) / (width_s * 1_000_000)))
+
+
+def _carried(e: DataFrame, key: str, change: Column, carry) -> DataFrame:
+    """e (key, slice, ...) with before: what carry() makes of change() of the key's earlier slices; one row a slice meets the others."""
+    per = e.groupBy(F.col(key).alias("of"), F.col("slice").alias("in")).agg(change.alias("change"))
+    earlier = W.partitionBy("of").orderBy("in").rowsBetween(W.unboundedPreceding, -1)
+    per = per.withColumn("before", carry(earlier)).drop("change")
+    return e.join(per, F.col(key).eqNullSafe(F.col("of")) & F.col("slice").eqNullSafe(F.col("in"))).drop("of", "in")
+
+
+SLICE_S = 3600  # seconds of events of a key that one task walks
+
+
 def lease_ms(pages: Column, per_page: Column, floor: Column, cap: Column) -> Column:
     return F.least(F.greatest(floor, pages * per_page), cap)
 
@@ -64,10 +80,15 @@ def snapshot(pages: DataFrame) -> DataFrame:
 
 
 def earliest_missing(totals: DataFrame, done: DataFrame) -> DataFrame:
-    """(job, missing): the first page of 1..total that isn't done, null if all are."""
-    grid = totals.select("job", F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))).alias("page"))
-    gone = done.select("job", F.col("page").cast("int").alias("page"), F.lit(True).alias("is_done")).distinct()
-    return grid.join(gone, ["job", "page"], "left").groupBy("job").agg(F.min(F.when(F.col("is_done").isNull(), F.col("page"))).alias("missing"))
+    """(job, missing): the first page of 1..total that isn't done, null if all are.
+
+    The first gap is where the nth different done page isn't n.
+    """
+    gone = done.select(F.col("job").alias("of"), F.col("page").cast("int").alias("page")).filter("page >= 1").distinct()
+    nth = F.row_number().over(W.partitionBy("of").orderBy("page"))
+    run = gone.withColumn("nth", nth).groupBy("of").agg(F.count_if(F.col("page") == F.col("nth")).alias("run"))
+    first = (F.coalesce(F.col("run"), F.lit(0)) + 1).cast("int")
+    return totals.join(run, F.col("job") == F.col("of"), "left").select("job", F.when(first <= F.col("total"), first).alias("missing"))
 
 
 def node_rates(commits: DataFrame) -> DataFrame:
@@ -89,12 +110,13 @@ def progress_bucket(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor(done * 100 / total / 10)).otherwise(0).cast("int")
 
 
-def progress_lines(events: DataFrame) -> DataFrame:
-    """Running count of done pages with the rows where a new tenth begins."""
-    w = W.partitionBy("job").orderBy("ts", "seq")
-    e = events.withColumn("done", F.row_number().over(w)).withColumn("bucket", progress_bucket(F.col("done"), F.col("total")))
-    e = e.withColumn("before", F.coalesce(F.lag("bucket").over(w), F.lit(0)))
-    return e.filter((F.col("bucket") >= 1) & (F.col("bucket") > F.col("before")) & (F.col("done") < F.col("total"))).drop("before")
+def progress_lines(events: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
+    """Running count of done pages with the rows where a new tenth begins. Slices of a job are counted side by side."""
+    e = _carried(_sliced(events, slice_s), "job", F.count("*"), lambda w: F.coalesce(F.sum("change").over(w), F.lit(0)))
+    nth = F.row_number().over(W.partitionBy("job", "slice").orderBy("ts", "seq"))
+    e = e.withColumn("done", (F.col("before") + nth).cast("int")).withColumn("bucket", progress_bucket(F.col("done"), F.col("total")))
+    first = F.when(F.col("done") > 1, progress_bucket(F.col("done") - 1, F.col("total"))).otherwise(0)  # the event before it has one done page fewer
+    return e.filter((F.col("bucket") >= 1) & (F.col("bucket") > first) & (F.col("done") < F.col("total"))).drop("before", "slice")
 
 
 def wall_span(intervals: DataFrame, *keys: str) -> DataFrame:
@@ -117,26 +139,47 @@ def peak_concurrency(intervals: DataFrame, *keys: str, width_ms: int = 3_600_000
     return tops.withColumn("open", F.col("top") + before).groupBy(*keys).agg(F.max("open").alias("peak"))
 
 
-def attempts(events: DataFrame, most: int = MOST_ATTEMPTS) -> DataFrame:
-    """Events with failures so far in their group and gave_up once most are reached; takeovers don't count."""
-    w = W.partitionBy("group_id").orderBy("ts", "seq")
-    e = events.withColumn("failures", F.sum(F.col("kind").isin("fail", "expire", "drop").cast("int")).over(w).cast("long"))
+def attempts(events: DataFrame, most: int = MOST_ATTEMPTS, slice_s: int = SLICE_S) -> DataFrame:
+    """Events with failures so far in their group and gave_up once most are reached; takeovers don't count.
+
+    Slices of a group are counted side by side, each from the sum of those before it.
+    """
+    failed = F.col("kind").isin("fail", "expire", "drop").cast("long")
+    e = _carried(_sliced(events, slice_s), "group_id", F.sum(failed), lambda w: F.coalesce(F.sum("change").over(w), F.lit(0)))
+    inside = F.sum(failed).over(W.partitionBy("group_id", "slice").orderBy("ts", "seq"))
+    e = e.withColumn("failures", (F.col("before") + inside).cast("long")).drop("before", "slice")
     return e.withColumn("gave_up", F.col("failures") >= most)
 
 
-def same_failer(events: DataFrame) -> DataFrame:
-    """Claims of a group by the node that failed it last."""
-    w = W.partitionBy("group_id").orderBy("ts", "seq")
-    return events.withColumn("failer", F.last(F.when(F.col("kind") == "fail", F.col("node")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))).filter("kind = 'claim' AND failer = node")
+def same_failer(events: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
+    """Claims of a group by the node that failed it last, also in an earlier slice."""
+    who = F.when(F.col("kind") == "fail", F.struct("ts", "seq", "node"))
+    e = _carried(_sliced(events, slice_s), "group_id", F.max(who), lambda w: F.max("change").over(w))
+    w = W.partitionBy("group_id", "slice").orderBy("ts", "seq")
+    inside = F.last(F.when(F.col("kind") == "fail", F.col("node")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    return e.withColumn("failer", F.coalesce(inside, "before.node")).drop("before", "slice").filter("kind = 'claim' AND failer = node")
+
 
+def liveness(probes: DataFrame, misses: int = 2, slice_s: int = SLICE_S) -> DataFrame:
+    """Probes (node, ts, seq, ok) with missed in a row and healthy; a success or heartbeat starts anew.
 
-def liveness(probes: DataFrame, misses: int = 2) -> DataFrame:
-    """Probes (node, ts, seq, ok) with missed in a row and healthy; a success or heartbeat starts anew."""
-    w = W.partitionBy("node").orderBy("ts", "seq")
-    run = F.sum(F.col("ok").cast("int")).over(w)
-    p = probes.withColumn("run", run)
-    missed = F.sum((~F.col("ok")).cast("int")).over(W.partitionBy("node", "run").orderBy("ts", "seq"))
-    return p.withColumn("missed", missed.cast("long")).withColumn("healthy", F.col("missed") < misses).drop("run")
+    A slice of a node starts from the misses since the last success before it.
+    """
+    missed = (~F.col("ok")).cast("long")
+    p = _sliced(probes, slice_s)
+    since = F.sum(F.col("ok").cast("int")).over(W.partitionBy("node", "slice").orderBy("ts", "seq"))
+    p = p.withColumn("run", since).withColumn("inside", F.sum(missed).over(W.partitionBy("node", "slice", "run").orderBy("ts", "seq")))
+    # of a slice: whether it has a success, and its misses after the last one (or all)
+    end = F.max_by(F.struct(F.col("run").alias("run"), F.col("inside").alias("left")), F.struct("ts", "seq"))
+    per = p.groupBy(F.col("node").alias("of"), F.col("slice").alias("in")).agg(end.alias("end"))
+    earlier = W.partitionBy("of").orderBy("in").rowsBetween(W.unboundedPreceding, -1)
+    total = F.sum("end.left").over(W.partitionBy("of").orderBy("in"))  # of all slices up to here
+    at_reset = F.when(F.col("end.run") > 0, F.col("total") - F.col("end.left"))  # what of it no longer counts
+    per = per.withColumn("total", total)
+    per = per.withColumn("gone", at_reset).withColumn("carry", F.coalesce(F.last("total").over(earlier), F.lit(0)) - F.coalesce(F.last("gone", ignorenulls=True).over(earlier), F.lit(0)))
+    p = p.join(per.select("of", "in", "carry"), F.col("node").eqNullSafe(F.col("of")) & F.col("slice").eqNullSafe(F.col("in")))
+    p = p.withColumn("missed", (F.col("inside") + F.when(F.col("run") == 0, F.col("carry")).otherwise(0)).cast("long"))
+    return p.withColumn("healthy", F.col("missed") < misses).drop("run", "inside", "slice", "of", "in", "carry")
 
 
 def room(nodes: DataFrame) -> DataFrame:

@@ -28,6 +28,24 @@ def supplier_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUPPLIER_PAGES = f"sp AS (SELECT s_suppkey // 5 AS doc_id, CAST(s_suppkey % 5 + 1 AS INTEGER) AS page, {SUPPLIER_TEXT} AS text FROM supplier)"
 
 
+#: In both dialects: a customer's page text by c_custkey, with names of persons and companies in many positions.
+_SUR = "substr('赵钱孙李周吴郑王冯陈司晴卫欧', CAST(c_custkey % 14 + 1 AS INTEGER), 1)"
+_K = "CAST(c_custkey % 5 AS STRING)"
+NAME_TEXT = f"""CASE c_custkey % 17
+  WHEN 0 THEN '联系人：' || {_SUR} || '建明 电话。海光' || {_K} || '集团' WHEN 1 THEN {_SUR} || '晓东先生与欧阳娜娜签字，' || {_SUR} || '晓东' WHEN 2 THEN '买方为' || {_SUR} || '宁体育用品有限公司，系第三方'
+  WHEN 3 THEN '经办人 ' || {_SUR} || '文' || chr(10) || '日期' WHEN 4 THEN '甲方为海光' || {_K} || '集团有限公司及其子公司' WHEN 5 THEN {_SUR} || '强有限公司' WHEN 6 THEN '，司马' || {_SUR} || '。司马相如' || chr(10)
+  WHEN 7 THEN '海光' || {_K} || '集团股份有限公司 海光' || {_K} || '集团' WHEN 8 THEN '法定代表人：' || {_SUR} || '某某' WHEN 9 THEN '由' || {_SUR} || '立国主任签发，' || {_SUR} || '立国，本院大学附属医院'
+  WHEN 10 THEN ' ' || chr(9) WHEN 11 THEN {_SUR} || '平' || chr(10) || {_SUR} || '小平·海光' || {_K} || '集团分公司' WHEN 12 THEN '与和丰银行' || {_K} || '支行及中州大学' WHEN 13 THEN 'x ' || {_SUR} || ' 公司名称：东海' || {_K} || '商业银行'
+  WHEN 14 THEN '签字：' || {_SUR} || '国强董事长' WHEN 15 THEN '海光' || {_K} || '集团有限公司' ELSE {_SUR} || '海。' || repeat('长', 45) || '研究所' END"""
+
+
+def name_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, text): suppliers' pages, and customers' with names, six of them a document."""
+    c = table(spark, sf_dir, "customer")
+    named = c.select(F.expr("1000000 + c_custkey div 6").alias("doc_id"), F.expr("cast(c_custkey % 6 + 1 AS int)").alias("page"), F.expr(NAME_TEXT).alias("text"))
+    return supplier_pages(spark, sf_dir).union(named)
+
+
 def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page, text): a document's lines as its pages."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "text"))
@@ -38,6 +56,9 @@ LINE_PAGES = """lp AS (SELECT doc_id, CAST(page AS INTEGER) AS page, lines[page]
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS page FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)))"""
 
 
+NAME_PAGES = f"{SUPPLIER_PAGES}, np AS (SELECT * FROM sp UNION ALL SELECT 1000000 + c_custkey // 6, CAST(c_custkey % 6 + 1 AS INTEGER), {NAME_TEXT} FROM customer)"
+
+
 def turn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page, text): a conversation's turns as its pages, every seventh turn blank."""
     c = table(spark, sf_dir, "conversations")

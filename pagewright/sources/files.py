@@ -86,12 +86,16 @@ def write_callbacks(results: DataFrame, path: str) -> None:
     results.write.mode("append").json(path)
 
 
-def recognise(pages: DataFrame, engine, schema: str = "doc_id long, page int, text string, ocr_ms double") -> DataFrame:
+VISION_CHARS = 8000  # of a vision model's text that count
+
+
+def recognise(pages: DataFrame, engine, schema: str = "doc_id long, page int, text string, ocr_ms double", most: int | None = None) -> DataFrame:
     """Runs an outside engine over pages that have no usable text layer.
 
     engine is a function of an iterator of Arrow batches. The filter is put before it, so that pages with
-    a text layer never reach it.
+    a text layer never reach it. Texts are cut to most characters (VISION_CHARS for a vision model).
     """
     todo = pages.filter(~F.col("use_layer"))
     done = todo.mapInArrow(engine, schema)
-    return done.withColumn("text", F.trim(F.regexp_replace("text", "\r", "")))
+    text = F.trim(F.regexp_replace("text", "\r", ""))
+    return done.withColumn("text", text if most is None else clipped(text, most))

@@ -40,28 +40,3 @@ def test_query(spark, con, name):
     at = [[c[0] for c in found.description].index(c) for c in columns]
     assert len(at) == len(found.description)
     assert got == sorted("|".join(plain(r[i]) for i in at) for r in found.fetchall())
-
-
-def test_all_refs_and_all_jobs(spark, con):
-    """source_resolution and speculative_copies over the rows that their filters leave out, too."""
-    from pyspark.sql import functions as F
-
-    from pagewright.operators import schedule
-    from pagewright.plans import corpus as co
-    from pagewright.sources import files
-
-    refs = catalog._refs(spark, SF)
-    listing = refs.filter("p_partkey % 5 = 0").select(F.lit("/data").alias("root"), files.safe_name(F.col("file_id")).alias("name")).filter("name IS NOT NULL")
-    done = co.node_events(spark, SF).filter("kind = 'commit' AND seq % 40 = 1")
-    whole = [
-        ("source_resolution", " WHERE p_partkey % 8 <> 0 AND p_partkey % 8 <> 4 AND p_partkey % 8 <> 6", files.resolve_refs(files.accepted_refs(refs), listing)),
-        ("speculative_copies", "job % 8 > 0 AND ", schedule.speculative(catalog._leases(spark, SF), done, 2, 12).select("job", "page", "place")),
-    ]
-    for name, left_out, df in whole:
-        assert left_out in catalog.SQL[name]
-        found = con.execute(catalog.SQL[name].replace(left_out, ""))
-        columns = sorted(df.columns)
-        at = [[c[0] for c in found.description].index(c) for c in columns]
-        want = sorted("|".join(plain(r[i]) for i in at) for r in found.fetchall())
-        assert sorted("|".join(map(plain, r)) for r in df.select(*columns).collect()) == want, name
-        assert len(want) > catalog.QUERIES[name](spark, SF).count(), name

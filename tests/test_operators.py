@@ -114,3 +114,53 @@ def test_outside_engine_sees_only_pages_without_a_layer(spark):
 
     pages = spark.createDataFrame([(1, 1, True), (1, 2, False)], "doc_id long, page int, use_layer boolean")
     assert [(r["page"], r["text"].strip()) for r in files.recognise(pages, engine).collect()] == [(2, "read")]
+    assert [r["text"] for r in files.recognise(pages, engine, most=3).collect()] == ["rea"]
+
+
+def test_selections(spark):
+    df = spark.createDataFrame([(1, [3, 1, 3], "1-2", "5"), (2, [], None, "5"), (3, None, "", None)], "id long, pages array<int>, body string, query string")
+    rows = {r["id"]: r for r in df.select("id", ranges.single_pages(F.col("pages")).alias("r"), ranges.prefer_body(F.col("body"), F.col("query")).alias("s")).collect()}
+    assert [tuple(x) for x in rows[1]["r"]] == [(3, 3), (1, 1), (3, 3)] and rows[2]["r"] == [] and rows[3]["r"] is None
+    assert [rows[k]["s"] for k in (1, 2, 3)] == ["1-2", "5", ""]
+
+
+def test_callbacks(spark, tmp_path):
+    df = spark.createDataFrame([("j1", [1, 2], None), ("j2", [], "failed")], "job_id string, pages array<int>, error string")
+    files.write_callbacks(df, f"{tmp_path}/out")
+    files.write_callbacks(df.limit(1), f"{tmp_path}/out")  # later ones are added
+    got = sorted(((r["job_id"], r["pages"], r["error"]) for r in spark.read.schema(df.schema).json(f"{tmp_path}/out").collect()), key=str)
+    assert got == [("j1", [1, 2], None), ("j1", [1, 2], None), ("j2", [], "failed")]
+
+
+def test_vision_rules(spark):
+    said = [
+        (1, 1, "b04", 1, "张伟 先生", 0, ["张伟先生签字"]), (1, 1, "B04", 2, "原告", 1, []), (1, 1, "B06", 3, "星河技术有限公司", 2, ["a" * 150]), (1, 1, "B06", 4, "星河技术 有限公司", 1, []), (1, 2, "X1", 5, "海光集团", 1, []),
+        (2, 1, "B06", 6, "海光集团", 3, ["海光集团"]), (2, 1, "B06", 7, "某市人民法院", 1, []), (1, 1, "B06", 8, "不在文中有限公司", 1, []),
+    ]
+    rules = spark.createDataFrame(said, "doc_id long, page int, rule_code string, ord long, name string, count int, origin_text array<string>")
+    got = {(r["doc_id"], r["page"], r["kind"], r["name"], r["count"]) for r in align.vision_rules(rules).collect()}
+    assert got == {(1, 1, "person", "张伟", 1), (1, 1, "company", "星河技术有限公司", 2), (2, 1, "company", "海光集团", 3), (1, 1, "company", "不在文中有限公司", 1)}
+    pages = spark.createDataFrame([(1, 1, "甲方：星河技术有限公司，张 伟、张伟先生"), (1, 2, " "), (2, 1, None)], "doc_id long, page int, text string")
+    found = {(r["doc_id"], r["page"], r["kind"], r["name"], r["count"]) for r in assemble.flat_hits(align.refined_rules(rules, pages)).collect()}
+    assert found == {(1, 1, "person", "张伟", 2), (1, 1, "company", "星河技术有限公司", 1), (2, 1, "company", "海光集团", 3)}
+
+
+def test_many_hits_on_a_page(spark):
+    """20,000 of them: their places come from one running sum."""
+    text = "海光公司，" * 20_000
+    df = spark.createDataFrame([(1, 1, text)], "doc_id long, page int, text string")
+    hits = align.find_positions(df, spark.createDataFrame([(1, "海光公司"), (1, "没有公司")], "doc_id long, name string"))
+    assert sorted(tuple(r) for r in hits.select("name", "start", "stop").collect()) == [("海光公司", 5 * k, 5 * k + 4) for k in range(20_000)]
+
+
+def test_slices_do_not_matter(spark):
+    """Events of one key in slices of a second and of a year give the same."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, rng.randint(0, 400), rng.choice(["claim", "fail", "expire", "commit"]), rng.choice("ab"), rng.choice("xy")) for k in range(600)]
+    e = spark.createDataFrame(rows, "seq long, s long, kind string, node string, group_id string").selectExpr("*", "timestamp_seconds(s) AS ts", "node AS job", "300 AS total")
+    probes = e.selectExpr("node", "ts", "seq", "kind NOT IN ('fail', 'expire') AS ok")
+    for make in (lambda w: schedule.attempts(e, slice_s=w), lambda w: schedule.same_failer(e, slice_s=w), lambda w: schedule.progress_lines(e, slice_s=w), lambda w: schedule.liveness(probes, slice_s=w)):
+        one, many = (sorted(map(str, make(w).collect())) for w in (31_536_000, 1))
+        assert one == many and one

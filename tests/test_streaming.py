@@ -31,3 +31,16 @@ def test_first_commit_streams(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/e")
     assert {(r["page"], r["node"]) for r in run(spark, ps.first_commits(stream), "firsts")} == {(0, "n0"), (1, "n1")}
     spark.conf.unset("spark.sql.streaming.checkpointLocation")
+
+
+def test_rates_stream(spark, tmp_path):
+    """A window is told once the watermark has passed its end."""
+    minutes = [0, 0, 0, 1, 1, 30]
+    rows = [(f"2024-01-01 00:{m:02d}:{k:02d}", "commit" if k != 1 else "claim", "n") for k, m in enumerate(minutes)]
+    df = spark.createDataFrame(rows, "t string, kind string, node string").selectExpr("timestamp(t) AS ts", "kind", "node")
+    df.coalesce(1).write.parquet(f"{tmp_path}/e")
+    spark.conf.set("spark.sql.streaming.checkpointLocation", f"{tmp_path}/state")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/e")
+    found = {(r["start"].minute, r["node"], r["pages"]) for r in run(spark, ps.rates(stream), "rates")}
+    assert found == {(0, "n", 2), (1, "n", 2)}
+    spark.conf.unset("spark.sql.streaming.checkpointLocation")
