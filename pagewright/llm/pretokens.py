@@ -7,11 +7,13 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Ranges where this module's pattern engine and the library's agree on classes, case and normal forms:
-#: Latin letters, and punctuation. A text with any other character goes to the library as a whole.
-_PLAIN = re.compile(r"[\x00-ſ‐-‧‰-⁞₠-₿]*\Z")
+#: Ranges where this module's pattern engine and the library's agree on classes, case and normal forms: Latin,
+#: Greek (without the capital that has two small ones) and Cyrillic letters, kana, Han and Hangul, and punctuation;
+#: no combining marks. A text with any other character goes to the library as a whole. Tests compare all of them.
+_FURTHER = "Α-ΡΤ-Ωα-ωЀ-ҁҊ-ԯぁ-ゖァ-ヺー一-龥가-힣"
+_PLAIN = re.compile(rf"[\x00-ſ‐-‧‰-⁞₠-₿、。〈-】！，：；？（）{_FURTHER}]*\Z")
 #: Letters, numbers and white space of those ranges as the library's patterns class them.
-_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+_L, _N, _S = f"A-Za-zªµºÀ-ÖØ-öø-ſ{_FURTHER}", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
 _MOST = 600_000  # cached pre-tokens in a Python worker
 _LONGEST = 200  # characters of a pre-token that is kept
 

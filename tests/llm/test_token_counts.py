@@ -1,7 +1,10 @@
+from array import array
+
 import public_tokenizers
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
+from pagewright.llm import pretokens
 from pagewright.llm.pretokens import byte_coder, word_counter
 from pagewright.llm.token_counts import token_counts
 
@@ -32,3 +35,17 @@ def test_rows(spark):
     want = [(i or None, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 9) for i, t in enumerate(texts)]
     assert got == sorted(want, key=str)
     assert token_counts(df.limit(0), WORD).count() == 0
+
+
+def test_every_plain_character_as_the_library_has_it():
+    """Each beside letters, digits, blanks, marks and its like; by this module's own path, not the library's."""
+    plain = [c for c in map(chr, range(0x20, 0x10000)) if pretokens._PLAIN.match(c)]
+    assert len(plain) > 32_000
+    counter, coder = pretokens.WordCounter(WORD), pretokens.ByteCoder(BYTE)
+    words, bytes_ = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+    counter.library = coder.library = None
+    for at in range(0, len(plain), 64):
+        some = plain[at : at + 64]
+        text = " ".join(f"a{c}b {c}{c} 1{c}2 .{c}, {c}'s{d}{c.upper() if pretokens._PLAIN.match(c.upper()) else c}\n{c}" for c, d in zip(some, some[1:] + some[:1]))
+        assert counter.count(text) == len(words.encode(text, add_special_tokens=False).ids), text
+        assert list(array("I", coder.ids(text))) == bytes_.encode(text, add_special_tokens=False).ids, text
