@@ -17,6 +17,7 @@ from urllib.parse import quote, urlsplit
 from pyspark.sql import DataFrame, functions as F
 
 from .scratch import materialize, opened, root
+from .sieve import flagged
 
 LEAST = 100  # bytes of a payload that others may refer to
 BLOCK = 256  # index lines of a compressed block
@@ -82,11 +83,16 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"))
     p = p.withColumn("digest", F.sha2("html", 256))
-    large = p.filter(F.octet_length("html") >= LEAST).filter("page_id IS NOT NULL")
-    firsts = large.groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first")).select(F.col("digest").alias("of"), "first")
-    refers = (F.octet_length("html") >= LEAST) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first.page_id")))
-    p = p.join(firsts, p.digest == firsts.of, "left").withColumn("first", F.when(refers, F.col("first")))
-    p = p.select("page_id", "url", "html", "digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
+    large = F.octet_length("html") >= LEAST
+    groups = p.filter(large).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n"))
+    firsts = materialize(groups.filter("n > 1 AND first IS NOT NULL").select("digest", "first"), "warc_firsts")
+    # only payloads that may have a copy move to meet their group
+    p = flagged(p, firsts.select("digest"), F.xxhash64("digest"), "shared")
+    refers = large & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first.page_id")))
+    shared = p.filter("shared").join(firsts.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of"), "left").withColumn("first", F.when(refers, F.col("first")))
+    alone = p.filter("NOT shared").withColumn("first", F.lit(None).cast(firsts.schema["first"].dataType))
+    columns = ["page_id", "url", "html", "digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")]
+    p = shared.select(*columns).union(alone.select(*columns))
 
     def run(batches):
         import pyarrow as pa

@@ -33,7 +33,7 @@ def test_pages_come_back_through_the_index(spark, monkeypatch):
     got = warc.read_captures(df, index, f"{folder}/archives").drop("url").collect()
     assert sorted((tuple(r) for r in got), key=str) == want(ROWS)
     # archives are readable as one stream of gzip members
-    n = sum(gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\n") for f in Path(folder, "archives").iterdir())
+    n = sum(gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\n") for f in Path(folder.removeprefix("file://"), "archives").iterdir())
     assert n == len(ROWS)
     # single look-ups
     reader = index.reader()
