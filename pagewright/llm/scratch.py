@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: list[list[str]] = []  # folders made inside each swept()
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -25,7 +27,20 @@ def root(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="pagewright-")
         spark._pagewright_root = base
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/pagewright-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/pagewright-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(folder)
+    return folder
+
+
+@contextmanager
+def swept(spark: SparkSession):
+    """Folders that operators make inside are removed at its end: write what they return before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        drop(*_open.pop(), spark=spark)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -43,12 +58,12 @@ def _at(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def drop(*tables: DataFrame | str) -> None:
-    """Removes materialized tables, or folders below root(), once what was made of them has been written."""
+def drop(*tables: DataFrame | str, spark: SparkSession | None = None) -> None:
+    """Removes materialized tables, or folders (with their session), once what was made of them has been written."""
     for t in tables:
-        if path := t if isinstance(t, str) else _places.pop(t, None):
-            spark = SparkSession.getActiveSession() if isinstance(t, str) else t.sparkSession
-            fs, place = _at(spark, path)
+        path = t if isinstance(t, str) else _places.pop(t, None)
+        if path:
+            fs, place = _at(spark or t.sparkSession, path)
             fs.delete(place, True)
 
 

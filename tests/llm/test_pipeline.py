@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -87,5 +88,32 @@ def test_stages_in_a_row(spark, tmp_path):
     assert max(filled.values()) <= 2048
 
 
-def test_run(spark):
-    assert cp.run(spark, "/root/testdata/sf0.001").count() > 0
+def left(spark):
+    base = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"))
+    return {p for p in base.rglob("*.parquet") if p.is_file()}
+
+
+def test_run_leaves_its_result_only(spark):
+    before = left(spark)
+    made = cp.run(spark, "/root/testdata/sf0.001")
+    rows = made.collect()
+    assert rows and {p.parent.name for p in left(spark) - before} == {"packing"}
+    filled = Counter()
+    for r in rows:
+        filled[r["sequence_id"]] += r["length"]
+    assert max(filled.values()) <= 2048
+
+
+def test_stages_of_odd_and_of_no_rows(spark, tmp_path):
+    """Null ids, null and empty texts, repeated rows and ids, a clashing column; then an empty table through all stages."""
+    for rows in ([(1, None), (2, ""), (None, "some words"), (None, "some words"), (7, "token=abcdefgh x"), (7, "other text here"), (7, "other text here")], []):
+        df = spark.createDataFrame([(i, t, None if i == 2 else "en", f"s{(i or 0) % 2}", None if t is None else len(t), "x") for i, t in rows], SCHEMA + ", score string")
+        spark.createDataFrame([(7, 1), (7, 0), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/{len(rows)}/labels.parquet")
+        for name, stage in cp.STAGES:
+            made = stage(spark, df, f"{tmp_path}/{len(rows)}")
+            made.write.parquet(f"{tmp_path}/{len(rows)}/{name}")
+            df = spark.read.schema(made.schema).parquet(f"{tmp_path}/{len(rows)}/{name}")
+            if name == "secrets":
+                kept = sorted(str((r["doc_id"], r["text"])) for r in df.collect())
+        assert kept == sorted(map(str, [(1, None), (None, "some words"), (7, "[assign] x"), (7, "other text here")] if rows else []))
+        assert df.count() >= (1 if rows else 0) and bool(df.count()) == bool(rows)
