@@ -13,7 +13,7 @@ from itertools import repeat
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import materialize
+from .scratch import drop, materialize
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -215,27 +215,27 @@ def close_pairs(ta: Tree, tb: Tree, most: int, labels, lead: np.uint64 = np.uint
 
 
 def links(own: np.ndarray, guests: np.ndarray | None, most: int, lead: np.uint64 = np.uint64(0), near: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links of own (rows of fp, more and labels) among themselves, or with guests, as a spanning forest: rows, and the root rows of their trees.
+    """Links of own (rows of fp, more and node) among themselves, or with guests, as trees: nodes, and the least nodes of their trees.
 
-    What is in one tree already isn't compared, so a large group of close fingerprints costs about its
-    size, not its square.
+    Rows of one node are in one tree from the start. What is in one tree already isn't compared, so a
+    large group of close fingerprints costs about its size, not its square.
     """
     ta = Tree(own)
     tb = ta if guests is None else Tree(guests)
-    every = ta.rows if guests is None else np.concatenate([ta.rows, tb.rows])
-    shift = len(every) - len(tb.rows)
-    forest = Forest(len(every))
+    nodes, of = np.unique((ta.rows if guests is None else np.concatenate([ta.rows, tb.rows]))[:, 2].view(np.int64), return_inverse=True)
+    of_a, of_b = of[: len(ta.rows)], of[len(of) - len(tb.rows) :]
+    forest = Forest(len(nodes))
 
     def labels():
         up = forest.flat()
-        return up[: len(ta.rows)], up[shift:]
+        return up[of_a], up[of_b]
 
     for a, b in close_pairs(ta, tb, most, labels, lead, near):
-        for i, j in zip(a.tolist(), (b + shift).tolist()):
+        for i, j in zip(of_a[a].tolist(), of_b[b].tolist()):
             forest.join(i, j)
-    up = forest.flat()
+    up = forest.flat()  # roots are least
     moved = up != np.arange(len(up))
-    return every[moved], every[up[moved]]
+    return nodes[moved], nodes[up[moved]]
 
 
 class Turn:
@@ -252,10 +252,11 @@ class Turn:
 
 
 LEAF = 256  # fingerprints in a block that travels to another range
+_HELD = 1 << 20  # pairs that a task keeps before it passes them on
 RANGES = 4096  # ranges of the top level at most; their masks are all that the driver and every task hold
 
 
-def _blocks(distinct: DataFrame, labels: list[str], ranges: int, turns: int) -> DataFrame:
+def _blocks(distinct: DataFrame, labels: list[str], ranges: int, turns: range) -> DataFrame:
     """Blocks of up to LEAF rows (fp, more, labels) in Gray order: (turn, part, fps binary, mask, pattern); a part is a range of one turn."""
     width = 2 + len(labels)
 
@@ -264,7 +265,7 @@ def _blocks(distinct: DataFrame, labels: list[str], ranges: int, turns: int) ->
 
         for b in batches:
             halves = [b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(2)]
-            for t in range(turns):
+            for t in turns:
                 moved = Turn(t).turned(halves[t % 2])  # odd turns are over the other half
                 rank = (gray_rank(moved) ^ np.uint64(1 << 63)).view(np.int64)  # signed order is rank order
                 cols = [pa.array(x.view(np.int64)) for x in (moved, halves[1 - t % 2])]
@@ -307,7 +308,7 @@ def _blocks(distinct: DataFrame, labels: list[str], ranges: int, turns: int) ->
     return sorted_.mapInArrow(cut, "turn int, part int, fps binary, mask long, pattern long")
 
 
-def search(distinct: DataFrame, labels: list[str], found, most: int, turns: int = 1, front: int = 0, near: int = 0) -> DataFrame:
+def search(distinct: DataFrame, labels: list[str], found, most: int, turns: range = range(1), front: int = 0, near: int = 0) -> DataFrame:
     """(a, b) longs, distinct: what found(own, guests or None, lead, near) makes of rows (fp, more, labels) that may be close.
 
     Ranges of the Gray order are the top nodes. A block goes to each later range whose shared bits differ
@@ -346,18 +347,26 @@ def search(distinct: DataFrame, labels: list[str], found, most: int, turns: int
         """Rows come sorted by range, its own blocks first."""
         import pyarrow as pa
 
-        at, own, guests = None, [], []
+        at, own, guests, held = None, [], [], [np.zeros((0, 2), np.int64)]
 
-        def out(*sides):
-            a, b = found(*sides, lead, near)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        def keep(*sides):
+            """Turns and ranges of one task find much the same; it goes on once."""
+            held.append(np.stack([x.view(np.int64) for x in found(*sides, lead, near)], axis=1))
+            if sum(map(len, held)) > _HELD:
+                once = np.unique(np.concatenate(held), axis=0)
+                held[:] = [once[:0]] if len(once) > _HELD // 2 else [once]
+                if not len(held[0]):
+                    yield batch(once)
+
+        def batch(pairs):
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)], names=["a", "b"])
 
         def settle(last):
             if guests:
-                yield out(np.concatenate(own), np.concatenate(guests))
+                yield from keep(np.concatenate(own), np.concatenate(guests))
                 guests.clear()
             if last and own:
-                yield out(np.concatenate(own), None)
+                yield from keep(np.concatenate(own), None)
 
         for b in batches:
             for to, mine, fps in zip(*(b.column(k).to_pylist() for k in range(3))):
@@ -368,22 +377,22 @@ def search(distinct: DataFrame, labels: list[str], found, most: int, turns: int
                 if len(guests) >= 4096:  # a million fingerprints
                     yield from settle(False)
         yield from settle(True)
+        yield batch(np.unique(np.concatenate(held), axis=0))
 
     routed = blocks.mapInArrow(route, "to int, own boolean, fps binary").repartition(ranges, "to").sortWithinPartitions("to", F.col("own").desc())
-    return routed.mapInArrow(meet, "a long, b long").distinct()
+    made = materialize(routed.mapInArrow(meet, "a long, b long").distinct(), "simhash_links")
+    drop(blocks)
+    return made
+
 
+def link_forest(distinct: DataFrame, most: int, turns: range = range(1), front: int = 0, near: int = 0) -> DataFrame:
+    """(a, b): links between nodes that join those of distinct (fp, more, node) that chains of at most `most` bits join.
 
-def link_forest(distinct: DataFrame, most: int, turns: int = 1, front: int = 0, near: int = 0) -> DataFrame:
-    """(a, b): links between nodes that join those of distinct (fp, more, node) that chains of at most `most` bits join."""
+    Each node comes with the least one of its tree: so turns that find the same tree give the same links.
+    """
 
     def found(own, guests, lead, near):
-        """Each member with the least node of its tree: so turns that find the same tree give the same links."""
-        member, tree = (rows[:, 2].view(np.int64) for rows in links(own, guests, most, lead, near))
-        trees, of = np.unique(tree, return_inverse=True)
-        least = trees.copy()
-        np.minimum.at(least, of, member)
-        a, b = np.concatenate([member, trees]), np.concatenate([least[of], least])
-        return a[a != b], b[a != b]
+        return links(own, guests, most, lead, near)
 
     return search(distinct, ["node"], found, most, turns, front, near)
 
@@ -393,11 +402,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large and small stars until every node has one edge, to a node that has none. Each node's
     least neighbour is written to the shared folder before it is joined, as the edges are after each
-    round: both sides of a join are then plain tables, so Spark can split the rows of a hub.
+    round: both sides of a join are then plain tables, so Spark can split the rows of a hub. What a round
+    leaves behind goes when the next one is written.
     """
+    passed: list[DataFrame] = []
 
     def linked(e: DataFrame, name: str) -> DataFrame:
         low = materialize(e.groupBy("u").agg(F.min("v").alias("m")), name)
+        passed.append(low)
         return e.join(low, "u")
 
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "cc")
@@ -409,8 +421,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = linked(both, f"cc{k}_large").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v")
         large = materialize(large.distinct(), f"cc{k}_half")
         small = linked(large, f"cc{k}_small")
+        passed += [e, large]
         e = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         e = materialize(e, f"cc{k}")
+        drop(*passed)
+        passed.clear()
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

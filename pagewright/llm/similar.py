@@ -14,13 +14,14 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import materialize
+from .scratch import drop, materialize
 from .sieve import kept
 from .simhash import Forest, close_pairs, components, gray_rank, link_forest, majority, search, shingle_hashes, Tree
 
 WIDTH = 5
 MOST = 28  # bits of 128; sets that share 0.8 of all are 19.4 bits apart, with a deviation of 4
 MISSED = 0.005  # share of pairs at 19.4 bits that no rearrangement may bring together
+FIRST = 2  # rearrangements that are searched before the others, which then pass over what these have joined
 CROWD = 16  # unlike sets that one meets in a rearrangement, about
 BLOCK = 64  # sets of a block
 WEIGHT = 1 << 20  # bytes of sets after which a block is full
@@ -45,7 +46,7 @@ def similar(n, m, common):
     return 9 * common >= 4 * (n + m)
 
 
-def settings(n: int) -> dict[str, int]:
+def settings(n: int) -> dict:
     """turns, front and near for link_forest() over n sets: the recall is the same at every n.
 
     front grows with n so that about CROWD unlike sets stay, and turns with front.
@@ -53,7 +54,7 @@ def settings(n: int) -> dict[str, int]:
     front = next(f for f in range(4, 64) if n * (f + 1) <= CROWD << f)
     p = math.acos(1.6 / 1.8) / math.pi  # of a bit to differ, for sets of one size that share 0.8 of all
     meets = (1 - p) ** front + front * p * (1 - p) ** (front - 1)
-    return {"turns": math.ceil(math.log(MISSED) / math.log(1 - meets)), "front": front, "near": 1}
+    return {"turns": range(max(FIRST, math.ceil(math.log(MISSED) / math.log(1 - meets)))), "front": front, "near": 1}
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def _compare(pairs: DataFrame | None, blocks: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(open_: DataFrame, turns: int, front: int, near: int) -> DataFrame:
+def _open_pairs(open_: DataFrame, turns: range, front: int, near: int) -> DataFrame:
     """(a, b): blocks that hold close sets of open_ (fp, more, root, block) which have unlike roots."""
 
     def found(own, guests, lead, near):
@@ -225,7 +226,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     distinct = made.groupBy("d1", "d2", "fp", "more").agg(F.min("key").alias("low"))
     distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "similar_distinct")
     how = settings(distinct.count())
-    forest = materialize(link_forest(distinct.select("fp", "more", F.col("id").alias("node")), MOST, **how), "similar_forest")
+    forest = link_forest(distinct.select("fp", "more", F.col("id").alias("node")), MOST, **(how | {"turns": how["turns"][:FIRST]}))
+    roots = components(forest)
+    rooted = distinct.select("id", "fp", "more").join(roots, F.col("id") == F.col("node"), "left").select("fp", "more", F.coalesce("root", "id").alias("node"))
+    more = link_forest(materialize(rooted, "similar_rooted"), MOST, **(how | {"turns": how["turns"][FIRST:]}))
+    forest = forest.union(more)
     family = materialize(components(forest), "similar_families")
     family = family.select("node", "root").union(family.select(F.col("root").alias("node"), "root").distinct())
     suspects = materialize(distinct.join(family, F.col("id") == F.col("node")).select("id", F.col("root").alias("family"), "low", "fp", "more"), "similar_suspects")
@@ -247,6 +252,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     open_ = materialize(open_.select("fp", "more", "root", "block"), "similar_open")
     rest = _open_pairs(open_, **how).select(F.col("a").alias("x"), F.col("b").alias("y")).join(over, ["x", "y"], "left_anti")
     found = found.union(materialize(_compare(materialize(rest, "similar_rest"), blocks), "similar_more_links"))
+    drop(blocks, suspects, where, placed, open_)
 
     roots = components(found).withColumnRenamed("node", "linked")
     named = distinct.join(roots, F.col("id") == F.col("linked"), "left").select("d1", "d2", "low", F.coalesce("root", "id").alias("root"))

@@ -51,12 +51,12 @@ def test_tree_finds_every_link():
         close.append(seeds ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)))
     chain = np.cumsum(rng.integers(0, 7, 900)).astype(np.uint64)
     fps = np.unique(np.concatenate([*close, chain]))
-    rows = np.stack([fps, np.zeros_like(fps)], axis=1)
+    rows = np.stack([fps, np.zeros_like(fps), np.arange(len(fps), dtype=np.uint64)], axis=1)
     mine, rest = rows[::2], rows[1::2]
     for most in (0, 2, 5):
         a, b = (np.concatenate(x) for x in zip(simhash.links(mine, None, most), simhash.links(rest, None, most), simhash.links(mine, rest, most)))
         forest = simhash.Forest(len(fps))
-        for i, j in zip(np.searchsorted(fps, a[:, 0]).tolist(), np.searchsorted(fps, b[:, 0]).tolist()):
+        for i, j in zip(a.tolist(), b.tolist()):
             forest.join(i, j)
         roots = forest.flat()
         want = {f: c for _, f, c in slow_components([(int(f), int(f)) for f in fps], most)}

@@ -156,4 +156,4 @@ def test_settings_keep_the_recall():
     for n in (1, 1000, 10**6, 10**9, 4 * 10**10):
         s = similar.settings(n)
         meets = (1 - p) ** s["front"] + s["front"] * p * (1 - p) ** (s["front"] - 1)
-        assert (1 - meets) ** s["turns"] <= 0.0051 and n * (s["front"] + 1) / 2 ** s["front"] <= 16
+        assert (1 - meets) ** len(s["turns"]) <= 0.0051 and n * (s["front"] + 1) / 2 ** s["front"] <= 16
