@@ -337,20 +337,28 @@ def repair_cjk(spark, sf_dir):
     return co.supplier_pages(spark, sf_dir).withColumn("text", tx.joined_space(F.col("text")))
 
 
-_RAW = """rw AS (SELECT s_suppkey // 4 AS doc_id, s_suppkey AS ord, CASE WHEN s_suppkey % 3 = 0 THEN 'person' ELSE 'company' END AS kind,
-  CASE s_suppkey % 12 WHEN 0 THEN ' 张 伟，' WHEN 3 THEN '王某' WHEN 6 THEN '李娜' WHEN 9 THEN '原告' WHEN 1 THEN '星 河' || s_suppkey % 5 || '有限公司。' WHEN 2 THEN '（海光' || s_suppkey % 5 || '集团）' WHEN 4 THEN '本公司' WHEN 5 THEN '中州大学'
-  WHEN 7 THEN '某市人民法院' WHEN 8 THEN '星河' || s_suppkey % 5 || '有限公司' WHEN 10 THEN 'Blue Harbor Trading Co., Ltd' ELSE 'plain words' END AS name FROM supplier)"""
+#: In both dialects: names as they are read, with edges, titles and brackets around them, by c_custkey.
+_AS_READ = """CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' WHEN 2 THEN '（' WHEN 3 THEN '“' ELSE '审判长' END ||
+  CASE (c_custkey // 5) % 16 WHEN 0 THEN '张 伟' WHEN 1 THEN '王某' WHEN 2 THEN '李娜' WHEN 3 THEN '原告' WHEN 4 THEN '星 河3有限公司' WHEN 5 THEN '海光集团' WHEN 6 THEN '本公司' WHEN 7 THEN '中州大学' WHEN 8 THEN '某市人民法院'
+  WHEN 9 THEN '人民法院服务公司' WHEN 10 THEN '司马相如' WHEN 11 THEN '阿凡·提江' WHEN 12 THEN 'Mary  Ann' WHEN 13 THEN '一二三四五六七' WHEN 14 THEN '有限公司' ELSE '平安银行' END ||
+  CASE (c_custkey // 80) % 6 WHEN 0 THEN '' WHEN 1 THEN '，' WHEN 2 THEN '先生' WHEN 3 THEN '。 ' WHEN 4 THEN '）' ELSE '总经理' END"""
+_RAW = f"rw AS (SELECT c_custkey // 7 AS doc_id, c_custkey AS ord, CASE WHEN c_custkey % 3 = 0 THEN 'person' ELSE 'company' END AS kind, {_AS_READ} AS name FROM customer)"
 
 
 def _raw(spark, sf_dir):
-    name = F.expr("""CASE s_suppkey % 12 WHEN 0 THEN ' 张 伟，' WHEN 3 THEN '王某' WHEN 6 THEN '李娜' WHEN 9 THEN '原告' WHEN 1 THEN '星 河' || s_suppkey % 5 || '有限公司。' WHEN 2 THEN '（海光' || s_suppkey % 5 || '集团）' WHEN 4 THEN '本公司' WHEN 5 THEN '中州大学'
-      WHEN 7 THEN '某市人民法院' WHEN 8 THEN '星河' || s_suppkey % 5 || '有限公司' WHEN 10 THEN 'Blue Harbor Trading Co., Ltd' ELSE 'plain words' END""")
-    s = co.table(spark, sf_dir, "supplier")
-    return s.select(F.expr("s_suppkey div 4").alias("doc_id"), F.col("s_suppkey").alias("ord"), F.expr("CASE WHEN s_suppkey % 3 = 0 THEN 'person' ELSE 'company' END").alias("kind"), name.alias("name"))
-
-
-_GOOD = f"""{_RAW}, rr AS (SELECT doc_id, ord, kind, {_repair('name')} AS name FROM rw),
-gd AS (SELECT * FROM rr WHERE CASE WHEN kind = 'person' THEN length(name) BETWEEN 2 AND 40 AND name NOT LIKE '%某%' AND name NOT IN ('原告') ELSE length(name) BETWEEN 4 AND 80 AND (regexp_matches(name, '(?:公司|集团)$') OR name LIKE '%Ltd') END),
+    c = co.table(spark, sf_dir, "customer")
+    kind = F.expr("CASE WHEN c_custkey % 3 = 0 THEN 'person' ELSE 'company' END")
+    return c.select(F.expr("c_custkey div 7").alias("doc_id"), F.col("c_custkey").alias("ord"), kind.alias("kind"), F.expr(_AS_READ.replace("//", "div")).alias("name"))
+
+
+_NO_FORM = "NOT contains(name, '公司')"
+_COMPANY = f"""(length(name) BETWEEN 4 AND 80 AND name NOT IN ({_in(tx.GENERIC_COMPANIES)}) AND NOT ({_NO_FORM} AND regexp_matches(name, '{tx.any_of(tx.GOVERNMENT)}'))
+  AND NOT ({_NO_FORM} AND regexp_matches(name, '(?:{tx.any_of(tx.INSTITUTIONS)})$')) AND regexp_matches(name, '(?:{tx.any_of(tx.ORG_SUFFIXES)})$'))"""
+_CAN_BE_PERSON = rf"""(length(name) BETWEEN 2 AND 40 AND NOT contains(name, '某') AND name NOT IN ({_in(tx.ROLE_WORDS)}) AND NOT {_COMPANY}
+  AND (length(regexp_replace(name, '[^\p{{L}}]|[{_CJK}]', '', 'g')) > 0 OR length(regexp_replace(name, '[^{_CJK}]', '', 'g')) BETWEEN 2 AND CASE WHEN contains(name, '·') THEN 16 ELSE 6 END))"""
+_UNTITLED = rf"trim(regexp_replace(trim(regexp_replace(name, '^(.{{2,}}?)(?:{tx.any_of(tx.PERSON_TITLES)})$', '\1')), '^(?:{tx.any_of(tuple(sorted(tx.PERSON_TITLES, key=len, reverse=True)))})(.{{2,}})$', '\1'))"
+_GOOD = f"""{_RAW}, rr AS (SELECT doc_id, ord, kind, {_repair('name')} AS name FROM rw), ru AS (SELECT doc_id, ord, kind, CASE WHEN kind = 'person' THEN {_UNTITLED} ELSE name END AS name FROM rr),
+gd AS (SELECT * FROM ru WHERE name <> '' AND CASE WHEN kind = 'person' THEN {_CAN_BE_PERSON} ELSE {_COMPANY} END),
 fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, name ORDER BY ord) AS n FROM gd) WHERE n = 1)"""
 
 
@@ -426,9 +434,6 @@ def legal_form_expand(spark, sf_dir):
     return align.expand_legal_form(co.supplier_pages(spark, sf_dir), n)
 
 
-_PLAIN = "NOT contains(name, '公司')"
-_COMPANY = f"""(length(name) BETWEEN 4 AND 80 AND name NOT IN ({_in(tx.GENERIC_COMPANIES)}) AND NOT ({_PLAIN} AND regexp_matches(name, '{tx.any_of(tx.GOVERNMENT)}'))
-  AND NOT ({_PLAIN} AND regexp_matches(name, '(?:{tx.any_of(tx.INSTITUTIONS)})$')) AND regexp_matches(name, '(?:{tx.any_of(tx.ORG_SUFFIXES)})$'))"""
 _BRANCH = f"(starts_with(o.name, u.name) AND regexp_matches(substr(o.name, length(u.name) + 1), '{tx.any_of(tx.BRANCHES)}'))"
 
 
@@ -442,7 +447,7 @@ def _found(names_: str, out: str) -> str:
 
 
 _ENTITIES = f"""{_HEURISTICS}, ra AS (SELECT DISTINCT doc_id, kind, {_repair("name")} AS name FROM hn),
-ok AS (SELECT * FROM ra WHERE CASE WHEN kind = 'company' THEN {_COMPANY} ELSE length(name) BETWEEN 2 AND 6 AND NOT contains(name, '某') AND name NOT IN ({_in(tx.ROLE_WORDS)}) AND NOT {_COMPANY} END),
+ok AS (SELECT * FROM ra WHERE CASE WHEN kind = 'company' THEN {_COMPANY} ELSE {_CAN_BE_PERSON} END),
 nx AS (SELECT doc_id, page, text, (SELECT substr(n.text, 1, 240) FROM t n WHERE n.doc_id = t.doc_id AND n.page > t.page ORDER BY n.page LIMIT 1) AS head FROM t),
 pn AS (SELECT doc_id, page, {_joined("text")} AS plain, {_joined("text || coalesce(chr(10) || head, '')")} AS norm, length(regexp_replace({_joined("text")}, ' +$', '')) AS own FROM nx),
 lf AS (SELECT ok.doc_id, ok.name, unnest(regexp_extract_all(pn.plain, '(?:^|[^{_CJK}·\\p{{Nd}}])(' || ok.name || '(?:{"|".join(tx.LEGAL_FORMS)}))', 1)) AS hit FROM ok JOIN pn ON pn.doc_id = ok.doc_id WHERE kind = 'company' AND NOT regexp_matches(ok.name, '(?:公司|事务所|合伙企业|合作社)$')),
@@ -559,10 +564,12 @@ def origin_fill(spark, sf_dir):
     return assemble.fill_origins(h, s).select("doc_id", "page", "kind", "name", "ord", F.array_join("origin_text", "|").alias("origin_text"))
 
 
-@query("""SELECT o_orderkey, upper(trim(code)) AS rule_code FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ' b04' WHEN 1 THEN 'B06 ' WHEN 2 THEN 'B05' ELSE '' END AS code FROM orders) WHERE upper(trim(code)) IN ('B04', 'B06')""")
+_CODE = "repeat(' ', CAST(o_orderkey % 3 AS INT)) || substr('bBcb', CAST(o_orderkey % 4 + 1 AS INT), 1) || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE '0' END || CAST(o_orderkey % 9 AS STRING) || repeat(' ', CAST(o_orderkey % 2 AS INT))"
+
+
+@query(f"SELECT o_orderkey, upper(trim(code)) AS rule_code FROM (SELECT o_orderkey, {_CODE} AS code FROM orders) WHERE upper(trim(code)) IN ('B04', 'B06')")
 def rule_code_filter(spark, sf_dir):
-    o = co.table(spark, sf_dir, "orders").select("o_orderkey", F.expr("CASE o_orderkey % 4 WHEN 0 THEN ' b04' WHEN 1 THEN 'B06 ' WHEN 2 THEN 'B05' ELSE '' END").alias("rule_code"))
-    return assemble.known_rules(o)
+    return assemble.known_rules(co.table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_CODE).alias("rule_code")))
 
 
 def _reply_expr() -> str:
