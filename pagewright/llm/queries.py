@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audit import OP13_SQL, op13_filter_audit
 from .chat import OP8_SQL, op8_chat_format
 from .digests import op5_document_fingerprints
 from .mixing import OP3_SQL, op3_mix_sources
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_chat_format": op8_chat_format,
         "op9_token_counts": op9_token_counts,
         "op10_pack_sequences": op10_pack_sequences,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -36,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_top_k": OP4_SQL,
         "op7_secret_scan": OP7_SQL,
         "op8_chat_format": OP8_SQL,
+        "op13_filter_audit": OP13_SQL,
     }
