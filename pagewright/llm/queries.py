@@ -7,6 +7,7 @@ from .chat import OP8_SQL, op8_chat_format
 from .digests import op5_document_fingerprints
 from .mixing import OP3_SQL, op3_mix_sources
 from .packing import op10_pack_sequences
+from .periodic import op11_periodic_runs
 from .quality import op6_quality_scores
 from .secrets import OP7_SQL, op7_secret_scan
 from .simhash import op2_simhash_near_dedup
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op8_chat_format": op8_chat_format,
         "op9_token_counts": op9_token_counts,
         "op10_pack_sequences": op10_pack_sequences,
+        "op11_periodic_runs": op11_periodic_runs,
         "op13_filter_audit": op13_filter_audit,
     }
 
