@@ -5,6 +5,7 @@ from __future__ import annotations
 from .audit import OP13_SQL, op13_filter_audit
 from .chat import OP8_SQL, op8_chat_format
 from .digests import op5_document_fingerprints
+from .jaccard import op12_jaccard_join
 from .mixing import OP3_SQL, op3_mix_sources
 from .packing import op10_pack_sequences
 from .periodic import op11_periodic_runs
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op9_token_counts": op9_token_counts,
         "op10_pack_sequences": op10_pack_sequences,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_jaccard_join": op12_jaccard_join,
         "op13_filter_audit": op13_filter_audit,
     }
 

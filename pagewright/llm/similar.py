@@ -33,7 +33,7 @@ def members(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, WIDTH)]))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """Another well spread value for each of x (multiplications wrap)."""
     x = x + np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -68,7 +68,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             rows = []
             for t in b.column(1).to_pylist():
                 m = members(t or b"")
-                rows.append((*np.frombuffer(xxh3_128_digest(m.tobytes()), np.int64).tolist(), *np.array([majority([m]), majority([_mixed(m)])], np.uint64).view(np.int64).tolist()))
+                rows.append((*np.frombuffer(xxh3_128_digest(m.tobytes()), np.int64).tolist(), *np.array([majority([m]), majority([mixed(m)])], np.uint64).view(np.int64).tolist()))
             cols = np.array(rows, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(cols[:, k])) for k in range(4))], names=["key", "d1", "d2", "fp", "more"])
 
@@ -79,7 +79,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 _BLOCK_SCHEMA = "block long, families array<long>, ids array<long>, fps binary, sizes array<long>, sets binary"
 
 
-def _blocks(docs: DataFrame, suspects: DataFrame) -> DataFrame:
+def blocks_of(docs: DataFrame, suspects: DataFrame) -> DataFrame:
     """Blocks of suspects (id, family, low) in order of family and Gray rank; their sets are made from the text of low.
 
     A family of up to half a block isn't divided, but between two tasks' ranges.
@@ -90,7 +90,7 @@ def _blocks(docs: DataFrame, suspects: DataFrame) -> DataFrame:
 
         for b in batches:
             sets = [members(t or b"") for t in b.column(2).to_pylist()]
-            fps = np.array([(majority([m]), majority([_mixed(m)])) for m in sets], np.uint64).reshape(-1, 2)
+            fps = np.array([(majority([m]), majority([mixed(m)])) for m in sets], np.uint64).reshape(-1, 2)
             rank = (gray_rank(fps[:, 0]) ^ np.uint64(1 << 63)).view(np.int64)  # signed order is rank order
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(rank), pa.array([x.tobytes() for x in fps], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
@@ -142,9 +142,14 @@ class Block:
         self.row = np.repeat(np.arange(len(self.n)), self.n)
 
 
-def compared(x: Block, y: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Links between similar sets of two blocks, or within one, as a spanning forest: pairs of ids."""
-    close = np.bitwise_count(x.fps[:, None, 0] ^ y.fps[None, :, 0]).astype(int) + np.bitwise_count(x.fps[:, None, 1] ^ y.fps[None, :, 1]) <= MOST
+def within_bits(x: Block, y: Block) -> np.ndarray:
+    """Which sets of x and y have fingerprints within MOST bits."""
+    return np.bitwise_count(x.fps[:, None, 0] ^ y.fps[None, :, 0]).astype(int) + np.bitwise_count(x.fps[:, None, 1] ^ y.fps[None, :, 1]) <= MOST
+
+
+def compared(x: Block, y: Block, near=within_bits) -> tuple[np.ndarray, np.ndarray]:
+    """Links between similar sets of two blocks, or within one, as a spanning forest: pairs of ids. Only sets that near(x, y) names are compared."""
+    close = near(x, y)
     close &= similar(x.n[:, None], y.n[None], np.minimum(x.n[:, None], y.n[None]))
     if x is y:
         close &= np.arange(len(x.n))[:, None] < np.arange(len(y.n))[None]
@@ -172,7 +177,7 @@ def compared(x: Block, y: Block) -> tuple[np.ndarray, np.ndarray]:
     return (x.ids[i[new]], y.ids[j[new]]) if len(i) else (i, j)
 
 
-def _compare(pairs: DataFrame | None, blocks: DataFrame) -> DataFrame:
+def compare(pairs: DataFrame | None, blocks: DataFrame, near=within_bits) -> DataFrame:
     """(a, b): links that pairs (x, y) of blocks have, or each block in itself."""
     cols, alone = ["ids", "fps", "sizes", "sets"], pairs is None
 
@@ -183,7 +188,7 @@ def _compare(pairs: DataFrame | None, blocks: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 row = [c[0] for c in (col.slice(k, 1).to_pylist() for col in batch.columns)]
                 x = Block(*row[:4])
-                a, b = compared(x, x if alone else Block(*row[4:]))
+                a, b = compared(x, x if alone else Block(*row[4:]), near)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     if alone:
@@ -234,13 +239,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     family = materialize(components(forest), "similar_families")
     family = family.select("node", "root").union(family.select(F.col("root").alias("node"), "root").distinct())
     suspects = materialize(distinct.join(family, F.col("id") == F.col("node")).select("id", F.col("root").alias("family"), "low", "fp", "more"), "similar_suspects")
-    blocks = materialize(_blocks(docs, suspects), "similar_blocks")
+    blocks = materialize(blocks_of(docs, suspects), "similar_blocks")
     where = blocks.select("block", F.explode(F.arrays_zip("ids", "families")).alias("m")).select(F.col("m.ids").alias("of"), "block", F.col("m.families").alias("in"))
     where = materialize(where, "similar_places")
     over = forest.join(where.select(F.col("of").alias("a"), F.col("block").alias("x")), "a").join(where.select(F.col("of").alias("b"), F.col("block").alias("y")), "b")
     over = over.filter("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     over = materialize(over, "similar_meet")
-    found = materialize(_compare(None, blocks).union(_compare(over, blocks)), "similar_links")
+    found = materialize(compare(None, blocks).union(compare(over, blocks)), "similar_links")
 
     # families in several blocks: what is close, still apart, and not compared yet
     roots = materialize(components(found), "similar_roots")
@@ -251,7 +256,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     open_ = placed.join(apart, F.col("in") == F.col("still"), "left_semi").join(suspects.select("id", "fp", "more"), F.col("of") == F.col("id"))
     open_ = materialize(open_.select("fp", "more", "root", "block"), "similar_open")
     rest = _open_pairs(open_, **how).select(F.col("a").alias("x"), F.col("b").alias("y")).join(over, ["x", "y"], "left_anti")
-    found = found.union(materialize(_compare(materialize(rest, "similar_rest"), blocks), "similar_more_links"))
+    found = found.union(materialize(compare(materialize(rest, "similar_rest"), blocks), "similar_more_links"))
     drop(blocks, suspects, where, placed, open_)
 
     roots = components(found).withColumnRenamed("node", "linked")
