@@ -30,16 +30,21 @@ _SAFE = "".join(chr(c) for c in range(33, 127))
 
 
 def surt(url: str | None) -> str:
-    """Reversed-host key of a URL, percent-encoded where it isn't printable ASCII; '-' for a null."""
+    """Reversed-host key of a URL; '-' for a null.
+
+    It is made from the URL as a record's header has it, percent-encoded where it isn't printable ASCII, so a
+    raw URL and its record's have one key. What can't be parsed is its own key.
+    """
     if url is None:
         return "-"
+    quoted = quote(url, safe=_SAFE)
     try:
-        u = urlsplit(url.strip())
+        u = urlsplit(quoted)
         host, port = u.hostname or "", f":{u.port}" if u.port and u.port not in (80, 443) else ""
     except ValueError:
-        return quote(url, safe=_SAFE)
+        return quoted
     tail = (u.path or "/") + (f"?{u.query}" if u.query else "")
-    return quote(f"{','.join(reversed(host.split('.')))}{port}){tail}", safe=_SAFE)
+    return f"{','.join(reversed(host.split('.')))}{port}){tail}"
 
 
 def record(page, url: str | None, payload: bytes, digest: str, first=None, first_url: str | None = None) -> bytes:

@@ -48,6 +48,24 @@ def test_keys(url, key):
     assert warc.surt(url) == key
 
 
+DIRTY = ["http://a.de/x ", " http://a.de/x", "http://a.de/x\ny", "http://a.de\t/x", "http://MÜNCHEN.de/", "http://münÉ.De/É", "http://[bad", "http://a.de:port/", "http://a.de:99999999/", "%zz", "http://a.de/%20x", "\u3000http://a.de", "//", "http://ＡＢ.de/", "\r\n", "http://u:p@A.de/"]
+
+
+@pytest.mark.parametrize("url", DIRTY)
+def test_raw_and_quoted_urls_have_one_key(url):
+    assert warc.surt(url) == warc.surt(warc.quote(url, safe=warc._SAFE))
+
+
+def test_copies_of_pages_with_dirty_urls(spark):
+    rows = [(2 * k + n, url if n == 0 else f"http://copy/{k}", f"<p>{k}</p>" * 40) for k, url in enumerate(DIRTY) for n in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder = scratch.root(spark)
+    index = warc.write_index(warc.write_archives(df, f"{folder}/a"), f"{folder}/i")
+    got = warc.read_captures(df, index, f"{folder}/a").drop("url").collect()
+    assert sorted((tuple(r) for r in got), key=str) == want(rows)
+    assert sum(r["record_type"] == "revisit" for r in got) == len(DIRTY)
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     folder = scratch.root(spark)
