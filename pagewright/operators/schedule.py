@@ -14,17 +14,31 @@ def _micros(at: Column) -> Column:
     return F.unix_micros(at.cast("timestamp"))
 
 
-def _sliced(events: DataFrame, width_s: int) -> DataFrame:
-    """events with slice, the number of their stretch of width_s seconds: a key's events are walked a slice at a time, side by side."""
-    return events.withColumn("slice", F.floor(_micros(F.col("ts")) / (width_s * 1_000_000)))
+def _slice(width_s: int) -> Column:
+    return F.floor(_micros(F.col("ts")) / (width_s * 1_000_000))
 
 
-def _carried(e: DataFrame, key: str, change: Column, carry) -> DataFrame:
-    """e (key, slice, ...) with before: what carry() makes of change() of the key's earlier slices; one row a slice meets the others."""
-    per = e.groupBy(F.col(key).alias("of"), F.col("slice").alias("in")).agg(change.alias("change"))
-    earlier = W.partitionBy("of").orderBy("in").rowsBetween(W.unboundedPreceding, -1)
-    per = per.withColumn("before", carry(earlier)).drop("change")
-    return e.join(per, F.col(key).eqNullSafe(F.col("of")) & F.col("slice").eqNullSafe(F.col("in"))).drop("of", "in")
+def _walked(events: DataFrame, key: str, slice_s: int, inside: dict, change: Column, carry, of_inside: bool = False, along: dict | None = None) -> DataFrame:
+    """events with inside, running values by (ts, seq) within a key's slice, and before, what carry() makes of change of its earlier slices.
+
+    inside has functions of a window. A slice is slice_s seconds of a key, walked by one task beside the key's
+    others. Rows move once, to their slice; one row a slice, summed where the rows lie, meets them there.
+    With of_inside, change is of the running values; along has values of earlier changes that carry() uses.
+    """
+    e = raw = events.withColumns({"of": F.struct(key), "slice": _slice(slice_s)})  # a struct, so that null keys meet
+    w = W.partitionBy("of", "slice").orderBy("ts", "seq")
+    for name, value in inside.items():
+        e = e.withColumn(name, value(w))
+    per = (e if of_inside else raw).groupBy(F.col("of").alias("o"), F.col("slice").alias("s")).agg(change.alias("change"))
+    earlier = W.partitionBy("o").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    for name, value in (along or {}).items():
+        per = per.withColumn(name, value(earlier))
+    per = per.select("o", "s", carry(earlier).alias("before"))
+    return e.join(per, (F.col("of") == F.col("o")) & (F.col("slice") == F.col("s"))).drop("of", "slice", "o", "s")
+
+
+def _sum_before(w) -> Column:
+    return F.coalesce(F.sum("change").over(w), F.lit(0))
 
 
 SLICE_S = 3600  # seconds of events of a key that one task walks
@@ -112,11 +126,10 @@ def progress_bucket(done: Column, total: Column) -> Column:
 
 def progress_lines(events: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
     """Running count of done pages with the rows where a new tenth begins. Slices of a job are counted side by side."""
-    e = _carried(_sliced(events, slice_s), "job", F.count("*"), lambda w: F.coalesce(F.sum("change").over(w), F.lit(0)))
-    nth = F.row_number().over(W.partitionBy("job", "slice").orderBy("ts", "seq"))
-    e = e.withColumn("done", (F.col("before") + nth).cast("int")).withColumn("bucket", progress_bucket(F.col("done"), F.col("total")))
+    e = _walked(events, "job", slice_s, {"nth": lambda w: F.row_number().over(w)}, F.count("*"), _sum_before)
+    e = e.withColumn("done", (F.col("before") + F.col("nth")).cast("int")).withColumn("bucket", progress_bucket(F.col("done"), F.col("total")))
     first = F.when(F.col("done") > 1, progress_bucket(F.col("done") - 1, F.col("total"))).otherwise(0)  # the event before it has one done page fewer
-    return e.filter((F.col("bucket") >= 1) & (F.col("bucket") > first) & (F.col("done") < F.col("total"))).drop("before", "slice")
+    return e.filter((F.col("bucket") >= 1) & (F.col("bucket") > first) & (F.col("done") < F.col("total"))).drop("before", "nth")
 
 
 def wall_span(intervals: DataFrame, *keys: str) -> DataFrame:
@@ -145,41 +158,68 @@ def attempts(events: DataFrame, most: int = MOST_ATTEMPTS, slice_s: int = SLICE_
     Slices of a group are counted side by side, each from the sum of those before it.
     """
     failed = F.col("kind").isin("fail", "expire", "drop").cast("long")
-    e = _carried(_sliced(events, slice_s), "group_id", F.sum(failed), lambda w: F.coalesce(F.sum("change").over(w), F.lit(0)))
-    inside = F.sum(failed).over(W.partitionBy("group_id", "slice").orderBy("ts", "seq"))
-    e = e.withColumn("failures", (F.col("before") + inside).cast("long")).drop("before", "slice")
-    return e.withColumn("gave_up", F.col("failures") >= most)
+    e = _walked(events, "group_id", slice_s, {"within": lambda w: F.sum(failed).over(w)}, F.sum(failed), _sum_before)
+    return e.withColumn("failures", (F.col("before") + F.col("within")).cast("long")).drop("before", "within").withColumn("gave_up", F.col("failures") >= most)
 
 
 def same_failer(events: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
     """Claims of a group by the node that failed it last, also in an earlier slice."""
-    who = F.when(F.col("kind") == "fail", F.struct("ts", "seq", "node"))
-    e = _carried(_sliced(events, slice_s), "group_id", F.max(who), lambda w: F.max("change").over(w))
-    w = W.partitionBy("group_id", "slice").orderBy("ts", "seq")
-    inside = F.last(F.when(F.col("kind") == "fail", F.col("node")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    return e.withColumn("failer", F.coalesce(inside, "before.node")).drop("before", "slice").filter("kind = 'claim' AND failer = node")
+    last = lambda w: F.last(F.when(F.col("kind") == "fail", F.col("node")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    who = F.max(F.when(F.col("kind") == "fail", F.struct("ts", "seq", "node")))
+    e = _walked(events, "group_id", slice_s, {"within": last}, who, lambda w: F.max("change").over(w))
+    return e.withColumn("failer", F.coalesce("within", "before.node")).drop("before", "within").filter("kind = 'claim' AND failer = node")
+
+
+def as_of(rows: DataFrame, marks: DataFrame, key: str, within_ms: int | None = None, slice_s: int = SLICE_S) -> DataFrame:
+    """rows (key, ts, seq, ...) with mark: the last of marks (key, ts, seq, ...) of the same key at or before them, by (ts, seq).
+
+    null where there is none, or where it is more than within_ms older. mark is a struct of all columns of
+    marks. Both sides are walked together in slices, each from the last mark before it, so that a key of any
+    number of rows is shared out; null keys are one key.
+    """
+    both = rows.select(F.struct("*").alias("row"), F.lit(None).cast(marks.schema).alias("mark"), F.col(key).alias("key"), "ts", "seq")
+    both = both.union(marks.select(F.lit(None).cast(rows.schema), F.struct("*"), key, "ts", "seq"))
+    last = lambda w: F.last("mark", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, W.currentRow))
+    newest = F.max(F.when(F.col("mark").isNotNull(), F.struct("ts", "seq", "mark")))
+    e = _walked(both, "key", slice_s, {"within": last}, newest, lambda w: F.max("change").over(w)).filter("row IS NOT NULL")
+    mark = F.coalesce("within", "before.mark")
+    if within_ms is not None:
+        mark = F.when(_micros(F.col("ts")) - _micros(mark["ts"]) <= within_ms * 1000, mark)
+    return e.select("row.*", mark.alias("mark"))
+
+
+FRESH_MS = 15_000  # of a heartbeat
 
 
-def liveness(probes: DataFrame, misses: int = 2, slice_s: int = SLICE_S) -> DataFrame:
-    """Probes (node, ts, seq, ok) with missed in a row and healthy; a success or heartbeat starts anew.
+def liveness(events: DataFrame, misses: int = 2, fresh_ms: int = FRESH_MS, slice_s: int = SLICE_S) -> DataFrame:
+    """Events (node, ts, seq, kind, up) with missed, failed probes since the last reset, and healthy.
 
-    A slice of a node starts from the misses since the last success before it.
+    Kinds are heartbeat, ok and fail; other ones change nothing. A good probe makes a node healthy, a
+    heartbeat what it says of itself in up (null: healthy); both start the count anew. misses failed probes
+    make it unhealthy, but not while a heartbeat is at most fresh_ms old. A node of which nothing is known is
+    healthy. Slices start from the last reset, the last heartbeat and the misses before them.
     """
-    missed = (~F.col("ok")).cast("long")
-    p = _sliced(probes, slice_s)
-    since = F.sum(F.col("ok").cast("int")).over(W.partitionBy("node", "slice").orderBy("ts", "seq"))
-    p = p.withColumn("run", since).withColumn("inside", F.sum(missed).over(W.partitionBy("node", "slice", "run").orderBy("ts", "seq")))
-    # of a slice: whether it has a success, and its misses after the last one (or all)
-    end = F.max_by(F.struct(F.col("run").alias("run"), F.col("inside").alias("left")), F.struct("ts", "seq"))
-    per = p.groupBy(F.col("node").alias("of"), F.col("slice").alias("in")).agg(end.alias("end"))
-    earlier = W.partitionBy("of").orderBy("in").rowsBetween(W.unboundedPreceding, -1)
-    total = F.sum("end.left").over(W.partitionBy("of").orderBy("in"))  # of all slices up to here
-    at_reset = F.when(F.col("end.run") > 0, F.col("total") - F.col("end.left"))  # what of it no longer counts
-    per = per.withColumn("total", total)
-    per = per.withColumn("gone", at_reset).withColumn("carry", F.coalesce(F.last("total").over(earlier), F.lit(0)) - F.coalesce(F.last("gone", ignorenulls=True).over(earlier), F.lit(0)))
-    p = p.join(per.select("of", "in", "carry"), F.col("node").eqNullSafe(F.col("of")) & F.col("slice").eqNullSafe(F.col("in")))
-    p = p.withColumn("missed", (F.col("inside") + F.when(F.col("run") == 0, F.col("carry")).otherwise(0)).cast("long"))
-    return p.withColumn("healthy", F.col("missed") < misses).drop("run", "inside", "slice", "of", "in", "carry")
+    kind = F.col("kind")
+    reset, beat = kind.isin("heartbeat", "ok"), kind == "heartbeat"
+    up = F.when(beat, F.coalesce("up", F.lit(True))).otherwise(F.lit(True))
+    first = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = {
+        "fails": lambda w: F.sum((kind == "fail").cast("long")).over(first(w)),
+        "gone": lambda w: F.max(F.when(reset, F.col("fails"))).over(first(w)),  # failures up to the last reset
+        "beat": lambda w: F.max(F.when(beat, F.col("ts"))).over(first(w)),
+        "state": lambda w: F.last(F.when(reset, up), ignorenulls=True).over(first(w)),
+    }
+    change = F.struct(F.max("fails").alias("fails"), F.max("gone").alias("gone"), F.max("beat").alias("beat"), F.max(F.when(reset, F.struct("ts", "seq", up.alias("up")))).alias("reset"))
+
+    # failures up to each slice, and up to the last reset of it
+    along = {"so_far": lambda w: F.coalesce(F.sum("change.fails").over(w), F.lit(0)), "at_reset": lambda w: F.col("so_far") + F.col("change.gone")}
+    before = lambda w: F.struct((F.col("so_far") - F.coalesce(F.max("at_reset").over(w), F.lit(0))).alias("fails"), F.max("change.beat").over(w).alias("beat"), F.max("change.reset").over(w).alias("reset"))
+    e = _walked(events, "node", slice_s, inside, change, before, of_inside=True, along=along)
+    missed = F.when(F.col("gone").isNull(), F.col("before.fails") + F.col("fails")).otherwise(F.col("fails") - F.col("gone"))
+    fresh = F.coalesce(_micros(F.col("ts")) - _micros(F.coalesce("beat", "before.beat")) <= fresh_ms * 1000, F.lit(False))
+    was = F.coalesce("state", "before.reset.up", F.lit(True))
+    e = e.withColumn("missed", missed.cast("long")).withColumn("healthy", was & ~((F.col("missed") >= misses) & ~fresh))
+    return e.drop("fails", "gone", "beat", "state", "before")
 
 
 def room(nodes: DataFrame) -> DataFrame:

@@ -693,11 +693,33 @@ def last_failer(spark, sf_dir):
     return schedule.same_failer(co.node_events(spark, sf_dir)).select("seq", "group_id", "node")
 
 
-@query(f"""WITH {co.NODE_EVENTS}, r AS (SELECT node, seq, ts, kind <> 'fail' AND kind <> 'expire' AS ok, sum(CASE WHEN kind IN ('fail', 'expire') THEN 0 ELSE 1 END) OVER (PARTITION BY node ORDER BY ts, seq) AS run FROM ne),
-m AS (SELECT seq, (sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY node, run ORDER BY ts, seq))::BIGINT AS missed FROM r) SELECT seq, missed, missed < 2 AS healthy FROM m""")
+#: Of an event, in both dialects: what a node's health is learned from; every eleventh event's heartbeat says that the node is down.
+_HEALTH_KIND = "CASE kind WHEN 'fail' THEN 'fail' WHEN 'expire' THEN 'fail' WHEN 'commit' THEN 'ok' ELSE 'heartbeat' END"
+
+
+def _health(spark, sf_dir):
+    return co.node_events(spark, sf_dir).select("node", "ts", "seq", F.expr(_HEALTH_KIND).alias("kind"), F.expr("seq % 11 > 0").alias("up"))
+
+
+_HEALTH = f"{co.NODE_EVENTS}, he AS (SELECT node, ts, seq, {_HEALTH_KIND} AS kind, seq % 11 > 0 AS up FROM ne)"
+
+
+@query(f"""WITH {_HEALTH},
+a AS (SELECT h.*, b.ts AS beat FROM he h ASOF LEFT JOIN (SELECT node, ts FROM he WHERE kind = 'heartbeat') b ON h.node = b.node AND h.ts >= b.ts),
+r AS (SELECT *, sum(CASE WHEN kind = 'fail' THEN 0 ELSE 1 END) OVER (PARTITION BY node ORDER BY ts, seq) AS run FROM a),
+m AS (SELECT *, (sum(CASE WHEN kind = 'fail' THEN 1 ELSE 0 END) OVER (PARTITION BY node, run ORDER BY ts, seq))::BIGINT AS missed,
+  first_value(CASE WHEN kind = 'heartbeat' THEN up ELSE true END) OVER (PARTITION BY node, run ORDER BY ts, seq) AS was FROM r)
+SELECT seq, missed, was AND NOT (missed >= 2 AND NOT coalesce(ts - beat <= INTERVAL 20 MINUTE, false)) AS healthy FROM m""")
 def liveness_runs(spark, sf_dir):
-    e = co.node_events(spark, sf_dir).select("node", "ts", "seq", (~F.col("kind").isin("fail", "expire")).alias("ok"))
-    return schedule.liveness(e).select("seq", "missed", "healthy")
+    return schedule.liveness(_health(spark, sf_dir), fresh_ms=20 * 60_000).select("seq", "missed", "healthy")
+
+
+@query(f"""WITH {_HEALTH}
+SELECT p.seq, CASE WHEN p.ts - b.ts <= INTERVAL 30 MINUTE THEN b.seq END AS heartbeat FROM (SELECT * FROM he WHERE kind <> 'heartbeat') p
+ASOF LEFT JOIN (SELECT node, ts, seq FROM he WHERE kind = 'heartbeat') b ON p.node = b.node AND p.ts >= b.ts""")
+def as_of_heartbeat(spark, sf_dir):
+    h = _health(spark, sf_dir)
+    return schedule.as_of(h.filter("kind <> 'heartbeat'"), h.filter("kind = 'heartbeat'"), "node", within_ms=30 * 60_000).select("seq", F.col("mark.seq").alias("heartbeat"))
 
 
 _NODES = "nd AS (SELECT s_nationkey AS job, s_suppkey AS node, (s_suppkey % 6)::INTEGER AS in_flight, (s_suppkey % 5 + 2)::INTEGER AS capacity, s_suppkey % 4 > 0 AS active, s_suppkey % 7 > 0 AS healthy, (s_nationkey % 20)::INTEGER AS remaining, (s_suppkey % 3)::INTEGER AS sessions FROM supplier)"
