@@ -19,26 +19,26 @@ def _slice(width_s: int) -> Column:
 
 
 def _walked(events: DataFrame, key: str, slice_s: int, inside: dict, change: Column, carry, of_inside: bool = False, along: dict | None = None) -> DataFrame:
-    """events with inside, running values by (ts, seq) within a key's slice, and before, what carry() makes of change of its earlier slices.
+    """events with inside, running values by (ts, seq) within a key's slice, and __before, what carry() makes of change of its earlier slices.
 
     inside has functions of a window. A slice is slice_s seconds of a key, walked by one task beside the key's
     others. Rows move once, to their slice; one row a slice, summed where the rows lie, meets them there.
     With of_inside, change is of the running values; along has values of earlier changes that carry() uses.
     """
-    e = raw = events.withColumns({"of": F.struct(key), "slice": _slice(slice_s)})  # a struct, so that null keys meet
-    w = W.partitionBy("of", "slice").orderBy("ts", "seq")
+    e = raw = events.withColumns({"__of": F.struct(key), "__slice": _slice(slice_s)})  # a struct, so that null keys meet
+    w = W.partitionBy("__of", "__slice").orderBy("ts", "seq")
     for name, value in inside.items():
         e = e.withColumn(name, value(w))
-    per = (e if of_inside else raw).groupBy(F.col("of").alias("o"), F.col("slice").alias("s")).agg(change.alias("change"))
-    earlier = W.partitionBy("o").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    per = (e if of_inside else raw).groupBy(F.col("__of").alias("__o"), F.col("__slice").alias("__s")).agg(change.alias("__change"))
+    earlier = W.partitionBy("__o").orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
     for name, value in (along or {}).items():
         per = per.withColumn(name, value(earlier))
-    per = per.select("o", "s", carry(earlier).alias("before"))
-    return e.join(per, (F.col("of") == F.col("o")) & (F.col("slice") == F.col("s"))).drop("of", "slice", "o", "s")
+    per = per.select("__o", "__s", carry(earlier).alias("__before"))
+    return e.join(per, (F.col("__of") == F.col("__o")) & (F.col("__slice") == F.col("__s"))).drop("__of", "__slice", "__o", "__s")
 
 
 def _sum_before(w) -> Column:
-    return F.coalesce(F.sum("change").over(w), F.lit(0))
+    return F.coalesce(F.sum("__change").over(w), F.lit(0))
 
 
 SLICE_S = 3600  # seconds of events of a key that one task walks
@@ -126,10 +126,10 @@ def progress_bucket(done: Column, total: Column) -> Column:
 
 def progress_lines(events: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
     """Running count of done pages with the rows where a new tenth begins. Slices of a job are counted side by side."""
-    e = _walked(events, "job", slice_s, {"nth": lambda w: F.row_number().over(w)}, F.count("*"), _sum_before)
-    e = e.withColumn("done", (F.col("before") + F.col("nth")).cast("int")).withColumn("bucket", progress_bucket(F.col("done"), F.col("total")))
+    e = _walked(events, "job", slice_s, {"__nth": lambda w: F.row_number().over(w)}, F.count("*"), _sum_before)
+    e = e.withColumn("done", (F.col("__before") + F.col("__nth")).cast("int")).withColumn("bucket", progress_bucket(F.col("done"), F.col("total")))
     first = F.when(F.col("done") > 1, progress_bucket(F.col("done") - 1, F.col("total"))).otherwise(0)  # the event before it has one done page fewer
-    return e.filter((F.col("bucket") >= 1) & (F.col("bucket") > first) & (F.col("done") < F.col("total"))).drop("before", "nth")
+    return e.filter((F.col("bucket") >= 1) & (F.col("bucket") > first) & (F.col("done") < F.col("total"))).drop("__before", "__nth")
 
 
 def wall_span(intervals: DataFrame, *keys: str) -> DataFrame:
@@ -158,16 +158,16 @@ def attempts(events: DataFrame, most: int = MOST_ATTEMPTS, slice_s: int = SLICE_
     Slices of a group are counted side by side, each from the sum of those before it.
     """
     failed = F.col("kind").isin("fail", "expire", "drop").cast("long")
-    e = _walked(events, "group_id", slice_s, {"within": lambda w: F.sum(failed).over(w)}, F.sum(failed), _sum_before)
-    return e.withColumn("failures", (F.col("before") + F.col("within")).cast("long")).drop("before", "within").withColumn("gave_up", F.col("failures") >= most)
+    e = _walked(events, "group_id", slice_s, {"__within": lambda w: F.sum(failed).over(w)}, F.sum(failed), _sum_before)
+    return e.withColumn("failures", (F.col("__before") + F.col("__within")).cast("long")).drop("__before", "__within").withColumn("gave_up", F.col("failures") >= most)
 
 
 def same_failer(events: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
     """Claims of a group by the node that failed it last, also in an earlier slice."""
     last = lambda w: F.last(F.when(F.col("kind") == "fail", F.col("node")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     who = F.max(F.when(F.col("kind") == "fail", F.struct("ts", "seq", "node")))
-    e = _walked(events, "group_id", slice_s, {"within": last}, who, lambda w: F.max("change").over(w))
-    return e.withColumn("failer", F.coalesce("within", "before.node")).drop("before", "within").filter("kind = 'claim' AND failer = node")
+    e = _walked(events, "group_id", slice_s, {"__within": last}, who, lambda w: F.max("__change").over(w))
+    return e.withColumn("failer", F.coalesce("__within", "__before.node")).drop("__before", "__within").filter("kind = 'claim' AND failer = node")
 
 
 def as_of(rows: DataFrame, marks: DataFrame, key: str, within_ms: int | None = None, slice_s: int = SLICE_S) -> DataFrame:
@@ -181,8 +181,8 @@ def as_of(rows: DataFrame, marks: DataFrame, key: str, within_ms: int | None = N
     both = both.union(marks.select(F.lit(None).cast(rows.schema), F.struct("*"), key, "ts", "seq"))
     last = lambda w: F.last("mark", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, W.currentRow))
     newest = F.max(F.when(F.col("mark").isNotNull(), F.struct("ts", "seq", "mark")))
-    e = _walked(both, "key", slice_s, {"within": last}, newest, lambda w: F.max("change").over(w)).filter("row IS NOT NULL")
-    mark = F.coalesce("within", "before.mark")
+    e = _walked(both, "key", slice_s, {"__within": last}, newest, lambda w: F.max("__change").over(w)).filter("row IS NOT NULL")
+    mark = F.coalesce("__within", "__before.mark")
     if within_ms is not None:
         mark = F.when(_micros(F.col("ts")) - _micros(mark["ts"]) <= within_ms * 1000, mark)
     return e.select("row.*", mark.alias("mark"))
@@ -204,22 +204,22 @@ def liveness(events: DataFrame, misses: int = 2, fresh_ms: int = FRESH_MS, slice
     up = F.when(beat, F.coalesce("up", F.lit(True))).otherwise(F.lit(True))
     first = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = {
-        "fails": lambda w: F.sum((kind == "fail").cast("long")).over(first(w)),
-        "gone": lambda w: F.max(F.when(reset, F.col("fails"))).over(first(w)),  # failures up to the last reset
-        "beat": lambda w: F.max(F.when(beat, F.col("ts"))).over(first(w)),
-        "state": lambda w: F.last(F.when(reset, up), ignorenulls=True).over(first(w)),
+        "__fails": lambda w: F.sum((kind == "fail").cast("long")).over(first(w)),
+        "__gone": lambda w: F.max(F.when(reset, F.col("__fails"))).over(first(w)),  # failures up to the last reset
+        "__beat": lambda w: F.max(F.when(beat, F.col("ts"))).over(first(w)),
+        "__state": lambda w: F.last(F.when(reset, up), ignorenulls=True).over(first(w)),
     }
-    change = F.struct(F.max("fails").alias("fails"), F.max("gone").alias("gone"), F.max("beat").alias("beat"), F.max(F.when(reset, F.struct("ts", "seq", up.alias("up")))).alias("reset"))
+    change = F.struct(F.max("__fails").alias("fails"), F.max("__gone").alias("gone"), F.max("__beat").alias("beat"), F.max(F.when(reset, F.struct("ts", "seq", up.alias("up")))).alias("reset"))
 
     # failures up to each slice, and up to the last reset of it
-    along = {"so_far": lambda w: F.coalesce(F.sum("change.fails").over(w), F.lit(0)), "at_reset": lambda w: F.col("so_far") + F.col("change.gone")}
-    before = lambda w: F.struct((F.col("so_far") - F.coalesce(F.max("at_reset").over(w), F.lit(0))).alias("fails"), F.max("change.beat").over(w).alias("beat"), F.max("change.reset").over(w).alias("reset"))
+    along = {"__so_far": lambda w: F.coalesce(F.sum("__change.fails").over(w), F.lit(0)), "__at_reset": lambda w: F.col("__so_far") + F.col("__change.gone")}
+    before = lambda w: F.struct((F.col("__so_far") - F.coalesce(F.max("__at_reset").over(w), F.lit(0))).alias("fails"), F.max("__change.beat").over(w).alias("beat"), F.max("__change.reset").over(w).alias("reset"))
     e = _walked(events, "node", slice_s, inside, change, before, of_inside=True, along=along)
-    missed = F.when(F.col("gone").isNull(), F.col("before.fails") + F.col("fails")).otherwise(F.col("fails") - F.col("gone"))
-    fresh = F.coalesce(_micros(F.col("ts")) - _micros(F.coalesce("beat", "before.beat")) <= fresh_ms * 1000, F.lit(False))
-    was = F.coalesce("state", "before.reset.up", F.lit(True))
+    missed = F.when(F.col("__gone").isNull(), F.col("__before.fails") + F.col("__fails")).otherwise(F.col("__fails") - F.col("__gone"))
+    fresh = F.coalesce(_micros(F.col("ts")) - _micros(F.coalesce("__beat", "__before.beat")) <= fresh_ms * 1000, F.lit(False))
+    was = F.coalesce("__state", "__before.reset.up", F.lit(True))
     e = e.withColumn("missed", missed.cast("long")).withColumn("healthy", was & ~((F.col("missed") >= misses) & ~fresh))
-    return e.drop("fails", "gone", "beat", "state", "before")
+    return e.drop("__fails", "__gone", "__beat", "__state", "__before")
 
 
 def room(nodes: DataFrame) -> DataFrame:
