@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as tx
 from ..operators import align, assemble, classify, groups, leases, names, ranges, replies, schedule
 from ..sources import files
+from ..streaming import leases as lease_stream, pages as page_stream, play
 from . import corpus as co
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -849,3 +850,52 @@ def trace_truncate(spark, sf_dir):
     t = files.trace_pages(co.turn_pages(spark, sf_dir), 100)
     j = F.from_json("value", "struct<chars:bigint,truncated:boolean,text:string>")
     return t.withColumn("j", j).select("doc_id", "page", "j.chars", "j.truncated", "j.text")
+
+
+# Streams that play a table: what comes out once the watermark has reached the end of the input.
+
+_LEASE_MS = 3 * 3_600_000
+_DELAY_MS = 600_000
+
+
+@query(f"""WITH {co.NODE_EVENTS},
+x AS (SELECT job, page, node, epoch_us(ts) // 1000 AS tm, kind FROM ne WHERE kind IN ('claim', 'commit')),
+c AS (SELECT * FROM x WHERE kind = 'claim'),
+g AS (SELECT m.job, m.page, min(m.tm) AS done FROM x m JOIN c ON m.job = c.job AND m.page = c.page AND m.node = c.node AND c.tm <= m.tm AND m.tm < c.tm + {_LEASE_MS} WHERE m.kind = 'commit' GROUP BY ALL),
+d AS (SELECT DISTINCT job, page, tm + {_LEASE_MS} AS at_ms FROM c)
+SELECT d.job, d.page, d.at_ms FROM d LEFT JOIN g ON d.job = g.job AND d.page = g.page
+WHERE d.at_ms <= (SELECT max(tm) - {_DELAY_MS} FROM x) AND (g.done IS NULL OR g.done > d.at_ms)
+  AND NOT EXISTS (SELECT 1 FROM c WHERE c.job = d.job AND c.page = d.page AND c.tm <= d.at_ms AND d.at_ms < c.tm + {_LEASE_MS})""")
+def lease_requeues(spark, sf_dir):
+    events = co.as_node_events(play.table_stream(spark, f"{sf_dir}/events.parquet"))
+    return play.played(lease_stream.requeues(events, _LEASE_MS, f"{_DELAY_MS} milliseconds", keep_ms=10**13), "requeues")
+
+
+#: Of a conversation's turn, in both dialects: when it comes as a page, and whether and how much later it is classified.
+_CAME = "1000000000000 + (conv_id * 40 + turn) * 1000"
+_CLASSED = "CASE WHEN (conv_id * 7 + turn) % 5 > 0 THEN (conv_id * 13 + turn * 7) % 90 * 1000 END"
+
+
+@query(f"""WITH t AS (SELECT conv_id AS doc_id, turn AS page, {_CAME} AS at_ms, {_CLASSED} AS later, (conv_id + turn) % 3 = 0 AS use_layer FROM conversations),
+w AS (SELECT least((SELECT max(at_ms) FROM t), (SELECT max(at_ms + later) FROM t)) - 30000 AS mark)
+SELECT doc_id, page, CASE WHEN later <= 60000 THEN use_layer END AS use_layer FROM t WHERE later <= 60000 OR at_ms + 60000 < (SELECT mark FROM w)""")
+def deferred_admission(spark, sf_dir):
+    """Pages show up once they are classified within a minute, the others after it."""
+    turns = lambda: play.table_stream(spark, f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.expr(_CAME).alias("ms"), F.expr(_CLASSED).alias("later"))
+    pages = turns().select("doc_id", "page", F.timestamp_millis("ms").alias("at"))
+    classes = turns().filter("later IS NOT NULL").select("doc_id", "page", F.timestamp_millis(F.col("ms") + F.col("later")).alias("at"), F.expr("(doc_id + page) % 3 = 0").alias("use_layer"))
+    return play.played(lease_stream.admitted(pages, classes, "60 seconds", "30 seconds").select("doc_id", "page", "use_layer"), "admitted")
+
+
+@query(f"""WITH {co.TURN_PAGES}, g AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1) // 2 AS group_no FROM tp WHERE NOT {_blank("text")}),
+h AS (SELECT doc_id, group_no, string_agg(page::VARCHAR, ',' ORDER BY page) AS pages, arg_min(text, page) AS first FROM g GROUP BY ALL),
+n AS (SELECT *, lead(first) OVER (PARTITION BY doc_id ORDER BY group_no) AS next FROM h),
+w AS (SELECT max({_CAME}) - 30000 AS mark FROM conversations),
+e AS (SELECT conv_id AS doc_id, max({_CAME}) + 20000 <= (SELECT mark FROM w) AS sealed FROM conversations GROUP BY conv_id)
+SELECT doc_id, group_no::INTEGER AS group_no, pages, left(next, 240) AS head FROM n JOIN e USING (doc_id) WHERE sealed OR next IS NOT NULL""")
+def sealed_groups(spark, sf_dir):
+    """Turns as pages in groups of two; a conversation ends when nothing of it came for 20 seconds."""
+    turns = play.table_stream(spark, f"{sf_dir}/conversations.parquet").withColumn("at", F.timestamp_millis(F.expr(_CAME)))
+    pages = co.as_turn_pages(turns, "at")
+    made = page_stream.sealed_groups(pages, 2, 10**9, 20_000, 3_600_000, "30 seconds")
+    return play.played(made.select("doc_id", "group_no", F.array_join("pages", ",").alias("pages"), "head"), "sealed")

@@ -61,8 +61,12 @@ NAME_PAGES = f"{SUPPLIER_PAGES}, np AS (SELECT * FROM sp UNION ALL SELECT 100000
 
 def turn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page, text): a conversation's turns as its pages, every seventh turn blank."""
-    c = table(spark, sf_dir, "conversations")
-    return c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, F.lit(" \n")).otherwise(F.col("text")).alias("text"))
+    return as_turn_pages(table(spark, sf_dir, "conversations"))
+
+
+def as_turn_pages(c: DataFrame, *more: str) -> DataFrame:
+    text = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, F.lit(" \n")).otherwise(F.col("text"))
+    return c.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), text.alias("text"), *more)
 
 
 TURN_PAGES = "tp AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, CASE WHEN (conv_id + turn) % 7 = 0 THEN ' ' || chr(10) ELSE text END AS text FROM conversations)"
@@ -79,7 +83,10 @@ LINE_RANGES = "lr AS (SELECT l_orderkey AS doc_id, l_partkey % 60 + 1 AS start,
 
 def node_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, ts, job, node, kind, page, group_id): events as what nodes do with pages."""
-    e = table(spark, sf_dir, "events")
+    return as_node_events(table(spark, sf_dir, "events"))
+
+
+def as_node_events(e: DataFrame) -> DataFrame:
     return e.select(F.col("event_id").alias("seq"), "ts", F.expr("(event_id div 5) % 40").alias("job"), F.expr("user_id % 12").alias("node"), F.expr(KIND).alias("kind"), F.expr("cast((event_id div 7) % 9 + 1 AS int)").alias("page"), F.expr("user_id % 50").alias("group_id"), "value")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.text import HEAD_CHARS
 from ..operators.groups import Batcher
+from .play import millis
 
 
 class OrderedGroups(StatefulProcessor):
@@ -85,6 +86,67 @@ class OrderedGroups(StatefulProcessor):
         pass
 
 
+class SealedGroups(OrderedGroups):
+    """OrderedGroups of documents that need no end: one that has been quiet for idle_ms is sealed.
+
+    A timer goes off once the watermark is idle_ms past the document's last page. Then missing pages count as
+    blank and the rest goes out. A page that comes later gives a row with an error, until keep_ms after the
+    seal nothing of the document is left in state.
+    """
+
+    def __init__(self, n: int, most: int, idle_ms: int, keep_ms: int):
+        super().__init__(n, most)
+        self.idle_ms, self.keep_ms = idle_ms, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.seal = handle.getValueState("seal", "due long, sealed boolean")
+
+    def _due(self, at: int, sealed: bool, before: int | None) -> None:
+        if before is not None and before != at:
+            self.handle.deleteTimer(before)
+        self.seal.update((at, sealed))
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frames = list(rows)  # what one batch has of one document
+        due, sealed = self.seal.get() if self.seal.exists() else (None, False)
+        if sealed:
+            late = [p for f in frames for p in f["page"].tolist()]
+            yield pd.DataFrame([(key[0], None, [p], None, None, "document is sealed") for p in late], columns=["doc_id", "group_no", "pages", "text", "head", "error"]).astype({"group_no": "Int32"})
+            return
+        yield from super().handleInputRows(key, iter(frames), timerValues)
+        last = max(max(millis(f["at"])) for f in frames)
+        if self.cursor.exists():
+            self._due(max(last + self.idle_ms, due or 0), False, due)
+        else:  # its end came as a row
+            self._due(last + self.keep_ms, True, due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due, sealed = self.seal.get() if self.seal.exists() else (None, True)
+        if due != now:
+            return
+        if sealed:
+            self.seal.clear()
+            return
+        last = max([self.cursor.get()[0] - 1, *(k[0] for k in self.slots.keys())])
+        if last:
+            yield from super().handleInputRows(key, iter([pd.DataFrame({"page": [last + 1], "text": [None]})]), timerValues)
+        else:
+            self.cursor.clear()
+        self._due(now + self.keep_ms, True, None)
+
+
+def sealed_groups(pages: DataFrame, n: int, most: int, idle_ms: int, keep_ms: int, delay: str = "10 minutes") -> DataFrame:
+    """ordered_groups() of a stream of (doc_id, page, text, at) in which documents end by time; see SealedGroups."""
+    p = pages.select("doc_id", F.col("page").cast("int").alias("page"), "text", "at").withWatermark("at", delay)
+    return p.groupBy("doc_id").transformWithStateInPandas(
+        SealedGroups(n, most, idle_ms, keep_ms), outputStructType="doc_id long, group_no int, pages array<int>, text string, head string, error string", outputMode="Append", timeMode="EventTime"
+    )
+
+
 def ordered_groups(pages: DataFrame, n: int, most: int) -> DataFrame:
     """Stream of (doc_id, group_no, pages, text, head, error) from a stream of (doc_id, page, text)."""
     p = pages.select("doc_id", F.col("page").cast("int").alias("page"), "text")
