@@ -8,6 +8,7 @@ by its fingerprint can be checked afterwards, text by text (similar.py).
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -253,7 +254,17 @@ class Turn:
 
 LEAF = 256  # fingerprints in a block that travels to another range
 _HELD = 1 << 20  # pairs that a task keeps before it passes them on
-RANGES = 4096  # ranges of the top level at most; their masks are all that the driver and every task hold
+OWN = 1 << 20  # rows that a range of the top level has, about, and a task holds as one tree
+RANGES = 4096  # ranges at a time, or those of one turn; their masks are all that the driver and every task hold
+
+
+def batches_of(rows: int, turns: range, parts: int) -> list[tuple[range, int]]:
+    """(turns, ranges): turns that are searched together, and over how many ranges. A range has OWN rows at most, about.
+
+    parts ranges at least share the work; beyond RANGES turns are searched one after the other.
+    """
+    each = max(1, min(len(turns), RANGES * OWN // max(1, rows)))
+    return [(t := turns[k : k + each], max(min(parts, RANGES), -(-rows * len(t) // OWN))) for k in range(0, len(turns), each)]
 
 
 def _blocks(distinct: DataFrame, labels: list[str], ranges: int, turns: range) -> DataFrame:
@@ -304,7 +315,8 @@ def _blocks(distinct: DataFrame, labels: list[str], ranges: int, turns: range) -
             yield packed(rest)
 
     schema = ", ".join(["turn int", *(f"{c} long" for c in ("fp", "more", *labels, "rank"))])
-    sorted_ = distinct.select("fp", "more", *labels).mapInArrow(ranked, schema).repartitionByRange(ranges, "turn", "rank").sortWithinPartitions("turn", "rank")
+    order = ["turn", "rank", "more", *labels]  # fingerprints that are equal may lie in several ranges
+    sorted_ = distinct.select("fp", "more", *labels).mapInArrow(ranked, schema).repartitionByRange(ranges, *order).sortWithinPartitions("turn", "rank")
     return sorted_.mapInArrow(cut, "turn int, part int, fps binary, mask long, pattern long")
 
 
@@ -316,12 +328,20 @@ def search(distinct: DataFrame, labels: list[str], found, most: int, turns: rang
     front that is every link. A large `most` leaves little to prune; then each of `turns` rearrangements
     only follows pairs whose `front` leading bits differ in at most `near` places.
     """
-    spark = distinct.sparkSession
-    ranges = max(1, min(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    made = [_searched(distinct, labels, found, most, some, ranges, front, near) for some, ranges in batches_of(distinct.count(), turns, parts)]
+    if len(made) == 1:
+        return made[0]
+    whole = reduce(DataFrame.union, made, distinct.sparkSession.createDataFrame([], "a long, b long"))
+    return materialize(whole.distinct(), "simhash_all_links")
+
+
+def _searched(distinct: DataFrame, labels: list[str], found, most: int, turns: range, ranges: int, front: int, near: int) -> DataFrame:
+    """search() of some turns over so many ranges."""
     blocks = materialize(_blocks(distinct, labels, ranges, turns), "simhash_blocks")
     tops = blocks.groupBy("turn", "part").agg(
         F.expr("bit_and(pattern)").alias("ands"), F.expr("bit_or(~mask | pattern)").alias("ors"),
-    ).collect()  # fmt: skip  # at most RANGES + turns rows
+    ).collect()  # fmt: skip  # at most ranges + turns rows
     turn, part = (np.array([r[k] for r in tops], np.int64) for k in ("turn", "part"))
     ands, ors = (np.array([r[k] for r in tops], np.int64).view(np.uint64) for k in ("ands", "ors"))
     mask = ~(ands ^ ors)

@@ -7,6 +7,7 @@ the bounds' order, until the kth result is certain.
 
 from __future__ import annotations
 
+import io
 import uuid
 
 import numpy as np
@@ -154,6 +155,34 @@ def search_slab(grid: Grid, q: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, c
             best[at + i] = scores, found
 
 
+def write_lists(slabs: DataFrame, folder: str) -> DataFrame:
+    """(run, file): a file of folder per run of slabs (name, n, run), with a line a slab; read line by line, whatever their number."""
+
+    def write(batches):
+        import pyarrow as pa
+
+        fs, base = opened(folder)
+        fs.create_dir(base, recursive=True)
+        out, runs, files = None, [], []
+        try:
+            for b in batches:
+                for name, n, run in zip(*(c.to_pylist() for c in b.columns)):
+                    if not runs or run != runs[-1]:
+                        if out is not None:
+                            out.close()
+                        runs.append(run)
+                        files.append(f"{uuid.uuid4().hex}.list")
+                        out = fs.open_output_stream(f"{base}/{files[-1]}", compression=None)
+                    out.write(f"{name}\t{n}\n".encode())
+        finally:
+            if out is not None:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array(files, pa.string())], names=["run", "file"])
+
+    rows = slabs.select("name", "n", "run").repartition("run").sortWithinPartitions("run")
+    return materialize(rows.mapInArrow(write, "run long, file string"), "va_lists")
+
+
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by every, the k best of all other rows.
 
@@ -172,10 +201,10 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     folder = f"{root(spark)}/va"
     slabs = write_files(v, folder, grid, SLAB)
     groups = write_files(v.filter(asked).repartition(max(1, -(-said["asked"] // GROUP))), folder, grid, GROUP)
-    names = [(r["name"], r["n"]) for r in groups.collect()]  # one for each GROUP queries
-    run = F.pmod(F.xxhash64("name"), F.lit(-(-UNITS // max(1, len(names)))))
-    runs = slabs.withColumn("run", run).groupBy("run").agg(F.collect_list(F.struct("name", "n")).alias("slabs"))
-    units = runs.select("slabs", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("g")) if names else runs.select("slabs", F.lit(0).alias("g")).limit(0)
+    runs = -(-UNITS // max(1, groups.count()))
+    lists = write_lists(slabs.withColumn("run", F.pmod(F.xxhash64("name"), F.lit(runs))), folder)
+    lists = {r["run"]: r["file"] for r in lists.collect()}  # UNITS at most
+    units = groups.withColumn("g", F.monotonically_increasing_id()).select("g", "name", "n", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def search(batches):
@@ -203,23 +232,29 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
 
             return rows, file
 
+        def slabs_of(run):
+            if run in lists:
+                with fs.open_input_stream(f"{base}/{lists[run]}", compression=None) as f:
+                    for line in io.TextIOWrapper(io.BufferedReader(f)):
+                        name, n = line.split("\t")
+                        yield name, int(n)
+
         for b in batches:
-            for slabs, g in zip(*(c.to_pylist() for c in b.columns)):
-                name, count = names[g]
+            for g, name, count, run in zip(*(c.to_pylist() for c in b.columns)):
                 q_ids, q = load(name, "ids", np.int64, count), load(name, "exact", grid.kind, count)
                 best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * count
-                for s in slabs:
-                    exact, file = reader(s["name"], s["n"])
+                for slab, size in slabs_of(run):
+                    exact, file = reader(slab, size)
                     with file:
-                        search_slab(grid, q, q_ids, load(s["name"], "ids", np.int64, s["n"]), load(s["name"], "cells", np.uint8, s["n"]), exact, best, k)
+                        search_slab(grid, q, q_ids, load(slab, "ids", np.int64, size), load(slab, "cells", np.uint8, size), exact, best, k)
                 sizes = [len(x[0]) for x in best]
                 place = np.repeat(np.arange(count), sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(place), g, np.int32)), pa.array(place), pa.array(q_ids[place]), pa.array(np.concatenate([x[1] for x in best])), pa.array(np.concatenate([x[0] for x in best]))],
+                    [pa.array(np.full(len(place), g, np.int64)), pa.array(place), pa.array(q_ids[place]), pa.array(np.concatenate([x[1] for x in best])), pa.array(np.concatenate([x[0] for x in best]))],
                     names=["g", "place", "query_id", "vec_id", "score"],
                 )
 
-    found = units.repartition(n).mapInArrow(search, "g int, place long, query_id long, vec_id long, score long")
+    found = units.repartition(n).mapInArrow(search, "g long, place long, query_id long, vec_id long, score long")
     order = W.partitionBy("g", "place").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

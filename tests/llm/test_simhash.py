@@ -112,3 +112,36 @@ def test_components_of_random_graphs(spark):
             up[b] = a
         got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert got == {x: root(x) for x in up if root(x) != x}
+
+
+def test_ranges_of_many_turns_stay_small(spark, monkeypatch):
+    """A task's tree doesn't grow with the turns, nor with rows of one fingerprint; the links are the same."""
+    rng = np.random.default_rng(8)
+    seeds = rng.integers(0, 2**64, 500, dtype=np.uint64)
+    fps = np.concatenate([seeds, seeds ^ np.uint64(1 << 17), np.full(600, seeds[0])]).view(np.int64)
+    rows = [(f, int(m), i) for i, (f, m) in enumerate(zip(fps.tolist(), rng.integers(0, 2**62, len(fps)) & 3))]
+    df = spark.createDataFrame(rows, "fp long, more long, node long")
+    whole = {r["node"]: r["root"] for r in simhash.components(simhash.link_forest(df, 5)).collect()}
+    assert len(whole) > 900
+    sizes, blocks = [], simhash._blocks
+
+    def counted(*a):
+        made = blocks(*a)
+        sizes.extend(r["n"] for r in made.groupBy("part").agg(simhash.F.sum(simhash.F.length("fps") / 24).alias("n")).collect())
+        return made
+
+    monkeypatch.setattr(simhash, "_blocks", counted)
+    monkeypatch.setattr(simhash, "OWN", 200)
+    monkeypatch.setattr(simhash, "RANGES", 2)
+    turns = range(6)
+    assert [len(t) for t, _ in simhash.batches_of(len(rows), turns, 4)] == [1] * 6
+    many = {r["node"]: r["root"] for r in simhash.components(simhash.link_forest(df, 5, turns)).collect()}
+    assert many == whole
+    assert sum(sizes) == 6 * len(rows) and max(sizes) <= 3 * 200
+
+
+def test_batches_of_turns():
+    for n, turns in ((10**5, 14), (2 * 10**9, 149), (4 * 10**10, 302), (0, 1)):
+        parts = simhash.batches_of(n, range(turns), 200)
+        assert [t for b, _ in parts for t in b] == list(range(turns))
+        assert all(n * len(b) <= k * simhash.OWN and (len(b) == 1 or k <= simhash.RANGES) for b, k in parts)
