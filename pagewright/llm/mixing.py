@@ -49,8 +49,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
     return s.select("source", "source_size", target.alias("target"))
 
 
-def _edges(narrow: DataFrame, state: DataFrame, name: str) -> DataFrame:
-    """Adds per source with eligible rows the boundary of its budget: used (words below), edge (hash), words (at it).
+def _edges(narrow: DataFrame, state: DataFrame, name: str) -> tuple[int, DataFrame]:
+    """Adds per source with eligible rows the boundary of its budget: used (words below), edge (hash), words (at it); their number comes first.
 
     narrow has (source, size, h), state (source, budget, more). Each level sums words by source and the next
     LEVEL_BITS of the hash, inside the boundary bucket of the level before; it ends when every boundary
@@ -73,9 +73,10 @@ def _edges(narrow: DataFrame, state: DataFrame, name: str) -> DataFrame:
         pick = pick.withColumn("n", F.row_number().over(run)).filter("n = 1")
         state = pick.select(*kept, (F.col("upto") - F.col("words")).alias("used"), F.col("bucket").alias("prefix"), "words", "low", "high")
         state = materialize(state, f"{name}_level{level}")
-        if state.filter("low < high").isEmpty():
+        said = state.agg(F.count("*").alias("sources"), F.count_if(F.col("low") < F.col("high")).alias("wide")).first()
+        if not said["wide"]:
             break
-    return state.select(*kept, "used", F.col("high").alias("edge"), "words")
+    return said["sources"], state.select(*kept, "used", F.col("high").alias("edge"), "words")
 
 
 def _thresholds(narrow: DataFrame, targets: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def _thresholds(narrow: DataFrame, targets: DataFrame) -> DataFrame:
     size = F.col("source_size")
     full = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long")
     state = targets.withColumn("full", full).withColumn("budget", F.col("target") - F.col("full") * size)
-    state = _edges(narrow, state, "mix")
+    _, state = _edges(narrow, state, "mix")
     fits = F.col("used") + F.col("words") <= F.col("budget")
     rest = F.col("budget") - F.col("used") - F.when(fits, F.col("words")).otherwise(0)
     none = F.array().cast("array<struct<after:bigint,upto:bigint,most:bigint>>")
@@ -100,10 +101,9 @@ def _thresholds(narrow: DataFrame, targets: DataFrame) -> DataFrame:
         at = open_.select(F.col("source").alias("at_source"), "after", F.floor("rest").cast("long").alias("most"))
         # fills end soon: a hash that didn't fit is passed over, and what fits is smaller each time
         some = narrow.join(at, F.col("source").eqNullSafe(F.col("at_source")) & (F.col("h") > F.col("after")) & (F.col("size") <= F.col("most")) & (F.col("size") > 0)).select("source", "size", "h")
-        some = materialize(some, f"mix_fill{k}")
-        if some.isEmpty():
+        sources, found = _edges(some, open_.select("source", F.col("rest").alias("budget")), f"mix_fill{k}")
+        if not sources:
             break
-        found = _edges(some, open_.select("source", F.col("rest").alias("budget")), f"mix_fill{k}")
         in_ = F.col("used") + F.col("words") <= F.col("budget")
         found = found.select(F.col("source").alias("of"), F.when(in_, F.col("edge")).otherwise(F.col("edge") - 1).alias("upto"), F.col("edge").alias("to"), (F.col("used") + F.when(in_, F.col("words")).otherwise(0)).alias("got"))
         joined = state.join(found, F.col("source").eqNullSafe(F.col("of")), "left")
