@@ -7,9 +7,9 @@ share 0.8 differ in (n + m) / 9 at most, so of one more words at least one is eq
 in one order, those of most shingles first; then it is among the first d + 1 of both sketches, and these are
 joined. A word holds several shingles, so a passage that many texts hold seldom makes one.
 
-What has a word in common lies in blocks. Sketches of single bits bound the symmetric difference again, and
-what they leave open is verified on the sets, a block against another. First each word's sets meet one of
-them; words whose sets these links have joined are done, and only of the others all sets meet.
+Sketches of single bits bound the symmetric difference again, pair by pair, and what they leave open is verified
+on the sets, which lie in blocks. First each word's sets meet one of them. Words whose sets these links have
+joined are done; of the others all sets meet that aren't joined, so a large group of copies costs about its size.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from .sieve import kept
 from .simhash import components
 
 WIDTH = 5
-BITS = 1 << 11  # of a set's second sketch, of single bits
+BITS = 1 << 10  # of a set's second sketch, of single bits
 REPEATS = 1 << 16  # sets that a task knows again, so that copies don't send their words again
-CROWD = 8  # blocks of sets with a word in common, beyond which another word must be common too
+CROWD = 1 << 11  # sets of a word outside its largest group, beyond which another word must be common too
+_HELD = 1 << 16  # pairs that a task keeps before it passes them on
 
 
 def partners(n: int) -> int:
@@ -69,9 +70,9 @@ def words_of(m: np.ndarray, more: int = 0) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(key, d1, d2, n, words) per row of docs (key, text): 128 bits that name the set, its size, and its words, two of which are shared.
+    """(key, d1, d2, n, words, bits) per row of docs (key, text): 128 bits that name the set, its size, its words, two of which are shared, and its bit sketch.
 
-    words is null where the task has just told those of an equal set.
+    words and bits are null where the task has just told those of an equal set.
     """
 
     def run(batches):
@@ -80,21 +81,22 @@ def sketched(docs: DataFrame) -> DataFrame:
 
         known: dict[bytes, None] = {}
         for b in batches:
-            names, sizes, words = [], [], []
+            names, sizes, words, bits = [], [], [], []
             for t in b.column(1).to_pylist():
                 m = members(t or b"")
                 name = xxh3_128_digest(m.tobytes())
                 names.append(name)
                 sizes.append(len(m))
                 words.append(None if name in known else words_of(m, 1).view(np.int64))
+                bits.append(None if name in known else bit_sketches(m, np.zeros(len(m), np.int64), 1).tobytes())
                 known[name] = None
                 if len(known) > REPEATS:
                     del known[next(iter(known))]
             digest = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-            cols = [b.column(0), *(pa.array(np.ascontiguousarray(digest[:, k])) for k in range(2)), pa.array(sizes, pa.int64()), pa.array(words, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "d1", "d2", "n", "words"])
+            cols = [b.column(0), *(pa.array(np.ascontiguousarray(digest[:, k])) for k in range(2)), pa.array(sizes, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "d1", "d2", "n", "words", "bits"])
 
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, d1 long, d2 long, n long, words array<long>")
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, d1 long, d2 long, n long, words array<long>, bits binary")
 
 
 def _firsts(n, words):
@@ -105,12 +107,18 @@ def _firsts(n, words):
 
 
 def _shared(words: DataFrame, distinct: DataFrame, name: str) -> DataFrame:
-    """(word, id): the words (word, d1, d2) that several sets of distinct (d1, d2, id) have."""
+    """(word, id, hub, k): the words (word, d1, d2) that k sets of distinct (d1, d2, id) have, k > 1; hub is the least id.
+
+    Of words that the same sets have one stays.
+    """
     often = materialize(words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").select("word"), f"{name}_often")
     rows = kept(words, often, F.col("word")).join(often.withColumnRenamed("word", "of"), F.col("word") == F.col("of")).select("word", "d1", "d2").distinct()
     named = distinct.select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), "id")
-    made = materialize(rows.join(named, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2"))).select("word", "id"), f"{name}_words")
-    drop(often)
+    all_ = materialize(rows.join(named, (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2"))).select("word", "id"), f"{name}_all")
+    per = all_.groupBy("word").agg(F.count("*").alias("k"), F.min("id").alias("hub"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    one = materialize(per.filter("k > 1").groupBy("k", "hub", "x", "y").agg(F.min("word").alias("w")).select("w", "hub", "k"), f"{name}_once")
+    made = materialize(all_.join(one, F.col("word") == F.col("w")).select("word", "id", "hub", "k"), f"{name}_words")
+    drop(often, all_, one)
     return made
 
 
@@ -132,56 +140,89 @@ def _near(x: Block, y: Block) -> np.ndarray:
     return within_bound(x.n, y.n, *(bit_sketches(b.sets, b.row, len(b.n)) for b in (x, y)))
 
 
-def _light(blocks: DataFrame) -> DataFrame:
-    """(block, ids, sizes, bits): blocks with bit sketches in place of sets."""
+def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of sets (id, n, bits) those that may share 0.8."""
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            bits = []
-            for ids, sizes, sets in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
-                x = Block(ids, b"", sizes, sets)
-                bits.append(bit_sketches(x.sets, x.row, len(x.n)).tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bits, pa.binary())], names=["block", "ids", "sizes", "bits"])
-
-    return blocks.select("block", "ids", "sizes", "sets").mapInArrow(run, "block long, ids array<long>, sizes array<long>, bits binary")
-
+        for batch in batches:
+            n, m = (batch.column(k).to_numpy() for k in (2, 4))
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (3, 5))
+            may = (9 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= n + m) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(may))
 
-def _open(pairs: DataFrame, light: DataFrame) -> DataFrame:
-    """Of pairs (x, y) of blocks of light (block, sizes, bits, roots) those with sets of unlike roots that may share 0.8."""
+    one, two = (sets.select(F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
+    both = pairs.join(one, F.col("a") == F.col("id_a")).join(two, F.col("b") == F.col("id_b"))
+    return both.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a long, b long")
 
-    def run(batches):
-        import pyarrow as pa
 
-        for b in batches:
-            keep = []
-            for n, a, r, m, c, s in zip(*(b.column(k).to_pylist() for k in range(2, 8))):
-                n, m, r, s = (np.array(v, np.int64) for v in (n, m, r, s))
-                a, c = (np.frombuffer(v, np.uint64).reshape(-1, BITS // 64) for v in (a, c))
-                keep.append(bool((within_bound(n, m, a, c) & (r[:, None] != s[None])).any()))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
+def _largest(words: DataFrame, roots: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """words (word, id) with root, and per word with several roots: main, the root that most of its sets have, and minors, how many have another."""
+    rooted = materialize(words.join(roots, F.col("id") == F.col("node"), "left").select("word", "id", F.coalesce("root", "id").alias("root")), f"{name}_rooted")
+    per = rooted.groupBy("word", "root").agg(F.count("*").alias("c")).groupBy(F.col("word").alias("w"))
+    top = per.agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("minors")).filter("minors > 0")
+    return rooted, materialize(top, f"{name}_largest")
 
-    one = light.select(F.col("block").alias("bx"), *[F.col(c).alias(f"{c}_x") for c in ("sizes", "bits", "roots")])
-    two = light.select(F.col("block").alias("by"), *[F.col(c).alias(f"{c}_y") for c in ("sizes", "bits", "roots")])
-    both = pairs.join(one, F.col("x") == F.col("bx")).join(two, F.col("y") == F.col("by"))
-    return both.select("x", "y", *[f"{c}_{s}" for s in "xy" for c in ("sizes", "bits", "roots")]).mapInArrow(run, "x long, y long")
 
+def _across(rooted: DataFrame, top: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): sets of unlike roots with a word of top in common that may share 0.8.
 
-def _apart(words: DataFrame, placed: DataFrame, name: str) -> DataFrame:
-    """(word, block, least, most): blocks and roots of the sets (word, id) of words whose sets have several of both."""
-    rows = words.join(placed, F.col("id") == F.col("of")).groupBy("word", "block").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-    rows = materialize(rows, f"{name}_rows")
-    still = rows.groupBy(F.col("word").alias("w")).agg(F.min("least").alias("a"), F.max("most").alias("z"), F.count("*").alias("blocks")).filter("a != z AND blocks > 1")
-    still = materialize(still.select("w", "blocks"), f"{name}_still")
-    return materialize(rows.join(still, F.col("word") == F.col("w")).select("word", "block", "least", "most", "blocks"), f"{name}_apart")
+    A task holds a word's sets outside its largest group; those of the group pass by.
+    """
 
+    def run(batches):
+        import pyarrow as pa
 
-def _block_pairs(apart: DataFrame) -> DataFrame:
-    """(x, y), x < y: blocks with a word of apart in common, but not where all their sets have one root."""
-    other = apart.select(F.col("word").alias("w"), F.col("block").alias("y"), F.col("least").alias("l"), F.col("most").alias("m"))
-    met = apart.join(other, (F.col("word") == F.col("w")) & (F.col("block") < F.col("y")) & ~((F.col("least") == F.col("most")) & (F.col("l") == F.col("m")) & (F.col("least") == F.col("l"))))
-    return met.select(F.col("block").alias("x"), "y").distinct()
+        at, held, out = None, [], []
+
+        def near(rows):
+            """Pairs of held sets with rows that come with, or after, them."""
+            (i, n, r, a), (j, m, s, b) = (tuple(np.concatenate(x) for x in zip(*held)), rows)
+            for low in range(0, len(i), 256):
+                cut = slice(low, low + 256)
+                x, y = np.nonzero(within_bound(n[cut], m, a[cut], b) & (r[cut, None] != s[None]))
+                out.append(np.stack([np.minimum(i[cut][x], j[y]), np.maximum(i[cut][x], j[y])], axis=1))
+
+        def told():
+            pairs = np.unique(np.concatenate(out), axis=0)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)], names=["a", "b"])
+
+        for batch in batches:
+            word, minor, ids, n, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            bits = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            edges = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (minor[1:] != minor[:-1]), [True]))) if len(word) else np.zeros(1, int)
+            for low, high in zip(edges[:-1], edges[1:]):
+                if word[low] != at:
+                    at, held = word[low], []
+                rows = ids[low:high], n[low:high], root[low:high], bits[low:high]
+                if minor[low]:
+                    held.append(rows)
+                near(rows)
+                if sum(map(len, out)) > _HELD:
+                    yield told()
+        if out:
+            yield told()
+
+    rows = rooted.join(top, F.col("word") == F.col("w")).select("word", (F.col("root") != F.col("main")).alias("minor"), "id", "root")
+    rows = rows.join(sets.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("word", "minor", "id", "n", "root", "bits")
+    met = rows.repartition("word").sortWithinPartitions("word", F.desc("minor"))
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, family: DataFrame, name: str) -> DataFrame:
+    """(a, b): links among pairs (a, b) of sets, and whatever links their blocks show. family (node, root) brings them together in blocks."""
+    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
+    placed = ends.join(family, F.col("end") == F.col("node"), "left").select("end", F.coalesce("root", "end").alias("family"))
+    suspects = materialize(distinct.join(placed, F.col("id") == F.col("end")).select("id", "family", "low"), f"{name}_suspects")
+    blocks = materialize(blocks_of(keyed, suspects), f"{name}_blocks")
+    where = materialize(blocks.select(F.explode("ids").alias("of"), "block"), f"{name}_places")
+    over = pairs.join(where.select(F.col("of").alias("a"), F.col("block").alias("x")), "a").join(where.select(F.col("of").alias("b"), F.col("block").alias("y")), "b")
+    over = materialize(over.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"{name}_meet")
+    found = materialize(compare(over, blocks, _near).filter("a != b"), f"{name}_links")
+    drop(suspects, blocks, where, over)
+    return found
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -198,43 +239,30 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.sha2(F.coalesce(text, F.lit(b"")), 256)).alias("digest"))
     keyed = docs.select(key.alias("key"), text.alias("text"))
     made = materialize(sketched(keyed), "jaccard_sets")
-    distinct = made.filter("n > 0").groupBy("d1", "d2").agg(F.min("key").alias("low"), F.first("n").alias("n"))
+    distinct = made.filter("n > 0").groupBy("d1", "d2").agg(F.min("key").alias("low"), F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
     distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "jaccard_distinct")
+    sets = distinct.select("id", "n", "bits")
     told = made.filter("size(words) > 0")
     words = _shared(told.select(F.explode(_firsts(F.col("n"), F.col("words"))).alias("word"), "d1", "d2"), distinct, "jaccard")
 
     # each word's sets meet the first of them
-    hubs = materialize(words.groupBy(F.col("word").alias("w")).agg(F.min("id").alias("hub")), "jaccard_hubs")
-    star = materialize(words.join(hubs, F.col("word") == F.col("w")).filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "jaccard_star")
+    star = materialize(_bounded(words.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets), "jaccard_star")
     family = components(star)
-    family = materialize(family.union(family.select(F.col("root").alias("node"), "root").distinct()), "jaccard_families")
-    suspects = materialize(distinct.join(family, F.col("id") == F.col("node")).select("id", F.col("root").alias("family"), "low"), "jaccard_suspects")
-    blocks = materialize(blocks_of(keyed, suspects), "jaccard_blocks")
-    light = materialize(_light(blocks), "jaccard_light")
-    where = materialize(light.select(F.explode("ids").alias("of"), "block"), "jaccard_places")
-    over = star.join(where.select(F.col("of").alias("a"), F.col("block").alias("x")), "a").join(where.select(F.col("of").alias("b"), F.col("block").alias("y")), "b")
-    over = over.filter("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    over = materialize(_open(over, light.withColumn("roots", F.col("ids"))), "jaccard_meet")
-    found = materialize(compare(None, blocks, _near).union(compare(over, blocks, _near)), "jaccard_links")
-
-    # all sets of the words whose sets are still apart
-    roots = components(found)
-    placed = materialize(where.join(roots, F.col("of") == F.col("node"), "left").select("of", "block", F.coalesce("root", "of").alias("root")), "jaccard_placed")
-    apart = _apart(words, placed, "jaccard")
-    hot = apart.filter(F.col("blocks") > CROWD).select(F.col("word").alias("w")).distinct()
+    found = _verified(keyed, distinct, star, family.union(family.select(F.col("root").alias("node"), "root").distinct()), "jaccard_star")
+
+    # and all sets of a word meet that are still apart; of two the first was one
+    roots = materialize(components(found), "jaccard_roots")
+    rooted, top = _largest(words.filter("k > 2"), roots, "jaccard")
     # sets with a crowded word in common have another one in common too, if they share 0.8
-    crowded = words.join(hot, F.col("word") == F.col("w"), "left_semi")
+    crowded = rooted.join(top.filter(F.col("minors") > CROWD).select("w"), F.col("word") == F.col("w"), "left_semi")
     arrays = told.select("d1", "d2", "words").join(distinct.select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("id").alias("of")), (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")))
     twice = crowded.join(arrays, F.col("id") == F.col("of")).select("word", F.explode("words").alias("also"), "d1", "d2").filter("word != also")
     twice = twice.select(F.xxhash64(F.least("word", "also"), F.greatest("word", "also")).alias("word"), "d1", "d2")
     twice = _shared(materialize(twice.distinct(), "jaccard_both"), distinct, "jaccard_twice")
-    rest = _block_pairs(apart.filter(F.col("blocks") <= CROWD)).union(_block_pairs(_apart(twice, placed, "jaccard_twice"))).distinct()
-    rest = materialize(rest.join(over, ["x", "y"], "left_anti"), "jaccard_rest")
-    named = where.join(placed.select(F.col("of").alias("o"), "root"), F.col("of") == F.col("o")).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("of", "root"))).alias("root_of"))  # one entry a set of the block
-    rooted = light.join(named, "block").withColumn("roots", F.transform("ids", lambda i: F.col("root_of")[i]))
-    rest = materialize(_open(rest, rooted.select("block", "sizes", "bits", "roots")), "jaccard_open")
-    found = found.union(materialize(compare(rest, blocks, _near), "jaccard_more_links"))
-    drop(blocks, light, suspects, words, star)
+    rest = _across(rooted, top.filter(F.col("minors") <= CROWD), sets).union(_across(*_largest(twice, roots, "jaccard_twice"), sets))
+    rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "jaccard_rest")
+    found = found.union(_verified(keyed, distinct, rest, roots, "jaccard_rest"))
+    drop(words, star, rooted, top, twice)
 
     roots = components(found).withColumnRenamed("node", "linked")
     named = materialize(distinct.join(roots, F.col("id") == F.col("linked"), "left").select("d1", "d2", "low", F.coalesce("root", "id").alias("root")), "jaccard_named")
