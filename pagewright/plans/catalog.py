@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..operators import align, assemble, classify, groups, leases, names, ranges, replies, schedule
-from ..sources import files
+from ..sources import files, publish, ranged
 from ..streaming import leases as lease_stream, pages as page_stream, play
 from . import corpus as co
 
@@ -899,3 +899,62 @@ def sealed_groups(spark, sf_dir):
     pages = co.as_turn_pages(turns, "at")
     made = page_stream.sealed_groups(pages, 2, 10**9, 20_000, 3_600_000, "30 seconds")
     return play.played(made.select("doc_id", "group_no", F.array_join("pages", ",").alias("pages"), "head"), "sealed")
+
+
+# Files by byte ranges
+
+_PAGE_BYTES = "SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n_bytes, sha256(coalesce(html, '')) AS sha256 FROM pages"
+
+
+def _blobs(spark, sf_dir):
+    """Blobs of all pages, and where each page lies in them."""
+    at = play.shared(spark, "blobs")
+    rows = co.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("data"))
+    return ranged.write_blobs(rows, f"{at}/blobs", f"{at}/index"), f"{at}/blobs"
+
+
+@query(_PAGE_BYTES)
+def ranged_download(spark, sf_dir):
+    """Blobs fetched range by range, and pages put together from the ranges they lie in."""
+    index, folder = _blobs(spark, sf_dir)
+    parts = ranged.ranged(spark, folder, least=1 << 16).select("file", F.col("start").alias("low"), F.col("stop").alias("high"), "data")
+    empty = index.filter("length = 0").select("id", F.lit(0).cast("long").alias("low"), F.lit(b"").alias("piece"))
+    first, last = F.greatest("start", "low"), F.least(F.col("start") + F.col("length") - 1, F.col("high"))
+    met = index.filter("length > 0").join(parts, "file").filter((F.col("start") <= F.col("high")) & (F.col("start") + F.col("length") > F.col("low")))
+    pieces = met.select("id", "low", F.substring("data", (first - F.col("low") + 1).cast("int"), (last - first + 1).cast("int")).alias("piece")).union(empty)
+    whole = pieces.groupBy(F.col("id").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("low", "piece"))).alias("p"))  # the ranges of one page
+    data = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
+    return whole.select("page_id", data.alias("data")).select("page_id", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha256"))
+
+
+@query(f"SELECT *, n_bytes AS fetched FROM ({_PAGE_BYTES})")
+def ranged_pages(spark, sf_dir):
+    """Pages read from their own places in blobs; nothing else is fetched."""
+    index, folder = _blobs(spark, sf_dir)
+    found = ranged.read_places(index, folder)
+    return found.select(F.col("id").alias("page_id"), F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha256"), "fetched")
+
+
+@query(f"SELECT page_id, n_bytes AS length, sha256 FROM ({_PAGE_BYTES})")
+def published_pages(spark, sf_dir):
+    """Pages published as files, and adopted where the length is what was promised; a partial one isn't."""
+    at = play.shared(spark, "published")
+    pages = co.table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("data")).withColumn("length", F.octet_length("data").cast("long"))
+    publish.publish(pages.select(F.format_string("page-%d.pdf", "page_id").alias("name"), "data", "length"), at)
+    found = ranged.ranged(spark, at, parts=1)
+    listing = found.select(F.col("file").alias("name"), "length")
+    jobs = files.adopted(listing, pages.select(F.format_string("page-%d", "page_id").alias("job_id"), "page_id", "length"))
+    read = found.filter("mode = 'range'").select("file", F.sha2("data", 256).alias("sha256"))
+    return jobs.join(read, F.col("file") == F.format_string("page-%d.pdf", "page_id")).select("page_id", "length", "sha256")
+
+
+@query("""SELECT c_custkey::VARCHAR AS key, '{"customer":"' || c_name || '"}' AS body, least(c_custkey % 6 + 1, 4)::INTEGER AS attempts, c_custkey % 6 < 4 AS delivered,
+  ([0, 500, 2500, 7000])[least(c_custkey % 6, 3) + 1]::BIGINT AS waited_ms FROM customer""")
+def callback_attempts(spark, sf_dir):
+    """Results posted to a receiver that refuses each one customer number % 6 times; waits are told, not slept."""
+    at = play.shared(spark, "callbacks")
+    publish.register_callbacks(spark, "flaky_callbacks", lambda key, body, n: n > int(key) % 6, wait=lambda ms: None)
+    rows = co.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.to_json(F.struct(F.col("c_name").alias("customer"))).alias("body"))
+    rows.write.format("flaky_callbacks").option("path", at).mode("append").save()
+    waited = F.aggregate("delays_ms", F.lit(0).cast("long"), lambda a, x: a + x)
+    return publish.callback_results(spark, at).select("key", "body", "attempts", "delivered", waited.alias("waited_ms"))
