@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import sql
 from ..functions import text as tx
 from ..operators import align, assemble, classify, groups, leases, names, ranges, replies, schedule
 from ..sources import files, publish, ranged
@@ -43,11 +44,11 @@ def _repair(c: str) -> str:
     return f"(CASE WHEN regexp_full_match({t}, '\\(.*\\)') THEN {trim(f'substr({t}, 2, length({t}) - 2)')} ELSE {t} END)"
 
 
-def query(sql: str | None = None):
+def query(oracle: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if oracle:
+            SQL[f.__name__] = oracle
         return f
 
     return keep
@@ -958,3 +959,32 @@ def callback_attempts(spark, sf_dir):
     rows.write.format("flaky_callbacks").option("path", at).mode("append").save()
     waited = F.aggregate("delays_ms", F.lit(0).cast("long"), lambda a, x: a + x)
     return publish.callback_results(spark, at).select("key", "body", "attempts", "delivered", waited.alias("waited_ms"))
+
+
+# The same in SQL
+
+@query(SQL["group_char_cap"])
+def sql_group_pages(spark, sf_dir):
+    sql.register(spark)
+    sql.page_views(co.turn_pages(spark, sf_dir))
+    return spark.sql("SELECT doc_id, group_no, array_join(pages, ',') AS pages FROM group_pages(TABLE(SELECT doc_id, page, text FROM doc_pages) PARTITION BY doc_id ORDER BY (page), 4, 2000)")
+
+
+@query(SQL["page_spec_parse"])
+def sql_page_ranges(spark, sf_dir):
+    sql.register(spark)
+    co.table(spark, sf_dir, "customer").select("c_custkey", F.expr(_SPEC).alias("spec")).createOrReplaceTempView("selections")
+    return spark.sql("""
+        SELECT c_custkey, spec, max(error) AS error, CASE WHEN count(start) > 0 THEN array_join(transform(array_sort(collect_list(CASE WHEN start IS NOT NULL THEN struct(start, stop) END)),
+          r -> CASE WHEN r.start = r.stop THEN string(r.start) ELSE r.start || '-' || r.stop END), ',') END AS canonical
+        FROM selections, LATERAL page_ranges(spec) GROUP BY c_custkey, spec""")
+
+
+@query(rf"""WITH {co.SUPPLIER_PAGES} SELECT doc_id, page, {_blank("text")} AS blank, length(text)::BIGINT AS chars, length(regexp_replace(text, '[\s\v\x{{85}}\p{{Z}}]', '', 'g'))::BIGINT AS nonspace,
+  translate(text, '{_WIDE}', '{_NARROW}') AS folded, '--- page ' || page || ' ---' || chr(10) || text || chr(10) AS block FROM sp""")
+def sql_rules(spark, sf_dir):
+    sql.register(spark)
+    sql.page_views(co.supplier_pages(spark, sf_dir))
+    return spark.sql("""
+        SELECT p.doc_id, p.page, is_blank_page(text) AS blank, f.chars, f.nonspace, fold_text(text) AS folded, page_block(p.page, text) AS block
+        FROM doc_pages p JOIN page_facts f ON p.doc_id = f.doc_id AND p.page = f.page""")
