@@ -87,6 +87,9 @@ def identity(text: str | None) -> str:
     return s[:-1] if len(s) > 2 and s.endswith(".") and _SHORT.search(s[:-1]) else s
 
 
+name_form = lru_cache(4096)(repair)  # of names, which come again for each page
+
+
 @lru_cache(4096)
 def one_off(name: str) -> re.Pattern | None:
     """What reads like name but for one lookalike; null for fewer than six characters, or where none has a lookalike."""
@@ -116,7 +119,7 @@ class Page:
 
     def find(self, name: str | None) -> list[Hit]:
         """Matches one after the other that begin on the page itself."""
-        name = repair(name)
+        name = name_form(name)
         hits, at = [], self.norm.find(name) if name else -1
         while at >= 0:
             hits.append(self._hit(at, name))
@@ -125,7 +128,7 @@ class Page:
 
     def find_alike(self, name: str | None) -> list[Hit]:
         """Exact matches; without one, stretches that differ by one lookalike."""
-        exact, ways = self.find(name), one_off(repair(name))
+        exact, ways = self.find(name), one_off(name_form(name))
         if exact or ways is None:
             return exact
         return [h for m in ways.finditer(self.norm) if (h := self._hit(m.start(), m[0]))]
@@ -166,6 +169,6 @@ def excerpt(source: str, start: int, stop: int) -> str:
 
 def prefer_corrected(snippet: str, name: str) -> str:
     """snippet with its lookalike stretches of name written as name."""
-    name = repair(name)
+    name = name_form(name)
     ways = one_off(name)
     return snippet if ways is None or name in snippet else ways.sub(lambda _: name, snippet)

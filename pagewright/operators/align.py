@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import spans
 from ..functions.text import LEGAL_FORMS, acceptable_company, acceptable_person, blank, identity, is_branch, joined_space, repair, repair_person
+from ..shared import written
 from .assemble import RULES, page_rules, sanitized
 from .groups import lookahead
 
@@ -92,12 +93,12 @@ def acceptable_names(raw: DataFrame) -> DataFrame:
     return some.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
 
 
-def name_hits(pages: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, kind, name, page, count, origin_text) of names (doc_id, kind, name) with hits that nothing longer covers.
+def located(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, page, kind, name, exact, nth, start, stop, said): every hit of names (doc_id, kind, name) on pages, with its snippet.
 
-    Companies may be one lookalike off; persons are covered by companies and longer persons, companies by
-    companies. A page's text and the names of its document meet in one row; the walk over positions is
-    an Arrow batch function, because it needs places in the unfolded source.
+    Companies may be one lookalike off where a page has them not exactly; exact says so. start and stop are places
+    of the page's normal form. A page's text and the names of its document meet in one row; the walk over
+    positions is an Arrow batch function, because snippets need places in the unfolded source.
     """
     kind = dict(pages.dtypes)["doc_id"]
     p = lookahead(pages.select("doc_id", F.col("page").cast("int").alias("page"), "text")).filter(~blank(F.col("text")))
@@ -109,34 +110,64 @@ def name_hits(pages: DataFrame, names: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            at, out = [], [[] for _ in range(4)]
+            at, out = [], [[] for _ in range(7)]
             for k, (text, head, companies, persons) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 6)))):
                 page = spans.Page(text, head)
-                for what, own, covers in (("company", companies, companies), ("person", persons, companies + persons)):
+                for what, own in (("company", companies), ("person", persons)):
                     for name in own:
-                        hits = page.uncovered(name, covers, what == "company")
-                        if hits:
-                            said = [spans.prefer_corrected(spans.excerpt(page.source, h.source_start, h.source_stop), name) for h in hits]
+                        hits = page.find_alike(name) if what == "company" else page.find(name)
+                        form = spans.name_form(name)
+                        for nth, h in enumerate(hits):
                             at.append(k)
-                            for c, v in zip(out, (what, name, len(hits), said)):
+                            said = spans.prefer_corrected(spans.excerpt(page.source, h.source_start, h.source_stop), name)
+                            for c, v in zip(out, (what, name, page.norm.startswith(form, h.start), nth, h.start, h.stop, said)):
                                 c.append(v)
             i = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(i), b.column(1).take(i), pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.string()))],
-                names=["doc_id", "page", "kind", "name", "count", "origin_text"],
-            )
+            kinds = pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string()
+            cols = [b.column(0).take(i), b.column(1).take(i), *(pa.array(c, t) for c, t in zip(out, kinds))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "page", "kind", "name", "exact", "nth", "start", "stop", "said"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, page int, kind string, name string, exact boolean, nth int, start int, stop int, said string")
+
+
+def _uncovered(hits: DataFrame) -> DataFrame:
+    """located() hits that no exact hit of a longer name, whose identity has theirs in it, encloses. Persons don't cover companies."""
+    h = hits.withColumn("own", identity(F.col("name")))
+    o = h.filter("exact").select(*[F.col(c).alias(f"o_{c}") for c in ("doc_id", "page", "kind", "name", "own", "start", "stop")])
+    over = (
+        F.col("doc_id").eqNullSafe(F.col("o_doc_id")) & (F.col("page") == F.col("o_page"))
+        & (F.col("o_start") <= F.col("start")) & (F.col("o_stop") >= F.col("stop")) & (F.col("o_stop") - F.col("o_start") > F.col("stop") - F.col("start"))
+        & (F.length("o_name") > F.length("name")) & F.col("o_own").contains(F.col("own")) & ((F.col("kind") == "person") | (F.col("o_kind") == "company"))
+    )
+    return h.join(o, over, "left_anti").drop("own")
+
 
-    return rows.mapInArrow(run, f"doc_id {kind}, page int, kind string, name string, count long, origin_text array<string>")
+def _told(hits: DataFrame) -> DataFrame:
+    said = F.array_sort(F.collect_list(F.struct("nth", "said")))
+    return hits.groupBy("doc_id", "kind", "name", "page").agg(F.count("*").alias("count"), said.alias("said")).select("doc_id", "page", "kind", "name", "count", F.transform("said", lambda x: x["said"]).alias("origin_text"))
+
+
+def name_hits(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, kind, name, page, count, origin_text) of names (doc_id, kind, name) with hits that nothing longer covers.
+
+    Companies may be one lookalike off; persons are covered by companies and longer persons, companies by companies.
+    """
+    return _told(_uncovered(written(located(pages, names), "located")))
 
 
 def merge_entities(pages: DataFrame, raw: DataFrame) -> DataFrame:
-    """name_hits() of raw names (doc_id, kind, name, ord) after filtering, legal forms, alignment and suppression."""
-    good = acceptable_names(raw)
-    full = expand_legal_form(pages, good.filter("kind = 'company'")).select("doc_id", F.col("full").alias("name"))
-    aligned = name_hits(pages, full.distinct().withColumn("kind", F.lit("company")))
-    companies = suppress_short(aligned.select("doc_id", "name").distinct()).withColumn("kind", F.lit("company"))
-    persons = good.filter("kind = 'person'").select("doc_id", "name", "kind")
-    return name_hits(pages, companies.unionByName(persons))
+    """name_hits() of raw names (doc_id, kind, name, ord) after filtering, legal forms, alignment and suppression.
+
+    Names are filtered once and pages walked once: what suppression leaves is taken from the hits found then.
+    """
+    good = written(acceptable_names(raw), "names")
+    full = expand_legal_form(pages, good.filter("kind = 'company'")).select("doc_id", F.lit("company").alias("kind"), F.col("full").alias("name")).distinct()
+    hits = written(located(pages, full.unionByName(good.filter("kind = 'person'").select("doc_id", "kind", "name"))), "located")
+    aligned = _uncovered(hits.filter("kind = 'company'")).select("doc_id", "name").distinct()
+    companies = suppress_short(aligned).select(F.col("doc_id").alias("of"), F.col("name").alias("stays"))
+    stay = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("name") == F.col("stays"))
+    left = hits.filter("kind = 'company'").join(companies, stay, "left_semi").union(hits.filter("kind = 'person'"))
+    return _told(_uncovered(left))
 
 
 def vision_rules(said: DataFrame) -> DataFrame:

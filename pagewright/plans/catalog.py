@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import sql
 from ..functions import text as tx
 from ..operators import align, assemble, classify, groups, leases, names, ranges, replies, schedule
+from ..shared import shared
 from ..sources import files, publish, ranged
 from ..streaming import leases as lease_stream, pages as page_stream, play
 from . import corpus as co
@@ -909,7 +910,7 @@ _PAGE_BYTES = "SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n_bytes, sh
 
 def _blobs(spark, sf_dir):
     """Blobs of all pages, and where each page lies in them."""
-    at = play.shared(spark, "blobs")
+    at = shared(spark, "blobs")
     rows = co.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("data"))
     return ranged.write_blobs(rows, f"{at}/blobs", f"{at}/index"), f"{at}/blobs"
 
@@ -939,7 +940,7 @@ def ranged_pages(spark, sf_dir):
 @query(f"SELECT page_id, n_bytes AS length, sha256 FROM ({_PAGE_BYTES})")
 def published_pages(spark, sf_dir):
     """Pages published as files, and adopted where the length is what was promised; a partial one isn't."""
-    at = play.shared(spark, "published")
+    at = shared(spark, "published")
     pages = co.table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("data")).withColumn("length", F.octet_length("data").cast("long"))
     publish.publish(pages.select(F.format_string("page-%d.pdf", "page_id").alias("name"), "data", "length"), at)
     found = ranged.ranged(spark, at, parts=1)
@@ -953,7 +954,7 @@ def published_pages(spark, sf_dir):
   ([0, 500, 2500, 7000])[least(c_custkey % 6, 3) + 1]::BIGINT AS waited_ms FROM customer""")
 def callback_attempts(spark, sf_dir):
     """Results posted to a receiver that refuses each one customer number % 6 times; waits are told, not slept."""
-    at = play.shared(spark, "callbacks")
+    at = shared(spark, "callbacks")
     publish.register_callbacks(spark, "flaky_callbacks", lambda key, body, n: n > int(key) % 6, wait=lambda ms: None)
     rows = co.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.to_json(F.struct(F.col("c_name").alias("customer"))).alias("body"))
     rows.write.format("flaky_callbacks").option("path", at).mode("append").save()

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
+from ..shared import shared
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new place below ``spark.checkpoint.dir``, which the driver and all executors see."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @contextmanager
