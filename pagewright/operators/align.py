@@ -173,11 +173,13 @@ def merge_entities(pages: DataFrame, raw: DataFrame) -> DataFrame:
 def vision_rules(said: DataFrame) -> DataFrame:
     """sanitized() rules (doc_id, page, rule_code, ord, name, count, origin_text) whose names can be a person's or a company's."""
     kind = F.when(F.col("rule_code") == RULES["person"], "person").otherwise("company")
+    name = F.when(F.col("kind") == "person", repair_person(F.col("said"))).otherwise(F.col("said"))
+    good = lambda n: F.when(F.col("kind") == "person", acceptable_person(n)).otherwise(acceptable_company(n))
+    # arrays of one, so that each step is computed once and not in every test that follows
+    one = F.explode(F.array(F.col("name"))).alias("said")
     r = sanitized(said).withColumn("kind", kind)
-    name = F.when(F.col("kind") == "person", repair_person(F.col("name"))).otherwise(F.col("name"))
-    r = r.withColumn("name", name)
-    good = F.when(F.col("kind") == "person", acceptable_person(F.col("name"))).otherwise(acceptable_company(F.col("name")))
-    return r.filter((F.col("name") != "") & good)
+    r = r.select(*[c for c in r.columns if c != "name"], one)
+    return r.select(*[c for c in r.columns if c != "said"], F.explode(F.filter(F.array(name), lambda n: (n != "") & good(n))).alias("name"))
 
 
 def refined_rules(said: DataFrame, pages: DataFrame) -> DataFrame:
