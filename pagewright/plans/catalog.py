@@ -10,7 +10,7 @@ from .. import sql
 from ..functions import text as tx
 from ..operators import align, assemble, classify, groups, leases, names, ranges, replies, schedule
 from ..shared import shared
-from ..sources import files, publish, ranged
+from ..sources import files, publish, ranged, uploads
 from ..streaming import leases as lease_stream, pages as page_stream, play
 from . import corpus as co
 
@@ -1053,3 +1053,13 @@ def refined_rules(spark, sf_dir):
     rules = align.refined_rules(_said(spark, sf_dir), pages)
     items = rules.select("doc_id", "page", F.explode("rule_list").alias("r")).select("doc_id", "page", "r.rule_code", F.explode("r.items").alias("i"))
     return items.select("doc_id", "page", F.when(F.col("rule_code") == "B04", "person").otherwise("company").alias("kind"), F.col("i.name").alias("name"), F.col("i.count").cast("long").alias("count"))
+
+
+@query("SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS sha256 FROM documents")
+def uploaded_documents(spark, sf_dir):
+    """Documents as parts of uploaded bodies, found again by ranges of 64 kB."""
+    at = shared(spark, "uploads")
+    parts = co.table(spark, sf_dir, "documents").select(F.format_string("%d.pdf", "doc_id").alias("filename"), F.col("text").alias("data"))
+    found = uploads.read_uploads(uploads.write_bodies(parts, f"{at}/bodies", f"{at}/listing"), f"{at}/bodies", 1 << 16)
+    doc = F.regexp_extract("filename", "^(.*)\\.pdf$", 1).cast("long")
+    return found.select(doc.alias("doc_id"), F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha256"))
