@@ -6,46 +6,70 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import json_object, strict_json
 
-COMPACT = "struct<p:array<struct<n:string,c:array<string>,r:array<string>>>>"
-PAGED = "struct<pages:array<struct<page:string,companies:array<string>,persons:array<string>>>>"
-FLAT = "struct<companies:array<string>,persons:array<string>>"
-_HIT = "struct<name:string,n:string,count:string,c:string>"
+#: Names under which a hit's name and count may stand; the first that is there counts.
+NAME_KEYS = ("n", "name", "companyName", "personName", "company", "person")
+COUNT_KEYS = ("c", "count")
+_NUMBER = r"^(?:BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
-def whole(value: Column) -> Column:
-    """A number or a numeric string as a long; fractions go down, anything else is null."""
-    return F.floor(F.trim(value).try_cast("double")).cast("long")
+def _kind(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
-def one_hit(raw: Column) -> Column:
-    """struct<name, count> of a name, a [name, count] pair or an object; null where it is none of them."""
-    pair = F.from_json(raw, "array<string>")
-    thing = F.from_json(raw, _HIT)
-    name = F.when(raw.startswith("["), F.try_element_at(pair, F.lit(1))).when(raw.startswith("{"), F.coalesce(thing["name"], thing["n"])).otherwise(raw)
-    count = F.when(raw.startswith("["), whole(F.try_element_at(pair, F.lit(2)))).when(raw.startswith("{"), whole(F.coalesce(thing["count"], thing["c"])))
-    return F.when(F.trim(name) != "", F.struct(F.trim(name).alias("name"), F.when(count > 0, count).otherwise(1).cast("long").alias("count")))
+def _key(v: Column, *names: str) -> Column:
+    """The value under the first of names that an object has."""
+    return F.coalesce(*[F.try_variant_get(v, f"$.{n}", "variant") for n in names])
+
+
+def _items(v: Column) -> Column:
+    """An array's values, null for anything else."""
+    return F.when(_kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
+
+
+def _text(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "string")
+
+
+def loose_text(v: Column) -> Column:
+    """A string, trimmed, or a number as text; '' for anything else."""
+    return F.when(_kind(v) == "STRING", F.trim(_text(v))).when(_kind(v).rlike(_NUMBER), _text(v)).otherwise("")
+
+
+def whole(v: Column) -> Column:
+    """A number, fractions cut off, or a whole number in a string; 0 for anything else."""
+    number = F.when(_kind(v).rlike(_NUMBER), F.try_variant_get(v, "$", "double"))
+    said = F.when((_kind(v) == "STRING") & F.trim(_text(v)).rlike(r"^[+-]?\d{1,18}$"), F.trim(_text(v)).try_cast("double"))
+    n = F.coalesce(number, said, F.lit(0.0))
+    return F.when((n > 0) & (n < 2**31), F.floor(n)).otherwise(0).cast("long")
+
+
+def one_hit(v: Column) -> Column:
+    """struct<name, count> of a name, a [name, count] pair or an object; null where it is none of them, or has no name. A count below one is one."""
+    pair, none = _items(v), F.lit(None).cast("variant")
+    name = F.when(_kind(v) == "STRING", F.trim(_text(v))).when(pair.isNotNull(), loose_text(F.try_element_at(pair, F.lit(1)))).when(_kind(v).startswith("OBJECT"), loose_text(_key(v, *NAME_KEYS)))
+    count = whole(F.when(pair.isNotNull(), F.try_element_at(pair, F.lit(2))).when(_kind(v).startswith("OBJECT"), _key(v, *COUNT_KEYS)).otherwise(none))
+    return F.when(name != "", F.struct(name.alias("name"), F.greatest(count, F.lit(1)).cast("long").alias("count")))
 
 
 def reply_facts(replies: DataFrame) -> DataFrame:
     """(doc_id, shape, page, kind, name, count) of replies (doc_id, raw).
 
-    The compact shape stands before pages with lists, and those before flat lists, whose page is null.
+    The compact shape (p) stands before pages with lists (pages), and those before flat lists, whose page is null.
     Pages below one and items of unknown shape are left out; a reply that is no JSON gives no rows.
     """
-    j = replies.withColumn("json", strict_json(json_object(F.col("raw"))))
-    j = j.withColumns({"compact": F.from_json("json", COMPACT), "paged": F.from_json("json", PAGED), "flat": F.from_json("json", FLAT)})
-    shape = F.when(F.col("compact.p").isNotNull(), "compact").when(F.col("paged.pages").isNotNull(), "paged").when(F.col("flat.companies").isNotNull() | F.col("flat.persons").isNotNull(), "flat")
-    entry = lambda page, c, r: F.struct(page.alias("page"), c.alias("c"), r.alias("r"))
-    pages = (
-        F.when(F.col("shape") == "compact", F.transform("compact.p", lambda p: entry(whole(p["n"]), p["c"], p["r"])))
-        .when(F.col("shape") == "paged", F.transform("paged.pages", lambda p: entry(whole(p["page"]), p["companies"], p["persons"])))
-        .when(F.col("shape") == "flat", F.array(entry(F.lit(None).cast("long"), F.col("flat.companies"), F.col("flat.persons"))))
-    )
-    rows = j.withColumn("shape", shape).select("doc_id", "shape", F.explode(pages).alias("p")).filter("p.page IS NULL AND shape = 'flat' OR p.page > 0")
-    none = F.array().cast("array<string>")
-    tag = lambda col, kind: F.transform(F.coalesce(col, none), lambda x: F.struct(F.lit(kind).alias("kind"), one_hit(x).alias("hit")))
-    items = rows.select("doc_id", "shape", "p.page", F.explode(F.concat(tag(F.col("p.c"), "company"), tag(F.col("p.r"), "person"))).alias("i"))
-    return items.filter("i.hit IS NOT NULL").select("doc_id", "shape", "page", "i.kind", "i.hit.name", "i.hit.count")
+    j = replies.select("doc_id", F.explode(F.array(F.try_parse_json(strict_json(json_object(F.col("raw")))))).alias("v")).filter("v IS NOT NULL")
+    at = lambda *names: _items(_key(F.col("v"), *names))
+    j = j.select("doc_id", "v", at("p").alias("compact"), at("pages").alias("paged"), at("companies").alias("c"), at("persons").alias("r"))
+    shape = F.when(F.col("compact").isNotNull(), "compact").when(F.col("paged").isNotNull(), "paged").when(F.col("c").isNotNull() | F.col("r").isNotNull(), "flat")
+    entries = F.when(F.col("shape") == "flat", F.array("v")).otherwise(F.coalesce("compact", "paged"))
+    rows = j.withColumn("shape", shape).filter("shape IS NOT NULL").select("doc_id", "shape", F.explode(entries).alias("e"))
+    page = F.when(F.col("shape") != "flat", whole(_key(F.col("e"), "n", "page")))
+    rows = rows.filter(_kind(F.col("e")).startswith("OBJECT")).select("doc_id", "shape", page.alias("page"), "e").filter("shape = 'flat' OR page > 0")
+    none = F.array().cast("array<variant>")
+    lists = [F.struct(F.lit(kind).alias("kind"), F.coalesce(_items(_key(F.col("e"), *keys)), none).alias("items")) for kind, *keys in (("company", "c", "companies"), ("person", "r", "persons"))]
+    items = rows.select("doc_id", "shape", "page", F.explode(F.array(*lists)).alias("l")).select("doc_id", "shape", "page", "l.kind", F.explode("l.items").alias("i"))
+    hits = items.select("doc_id", "shape", "page", "kind", F.explode(F.array(one_hit(F.col("i")))).alias("hit")).filter("hit IS NOT NULL")
+    return hits.select("doc_id", "shape", "page", "kind", "hit.name", "hit.count")
 
 
 def assigned_only(facts: DataFrame, groups: DataFrame) -> DataFrame:

@@ -576,23 +576,50 @@ def rule_code_filter(spark, sf_dir):
     return assemble.known_rules(co.table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_CODE).alias("rule_code")))
 
 
-def _reply_expr() -> str:
-    fence = "```"
-    n = "CAST(c_custkey % 9 AS STRING)"
-    return f"""CASE c_custkey % 5
-  WHEN 0 THEN '{fence}json' || chr(10) || '{{"p":[{{"n":"' || {n} || '","c":["Acme",["Bolt",' || CAST(c_custkey % 3 AS STRING) || ']],"r":[{{"name":"Ann, B.","count":"2"}},],}},]}}' || chr(10) || '{fence}'
-  WHEN 1 THEN 'so: {{"pages":[{{"page":' || {n} || ',"companies":["Acme"],"persons":["Ann","Bo"]}}] /* done */ }}'
-  WHEN 2 THEN '{{"companies":["Acme"],"persons":[]}}'
-  WHEN 3 THEN 'no json' ELSE '{{"other":1}}' END"""
-
-
-@query("""WITH c AS (SELECT c_custkey AS doc_id, c_custkey % 9 AS page, c_custkey % 3 AS k, c_custkey % 5 AS s FROM customer)
-SELECT doc_id, 'compact' AS shape, page, x.kind, x.name, CASE x.name WHEN 'Acme' THEN 1 WHEN 'Bolt' THEN greatest(k, 1) ELSE 2 END::BIGINT AS count FROM c, (VALUES ('company', 'Acme'), ('company', 'Bolt'), ('person', 'Ann, B.')) x(kind, name) WHERE s = 0 AND page > 0
-UNION ALL SELECT doc_id, 'paged', page, x.kind, x.name, 1 FROM c, (VALUES ('company', 'Acme'), ('person', 'Ann'), ('person', 'Bo')) x(kind, name) WHERE s = 1 AND page > 0
-UNION ALL SELECT doc_id, 'flat', NULL, 'company', 'Acme', 1 FROM c WHERE s = 2""")
+#: Hits as replies have them, in both dialects, by a number h: strings, pairs, objects with aliases, and what is none of them.
+_REPLY_HITS = (
+    "'\"Acme ' || CAST(h % 5 AS STRING) || '\"'", "'[\"Bolt\", 3]'", "'[\"Cog\", \"2\"]'", "'{\"n\": \"Dyn // x\", \"c\": 4}'", "'{\"companyName\": \" Eve /* y */ \", \"count\": \"5\"}'", "'5'", "'null'",
+    "'[\"F\", 2.7]'", "'[ ]'", "'{\"count\": 2}'", "'[\"G\", \"2.5\"]'", "'[7, -1]'", "'{\"name\": null, \"person\": \"H\"}'", "'\" \"'", "'true'", "'[[\"I\"], 2]'", "'{\"person\": \"J, ]\", \"count\": [1]}'",
+)
+
+
+def _reply_hit(h: str) -> str:
+    return f"CASE {h} % {len(_REPLY_HITS)} " + " ".join(f"WHEN {k} THEN {x.replace('h %', f'{h} %')}" for k, x in enumerate(_REPLY_HITS)) + " END"
+
+
+_K = "o_orderkey"
+_REPLY_PAGE = f"CASE {_K} % 8 WHEN 0 THEN '0' WHEN 1 THEN '\"3\"' WHEN 2 THEN '2.9' WHEN 3 THEN 'true' WHEN 4 THEN '\" 2.5\"' ELSE CAST({_K} % 9 + 1 AS STRING) END"
+_REPLY_LIST = f"'[' || {_reply_hit(f'({_K} * 7 + 1)')} || ', ' || {_reply_hit(f'({_K} * 11 + 5)')} || ' , ]'"
+_REPLY_BODY = f"""CASE {_K} % 7
+  WHEN 0 THEN 'no json' WHEN 1 THEN '{{\"other\": [1]}}' WHEN 2 THEN '{{\"companies\": ' || {_REPLY_LIST} || ', \"persons\": 3,}}' WHEN 3 THEN '{{\"pages\": [ {{\"page\": ' || {_REPLY_PAGE} || ', \"companies\": ' || {_REPLY_LIST} || '}}, 4 ] }}'
+  WHEN 4 THEN '{{\"p\": 3, \"persons\": ' || {_REPLY_LIST} || '}}'
+  ELSE '{{\"p\": [ {{\"n\": ' || {_REPLY_PAGE} || ', \"c\": ' || {_REPLY_LIST} || ', \"r\": [' || {_reply_hit(f'({_K} * 3 + 2)')} || '] }}, /* , }} ] */ {{\"page\": 4, \"persons\": ' || {_REPLY_LIST} || ' , }} , ] , }} // end' END"""
+_REPLY = f"CASE WHEN {_K} % 3 = 0 THEN '```json' || chr(10) || {_REPLY_BODY} || chr(10) || '```' ELSE 'so: ' || {_REPLY_BODY} END"
+
+
+def _json_count(v: str) -> str:
+    """In DuckDB: a number cut to a whole one, or a whole number in a string; 0 for anything else."""
+    n = f"CASE WHEN json_type({v}) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN ({v}->>'$')::DOUBLE WHEN json_type({v}) = 'VARCHAR' AND regexp_full_match(trim({v}->>'$'), '[+-]?\\d{{1,18}}') THEN trim({v}->>'$')::DOUBLE ELSE 0 END"
+    return f"(CASE WHEN {n} > 0 THEN floor({n}) ELSE 0 END)::BIGINT"
+
+
+_JSON_NAME = "CASE WHEN json_type(nv) = 'VARCHAR' THEN trim(nv->>'$') WHEN json_type(nv) IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN nv->>'$' ELSE '' END"
+
+
+@query(rf"""WITH r AS (SELECT o_orderkey AS doc_id, {_REPLY} AS raw FROM orders),
+x AS (SELECT doc_id, regexp_replace(regexp_extract(raw, '(?s)\{{.*\}}'), '(?s)("(?:[^"\\]|\\.)*")|/\*.*?\*/|//[^\n]*', '\1', 'g') AS plain FROM r),
+j AS (SELECT doc_id, TRY_CAST(nullif(regexp_replace(plain, '("(?:[^"\\]|\\.)*")|,(\s*[\]}}])', '\1\2', 'g'), '') AS JSON) AS v FROM x),
+s AS (SELECT doc_id, v, CASE WHEN json_type(v->'$.p') = 'ARRAY' THEN 'compact' WHEN json_type(v->'$.pages') = 'ARRAY' THEN 'paged' WHEN json_type(v->'$.companies') = 'ARRAY' OR json_type(v->'$.persons') = 'ARRAY' THEN 'flat' END AS shape FROM j),
+e AS (SELECT doc_id, shape, unnest(CASE shape WHEN 'compact' THEN from_json(v->'$.p', '["JSON"]') WHEN 'paged' THEN from_json(v->'$.pages', '["JSON"]') ELSE [v] END) AS e FROM s WHERE shape IS NOT NULL),
+p AS (SELECT doc_id, shape, e, CASE WHEN shape <> 'flat' THEN {_json_count("coalesce(e->'$.n', e->'$.page')")} END AS page FROM e WHERE json_type(e) = 'OBJECT'),
+l AS (SELECT doc_id, shape, page, x.kind, x.l FROM p, LATERAL (VALUES ('company', coalesce(e->'$.c', e->'$.companies')), ('person', coalesce(e->'$.r', e->'$.persons'))) x(kind, l) WHERE (shape = 'flat' OR page > 0) AND json_type(x.l) = 'ARRAY'),
+i AS (SELECT doc_id, shape, page, kind, unnest(from_json(l, '["JSON"]')) AS i FROM l),
+h AS (SELECT *, CASE json_type(i) WHEN 'VARCHAR' THEN i WHEN 'ARRAY' THEN i->0 WHEN 'OBJECT' THEN coalesce({", ".join(f"i->'$.{k}'" for k in replies.NAME_KEYS)}) END AS nv, CASE json_type(i) WHEN 'ARRAY' THEN i->1 WHEN 'OBJECT' THEN coalesce(i->'$.c', i->'$.count') END AS cv FROM i)
+SELECT doc_id, shape, page, kind, {_JSON_NAME} AS name, greatest(coalesce({_json_count("cv")}, 1), 1)::BIGINT AS count FROM h WHERE {_JSON_NAME} <> ''""")
 def json_lenient(spark, sf_dir):
-    c = co.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(_reply_expr()).alias("raw"))
-    return replies.reply_facts(c)
+    """Replies of many shapes, with fences, comments, trailing commas and odd items, as facts."""
+    o = co.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(_REPLY).alias("raw"))
+    return replies.reply_facts(o)
 
 
 @query(f"WITH {_HITS} SELECT doc_id, page, kind, name FROM hi WHERE page IN (SELECT DISTINCT 2 * (doc_id % 3 + 1))")
