@@ -82,7 +82,8 @@ def format_chats(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> D
 
     turns has conv_id, turn, role and text, or parts of type PART in place of text. A null role or text is
     an empty one; null ids and turns stay null. A conversation is its rows' formatted texts in order of
-    turn (nulls first, then by formatted text), so a chat of any length needs one turn's memory. No shuffle.
+    turn (nulls first, then by formatted text), so a chat of any length needs one turn's memory. Repeated rows are
+    formatted each; no rows give no rows; columns beyond those named go. No shuffle.
     """
     kinds = dict(turns.dtypes)
     typed = "parts" in kinds
@@ -111,7 +112,8 @@ def format_chats(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> D
 def read_chats(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation, from formatted turns alone.
 
-    A conversation's rows meet in order in one task and pass through running digests, one turn at a time.
+    A conversation's rows meet in order in one task and pass through running digests, one turn at a time. Rows
+    without conv_id are one conversation; a null turn comes first; repeated rows count each; no rows give no rows.
     """
     kind = dict(formatted.dtypes)["conv_id"]
     rows = formatted.select("conv_id", "turn", "formatted", "loss_start", "loss_end").repartition("conv_id")

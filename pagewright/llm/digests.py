@@ -91,7 +91,7 @@ def document_digests(docs: DataFrame, hashes: Hashes = wide_hash) -> DataFrame:
 
     A null text is an empty one. Rows equal in doc_id and text are one document in the order and come
     back each with the same values; rows that only share a doc_id are in order of their hashes; a null
-    doc_id is last. A lone document is its own next. near_* is 1 for equal fingerprints, else 0.
+    doc_id is last. A lone document is its own next; no rows give no rows. near_* is 1 for equal fingerprints, else 0.
     """
     texts = keyed(docs)
     narrow = _hashed(texts, "text", ("c1", "c2"), hashes).select(*KEY, "doc_id", F.length("text").cast("long").alias("n"), "c1", "c2")

@@ -186,7 +186,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS, sma
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece of docs (doc_id, text).
 
-    A null or empty text is its end id alone. Repeated rows are packed each; null ids stay null. The
+    A null or empty text is its end id alone. Repeated rows are packed each; null ids stay null; no rows give no rows. The
     counts by length (at most capacity rows) reach the driver, and the plan made of them every task.
     """
     spark = docs.sparkSession

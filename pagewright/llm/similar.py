@@ -225,7 +225,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     Similar are texts with 0.8 or more of all their different five-word shingles in common; a text of fewer
     words is one shingle, and texts without words are all alike. Equal sets always meet. Of other similar
     pairs, those within MOST bits of SimHash are found, but for MISSED of those at the limit: tests hold
-    recall against brute force. No pair that shares less becomes a link.
+    recall against brute force. No pair that shares less becomes a link. Repeated rows keep a row each; no rows
+    give no rows.
     """
     made = materialize(sketches(docs), "similar_sketches")
     distinct = made.groupBy("d1", "d2", "fp", "more").agg(F.min("key").alias("low"))

@@ -12,7 +12,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
 
     vocabulary is the tokenizer file's path on every executor. Strings of special tokens inside a text
     count as the library's default counts them: one token each. A null text is an empty one: 0 bytes and
-    0 tokens. Repeated rows are counted each; null ids stay null. No shuffle.
+    0 tokens. Repeated rows are counted each; null ids stay null; no rows give no rows. No shuffle.
     """
     kind = dict(docs.dtypes)["doc_id"]
 

@@ -189,7 +189,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     vectors has vec_id and embedding. Rows whose vector is null or holds a null or non-finite component, or
     whose vec_id is null, take no part. A shorter vector counts as if zeros followed; an empty one scores 0
     everywhere. Equal scores go to smaller ids. Rows that repeat a vec_id are candidates and queries each,
-    and none is a candidate of its own id. Scores beyond a long are its ends. Queries go over files in blocks;
+    and none is a candidate of its own id; no rows, or no query, give no rows. Scores beyond a long are its ends. Queries go over files in blocks;
     a task holds GROUP queries and one slab, and its result is the k best of all slabs of its piece of work.
     There are UNITS pieces, or as many as groups: so results grow with the queries, not with the pairs.
     """

@@ -142,7 +142,10 @@ class Index:
 
 
 def write_index(records: DataFrame, folder: str) -> Index:
-    """Sorts the captures by key over at most SHARDS shards and writes their blocks and directories."""
+    """Sorts the captures by key over at most SHARDS shards and writes their blocks and directories.
+
+    A null page_id comes before others of its key; captures that share a key are all kept; no captures give no shard.
+    """
     spark = records.sparkSession
     n = max(1, min(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     ordered = records.repartitionByRange(n, "surt", "page_id", "archive", "at").sortWithinPartitions("surt", "page_id", "archive", "at")
