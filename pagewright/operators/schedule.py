@@ -96,12 +96,15 @@ def snapshot(pages: DataFrame) -> DataFrame:
 def earliest_missing(totals: DataFrame, done: DataFrame) -> DataFrame:
     """(job, missing): the first page of 1..total that isn't done, null if all are.
 
-    The first gap is where the nth different done page isn't n.
+    With page 1 done it follows the least done page whose next one isn't. Pages meet their next ones by job and
+    page, so the pages of a large job are shared out.
     """
     gone = done.select(F.col("job").alias("of"), F.col("page").cast("int").alias("page")).filter("page >= 1").distinct()
-    nth = F.row_number().over(W.partitionBy("of").orderBy("page"))
-    run = gone.withColumn("nth", nth).groupBy("of").agg(F.count_if(F.col("page") == F.col("nth")).alias("run"))
-    first = (F.coalesce(F.col("run"), F.lit(0)) + 1).cast("int")
+    after = gone.select(F.col("of").alias("same"), (F.col("page") - 1).alias("before"))
+    ends = gone.join(after, (F.col("of") == F.col("same")) & (F.col("page") == F.col("before")), "left_anti").groupBy("of").agg(F.min("page").alias("end"))
+    begun = gone.filter("page = 1").select(F.col("of").alias("begun"))
+    run = ends.join(begun, F.col("of") == F.col("begun"), "left_semi")
+    first = (F.coalesce(F.col("end"), F.lit(0)) + 1).cast("int")
     return totals.join(run, F.col("job") == F.col("of"), "left").select("job", F.when(first <= F.col("total"), first).alias("missing"))
 
 

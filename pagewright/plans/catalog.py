@@ -221,6 +221,7 @@ def page_semi_filter(spark, sf_dir):
 @query(f"""WITH {co.TURN_PAGES}, n AS (SELECT doc_id, max(page) + 2 AS n_pages FROM tp GROUP BY doc_id), k AS (SELECT * FROM tp WHERE page % 2 = 1)
 SELECT n.doc_id, g.page::INTEGER AS page, coalesce(k.text, '') AS text FROM n, LATERAL (SELECT unnest(range(1, n_pages + 1)) AS page) g LEFT JOIN k ON k.doc_id = n.doc_id AND k.page = g.page""")
 def skipped_as_blank(spark, sf_dir):
+    """Every second page was selected; the operator puts blanks for the others."""
     pages = co.turn_pages(spark, sf_dir)
     totals = pages.groupBy("doc_id").agg((F.max("page") + 2).alias("n_pages"))
     return ranges.blanks_for_skipped(pages.filter("page % 2 = 1"), totals)
@@ -536,6 +537,7 @@ p AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fp) END A
 
 @query(f"WITH {_SCORES} SELECT *, CASE WHEN precision + recall = 0 THEN 0.0::DOUBLE ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM p")
 def prf1_score(spark, sf_dir):
+    """Hits against hits: gold and found leave out different ones, so that both kinds of error occur."""
     h = _hits(spark, sf_dir)
     return assemble.scores(h.filter("ord % 3 > 0"), h.filter("ord % 5 > 0 AND doc_id % 9 > 0"), "kind", "doc_id")
 
@@ -594,7 +596,7 @@ _REPLY_BODY = f"""CASE {_K} % 7
   WHEN 0 THEN 'no json' WHEN 1 THEN '{{\"other\": [1]}}' WHEN 2 THEN '{{\"companies\": ' || {_REPLY_LIST} || ', \"persons\": 3,}}' WHEN 3 THEN '{{\"pages\": [ {{\"page\": ' || {_REPLY_PAGE} || ', \"companies\": ' || {_REPLY_LIST} || '}}, 4 ] }}'
   WHEN 4 THEN '{{\"p\": 3, \"persons\": ' || {_REPLY_LIST} || '}}'
   ELSE '{{\"p\": [ {{\"n\": ' || {_REPLY_PAGE} || ', \"c\": ' || {_REPLY_LIST} || ', \"r\": [' || {_reply_hit(f'({_K} * 3 + 2)')} || '] }}, /* , }} ] */ {{\"page\": 4, \"persons\": ' || {_REPLY_LIST} || ' , }} , ] , }} // end' END"""
-_REPLY = f"CASE WHEN {_K} % 3 = 0 THEN '```json' || chr(10) || {_REPLY_BODY} || chr(10) || '```' ELSE 'so: ' || {_REPLY_BODY} END"
+_REPLY = f"CASE WHEN {_K} % 3 = 0 THEN '```json' || chr(10) ELSE 'so: ' END || {_REPLY_BODY} || CASE WHEN {_K} % 3 = 0 THEN chr(10) || '```' ELSE '' END"
 
 
 def _json_count(v: str) -> str:
@@ -659,6 +661,7 @@ def lease_duration(spark, sf_dir):
 @query(f"""WITH {co.NODE_EVENTS}, {_LEASES} SELECT seq, job, page FROM ls WHERE created + to_milliseconds(lease_ms) <= TIMESTAMP '2024-01-20 00:00:00'
   AND NOT EXISTS (SELECT 1 FROM ne WHERE kind = 'commit' AND ne.seq % 40 = 1 AND ne.job = ls.job AND ne.page = ls.page)""")
 def lease_expired(spark, sf_dir):
+    """Leases that ran out by a fixed moment; the commits of every fortieth event stand for the pages that are done."""
     done = co.node_events(spark, sf_dir).filter("kind = 'commit' AND seq % 40 = 1")
     return schedule.expired(_leases(spark, sf_dir), done, F.expr("timestamp '2024-01-20 00:00:00'")).select("seq", "job", "page")
 
@@ -666,6 +669,7 @@ def lease_expired(spark, sf_dir):
 @query(f"""WITH {co.NODE_EVENTS}, {_LEASES}, h AS (SELECT job, page, min(created) AS created, count(DISTINCT node) AS holders FROM ls WHERE NOT EXISTS (SELECT 1 FROM ne WHERE kind = 'commit' AND ne.job = ls.job AND ne.page = ls.page AND ne.seq % 40 = 1) GROUP BY job, page)
 SELECT job, page, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY created, page) AS place FROM h WHERE holders < 12) WHERE place <= 2""")
 def speculative_copies(spark, sf_dir):
+    """Second copies of pages; the commits of every fortieth event stand for the pages that are done."""
     done = co.node_events(spark, sf_dir).filter("kind = 'commit' AND seq % 40 = 1")
     return schedule.speculative(_leases(spark, sf_dir), done, 2, 12).select("job", "page", "place")
 
@@ -679,6 +683,7 @@ def schedule_snapshot(spark, sf_dir):
 @query(f"""WITH {co.NODE_EVENTS}, t AS (SELECT DISTINCT job, 8 + job % 3 AS total FROM ne), g AS (SELECT job, unnest(range(1, total + 1))::INTEGER AS page FROM t)
 SELECT t.job, (SELECT min(page) FROM g WHERE g.job = t.job AND NOT EXISTS (SELECT 1 FROM ne WHERE kind = 'commit' AND ne.seq % 30 = 6 AND ne.job = g.job AND ne.page = g.page)) AS missing FROM t""")
 def earliest_missing(spark, sf_dir):
+    """The commits of some events stand for the pages that are done, so that jobs have gaps; all jobs are asked for."""
     e = co.node_events(spark, sf_dir)
     return schedule.earliest_missing(e.select("job", (8 + F.col("job") % 3).alias("total")).distinct(), e.filter("kind = 'commit' AND seq % 30 = 6"))
 
@@ -797,7 +802,9 @@ def retry_classify(spark, sf_dir):
     return e.select("event_id", schedule.retry_kind(F.col("st"), F.col("user_id") % 2 == 0).alias("next"), schedule.backoff_ms((F.col("user_id") % 8 + 1).cast("int")).alias("wait_ms"))
 
 
-@query("""SELECT s_suppkey, concat_ws('; ', CASE WHEN s_suppkey % 2 = 0 THEN 'mode differs' END, CASE WHEN s_suppkey % 3 = 0 THEN 'model differs' END, CASE WHEN s_suppkey % 5 = 0 THEN 'dpi differs' END) AS differs FROM supplier""")
+@query("""WITH n AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'cpu' ELSE 'GPU' END AS mode, CASE WHEN s_suppkey % 3 = 0 THEN 'Small' ELSE 'small' END AS model, CASE WHEN s_suppkey % 5 = 0 THEN 96 ELSE 130 END AS dpi FROM supplier),
+c AS (SELECT 'gpu' AS mode, 'small' AS model, 130 AS dpi)
+SELECT n.s_suppkey, concat_ws('; ', CASE WHEN lower(n.mode) <> lower(c.mode) THEN 'mode differs' END, CASE WHEN n.model <> c.model THEN 'model differs' END, CASE WHEN n.dpi <> c.dpi THEN 'dpi differs' END) AS differs FROM n, c""")
 def node_compatibility(spark, sf_dir):
     k = F.col("s_suppkey")
     differs = schedule.node_compatibility(
@@ -815,6 +822,7 @@ def lease_replay(spark, sf_dir):
 @query(f"""WITH {co.NODE_EVENTS}, k AS (SELECT node, count(*) AS pages, max(ts) AS seen FROM ne WHERE kind = 'claim' AND node < 9 GROUP BY node), h AS (SELECT node, count(*) AS pages, max(ts) AS seen FROM ne WHERE kind = 'commit' AND node > 4 GROUP BY node)
 SELECT coalesce(k.node, h.node) AS node, coalesce(h.pages, k.pages) AS pages, greatest(h.seen, k.seen) AS seen FROM k FULL JOIN h ON k.node = h.node""")
 def node_upsert(spark, sf_dir):
+    """What was known are the claims of some nodes, what was heard the commits of others, so that some nodes are in one only."""
     e = co.node_events(spark, sf_dir)
     per = lambda df: df.groupBy("node").agg(F.count("*").alias("pages"), F.max("ts").alias("seen"))
     return schedule.upserted(per(e.filter("kind = 'claim' AND node < 9")), per(e.filter("kind = 'commit' AND node > 4")))
@@ -1028,14 +1036,14 @@ _OTHER = "'东海技术' || CAST(c_custkey % 9 AS STRING) || '很行有限公司
 _TWO = "'东海技木' || CAST(c_custkey % 9 AS STRING) || '很行有限公司'"
 _SEEN = f"""CASE c_custkey % 6 WHEN 0 THEN '甲方：' || {_FIRM} || '。' || {_ONE} WHEN 1 THEN {_ONE} || '，' || {_OTHER} || '；' || {_TWO} WHEN 2 THEN {_TWO} || chr(10) || {_TWO}
   WHEN 3 THEN '由 ' || {_OTHER} || ' 与 ' || {_OTHER} || ' 签' WHEN 4 THEN '无' ELSE '（' || {_FIRM} || '）' || {_FIRM} END"""
-_PAIRS = ", ".join(f"'{p}'" for a, b in tx.LOOKALIKES for p in (a + b, b + a))
+_ALIKE_PAIRS = ", ".join(f"'{p}'" for a, b in tx.LOOKALIKES for p in (a + b, b + a))
 
 
 @query(f"""WITH t AS (SELECT c_custkey AS doc_id, {_FIRM} AS name, {_SEEN} AS text FROM customer),
 n AS (SELECT doc_id, name, {_joined("text")} AS norm FROM t),
 w AS (SELECT doc_id, name, list_transform(range(1, greatest(length(norm) - length(name) + 2, 1)), lambda i: norm[i:i + length(name) - 1]) AS windows FROM n),
 d AS (SELECT doc_id, name, list_transform(windows, lambda x: list_filter(list_transform(range(1, length(name) + 1), lambda j: CASE WHEN x[j] <> name[j] THEN x[j] || name[j] END), lambda y: y IS NOT NULL)) AS apart FROM w),
-k AS (SELECT doc_id, name, len(list_filter(apart, lambda a: len(a) = 0)) AS exact, len(list_filter(apart, lambda a: len(a) = 1 AND a[1] IN ({_PAIRS}))) AS near FROM d)
+k AS (SELECT doc_id, name, len(list_filter(apart, lambda a: len(a) = 0)) AS exact, len(list_filter(apart, lambda a: len(a) = 1 AND a[1] IN ({_ALIKE_PAIRS}))) AS near FROM d)
 SELECT doc_id, name, CASE WHEN exact > 0 THEN exact ELSE near END AS count, exact > 0 AS exact FROM k WHERE exact + near > 0""")
 def lookalike_hits(spark, sf_dir):
     """Companies where pages have them exactly, or else with one lookalike; two are none."""
