@@ -1036,14 +1036,13 @@ _OTHER = "'东海技术' || CAST(c_custkey % 9 AS STRING) || '很行有限公司
 _TWO = "'东海技木' || CAST(c_custkey % 9 AS STRING) || '很行有限公司'"
 _SEEN = f"""CASE c_custkey % 6 WHEN 0 THEN '甲方：' || {_FIRM} || '。' || {_ONE} WHEN 1 THEN {_ONE} || '，' || {_OTHER} || '；' || {_TWO} WHEN 2 THEN {_TWO} || chr(10) || {_TWO}
   WHEN 3 THEN '由 ' || {_OTHER} || ' 与 ' || {_OTHER} || ' 签' WHEN 4 THEN '无' ELSE '（' || {_FIRM} || '）' || {_FIRM} END"""
-_ALIKE_PAIRS = ", ".join(f"'{p}'" for a, b in tx.LOOKALIKES for p in (a + b, b + a))
 
 
 @query(f"""WITH t AS (SELECT c_custkey AS doc_id, {_FIRM} AS name, {_SEEN} AS text FROM customer),
 n AS (SELECT doc_id, name, {_joined("text")} AS norm FROM t),
 w AS (SELECT doc_id, name, list_transform(range(1, greatest(length(norm) - length(name) + 2, 1)), lambda i: norm[i:i + length(name) - 1]) AS windows FROM n),
 d AS (SELECT doc_id, name, list_transform(windows, lambda x: list_filter(list_transform(range(1, length(name) + 1), lambda j: CASE WHEN x[j] <> name[j] THEN x[j] || name[j] END), lambda y: y IS NOT NULL)) AS apart FROM w),
-k AS (SELECT doc_id, name, len(list_filter(apart, lambda a: len(a) = 0)) AS exact, len(list_filter(apart, lambda a: len(a) = 1 AND a[1] IN ({_ALIKE_PAIRS}))) AS near FROM d)
+k AS (SELECT doc_id, name, len(list_filter(apart, lambda a: len(a) = 0)) AS exact, len(list_filter(apart, lambda a: len(a) = 1 AND a[1] IN ({_PAIRS}))) AS near FROM d)
 SELECT doc_id, name, CASE WHEN exact > 0 THEN exact ELSE near END AS count, exact > 0 AS exact FROM k WHERE exact + near > 0""")
 def lookalike_hits(spark, sf_dir):
     """Companies where pages have them exactly, or else with one lookalike; two are none."""
@@ -1056,21 +1055,21 @@ def lookalike_hits(spark, sf_dir):
 # What a vision model says of pages: some names bare, some with spaces or wrong, a page in five without text.
 
 #: Per page, rule code and place what is said: name and count, by c_custkey, in both dialects.
-_SAID = (
+_RULES_SAID = (
     (1, "B06", 0, "'东海' || CAST(c_custkey % 7 AS STRING) || ' 有限公司'", "0"), (1, "B06", 1, "'东海' || CAST(c_custkey % 7 AS STRING) || '有限公司'", "5"), (1, "B06", 2, "'总公司'", "1"),
     (1, "B04", 3, "'张 伟先生'", "c_custkey % 3"), (1, "B04", 4, "'某某'", "1"), (2, "B04", 0, "'李娜'", "2"), (2, "B09", 1, "'王芳'", "1"), (2, "B06", 2, "''", "1"),
 )
-_SAID_SQL = " UNION ALL ".join(f"SELECT c_custkey AS doc_id, {p}::INTEGER AS page, '{code}' AS rule_code, {ord_} AS ord, {name} AS name, {n} AS said FROM customer" for p, code, ord_, name, n in _SAID)
+_RULES_SAID_SQL = " UNION ALL ".join(f"SELECT c_custkey AS doc_id, {p}::INTEGER AS page, '{code}' AS rule_code, {ord_} AS ord, {name} AS name, {n} AS said FROM customer" for p, code, ord_, name, n in _RULES_SAID)
 _SEEN_TEXT = "CASE c_custkey % 5 WHEN 0 THEN NULL ELSE '东海' || CAST(c_custkey % 7 AS STRING) || '有限公司由张伟签。张伟' END"
 
 
 def _said(spark, sf_dir):
-    rows = [F.struct(F.lit(p).alias("page"), F.lit(code).alias("rule_code"), F.lit(o).alias("ord"), F.expr(name).alias("name"), F.expr(n).cast("long").alias("count")) for p, code, o, name, n in _SAID]
+    rows = [F.struct(F.lit(p).alias("page"), F.lit(code).alias("rule_code"), F.lit(o).alias("ord"), F.expr(name).alias("name"), F.expr(n).cast("long").alias("count")) for p, code, o, name, n in _RULES_SAID]
     said = co.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(*rows)).alias("r")).select("doc_id", "r.*")
     return assemble.known_rules(said.withColumn("origin_text", F.array().cast("array<string>")))
 
 
-@query(f"""WITH s AS ({_SAID_SQL}),
+@query(f"""WITH s AS ({_RULES_SAID_SQL}),
 r AS (SELECT doc_id, page, rule_code, ord, said, CASE WHEN rule_code = 'B04' THEN regexp_replace({_repair("name")}, '先生$', '') ELSE {_repair("name")} END AS name FROM s WHERE rule_code IN ('B04', 'B06')),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, rule_code, name ORDER BY ord) AS nth FROM r WHERE name NOT IN ('', '总公司', '某某'))
 SELECT doc_id, page, rule_code, name, greatest(said, 1)::BIGINT AS count FROM f WHERE nth = 1""")
