@@ -58,3 +58,10 @@ def test_lookalikes_covers_and_branches(spark):
     count = {(r["page"], r["name"]): r["count"] for r in rows if r["doc_id"] == 1}
     assert count[2, "海光技术有限公司"] == 3  # one lookalike counts, two don't
     assert all("海光技术" in s for r in rows if r["page"] == 2 and r["doc_id"] == 1 for s in r["origin_text"])
+
+
+def test_replies_reach_the_gate(spark):
+    from pagewright.plans import catalog
+
+    for r in catalog.reply_f1(spark, "/root/testdata/sf0.001").collect():
+        assert r["f1"] >= 0.9, r
