@@ -152,7 +152,9 @@ def _grow(a: np.ndarray, b: np.ndarray, of_a: Tree, of_b: Tree, la: int, lb: int
     return x, y
 
 
-_PAIRS = 1 << 12  # node pairs opened at once: 256 times as many child pairs
+_PAIRS = 1 << 10  # node pairs opened at once: 256 times as many child pairs
+_MET = 1 << 17  # pairs of members compared at once
+_CROWDED = 1 << 12  # pairs of members of two buckets, from which they meet as trees
 
 
 def close_pairs(ta: Tree, tb: Tree, most: int, labels, lead: np.uint64 = np.uint64(0), near: int = 0):
@@ -215,6 +217,70 @@ def close_pairs(ta: Tree, tb: Tree, most: int, labels, lead: np.uint64 = np.uint
             stack.append((la - 1, lb - 1, x, y))
 
 
+def lead_pairs(ta: Tree, tb: Tree, most: int, labels, lead: np.uint64, near: int):
+    """The pairs of close_pairs() for lead bits at the front of a fingerprint and near of 0 or 1, but for some of one label.
+
+    Members that are equal in lead lie together in Gray order: each such bucket meets itself, and for near = 1 those
+    one bit of lead away, which are looked up. So the work is about the pairs that agree in lead, whatever the
+    nodes above share. Crowded buckets meet as trees, unless all have one label.
+    """
+    same = ta is tb
+
+    def buckets(t: Tree):
+        keys = t.fps & lead
+        cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return keys[cuts], gray_rank(keys[cuts]), cuts, np.diff(np.append(cuts, len(keys)))
+
+    ka, _, at_a, size_a = buckets(ta)
+    kb, rank_b, at_b, size_b = buckets(tb)
+    bits = [b for b in (np.uint64(1) << np.arange(64, dtype=np.uint64)) if b & lead] if near else []
+    for flip in [np.uint64(0), *bits]:
+        i = np.flatnonzero(ka & flip == 0) if same else np.arange(len(ka))  # of one tree each pair of buckets once
+        rank = gray_rank(ka[i] ^ flip)
+        j = np.minimum(np.searchsorted(rank_b, rank), len(rank_b) - 1)
+        i, j = (x[rank_b[j] == rank] for x in (i, j))
+        n = size_a[i] * size_b[j]
+        for p, q in zip(i[n > _CROWDED].tolist(), j[n > _CROWDED].tolist()):
+            own, other = slice(at_a[p], at_a[p] + size_a[p]), slice(at_b[q], at_b[q] + size_b[q])
+            ra, rb = (x[cut] for x, cut in zip(labels(), (own, other)))
+            if ra[0] == rb[0] and (ra == ra[0]).all() and (rb == rb[0]).all():
+                continue
+            sub = Tree(ta.rows[own])  # sorted already: places stay
+            for a, b in close_pairs(sub, sub if same and not flip else Tree(tb.rows[other]), most, lambda: tuple(x[cut] for x, cut in zip(labels(), (own, other)))):
+                yield a + own.start, b + other.start
+        light = n <= _CROWDED
+        i, j, n = i[light], j[light], n[light]
+        ends = np.cumsum(n)
+        low = 0
+        while low < len(n):
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] - n[low] + _MET, side="right")))
+            p, q, m = i[low:high], j[low:high], n[low:high]
+            of = np.repeat(np.arange(len(m)), m)
+            k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            a, b = at_a[p][of] + k // size_b[q][of], at_b[q][of] + k % size_b[q][of]
+            low = high
+            if same and not flip:
+                once = a < b
+                a, b = a[once], b[once]
+            apart = np.bitwise_count(ta.fps[a] ^ tb.fps[b])
+            close = apart <= most
+            a, b, apart = a[close], b[close], apart[close]
+            close = apart + np.bitwise_count(ta.more[a] ^ tb.more[b]) <= most  # 128 at most: eight bits hold it
+            a, b = a[close], b[close]
+            if len(a):
+                ra, rb = labels()
+                apart = ra[a] != rb[b]
+                if apart.any():
+                    yield a[apart], b[apart]
+
+
+def near_pairs(ta: Tree, tb: Tree, most: int, labels, lead: np.uint64 = np.uint64(0), near: int = 0):
+    """close_pairs(), by buckets of equal lead bits where that is less work."""
+    if lead and near < 2 and len(ta.fps) and len(tb.fps):
+        return lead_pairs(ta, tb, most, labels, lead, near)
+    return close_pairs(ta, tb, most, labels, lead, near)
+
+
 def links(own: np.ndarray, guests: np.ndarray | None, most: int, lead: np.uint64 = np.uint64(0), near: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links of own (rows of fp, more and node) among themselves, or with guests, as trees: nodes, and the least nodes of their trees.
 
@@ -231,7 +297,7 @@ def links(own: np.ndarray, guests: np.ndarray | None, most: int, lead: np.uint64
         up = forest.flat()
         return up[of_a], up[of_b]
 
-    for a, b in close_pairs(ta, tb, most, labels, lead, near):
+    for a, b in near_pairs(ta, tb, most, labels, lead, near):
         for i, j in zip(of_a[a].tolist(), of_b[b].tolist()):
             forest.join(i, j)
     up = forest.flat()  # roots are least

@@ -10,13 +10,14 @@ similar texts costs about its size, and no pair becomes a row.
 from __future__ import annotations
 
 import math
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .scratch import drop, materialize
 from .sieve import kept
-from .simhash import Forest, close_pairs, components, gray_rank, link_forest, majority, search, shingle_hashes, Tree
+from .simhash import SEED, Forest, components, gray_rank, link_forest, majority, near_pairs, search, Tree
 
 WIDTH = 5
 MOST = 28  # bits of 128; sets that share 0.8 of all are 19.4 bits apart, with a deviation of 4
@@ -25,12 +26,27 @@ FIRST = 2  # rearrangements that are searched before the others, which then pass
 CROWD = 16  # unlike sets that one meets in a rearrangement, about
 BLOCK = 64  # sets of a block
 WEIGHT = 1 << 20  # bytes of sets after which a block is full
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _COLUMNS = 1 << 13  # shingles of two blocks in a matrix at a time
 
 
 def members(text: bytes) -> np.ndarray:
-    """The text's different shingles, as sorted hashes."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, WIDTH)]))
+    """The text's different shingles, as sorted hashes: A-Z are lowered, fewer than WIDTH words make one, no words none.
+
+    A shingle's hash is made of its words' XXH64, so each word is hashed once; those that differ in one word never collide.
+    """
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))
+    width = min(WIDTH, len(words))
+    made = np.full(len(words) - width + 1, width, np.uint64)
+    for k in range(width):
+        made = made * _ODD + each[k : k + len(made)]
+    made = np.sort(mixed(made))
+    return made[np.concatenate(([True], made[1:] != made[:-1]))]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -207,7 +223,7 @@ def _open_pairs(open_: DataFrame, turns: range, front: int, near: int) -> DataFr
         ta = Tree(own)
         tb = ta if guests is None else Tree(guests)
         roots, held, waiting = (ta.rows[:, 2], tb.rows[:, 2]), [np.zeros((0, 2), np.int64)], 0
-        for a, b in close_pairs(ta, tb, MOST, lambda: roots, lead, near):
+        for a, b in near_pairs(ta, tb, MOST, lambda: roots, lead, near):
             x, y = ta.rows[a, 3].view(np.int64), tb.rows[b, 3].view(np.int64)
             held.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y])
             waiting += len(a)

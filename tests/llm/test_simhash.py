@@ -145,3 +145,51 @@ def test_batches_of_turns():
         parts = simhash.batches_of(n, range(turns), 200)
         assert [t for b, _ in parts for t in b] == list(range(turns))
         assert all(n * len(b) <= k * simhash.OWN and (len(b) == 1 or k <= simhash.RANGES) for b, k in parts)
+
+
+def crowd_rows(n, groups):
+    """Random fingerprints of 128 bits, and groups of close ones; the third column numbers them."""
+    rng = np.random.default_rng(5)
+    made = [rng.integers(0, 1 << 64, (n, 2), dtype=np.uint64)]
+    for size in groups:
+        m = np.repeat(rng.integers(0, 1 << 64, (1, 2), dtype=np.uint64), size, 0)
+        for row in m:
+            for b in rng.integers(0, 128, rng.integers(0, 14)).tolist():
+                row[b // 64] ^= np.uint64(1 << b % 64)
+        made.append(m)
+    made = rng.permutation(np.concatenate(made))
+    return np.concatenate([made, np.arange(len(made), dtype=np.uint64)[:, None]], axis=1)
+
+
+def test_leading_bits_bring_together_each_pair_once():
+    lead = np.uint64(((1 << 10) - 1) << 54)
+    own, guests = crowd_rows(1000, [500, 40, 5]), crowd_rows(50, [200])
+    own[:300, 0] = own[0, 0]  # one crowded bucket of all sorts of other halves
+    guests[:80] = own[:80]
+    for other in (None, guests):
+        for near in (0, 1):
+            ta = simhash.Tree(own)
+            tb = ta if other is None else simhash.Tree(other)
+            labels = ta.rows[:, 2], tb.rows[:, 2]
+            got = [(x, y) for a, b in simhash.lead_pairs(ta, tb, 28, lambda: labels, lead, near) for x, y in zip(labels[0][a].tolist(), labels[1][b].tolist())]
+            x, y = own, own if other is None else other
+            apart = x[:, None, 0] ^ y[None, :, 0]
+            close = np.bitwise_count(apart).astype(int) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1]) <= 28
+            close &= (np.bitwise_count(apart & lead) <= near) & (x[:, None, 2] != y[None, :, 2])
+            want = [(i, j) for i, j in np.argwhere(close).tolist() if other is not None or i < j]
+            assert sorted(tuple(sorted(p)) if other is None else p for p in got) == want and len(want) > 100
+
+
+def test_work_of_a_turn_is_about_the_pairs_that_agree_in_front(monkeypatch):
+    """Of 20000 unlike fingerprints each meets about 16 others; nodes that share too little came to hundreds."""
+    count, compared, largest = np.bitwise_count, 0, 0
+
+    def counted(x):
+        nonlocal compared, largest
+        compared, largest = compared + x.size, max(largest, x.size)
+        return count(x)
+
+    monkeypatch.setattr(np, "bitwise_count", counted)
+    rows = crowd_rows(20000, [])
+    simhash.links(rows, None, 28, np.uint64(((1 << 15) - 1) << 49), 1)
+    assert compared < 32 * len(rows) and largest < 1 << 18
