@@ -10,6 +10,7 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 
 _open: list[list[str]] = []  # folders made inside each swept()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -44,9 +45,18 @@ def swept(spark: SparkSession):
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as Parquet and reads it back: cuts the lineage, and survives lost executors."""
-    path = f"{root(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    """Writes df once as Parquet and reads it back: cuts the lineage, and survives lost executors.
+
+    Shuffle files of the write go when it ends. Otherwise they would stay until the driver collects garbage,
+    so that disk would hold the shuffles of many steps.
+    """
+    path, conf = f"{root(df.sparkSession)}/{name}", df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     _places[made] = path
     return made
