@@ -9,11 +9,15 @@ joined. A word holds several shingles, so a passage that many texts hold seldom
 
 Sketches of single bits bound the symmetric difference again, pair by pair, and what they leave open is verified
 on the sets, which lie in blocks. First each word's sets meet one of them. Words whose sets these links have
-joined are done; of the others all sets meet that aren't joined, so a large group of copies costs about its size.
+joined are done; in the others each group meets the closest set outside it, for some rounds. What may be similar and
+is apart even then meets block by block. So a large group costs about its size, and of a word no more pairs become
+rows than it has sets.
 """
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -26,7 +30,10 @@ WIDTH = 5
 BITS = 1 << 10  # of a set's second sketch, of single bits
 REPEATS = 1 << 16  # sets that a task knows again, so that copies don't send their words again
 CROWD = 1 << 11  # sets of a word outside its largest group, beyond which another word must be common too
-_HELD = 1 << 16  # pairs that a task keeps before it passes them on
+ROUNDS = 4  # in which groups meet the closest set outside, at most; fewer where one joins nothing
+FEW = 1 << 13  # closest pairs of a round after which there is no other
+_HELD = 1 << 16  # rows that a task keeps before it passes them on
+_FAR = 1 << 40  # the slack of what can't be similar
 
 
 def partners(n: int) -> int:
@@ -128,12 +135,18 @@ def bit_sketches(sets: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, BITS), axis=1).view(np.uint64)
 
 
+def slack(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of sets of n and m members with bit sketches a and b how close they may be: least is closest, none above 0 share 0.8."""
+    out = np.zeros((len(n), len(m)), np.int64)
+    for k in range(len(n)):
+        out[k] = 9 * np.bitwise_count(a[k] ^ b).sum(axis=1, dtype=np.int64) - (n[k] + m)
+    out[5 * np.minimum(n[:, None], m[None]) < 4 * np.maximum(n[:, None], m[None])] = _FAR
+    return out
+
+
 def within_bound(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which sets of n and m members with bit sketches a and b may share 0.8."""
-    out = np.zeros((len(n), len(m)), bool)
-    for k in range(len(n)):
-        out[k] = 9 * np.bitwise_count(a[k] ^ b).sum(axis=1, dtype=np.int64) <= n[k] + m
-    return out & (5 * np.minimum(n[:, None], m[None]) >= 4 * np.maximum(n[:, None], m[None]))
+    return slack(n, m, a, b) <= 0
 
 
 def _near(x: Block, y: Block) -> np.ndarray:
@@ -165,63 +178,150 @@ def _largest(words: DataFrame, roots: DataFrame, name: str) -> tuple[DataFrame,
     return rooted, materialize(top, f"{name}_largest")
 
 
-def _across(rooted: DataFrame, top: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): sets of unlike roots with a word of top in common that may share 0.8.
+def _apart(words: DataFrame, told: DataFrame, distinct: DataFrame, roots: DataFrame, name: str) -> list[tuple[DataFrame, DataFrame]]:
+    """What _largest() gives for words, and for pairs of words where one is crowded.
 
-    A task holds a word's sets outside its largest group; those of the group pass by.
+    Sets with a crowded word in common have another one in common too, if they share 0.8.
+    """
+    rooted, top = _largest(words, roots, name)
+    crowds = top.filter(F.col("minors") > CROWD).select("w")
+    if crowds.isEmpty():
+        return [(rooted, top)]
+    crowded = rooted.join(crowds, F.col("word") == F.col("w"), "left_semi")
+    arrays = told.select("d1", "d2", "words").join(distinct.select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("id").alias("of")), (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")))
+    twice = crowded.join(arrays, F.col("id") == F.col("of")).select("word", F.explode("words").alias("also"), "d1", "d2").filter("word != also")
+    twice = twice.select(F.xxhash64(F.least("word", "also"), F.greatest("word", "also")).alias("word"), "d1", "d2")
+    twice = _shared(materialize(twice.distinct(), f"{name}_both"), distinct, f"{name}_twice")
+    return [(rooted, top.filter(F.col("minors") <= CROWD)), _largest(twice, roots, f"{name}_twice")]
+
+
+def _closest(x, y, far) -> np.ndarray:
+    """(root, slack, a, b): of each set the closest one on the other side that may share 0.8."""
+    out = []
+    for one, other, by in ((x, y, far), (y, x, far.T)):
+        at = by.argmin(axis=1)
+        least = by[np.arange(len(at)), at]
+        ids, to = one[0], other[0][at]
+        out.append(np.stack([one[2], least, np.minimum(ids, to), np.maximum(ids, to)], axis=1)[least <= 0])
+    return np.concatenate(out)
+
+
+def _first_of_root(rows: np.ndarray) -> np.ndarray:
+    """Of rows of _closest() the closest of each root."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))] if len(rows) else rows
+
+
+def _ends(x, y, far) -> np.ndarray:
+    """(end): sets that may share 0.8 with one on the other side."""
+    may = far <= 0
+    return np.concatenate([x[0][may.any(axis=1)], y[0][may.any(axis=0)]])[:, None]
+
+
+def _meetings(x, y, far) -> np.ndarray:
+    """(x, y): blocks that hold sets which may share 0.8."""
+    i, j = np.nonzero(far <= 0)
+    return np.unique(np.stack([np.minimum(x[4][i], y[4][j]), np.maximum(x[4][i], y[4][j])], axis=1), axis=0)
+
+
+def _across(sides: list[tuple[DataFrame, DataFrame]], sets: DataFrame, find, names: list[str]) -> DataFrame:
+    """What find() makes of sets of unlike roots with a word in common: distinct rows of names, its last columns.
+
+    A task holds a word's sets outside its largest group; those of the group pass by. find(x, y, slack) gets held
+    sets and others, as arrays: ids, sizes, roots, bit sketches, blocks (0 where rooted has none). Of _closest()
+    each root of a word has one row.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        at, held, out = None, [], []
+        at, held, out, ready, n = None, [], [], [], 0
+        once = _first_of_root if find is _closest else partial(np.unique, axis=0)
 
         def near(rows):
-            """Pairs of held sets with rows that come with, or after, them."""
-            (i, n, r, a), (j, m, s, b) = (tuple(np.concatenate(x) for x in zip(*held)), rows)
-            for low in range(0, len(i), 256):
-                cut = slice(low, low + 256)
-                x, y = np.nonzero(within_bound(n[cut], m, a[cut], b) & (r[cut, None] != s[None]))
-                out.append(np.stack([np.minimum(i[cut][x], j[y]), np.maximum(i[cut][x], j[y])], axis=1))
+            """Held sets meet rows that come with, or after, them."""
+            whole = [np.concatenate(x) for x in zip(*held)]
+            for low in range(0, len(whole[0]), 256):
+                x = [c[low : low + 256] for c in whole]
+                far = slack(x[1], rows[1], x[3], rows[3])
+                far[x[2][:, None] == rows[2][None]] = _FAR
+                out.append(find(x, rows, far))
+
+        def settle():
+            nonlocal n
+            rows = out.pop()
+            ready.append(rows[:, -len(names) :])
+            n += len(rows)
 
         def told():
-            pairs = np.unique(np.concatenate(out), axis=0)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)], names=["a", "b"])
+            nonlocal n
+            rows, n = np.unique(np.concatenate(ready), axis=0), 0
+            ready.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(names))], names=names)
 
         for batch in batches:
-            word, minor, ids, n, root = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            word, minor, *cols = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 6))
             bits = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, BITS // 64)
             edges = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (minor[1:] != minor[:-1]), [True]))) if len(word) else np.zeros(1, int)
             for low, high in zip(edges[:-1], edges[1:]):
                 if word[low] != at:
+                    if out:
+                        settle()
+                    if n > _HELD:
+                        yield told()
                     at, held = word[low], []
-                rows = ids[low:high], n[low:high], root[low:high], bits[low:high]
+                ids, size, root, block = (c[low:high] for c in cols)
+                rows = ids, size, root, bits[low:high], block
                 if minor[low]:
                     held.append(rows)
-                near(rows)
-                if sum(map(len, out)) > _HELD:
-                    yield told()
+                if held:  # of a word's sets the main group's may be all that is left
+                    near(rows)
+                    out[:] = [once(np.concatenate(out))]
         if out:
+            settle()
+        if ready:
             yield told()
 
-    rows = rooted.join(top, F.col("word") == F.col("w")).select("word", (F.col("root") != F.col("main")).alias("minor"), "id", "root")
-    rows = rows.join(sets.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("word", "minor", "id", "n", "root", "bits")
-    met = rows.repartition("word").sortWithinPartitions("word", F.desc("minor"))
-    return met.mapInArrow(run, "a long, b long").distinct()
+    found = []
+    for rooted, top in sides:
+        block = F.col("block") if "block" in rooted.columns else F.lit(0).cast("long")
+        rows = rooted.join(top, F.col("word") == F.col("w")).select("word", (F.col("root") != F.col("main")).alias("minor"), "id", "root", block.alias("block"))
+        rows = rows.join(sets.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("word", "minor", "id", "n", "root", "bits", "block")
+        met = rows.repartition("word").sortWithinPartitions("word", F.desc("minor"))
+        found.append(met.mapInArrow(run, ", ".join(f"{c} long" for c in names)))
+    return reduce(DataFrame.union, found).distinct()
 
 
-def _verified(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, family: DataFrame, name: str) -> DataFrame:
-    """(a, b): links among pairs (a, b) of sets, and whatever links their blocks show. family (node, root) brings them together in blocks."""
-    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
+def _placed(keyed: DataFrame, distinct: DataFrame, ends: DataFrame, family: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the sets ends (end), and (of, block) of each. family (node, root) brings them together in blocks."""
     placed = ends.join(family, F.col("end") == F.col("node"), "left").select("end", F.coalesce("root", "end").alias("family"))
     suspects = materialize(distinct.join(placed, F.col("id") == F.col("end")).select("id", "family", "low"), f"{name}_suspects")
     blocks = materialize(blocks_of(keyed, suspects), f"{name}_blocks")
-    where = materialize(blocks.select(F.explode("ids").alias("of"), "block"), f"{name}_places")
+    drop(suspects)
+    return blocks, materialize(blocks.select(F.explode("ids").alias("of"), "block"), f"{name}_places")
+
+
+def _verified(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, family: DataFrame, name: str) -> DataFrame:
+    """(a, b): links among pairs (a, b) of sets, and whatever links their blocks show; pairs itself if it has no rows."""
+    if pairs.isEmpty():
+        return pairs
+    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
+    blocks, where = _placed(keyed, distinct, ends, family, name)
     over = pairs.join(where.select(F.col("of").alias("a"), F.col("block").alias("x")), "a").join(where.select(F.col("of").alias("b"), F.col("block").alias("y")), "b")
     over = materialize(over.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"{name}_meet")
     found = materialize(compare(over, blocks, _near).filter("a != b"), f"{name}_links")
-    drop(suspects, blocks, where, over)
+    drop(blocks, where, over)
+    return found
+
+
+def _settled(keyed: DataFrame, distinct: DataFrame, sides: list[tuple[DataFrame, DataFrame]], sets: DataFrame, family: DataFrame, name: str) -> DataFrame:
+    """(a, b): links of all sets of sides that have unlike roots and may share 0.8. They meet as blocks; no pair of sets becomes a row."""
+    ends = materialize(_across(sides, sets, _ends, ["end"]), f"{name}_ends")
+    blocks, where = _placed(keyed, distinct, ends, family, name)
+    there = [(rooted.join(where, F.col("id") == F.col("of")).drop("of"), top) for rooted, top in sides]
+    over = materialize(_across(there, sets, _meetings, ["x", "y"]), f"{name}_meet")
+    found = materialize(compare(over, blocks, _near).filter("a != b"), f"{name}_links")
+    drop(ends, blocks, where, over)
     return found
 
 
@@ -250,19 +350,23 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     family = components(star)
     found = _verified(keyed, distinct, star, family.union(family.select(F.col("root").alias("node"), "root").distinct()), "jaccard_star")
 
-    # and all sets of a word meet that are still apart; of two the first was one
-    roots = materialize(components(found), "jaccard_roots")
-    rooted, top = _largest(words.filter("k > 2"), roots, "jaccard")
-    # sets with a crowded word in common have another one in common too, if they share 0.8
-    crowded = rooted.join(top.filter(F.col("minors") > CROWD).select("w"), F.col("word") == F.col("w"), "left_semi")
-    arrays = told.select("d1", "d2", "words").join(distinct.select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("id").alias("of")), (F.col("d1") == F.col("k1")) & (F.col("d2") == F.col("k2")))
-    twice = crowded.join(arrays, F.col("id") == F.col("of")).select("word", F.explode("words").alias("also"), "d1", "d2").filter("word != also")
-    twice = twice.select(F.xxhash64(F.least("word", "also"), F.greatest("word", "also")).alias("word"), "d1", "d2")
-    twice = _shared(materialize(twice.distinct(), "jaccard_both"), distinct, "jaccard_twice")
-    rest = _across(rooted, top.filter(F.col("minors") <= CROWD), sets).union(_across(*_largest(twice, roots, "jaccard_twice"), sets))
-    rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "jaccard_rest")
-    found = found.union(_verified(keyed, distinct, rest, roots, "jaccard_rest"))
-    drop(words, star, rooted, top, twice)
+    # then each group of a word meets the closest set outside it; of two sets the first was one
+    rest, joined, met = words.filter("k > 2"), None, None
+    for k in range(ROUNDS + 1):
+        roots = materialize(components(found), f"jaccard{k}_roots")
+        before, joined = joined, roots.count()
+        sides = _apart(rest, told, distinct, roots, f"jaccard{k}")
+        if k == ROUNDS or (k and (met <= FEW or joined == before)):  # and what is apart even so, all with all
+            found = found.union(_settled(keyed, distinct, sides, sets, roots, f"jaccard{k}_rest"))
+            met = 0
+        else:
+            close = materialize(_across(sides, sets, _closest, ["a", "b"]), f"jaccard{k}_close")
+            met = close.count()
+            found = found.union(_verified(keyed, distinct, close, roots, f"jaccard{k}_close"))
+        drop(roots, *(t for side in sides for t in side))
+        if not met:
+            break
+    drop(words)
 
     roots = components(found).withColumnRenamed("node", "linked")
     named = materialize(distinct.join(roots, F.col("id") == F.col("linked"), "left").select("d1", "d2", "low", F.coalesce("root", "id").alias("root")), "jaccard_named")

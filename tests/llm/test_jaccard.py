@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Window, functions as F
 
 from pagewright.llm import jaccard, similar
 from pagewright.llm.jaccard import band, bit_sketches, differ, jaccard_groups, partners, words_of
@@ -121,3 +122,27 @@ def test_a_large_group_costs_its_size(spark, monkeypatch):
     out = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["component_id"] for r in out} == {0}
     assert len(seen) == 2 and seen[0] < 40 * len(rows) and seen[1] == 0
+
+
+def test_sets_at_the_limit_make_no_square_of_pairs(spark, monkeypatch):
+    """Near copies that link with each other, but not with those which the stars meet: the first ones, of more edits."""
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    cuts = [set(r.sample(range(200), 7 if k < 20 else 2)) for k in range(300)]
+    rows = [(k, " ".join(f"e{k}_{j}" if j in cut else w for j, w in enumerate(base))) for k, cut in enumerate(cuts)]
+    monkeypatch.setattr(jaccard, "FEW", 0, raising=False)  # as many rounds as join something
+    made, whole = {}, jaccard.materialize
+
+    def counted(df, name):
+        if name == "jaccard_distinct":
+            df = df.withColumn("id", F.row_number().over(Window.orderBy("low")).cast("long"))
+        out = whole(df, name)
+        if df.columns in (["a", "b"], ["x", "y"]):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    want, linked = brute(rows)
+    assert linked > 10 * len(rows)
+    assert sorted(map(tuple, jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr) == want
+    assert {name: n for name, n in made.items() if n > 8 * len(rows)} == {}
