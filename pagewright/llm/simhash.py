@@ -64,7 +64,8 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            fps = np.array([fingerprint(t or b"", width) for t in b.column(1).to_pylist()], np.uint64)
+            texts = b.column(1)  # each is made bytes when its turn comes, so that a batch isn't held twice
+            fps = np.array([fingerprint(t.as_py() or b"", width) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
