@@ -7,8 +7,9 @@ share 0.8 differ in (n + m) / 9 at most, so of one more words at least one is eq
 in one order, those of most shingles first; then it is among the first d + 1 of both sketches, and these are
 joined. A word holds several shingles, so a passage that many texts hold seldom makes one.
 
-Sketches of single bits bound the symmetric difference again, pair by pair, and what they leave open is verified
-on the sets, which lie in blocks. First each word's sets meet one of them. Words whose sets these links have
+Sketches of single bits, more for larger sets, bound the symmetric difference again, pair by pair, and what they
+leave open is verified on the sets, which lie in blocks: sets that chains of open pairs join lie together, so few
+blocks travel to meet another. First each word's sets meet one of them. Words whose sets these links have
 joined are done; in the others each group meets the closest set outside it, for some rounds. What may be similar and
 is apart even then meets block by block. So a large group costs about its size, and of a word no more pairs become
 rows than it has sets.
@@ -17,6 +18,7 @@ rows than it has sets.
 from __future__ import annotations
 
 from functools import partial, reduce
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -27,7 +29,8 @@ from .sieve import kept
 from .simhash import components
 
 WIDTH = 5
-BITS = 1 << 10  # of a set's second sketch, of single bits
+BITS = 1 << 10  # of a set's second sketch, of single bits, at least
+WIDEST = 1 << 14  # and at most where it goes with each of the set's words
 REPEATS = 1 << 16  # sets that a task knows again, so that copies don't send their words again
 CROWD = 1 << 11  # sets of a word outside its largest group, beyond which another word must be common too
 ROUNDS = 4  # in which groups meet the closest set outside, at most; fewer where one joins nothing
@@ -95,7 +98,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 names.append(name)
                 sizes.append(len(m))
                 words.append(None if name in known else words_of(m, 1).view(np.int64))
-                bits.append(None if name in known else bit_sketches(m, np.zeros(len(m), np.int64), 1).tobytes())
+                bits.append(None if name in known else bit_sketch(m))
                 known[name] = None
                 if len(known) > REPEATS:
                     del known[next(iter(known))]
@@ -129,17 +132,55 @@ def _shared(words: DataFrame, distinct: DataFrame, name: str) -> DataFrame:
     return made
 
 
-def bit_sketches(sets: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """BITS bits per set: each member turns over one. Two differ in at most as many bits as members aren't common."""
-    odd = np.bincount(row * BITS + (mixed(sets) & np.uint64(BITS - 1)).astype(np.int64), minlength=n * BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, BITS), axis=1).view(np.uint64)
+def width(n: int, most: int | None = WIDEST) -> int:
+    """Bits of the second sketch of a set of n. With fewer, two large sets that share nothing would not differ in enough of them."""
+    bits = BITS
+    while 2 * n > 3 * bits and bits != most:
+        bits *= 2
+    return bits
+
+
+def bit_sketches(sets: np.ndarray, row: np.ndarray, n: int, bits: int = BITS) -> np.ndarray:
+    """bits bits per set: each member turns over one. Two differ in at most as many bits as members aren't common."""
+    odd = np.bincount(row * bits + (mixed(sets) & np.uint64(bits - 1)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.uint64)
+
+
+def bit_sketch(m: np.ndarray, most: int | None = WIDEST) -> bytes:
+    """The sketch of one set, of its width."""
+    return bit_sketches(m, np.zeros(len(m), np.int64), 1, width(len(m), most)).tobytes()
+
+
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches as they are with so many words: halves turn over the same bits."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _by_width(bits: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, sketches) of each width among bits."""
+    size = np.fromiter(map(len, bits), np.int64, len(bits))
+    at = [np.flatnonzero(size == w) for w in np.unique(size)]
+    return [(k, np.frombuffer(b"".join(bits[k]), np.uint64).reshape(len(k), -1)) for k in at]
 
 
 def slack(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of sets of n and m members with bit sketches a and b how close they may be: least is closest, none above 0 share 0.8."""
-    out = np.zeros((len(n), len(m)), np.int64)
-    for k in range(len(n)):
-        out[k] = 9 * np.bitwise_count(a[k] ^ b).sum(axis=1, dtype=np.int64) - (n[k] + m)
+    """Of sets of n and m members with bit sketches a and b (bytes) how close they may be: least is closest, none above 0 share 0.8."""
+    out = np.full((len(n), len(m)), _FAR)
+    for (i, x), (j, y) in product(_by_width(a), _by_width(b)):
+        words = min(x.shape[1], y.shape[1])
+        if max(x.shape[1], y.shape[1]) <= 2 * words:  # else one is too large for the other
+            y = _folded(y, words)
+            for k, sketch in zip(i, _folded(x, words)):
+                out[k, j] = 9 * np.bitwise_count(sketch ^ y).sum(axis=1, dtype=np.int64) - (n[k] + m[j])
     out[5 * np.minimum(n[:, None], m[None]) < 4 * np.maximum(n[:, None], m[None])] = _FAR
     return out
 
@@ -149,8 +190,19 @@ def within_bound(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return slack(n, m, a, b) <= 0
 
 
+def pairs_within_bound(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same of each set with the one at its place in the other list."""
+    may = 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+    for (i, x), (j, y) in product(_by_width(a), _by_width(b)):
+        at, left, right = np.intersect1d(i, j, assume_unique=True, return_indices=True)
+        words = min(x.shape[1], y.shape[1])
+        far = np.bitwise_count(_folded(x[left], words) ^ _folded(y[right], words)).sum(axis=1, dtype=np.int64)
+        may[at] &= 9 * far <= n[at] + m[at]
+    return may
+
+
 def _near(x: Block, y: Block) -> np.ndarray:
-    return within_bound(x.n, y.n, *(bit_sketches(b.sets, b.row, len(b.n)) for b in (x, y)))
+    return within_bound(x.n, y.n, *(_objects([bit_sketch(m, None) for m in np.split(b.sets, np.cumsum(b.n)[:-1])]) for b in (x, y)))
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -161,8 +213,8 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
         for batch in batches:
             n, m = (batch.column(k).to_numpy() for k in (2, 4))
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (3, 5))
-            may = (9 * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= n + m) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+            a, b = (_objects(batch.column(k).to_pylist()) for k in (3, 5))
+            may = pairs_within_bound(n, m, a, b)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(may))
 
     one, two = (sets.select(F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab")
@@ -228,7 +280,7 @@ def _across(sides: list[tuple[DataFrame, DataFrame]], sets: DataFrame, find, nam
     """What find() makes of sets of unlike roots with a word in common: distinct rows of names, its last columns.
 
     A task holds a word's sets outside its largest group; those of the group pass by. find(x, y, slack) gets held
-    sets and others, as arrays: ids, sizes, roots, bit sketches, blocks (0 where rooted has none). Of _closest()
+    sets and others, as arrays: ids, sizes, roots, bit sketches (bytes), blocks (0 where rooted has none). Of _closest()
     each root of a word has one row.
     """
 
@@ -261,7 +313,7 @@ def _across(sides: list[tuple[DataFrame, DataFrame]], sets: DataFrame, find, nam
 
         for batch in batches:
             word, minor, *cols = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 6))
-            bits = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            bits = _objects(batch.column(5).to_pylist())
             edges = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (minor[1:] != minor[:-1]), [True]))) if len(word) else np.zeros(1, int)
             for low, high in zip(edges[:-1], edges[1:]):
                 if word[low] != at:
@@ -301,26 +353,37 @@ def _placed(keyed: DataFrame, distinct: DataFrame, ends: DataFrame, family: Data
     return blocks, materialize(blocks.select(F.explode("ids").alias("of"), "block"), f"{name}_places")
 
 
-def _verified(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, family: DataFrame, name: str) -> DataFrame:
+def _met(over: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(a, b): links within each of blocks, and between the pairs over (x, y) of them. Only blocks that meet another move."""
+    far = over.filter("x != y")
+    some = far.select(F.col("x").alias("meets")).union(far.select("y")).distinct()
+    some = blocks.join(some, F.col("block") == F.col("meets"), "left_semi")
+    return compare(None, blocks, _near).union(compare(far, some, _near)).filter("a != b")
+
+
+def _verified(keyed: DataFrame, distinct: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """(a, b): links among pairs (a, b) of sets, and whatever links their blocks show; pairs itself if it has no rows."""
     if pairs.isEmpty():
         return pairs
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
-    blocks, where = _placed(keyed, distinct, ends, family, name)
+    blocks, where = _placed(keyed, distinct, ends, components(pairs), name)
     over = pairs.join(where.select(F.col("of").alias("a"), F.col("block").alias("x")), "a").join(where.select(F.col("of").alias("b"), F.col("block").alias("y")), "b")
     over = materialize(over.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"{name}_meet")
-    found = materialize(compare(over, blocks, _near).filter("a != b"), f"{name}_links")
+    found = materialize(_met(over, blocks), f"{name}_links")
     drop(blocks, where, over)
     return found
 
 
-def _settled(keyed: DataFrame, distinct: DataFrame, sides: list[tuple[DataFrame, DataFrame]], sets: DataFrame, family: DataFrame, name: str) -> DataFrame:
-    """(a, b): links of all sets of sides that have unlike roots and may share 0.8. They meet as blocks; no pair of sets becomes a row."""
+def _settled(keyed: DataFrame, distinct: DataFrame, sides: list[tuple[DataFrame, DataFrame]], sets: DataFrame, open_: DataFrame, name: str) -> DataFrame:
+    """(a, b): links of all sets of sides that have unlike roots and may share 0.8. They meet as blocks; no pair of sets becomes a row.
+
+    Chains of open_ (a, b), pairs that were near so far, bring them together in blocks.
+    """
     ends = materialize(_across(sides, sets, _ends, ["end"]), f"{name}_ends")
-    blocks, where = _placed(keyed, distinct, ends, family, name)
+    blocks, where = _placed(keyed, distinct, ends, components(open_), name)
     there = [(rooted.join(where, F.col("id") == F.col("of")).drop("of"), top) for rooted, top in sides]
     over = materialize(_across(there, sets, _meetings, ["x", "y"]), f"{name}_meet")
-    found = materialize(compare(over, blocks, _near).filter("a != b"), f"{name}_links")
+    found = materialize(_met(over, blocks), f"{name}_links")
     drop(ends, blocks, where, over)
     return found
 
@@ -347,8 +410,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
 
     # each word's sets meet the first of them
     star = materialize(_bounded(words.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets), "jaccard_star")
-    family = components(star)
-    found = _verified(keyed, distinct, star, family.union(family.select(F.col("root").alias("node"), "root").distinct()), "jaccard_star")
+    found, near = _verified(keyed, distinct, star, "jaccard_star"), star
 
     # then each group of a word meets the closest set outside it; of two sets the first was one
     rest, joined, met = words.filter("k > 2"), None, None
@@ -357,12 +419,12 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         before, joined = joined, roots.count()
         sides = _apart(rest, told, distinct, roots, f"jaccard{k}")
         if k == ROUNDS or (k and (met <= FEW or joined == before)):  # and what is apart even so, all with all
-            found = found.union(_settled(keyed, distinct, sides, sets, roots, f"jaccard{k}_rest"))
+            found = found.union(_settled(keyed, distinct, sides, sets, near.union(found), f"jaccard{k}_rest"))
             met = 0
         else:
             close = materialize(_across(sides, sets, _closest, ["a", "b"]), f"jaccard{k}_close")
-            met = close.count()
-            found = found.union(_verified(keyed, distinct, close, roots, f"jaccard{k}_close"))
+            met, near = close.count(), near.union(close)
+            found = found.union(_verified(keyed, distinct, close, f"jaccard{k}_close"))
         drop(roots, *(t for side in sides for t in side))
         if not met:
             break

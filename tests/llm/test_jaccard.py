@@ -146,3 +146,46 @@ def test_sets_at_the_limit_make_no_square_of_pairs(spark, monkeypatch):
     assert linked > 10 * len(rows)
     assert sorted(map(tuple, jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr) == want
     assert {name: n for name, n in made.items() if n > 8 * len(rows)} == {}
+
+
+def test_long_texts_that_only_share_a_passage_do_not_meet(spark, monkeypatch):
+    """Their words meet, their sketches tell them apart; those that are similar link, also where their sketches have unlike widths."""
+    r = random.Random(3)
+    passage, made, whole = [f"p{k}" for k in range(800)], {}, jaccard.materialize
+    rows = [(k, " ".join(passage + [f"w{r.randrange(10**9)}" for _ in range(1700)])) for k in range(24)]
+    base = [f"b{k}" for k in range(3300)]
+    rows += [(100 + k, " ".join(base[: 2900 + 100 * k])) for k in range(5)]
+
+    def counted(df, name):
+        out = whole(df, name)
+        if df.columns in (["a", "b"], ["x", "y"]):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    want, linked = brute(rows)
+    assert linked == 10
+    assert sorted(map(tuple, jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr) == want
+    assert made["jaccard_star"] and {name: n for name, n in made.items() if n > 10} == {}
+
+
+def test_sets_that_may_be_similar_lie_in_one_block(spark, monkeypatch):
+    """Families just below the limit, which no link joins: few blocks travel to meet another."""
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    r = random.Random(8)
+    rows = []
+    for f in range(60):
+        base = [f"f{f}_{k}" for k in range(1200)]
+        rows += [" ".join(w if j % 35 or not v else f"e{f}_{v}_{j}" for j, w in enumerate(base)) for v in range(4)]
+    r.shuffle(rows)
+    met, whole = [], jaccard.compare
+
+    def counted(pairs, blocks, near):
+        met.append(0 if pairs is None else pairs.filter("x != y").count())
+        return whole(pairs, blocks, near)
+
+    monkeypatch.setattr(jaccard, "compare", counted)
+    want, linked = brute(list(enumerate(rows)))
+    assert not linked
+    assert sorted(map(tuple, jaccard_groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()), key=repr) == want
+    assert met and sum(met) < 30
