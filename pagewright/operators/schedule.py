@@ -173,22 +173,25 @@ def same_failer(events: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
     return e.withColumn("failer", F.coalesce("__within", "__before.node")).drop("__before", "__within").filter("kind = 'claim' AND failer = node")
 
 
-def as_of(rows: DataFrame, marks: DataFrame, key: str, within_ms: int | None = None, slice_s: int = SLICE_S) -> DataFrame:
+def as_of(rows: DataFrame, marks: DataFrame, key: str, within_ms: int | None = None, slice_s: int = SLICE_S, by_ts: bool = False) -> DataFrame:
     """rows (key, ts, seq, ...) with mark: the last of marks (key, ts, seq, ...) of the same key at or before them, by (ts, seq).
 
-    null where there is none, or where it is more than within_ms older. mark is a struct of all columns of
+    null where there is none, or where it is more than within_ms older. With by_ts a mark of a row's own ts is before
+    it whatever their seq, as for ASOF JOIN; of marks of one ts the last seq counts. mark is a struct of all columns of
     marks. Both sides are walked together in slices, each from the last mark before it, so that a key of any
-    number of rows is shared out; null keys are one key.
+    number of rows is shared out; null keys are one key. Rows without ts have no mark, and marks without it are none.
     """
-    both = rows.select(F.struct("*").alias("row"), F.lit(None).cast(marks.schema).alias("mark"), F.col(key).alias("key"), "ts", "seq")
-    both = both.union(marks.select(F.lit(None).cast(rows.schema), F.struct("*"), key, "ts", "seq"))
+    place = lambda row: F.struct(F.lit(row).alias("row"), F.col("seq").alias("seq")).alias("seq") if by_ts else F.col("seq")
+    none = F.lit(None).cast(marks.schema).alias("mark")
+    both = rows.filter("ts IS NOT NULL").select(F.struct("*").alias("row"), none, F.col(key).alias("key"), "ts", place(True))
+    both = both.union(marks.filter("ts IS NOT NULL").select(F.lit(None).cast(rows.schema), F.struct("*"), key, "ts", place(False)))
     last = lambda w: F.last("mark", ignorenulls=True).over(w.rangeBetween(W.unboundedPreceding, W.currentRow))
     newest = F.max(F.when(F.col("mark").isNotNull(), F.struct("ts", "seq", "mark")))
     e = _walked(both, "key", slice_s, {"__within": last}, newest, lambda w: F.max("__change").over(w)).filter("row IS NOT NULL")
     mark = F.coalesce("__within", "__before.mark")
     if within_ms is not None:
         mark = F.when(_micros(F.col("ts")) - _micros(mark["ts"]) <= within_ms * 1000, mark)
-    return e.select("row.*", mark.alias("mark"))
+    return e.select("row.*", mark.alias("mark")).union(rows.filter("ts IS NULL").select("*", none))
 
 
 FRESH_MS = 15_000  # of a heartbeat

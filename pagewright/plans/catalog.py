@@ -754,8 +754,10 @@ def liveness_runs(spark, sf_dir):
 SELECT p.seq, CASE WHEN p.ts - b.ts <= INTERVAL 30 MINUTE THEN b.seq END AS heartbeat FROM (SELECT * FROM he WHERE kind <> 'heartbeat') p
 ASOF LEFT JOIN (SELECT node, ts, seq FROM he WHERE kind = 'heartbeat') b ON p.node = b.node AND p.ts >= b.ts""")
 def as_of_heartbeat(spark, sf_dir):
+    """Of heartbeats of one moment that with the largest seq, where the SQL may take any."""
     h = _health(spark, sf_dir)
-    return schedule.as_of(h.filter("kind <> 'heartbeat'"), h.filter("kind = 'heartbeat'"), "node", within_ms=30 * 60_000).select("seq", F.col("mark.seq").alias("heartbeat"))
+    beats = h.filter("kind = 'heartbeat' AND node IS NOT NULL")
+    return schedule.as_of(h.filter("kind <> 'heartbeat'"), beats, "node", within_ms=30 * 60_000, by_ts=True).select("seq", F.col("mark.seq").alias("heartbeat"))
 
 
 _NODES = "nd AS (SELECT s_nationkey AS job, s_suppkey AS node, (s_suppkey % 6)::INTEGER AS in_flight, (s_suppkey % 5 + 2)::INTEGER AS capacity, s_suppkey % 4 > 0 AS active, s_suppkey % 7 > 0 AS healthy, (s_nationkey % 20)::INTEGER AS remaining, (s_suppkey % 3)::INTEGER AS sessions FROM supplier)"
