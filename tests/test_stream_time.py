@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
 from pagewright.streaming import leases, pages as ps, play
@@ -54,6 +55,37 @@ def test_requeues_in_any_order_of_arrival(spark, tmp_path, order):
     assert sorted((x["job"], x["page"], x["at_ms"] - base) for x in got) == want
 
 
+def test_a_page_has_few_timers(spark, tmp_path):
+    """Not one a claim; with claims of no node, events without a time, and a deadline that the watermark just reaches."""
+    r = random.Random(3)
+    events = [(1, r.randint(1, 12), r.choice([*range(1, 20), None]), r.randint(0, 1400), r.choice(["claim", "claim", "commit"])) for _ in range(600)] + [(2, 1, 1, 1680, "claim")]
+    rows = [(j, p, n, at(t), k) for j, p, n, t, k in events] + [(1, 1, 1, None, "claim"), (1, 1, 1, None, "commit"), (9, 9, 9, at(2000), "claim")]  # the watermark: 1700
+    r.shuffle(rows)
+    stream = arrivals(spark, rows, "job long, page int, node long, ts timestamp, kind string", tmp_path, 1)
+    with play.settings(spark, spark__sql__streaming__stateStore__providerClass=play.ROCKS):
+        query = leases.requeues(stream, 20_000, "300 seconds").writeStream.format("memory").queryName("few_timers").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").start()
+        query.processAllAvailable()
+        timers = sum(o["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress for o in p["stateOperators"])
+        query.stop()
+    base = int(START.timestamp() * 1000)
+    named = [(j, p, n or -k, t * 1000, kind) for k, (j, p, n, t, kind) in enumerate(events, 1) if n or kind == "claim"]  # each claim of no node has its own
+    want = again(named, 20_000, 1_700_000)
+    assert (2, 1, 1_700_000) in want and len(want) > 10
+    assert sorted((x["job"], x["page"], x["at_ms"] - base) for x in spark.sql("SELECT * FROM few_timers").collect()) == want
+    assert 0 < timers <= 3 * 14  # of 14 pages
+
+
+@pytest.mark.parametrize("marks", [[200], [4, 5, 30, 104, 105, 200], list(range(0, 201, 7)) + [200]])
+def test_a_commit_is_forgotten(marks):
+    """Whatever the steps of the watermark: a page committed at 5 is known up to 105, then its claims count again."""
+    events = np.array([(0, 1, True, True), (5, 1, True, False), (50, 2, True, True), (95, 1, True, True), (96, 3, True, True), (110, 3, True, False), (130, 1, True, True)], leases.EVENT)
+    done, left, ends = None, events, []
+    for now in marks:
+        more, done, left = leases.swept(left, done, now, 10, 100)
+        ends += more.tolist()
+    assert ends == [106, 140] and done is None and not len(left)
+
+
 def test_a_document_ends_by_time(spark, tmp_path):
     """Gaps become blank, late pages are told, and nothing stays in state."""
     schema = "doc_id long, page int, text string, at timestamp"
