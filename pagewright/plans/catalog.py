@@ -981,10 +981,9 @@ def published_pages(spark, sf_dir):
     at = shared(spark, "published")
     pages = co.table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("data")).withColumn("length", F.octet_length("data").cast("long"))
     publish.publish(pages.select(F.format_string("page-%d.pdf", "page_id").alias("name"), "data", "length"), at)
-    found = ranged.ranged(spark, at, parts=1)
-    listing = found.select(F.col("file").alias("name"), "length")
+    listing = ranged.ranged(spark, at, parts=1, data="false").select(F.col("file").alias("name"), "length")
     jobs = files.adopted(listing, pages.select(F.format_string("page-%d", "page_id").alias("job_id"), "page_id", "length"))
-    read = found.filter("mode = 'range'").select("file", F.sha2("data", 256).alias("sha256"))
+    read = ranged.ranged(spark, at, parts=1).filter("mode = 'range'").select("file", F.sha2("data", 256).alias("sha256"))
     return jobs.join(read, F.col("file") == F.format_string("page-%d.pdf", "page_id")).select("page_id", "length", "sha256")
 
 

@@ -1,4 +1,4 @@
-"""Files read by byte ranges: a data source with a partition a range, and blobs of many documents with an index."""
+"""Files read by byte ranges: a data source with a partition a range or many small files, and blobs of many documents with an index."""
 
 from __future__ import annotations
 
@@ -14,6 +14,10 @@ from .files import MOST_BYTES
 
 LEAST = 1 << 20  # bytes of a range
 PARTS = 8  # ranges of a file at most
+FILES = 256  # small files that one task reads, as long as they have no more than TOGETHER bytes
+TOGETHER = 1 << 24
+NAMED = 1 << 14  # ranges that one task tells of without reading them
+BATCH = 1 << 20  # bytes after which rows are handed on
 _TESTS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, StringStartsWith: str.startswith, In: lambda v, some: v in some}
 _PLANNED = ("file", "part", "start", "stop", "length")  # known before a byte is read
 
@@ -44,11 +48,21 @@ class Ranges(InputPartition):
         self.file, self.length, self.parts, self.mode = file, length, parts, mode
 
 
+@dataclass
+class Bundle(InputPartition):
+    """Ranges of several files that one task reads one after another."""
+
+    ranges: list[Ranges]
+
+    def __init__(self, ranges):
+        self.ranges = ranges
+
+
 class RangedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.uri = options["path"]
         self.least, self.parts, self.most = (int(options.get(k, v)) for k, v in (("least", LEAST), ("parts", PARTS), ("most", MOST_BYTES)))
-        self.stream = options.get("stream", "false").lower() == "true"
+        self.stream, self.data = (options.get(k, v).lower() == "true" for k, v in (("stream", "false"), ("data", "true")))
         self.tests: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
@@ -62,7 +76,7 @@ class RangedReader(DataSourceReader):
     def _wanted(self, **range_) -> bool:
         return all(_TESTS[type(f)](range_[f.attribute[0]], f.value) for f in self.tests if f.attribute[0] in range_)
 
-    def partitions(self) -> list[Ranges]:
+    def partitions(self) -> list[Ranges | Bundle]:
         """Lists the folder, or only looks up the files that a filter names."""
         from pyarrow import fs as pafs
 
@@ -84,7 +98,23 @@ class RangedReader(DataSourceReader):
                 out += [Ranges(name, length, [p], mode) for p in parts]
             elif parts:
                 out.append(Ranges(name, length, parts, mode))
-        return out or [Ranges("", 0, [], "none")]
+        return self._bundled(out) or [Ranges("", 0, [], "none")]
+
+    def _bundled(self, ranges: list[Ranges]) -> list[Ranges | Bundle]:
+        """Files with less than a range's least bytes together, the others alone; all together where nothing is read."""
+        out: list[list[Ranges]] = []
+        small, size, most = None, 0, FILES if self.data else NAMED
+        for r in ranges:
+            cost = 0 if not self.data or r.mode == "too large" else r.length
+            if cost >= self.least:
+                out.append([r])
+            elif small is None or len(small) == most or size + cost > TOGETHER:
+                small, size = [r], cost
+                out.append(small)
+            else:
+                small.append(r)
+                size += cost
+        return [Bundle(b) if len(b) > 1 else b[0] for b in out]
 
     @staticmethod
     def _seeks(fs, base: str, files: list[tuple[str, int]]) -> bool:
@@ -98,47 +128,55 @@ class RangedReader(DataSourceReader):
                     return False
         return True
 
-    def read(self, partition: Ranges) -> Iterator:
+    def read(self, partition: Ranges | Bundle) -> Iterator:
         import pyarrow as pa
 
         fs, base = opened(self.uri)
-
-        def row(part, start, stop, mode, data):
-            cols = [partition.file], [part], [start], [stop], [partition.length], [mode], [data]
-            kinds = pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["file", "part", "start", "stop", "length", "mode", "data"])
-
-        at = f"{base}/{partition.file}"
-        if partition.mode == "too large":
-            yield row(*partition.parts[0], partition.mode, None)
-        elif partition.mode == "range":
-            for part, start, stop in partition.parts:
+        kinds = dict(file=pa.string(), part=pa.int32(), start=pa.int64(), stop=pa.int64(), length=pa.int64(), mode=pa.string(), data=pa.binary())
+        rows, size = [], 0
+        for r in partition.ranges if isinstance(partition, Bundle) else [partition]:
+            for part, start, stop, data in self._pieces(fs, f"{base}/{r.file}", r):
+                rows.append((r.file, part, start, stop, r.length, r.mode, data))
+                size += len(data or b"")
+                if size >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+
+    def _pieces(self, fs, at: str, ranges: Ranges) -> Iterator[tuple]:
+        """(part, start, stop, data) of one file's ranges."""
+        if ranges.mode == "too large" or not self.data:
+            yield from ((*p, None) for p in ranges.parts)
+        elif ranges.mode == "range":
+            for part, start, stop in ranges.parts:
                 with fs.open_input_file(at) as f:
                     data = f.read_at(stop - start + 1, start) if stop >= start else b""
                 if len(data) != stop - start + 1:
                     raise OSError(f"{at} ends before {stop}")
-                yield row(part, start, stop, partition.mode, data)
-        elif partition.parts:
+                yield part, start, stop, data
+        elif ranges.parts:
             place = 0
             with fs.open_input_stream(at, compression=None) as f:
-                for part, start, stop in partition.parts:
+                for part, start, stop in ranges.parts:
                     while place < start:  # ranges that nobody asked for pass by
                         place += len(f.read(min(start - place, 1 << 20))) or start
                     data = f.read(stop - start + 1) if stop >= start else b""
                     if len(data) != stop - start + 1:
                         raise OSError(f"{at} ends before {stop}")
                     place = stop + 1
-                    yield row(part, start, stop, partition.mode, data)
+                    yield part, start, stop, data
 
 
 class RangedFiles(DataSource):
     """Files below path, a row a byte range: (file, part, start, stop, length, mode, data), stop included.
 
     Options: path (a URI), least (bytes of a range), parts (ranges of a file at most), most (bytes of a file),
-    stream. Filters on all but mode and data are applied before anything is read, so only the ranges that they leave are
-    fetched. A store that can't be read from the middle, or stream=true, gives one task a file, which reads it
-    once from the front. An empty file has one range without bytes, and a file of more than most bytes a
-    row without data.
+    stream, data. Filters on all but mode and data are applied before anything is read, so only the ranges that they leave
+    are fetched. A range is a task's, but files of less than least bytes share one, up to FILES of them. A store that can't
+    be read from the middle, or stream=true, gives one task a file, which reads it once from the front. An empty file
+    has one range without bytes, and a file of more than most bytes a row without data. data=false only lists:
+    no data, and nothing is read.
     """
 
     @classmethod

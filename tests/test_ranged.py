@@ -59,6 +59,44 @@ def test_a_stream_passes_by_what_nobody_wants(folder):
     assert batch.column(6)[0].as_py() == (folder / "a.bin").read_bytes()[750:]
 
 
+@pytest.mark.parametrize("stream", ["false", "true"])
+def test_small_files_share_a_task(spark, tmp_path, stream):
+    """A task a file would be as many tasks as pages; a file of a range's least bytes or more still has its own."""
+    sizes = {f"small{k:03d}": k % 50 for k in range(ranged.FILES + 50)} | {"wide": 4000, "large": 100_000}
+    for name, size in sizes.items():
+        (tmp_path / name).write_bytes(bytes([size % 251]) * size)
+    df = ranged.ranged(spark, tmp_path.as_uri(), parts=4, least=1000, most=50_000, stream=stream)
+    assert df.rdd.getNumPartitions() <= 2 + 4 + 1
+    got = {r["file"]: r for r in ranged.whole_files(df).collect()}
+    assert {name: r["length"] for name, r in got.items()} == sizes
+    assert got.pop("large")["error"] == "too large"
+    assert all(bytes(r["content"]) == bytes([len(r["content"]) % 251]) * r["length"] for r in got.values())
+    some = df.filter("file IN ('small007', 'small049', 'wide') AND start < 2000")
+    assert sorted((r["file"], r["part"], len(r["data"])) for r in some.collect()) == [("small007", 0, 7), ("small049", 0, 49), ("wide", 0, 1000), ("wide", 1, 1000)]
+
+
+def test_bundles_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(ranged, "TOGETHER", 1000)
+    monkeypatch.setattr(ranged, "BATCH", 300)
+    for k in range(40):
+        (tmp_path / f"f{k:02d}").write_bytes(b"x" * 90)
+    reader = ranged.RangedReader({"path": tmp_path.as_uri()})
+    planned = reader.partitions()
+    assert [len(p.ranges) for p in planned] == [11, 11, 11, 7]
+    assert [b.num_rows for p in planned for b in reader.read(p)] == [4, 4, 3] * 3 + [4, 3]
+
+
+def test_a_listing_reads_nothing(spark, tmp_path):
+    for k in range(20):
+        (tmp_path / f"f{k}").write_bytes(b"x" * k)
+    reader = ranged.RangedReader({"path": tmp_path.as_uri(), "least": "2", "data": "false"})
+    planned = reader.partitions()
+    for p in tmp_path.iterdir():
+        p.unlink()
+    (rows,) = [b.to_pylist() for p in planned for b in reader.read(p)]
+    assert len(planned) == 1 and {(r["file"], r["length"]) for r in rows} == {(f"f{k}", k) for k in range(20)} and all(r["data"] is None for r in rows)
+
+
 def test_blobs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ranged, "ROLL", 300)
     rows = [(k, bytes([k % 251]) * (k % 40)) for k in range(200)] + [(7, None), (None, b"no id")]
