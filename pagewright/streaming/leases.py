@@ -74,19 +74,19 @@ class Requeues(StatefulProcessor):
         self.timer.update((at,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = None
+        blocks = [np.empty(0, EVENT)]
         for frame in rows:
             e = np.empty(len(frame), EVENT)
             e["at"], e["node"], e["known"], e["claim"] = millis(frame["ts"]), frame["node"], frame["known"], frame["claim"]
-            if len(e):
-                self.held.appendValue((e.tobytes(),))
-                soonest = int(due(e, self.lease_ms).min())
-                first = soonest if first is None else min(first, soonest)
-        timer = self._value(self.timer)
-        if first is not None and (timer is None or first < timer):
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            self._wake(first)
+            blocks.append(e)
+        e = np.concatenate(blocks)
+        if len(e):
+            self.held.appendValue((e.tobytes(),))  # once: appends are slow where much is held
+            first, timer = int(due(e, self.lease_ms).min()), self._value(self.timer)
+            if timer is None or first < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self._wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
